@@ -1 +1,54 @@
+"""Sinks in the benchmark's formats.
 
+Every sink writes with ``partitionBy`` on ``task``/``model`` (and ``iter``
+where the benchmark has one file per iteration), so all tasks and models
+are one write. Options are the ones that round-trip newlines, tabs, quotes,
+backslashes and leading blanks (SURVEY §2.8). Line-ordered text files are
+written one file per partition directory, sorted by line number; they are a
+few lines each.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def write_jsonl(df: DataFrame, path: str, partition_by=("task", "model"), mode: str = "overwrite") -> None:
+    """JSON lines, UTF-8 unescaped, NULL fields kept."""
+    df.write.mode(mode).partitionBy(*partition_by).option("ignoreNullFields", "false").json(path)
+
+
+def write_csv(df: DataFrame, path: str, partition_by=("task", "model"), sep: str = ",", mode: str = "overwrite") -> None:
+    """CSV (``sep=','``) or TSV (``sep='\\t'``)."""
+    w = df.write.mode(mode).partitionBy(*partition_by)
+    for k, v in {**CSV_OPTIONS, "sep": sep}.items():
+        w = w.option(k, v)
+    w.csv(path)
+
+
+def write_lines(lines: DataFrame, path: str, partition_by=("task", "model"), mode: str = "overwrite") -> None:
+    """Text reports; one file per partition directory, lines in
+    ``line_no`` order. The data per file is a report (tens of lines), so a
+    partition per file is bounded."""
+    keys = list(partition_by)
+    (
+        lines.repartition(*[F.col(k) for k in keys])
+        .sortWithinPartitions(*keys, "line_no")
+        .select(*keys, "line")
+        .write.mode(mode)
+        .partitionBy(*keys)
+        .text(path)
+    )
+
+
+def write_leaderboard(board: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One CSV per task; first column ``model``."""
+    write_csv(board.repartition("task").sortWithinPartitions("task", "model"), path, partition_by=("task",), mode=mode)

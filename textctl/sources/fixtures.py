@@ -18,8 +18,14 @@ from .registry import model_slice, model_struct
 from .tables import read_table
 
 # --- Fixture rules (our own; FIXTURES.md §3) ---
-# Registry: three configured models, the first two have generations.
-REGISTRY = ["org/alpha", "org/beta", "org/gamma"]
+# Registry: four configured models; the first two have generations, the
+# third has no results yet, the fourth no renderer either.
+REGISTRY = [
+    "cyberagent/calm2-7b-chat",
+    "tokyotech-llm/Swallow-7b-instruct-hf",
+    "rinna/bilingual-gpt-neox-4b-instruction-sft",
+    "org/unlisted-model",
+]
 GENERATED = (0, 2)  # model_slice(start_index=0, num=2)
 KEYWORD_BY_LANG = {"en": "th", "de": "sch", "fr": "eau", "es": "ci"}
 PROHIBITED_BY_LANG = {"en": "Whou", "de": "Zu", "fr": "que", "es": "la"}
