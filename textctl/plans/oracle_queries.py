@@ -1,9 +1,7 @@
-"""Key -> DuckDB SQL builder for the differential check."""
+"""Key -> DuckDB SQL for the differential check (see ``textctl.oracle``)."""
 
 from __future__ import annotations
 
 from .. import oracle as O
 
-ORACLE = {
-    "ctg_scores": O.ctg_scores,
-}
+ORACLE = O.build()
