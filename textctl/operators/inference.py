@@ -1,12 +1,13 @@
 """Batch inference over rows.
 
-``run_model`` is the one place where Python runs per row: requests are
-hash partitioned on ``(model, salt)`` so that one model's requests spread
-over many tasks (a model holding a third of all requests does not land in
-one task), sorted by model inside each partition, and handed to
-``mapInPandas`` in Arrow batches. The model callable is built once per
-model per task by ``factory(model_path)`` on the worker and answers a list
-of prompts. Each request gets ``text``, ``error`` and ``attempts``: calls
+``run_model`` is the one place where Python runs per row: requests keep
+the partitioning they come with (no shuffle of prompt texts), are sorted by
+model inside each partition and handed to ``mapInPandas`` in Arrow
+batches, so a model holding a third of all requests is spread over all the
+tasks that hold them. With ``partitions`` set they are first hash
+partitioned on ``(model, salt)`` (for inputs with too few partitions). The
+model callable is built by ``factory(model_path)`` once per Python worker
+process (workers are reused across tasks) and answers a list of prompts. Each request gets ``text``, ``error`` and ``attempts``: calls
 that raise a retryable error are retried with bounded exponential back-off,
 others (or retries exhausted) become dead letters with ``text`` NULL.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ASPECTS, DEFAULT_ITERS
-from ..sources.registry import model_struct
+from ..sources.registry import model_struct_sql
 from ..sources.tables import target_partitions
 
 
@@ -77,6 +78,19 @@ def _answer(model: Callable, prompts: list[str], policy: RetryPolicy):
         return [r[0] for r in res], [r[1] for r in res], [r[2] for r in res]
 
 
+_LOADED: dict = {}
+
+
+def _model(factory, model_path):
+    """Models built by ``factory`` stay loaded in the Python worker process
+    (workers are reused across tasks), so each is built once per worker."""
+    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)), model_path)
+    m = _LOADED.get(key)
+    if m is None:
+        m = _LOADED[key] = factory(model_path)
+    return m
+
+
 def run_model(
     requests: DataFrame,
     factory: Callable[[str], Callable[[list[str]], list[str]]],
@@ -107,20 +121,19 @@ def run_model(
             T.StructField("attempts", T.IntegerType()),
         ]
     )
-    n = partitions or target_partitions(requests.sparkSession)
-    salted = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt))
-    staged = requests.select(*out_cols, prompt_col).repartition(n, F.col(model_col), salted).sortWithinPartitions(model_col)
+    staged = requests.select(*out_cols, prompt_col)
+    if partitions:
+        salted = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt))
+        staged = staged.repartition(partitions, F.col(model_col), salted)
+    staged = staged.sortWithinPartitions(model_col)
 
     def fn(batches):
-        cache: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
             parts = []
             for mp, g in pdf.groupby(model_col, sort=False):
-                model = cache.get(mp)
-                if model is None:
-                    model = cache[mp] = factory(mp)
+                model = _model(factory, mp)
                 prompts = g[prompt_col].tolist()
                 texts, errors, attempts = _answer(model, prompts, policy)
                 if strip_echo:
@@ -153,8 +166,8 @@ def generation_requests(master: DataFrame, models: list[tuple[int, str]], iters:
     of the aspect (``prompt_{aspect}``). The fan-out is one ``explode`` of a
     literal array (models x aspects x iterations), no join."""
     per_aspect = F.array(*[F.struct(F.lit(a).alias("aspect"), F.col(f"prompt_{a}").alias("prompt")) for a in aspects])
-    combos = F.array(
-        *[F.struct(model_struct(mi, path).alias("m"), F.lit(it).cast("int").alias("iter")) for mi, path in models for it in range(iters)]
+    combos = F.expr(
+        "array(" + ", ".join(f"named_struct('m', {model_struct_sql(mi, path)}, 'iter', {it})" for mi, path in models for it in range(iters)) + ")"
     )
     x = master.select("task", "prompt_id", F.explode(per_aspect).alias("p"))
     x = x.select("task", "prompt_id", "p.aspect", "p.prompt", F.explode(combos).alias("c"))

@@ -33,8 +33,15 @@ def measured_bytes(df: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["b"])
 
 
+_MEASURED: dict = {}
+
+
 def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    return measured_bytes(df)[1] <= max_bytes
+    """Measured once per distinct plan in an application (``semanticHash``)."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns))
+    if key not in _MEASURED:
+        _MEASURED[key] = measured_bytes(df)
+    return _MEASURED[key][1] <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:

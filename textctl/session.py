@@ -31,9 +31,36 @@ def get_session(app: str = "textctl", master: str | None = None, conf: dict | No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ensure_worker_code(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ensure_worker_code(spark: SparkSession) -> None:
+    """Make ``textctl`` importable in the Python workers (``mapInPandas``
+    callables refer to it): the package is zipped once per application and
+    added with ``addPyFile``, which ships it to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="textctl-code-"), "textctl.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names; set one only if unset.
 

@@ -14,9 +14,21 @@ from pyspark.sql import functions as F
 
 from ..operators.prompts import with_prompt_columns
 from ..schemas import ASPECTS, DEFAULT_ITERS, SENTINEL, TASKS
-from .registry import model_slice, model_struct
+from .registry import model_slice, model_struct_sql, sql_str
 from .tables import read_table
 
+_VIEWS: dict = {}
+
+
+def _memo(name: str, spark: SparkSession, data_dir: str, *args, build):
+    """One DataFrame per view, session and folder: branches of a query that
+    use the same view share one plan (and Spark can reuse its exchanges)."""
+    key = (name, spark.sparkContext.applicationId, id(spark), data_dir, args)
+    df = _VIEWS.get(key)
+    if df is None:
+        df = _VIEWS[key] = build()
+    return df
+
 # --- Fixture rules (our own; FIXTURES.md §3) ---
 # Registry: four configured models; the first two have generations, the
 # third has no results yet, the fourth no renderer either.
@@ -49,10 +61,14 @@ def task_of(prompt_id: Column) -> Column:
 
 
 def documents(spark: SparkSession, data_dir: str, columns=("doc_id", "text", "lang", "source")) -> DataFrame:
-    return read_table(spark, data_dir, "documents", list(columns), key="doc_id")
+    return _memo("documents", spark, data_dir, tuple(columns), build=lambda: read_table(spark, data_dir, "documents", list(columns), key="doc_id"))
 
 
 def prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False) -> DataFrame:
+    return _memo("prompts", spark, data_dir, with_prompts, build=lambda: _prompts(spark, data_dir, with_prompts))
+
+
+def _prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False) -> DataFrame:
     """The prompt master: ``(task, prompt_id, title, base_text, format,
     char_count, keyword, prohibited_word, min_chars, max_chars,
     char_count_answer, keyword_answer, prohibited_word_answer)`` and, with
@@ -88,6 +104,10 @@ def generated_models() -> list[tuple[int, str]]:
 
 
 def results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
+    return _memo("results", spark, data_dir, iters, build=lambda: _results(spark, data_dir, iters))
+
+
+def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
     """Generated and cleaned texts, long: one row per ``(task, model,
     prompt_id, aspect, iter)`` with ``raw_text`` and ``clean_text``.
 
@@ -96,13 +116,15 @@ def results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> D
     adds a header (h=0) or footer (h=1); the cleaner failed for h=6.
     """
     d = documents(spark, data_dir, ("doc_id", "text"))
-    combos = F.array(
-        *[
-            F.struct(model_struct(mi, mp).alias("m"), F.lit(a).alias("aspect"), F.lit(i).cast("int").alias("iter"))
+    combos = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('m', {model_struct_sql(mi, mp)}, 'aspect', {sql_str(a)}, 'iter', {i})"
             for mi, mp in generated_models()
             for a in ASPECTS
             for i in range(iters)
-        ]
+        )
+        + ")"
     )
     x = d.select(F.col("doc_id").alias("prompt_id"), F.col("text"), F.explode(combos).alias("c"))
     pid, it, midx = F.col("prompt_id"), F.col("c.iter"), F.col("c.m.model_idx")
@@ -124,6 +146,10 @@ def results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> D
 
 
 def judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
+    return _memo("answers", spark, data_dir, iters, build=lambda: _judge_answers(spark, data_dir, iters))
+
+
+def _judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
     """What the judge model answers, per ``(task, prompt_id, iter)``: the
     first answer from the document's quality label (unlabelled documents
     get an unparseable answer), the fallback answer by a fixed rule."""

@@ -63,17 +63,24 @@ def model_registry(spark: SparkSession, models: list[tuple[int, str]]) -> DataFr
     return df.withColumn("model", suffix("model_path"))
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal (raw string syntax cannot hold a quote,
+    so quotes and backslashes are escaped instead)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def model_struct_sql(idx: int, path: str) -> str:
+    return f"named_struct('model_idx', {int(idx)}, 'model_path', {sql_str(path)}, 'model', {sql_str(suffix_py(path))})"
+
+
 def model_struct(idx: int, path: str) -> Column:
-    return F.struct(
-        F.lit(idx).cast("int").alias("model_idx"),
-        F.lit(path).alias("model_path"),
-        F.lit(suffix_py(path)).alias("model"),
-    )
+    return F.expr(model_struct_sql(idx, path))
 
 
 def models_literal(models: list[tuple[int, str]]) -> Column:
-    """The registry as an array<struct> literal, for fan-out by ``explode``."""
-    return F.array(*[model_struct(i, p) for i, p in models])
+    """The registry as an array<struct> literal, for fan-out by ``explode``
+    (one parsed expression: cheap to build however many models)."""
+    return F.expr("array(" + ", ".join(model_struct_sql(i, p) for i, p in models) + ")")
 
 
 def list_models(results: DataFrame) -> DataFrame:
