@@ -40,12 +40,20 @@ def results(spark, d):
     return fx.results(spark, d)
 
 
-def master(spark, d, with_prompts=False):
-    return fx.prompts(spark, d, with_prompts=with_prompts)
+def keys_of_results(spark, d):
+    return fx.result_keys(spark, d)
+
+
+def master(spark, d, with_prompts=False, text=True):
+    return fx.prompts(spark, d, with_prompts=with_prompts, text=text)
+
+
+def narrow_master(spark, d):
+    return fx.prompts(spark, d, text=False)
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
-    return V.with_validity(results(spark, d), master(spark, d))
+    return V.with_validity(results(spark, d), narrow_master(spark, d))
 
 
 def scores(spark, d):
@@ -53,7 +61,7 @@ def scores(spark, d):
 
 
 def judged(spark, d):
-    keys = results(spark, d).select(*KEYS)
+    keys = keys_of_results(spark, d).select(*KEYS)
     ans = fx.judge_answers(spark, d)
     return J.parse_answers(join_small(keys, ans, ["task", "prompt_id", "iter"], "inner"))
 
@@ -101,7 +109,7 @@ def read_ctg_report(spark, d):
 
 def quality_lines(spark, d):
     qs = quality(spark, d)
-    n = results(spark, d).select("task", "model", "prompt_id").distinct().groupBy("task", "model").agg(F.count(F.lit(1)).alias("data_num"))
+    n = keys_of_results(spark, d).select("task", "model", "prompt_id").distinct().groupBy("task", "model").agg(F.count(F.lit(1)).alias("data_num"))
     return J.quality_report_lines(qs, n)
 
 
@@ -118,16 +126,16 @@ def parse_bool_list(spark, d):
 
 
 def list_models_q(spark, d):
-    return list_models(results(spark, d))
+    return list_models(keys_of_results(spark, d))
 
 
 def missing_inputs(spark, d):
     """Configured models without results, per task present in the master."""
-    tasks = master(spark, d).select("task").distinct()
+    tasks = narrow_master(spark, d).select("task").distinct()
     expected = tasks.select("task", F.explode(models_literal(model_slice(fx.REGISTRY))).alias("m")).select(
         "task", "m.model_path", "m.model"
     )
-    present = results(spark, d).select("task", "model").distinct()
+    present = keys_of_results(spark, d).select("task", "model").distinct()
     return expected.join(present, ["task", "model"], "left_anti")
 
 
@@ -135,7 +143,8 @@ def missing_inputs(spark, d):
 
 
 def constraints_long(spark, d):
-    return P.constraints_long(master(spark, d)).drop("base_text")
+    m = narrow_master(spark, d).withColumn("base_text", F.lit(None).cast("string"))
+    return P.constraints_long(m).drop("base_text")
 
 
 def task_prompts(spark, d):
@@ -229,7 +238,7 @@ def gen_run(spark, d):
 
 
 def gen_ids(spark, d):
-    return ID.generated_text_ids(master(spark, d), fx.generated_models())
+    return ID.generated_text_ids(narrow_master(spark, d), fx.generated_models())
 
 
 def _flaky(spark, d):
@@ -255,9 +264,8 @@ def wide_results(spark, d):
 
 
 def pending_requests(spark, d):
-    r = results(spark, d)
-    finished = r.where(F.col("clean_text") != F.lit(fx.SENTINEL))
-    return INF.pending(r.select(*KEYS), finished)
+    finished = results(spark, d).where(F.col("clean_text") != F.lit(fx.SENTINEL))
+    return INF.pending(keys_of_results(spark, d).select(*KEYS), finished)
 
 
 # ---------------------------------------------------------------- D: cleaning
@@ -309,7 +317,7 @@ def valid_all(spark, d):
 
 def analysis_rows(spark, d):
     """The analysis table (one row per prompt, model and iteration)."""
-    v = V.with_validity(results(spark, d), master(spark, d), keep=["raw_text", "clean_text"])
+    v = V.with_validity(results(spark, d), narrow_master(spark, d), keep=["raw_text", "clean_text"])
     slim = v.select(
         "task", "model", "prompt_id", "iter", "aspect", F.md5("raw_text").alias("r"), F.md5("clean_text").alias("c"), "is_valid"
     )
@@ -329,7 +337,7 @@ def ctg_report_lines(spark, d):
 
 
 def coverage(spark, d):
-    return V.coverage(results(spark, d), master(spark, d))
+    return V.coverage(keys_of_results(spark, d), narrow_master(spark, d))
 
 
 # ---------------------------------------------------------------- F: quality
@@ -371,7 +379,7 @@ def judge_run(spark, d):
 
 
 def _answers(spark, d):
-    keys = results(spark, d).select(*KEYS)
+    keys = keys_of_results(spark, d).select(*KEYS)
     return join_small(keys, fx.judge_answers(spark, d), ["task", "prompt_id", "iter"], "inner")
 
 

@@ -61,19 +61,24 @@ def task_of(prompt_id: Column) -> Column:
 
 
 def documents(spark: SparkSession, data_dir: str, columns=("doc_id", "text", "lang", "source")) -> DataFrame:
-    return _memo("documents", spark, data_dir, tuple(columns), build=lambda: read_table(spark, data_dir, "documents", list(columns), key="doc_id"))
+    """The documents scan. Only a read that carries ``text`` is rebalanced
+    (see ``read_table``): narrow key/label reads go straight from the scan."""
+    key = "doc_id" if "text" in columns else None
+    return _memo("documents", spark, data_dir, tuple(columns), build=lambda: read_table(spark, data_dir, "documents", list(columns), key=key))
 
 
-def prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False) -> DataFrame:
-    return _memo("prompts", spark, data_dir, with_prompts, build=lambda: _prompts(spark, data_dir, with_prompts))
+def prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False, text: bool = True) -> DataFrame:
+    """``text=False``: the master without ``base_text`` (and prompts), read
+    from the narrow columns only, for constraint joins and key checks."""
+    return _memo("prompts", spark, data_dir, with_prompts, text, build=lambda: _prompts(spark, data_dir, with_prompts, text))
 
 
-def _prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False) -> DataFrame:
+def _prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False, text: bool = True) -> DataFrame:
     """The prompt master: ``(task, prompt_id, title, base_text, format,
     char_count, keyword, prohibited_word, min_chars, max_chars,
     char_count_answer, keyword_answer, prohibited_word_answer)`` and, with
     ``with_prompts``, the four rendered ``prompt_{aspect}`` columns."""
-    d = documents(spark, data_dir)
+    d = documents(spark, data_dir, ("doc_id", "text", "lang", "source") if text else ("doc_id", "lang", "source"))
     pid = F.col("doc_id")
     min_chars = (F.lit(250) * (pid % 5)).cast("int")
     kw = _by_lang(F.col("lang"), KEYWORD_BY_LANG)
@@ -82,7 +87,7 @@ def _prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False) ->
         task_of(pid).alias("task"),
         pid.alias("prompt_id"),
         F.col("source").alias("title"),
-        F.col("text").alias("base_text"),
+        *([F.col("text").alias("base_text")] if text else []),
         min_chars.alias("min_chars"),
         (min_chars + 1500).alias("max_chars"),
         kw.alias("keyword_answer"),
@@ -96,7 +101,7 @@ def _prompts(spark: SparkSession, data_dir: str, with_prompts: bool = False) ->
         F.concat(F.lit("「"), F.col("prohibited_word_answer"), F.lit("」という語を使わないでください。")).alias("prohibited_word"),
         F.array(F.col("min_chars"), F.col("max_chars")).alias("char_count_answer"),
     )
-    return with_prompt_columns(m) if with_prompts else m
+    return with_prompt_columns(m) if (with_prompts and text) else m
 
 
 def generated_models() -> list[tuple[int, str]]:
@@ -107,7 +112,12 @@ def results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> D
     return _memo("results", spark, data_dir, iters, build=lambda: _results(spark, data_dir, iters))
 
 
-def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
+def result_keys(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
+    """The keys of ``results`` only, from the narrow ``doc_id`` read."""
+    return _memo("result_keys", spark, data_dir, iters, build=lambda: _results(spark, data_dir, iters, text=False))
+
+
+def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS, text: bool = True) -> DataFrame:
     """Generated and cleaned texts, long: one row per ``(task, model,
     prompt_id, aspect, iter)`` with ``raw_text`` and ``clean_text``.
 
@@ -115,7 +125,7 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) ->
     first ``400*(iter+1)`` characters); ``h = (prompt_id+iter+model_idx) % 7``
     adds a header (h=0) or footer (h=1); the cleaner failed for h=6.
     """
-    d = documents(spark, data_dir, ("doc_id", "text"))
+    d = documents(spark, data_dir, ("doc_id", "text") if text else ("doc_id",))
     combos = F.expr(
         "array("
         + ", ".join(
@@ -126,13 +136,9 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) ->
         )
         + ")"
     )
-    x = d.select(F.col("doc_id").alias("prompt_id"), F.col("text"), F.explode(combos).alias("c"))
+    x = d.select(F.col("doc_id").alias("prompt_id"), *(["text"] if text else []), F.explode(combos).alias("c"))
     pid, it, midx = F.col("prompt_id"), F.col("c.iter"), F.col("c.m.model_idx")
-    body = F.when(F.col("c.aspect") == "char_count", F.left(F.col("text"), F.lit(400) * (it + 1))).otherwise(F.col("text"))
-    h = (pid + it + midx) % 7
-    raw = F.when(h == 0, F.concat(F.lit(HEADER), body)).when(h == 1, F.concat(body, F.lit(FOOTER))).otherwise(body)
-    clean = F.when(h == 6, F.lit(SENTINEL)).otherwise(body)
-    return x.select(
+    keys = [
         task_of(pid).alias("task"),
         F.col("c.m.model_idx").alias("model_idx"),
         F.col("c.m.model_path").alias("model_path"),
@@ -140,9 +146,14 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) ->
         pid.alias("prompt_id"),
         F.col("c.aspect").alias("aspect"),
         it.alias("iter"),
-        raw.alias("raw_text"),
-        clean.alias("clean_text"),
-    )
+    ]
+    if not text:
+        return x.select(*keys)
+    body = F.when(F.col("c.aspect") == "char_count", F.left(F.col("text"), F.lit(400) * (it + 1))).otherwise(F.col("text"))
+    h = (pid + it + midx) % 7
+    raw = F.when(h == 0, F.concat(F.lit(HEADER), body)).when(h == 1, F.concat(body, F.lit(FOOTER))).otherwise(body)
+    clean = F.when(h == 6, F.lit(SENTINEL)).otherwise(body)
+    return x.select(*keys, raw.alias("raw_text"), clean.alias("clean_text"))
 
 
 def judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
@@ -155,7 +166,7 @@ def _judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITER
     get an unparseable answer), the fallback answer by a fixed rule."""
     from ..plans.joins import join_small
 
-    d = read_table(spark, data_dir, "documents", ["doc_id"], key="doc_id")
+    d = documents(spark, data_dir, ("doc_id",))
     lab = spark.read.parquet(f"{data_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
     x = join_small(d, lab, "doc_id", "left")
     x = x.select("doc_id", "quality", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter"))
