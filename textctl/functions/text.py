@@ -58,9 +58,33 @@ def char_count_valid(clean, min_chars, max_chars) -> Column:
 
 
 def fmt3(x) -> Column:
-    """Three-decimal text, rounding the binary value half to even like Python's
-    ``"{:.3f}"``. Scores are at most 1, so no grouping separator appears."""
-    return F.format_number(_c(x), 3)
+    """Three-decimal text equal to Python's ``"{:.3f}".format(x)``.
+
+    ``format_number`` rounds the shortest decimal form of the double half to
+    even; Python rounds the double's exact binary value. The two differ only
+    when the shortest form is itself a tie (``0.0005``): then the side of
+    the exact value is decided by an error-free product ``x * 10000 = p + e``
+    (Dekker's split, plain double arithmetic), and a true tie (exactly
+    representable, like ``0.0625``) goes to even. For ``0 <= x < 1000``
+    (scores): no grouping separator appears.
+    """
+    v = _c(x)
+    base = F.format_number(v, 3)
+    dec = v.try_cast("decimal(38,18)")
+    t4 = dec * F.lit(10000)
+    tie = (t4 == F.floor(t4)) & (F.pmod(t4, F.lit(10)) == 5)
+    # exact sign of x*10000 - T, T = t4 (an integer below 2^53)
+    c = F.lit(134217729.0) * v
+    ah = c - (c - v)
+    al = v - ah
+    p = v * F.lit(10000.0)
+    e = (ah * F.lit(10000.0) - p) + al * F.lit(10000.0)
+    diff = (p - t4.cast("double")) + e
+    q = ((t4 - F.lit(5)) / F.lit(10)).cast("long")  # thousandths below the tie
+    up = F.when(diff > 0, F.lit(True)).when(diff < 0, F.lit(False)).otherwise(q % 2 == 1)
+    thousandths = F.when(up, q + 1).otherwise(q)
+    fixed = F.format_number((thousandths.cast("decimal(38,0)") / F.lit(1000)).cast("decimal(38,3)"), 3)
+    return F.when(v.isNull(), F.lit(None).cast("string")).when(tie & (v >= 0), fixed).otherwise(base)
 
 
 def round3(x) -> Column:

@@ -19,6 +19,7 @@ retry may repeat calls of that task, never results: keys stay unique.
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -78,16 +79,25 @@ def _answer(model: Callable, prompts: list[str], policy: RetryPolicy):
         return [r[0] for r in res], [r[1] for r in res], [r[2] for r in res]
 
 
-_LOADED: dict = {}
+_LOADED: OrderedDict = OrderedDict()
+_MAX_LOADED = 4
 
 
 def _model(factory, model_path):
     """Models built by ``factory`` stay loaded in the Python worker process
-    (workers are reused across tasks), so each is built once per worker."""
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)), model_path)
+    (workers are reused across tasks), so each is built once per worker. The
+    key is the factory object: a module-level factory is the same object in
+    every task of the worker; a closure is a new object per task, so it is
+    built per task and never shared by mistake. At most ``_MAX_LOADED``
+    models are kept (least recently used goes)."""
+    key = (factory, model_path)
     m = _LOADED.get(key)
     if m is None:
         m = _LOADED[key] = factory(model_path)
+        while len(_LOADED) > _MAX_LOADED:
+            _LOADED.popitem(last=False)
+    else:
+        _LOADED.move_to_end(key)
     return m
 
 

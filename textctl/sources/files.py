@@ -65,8 +65,13 @@ def read_results(spark: SparkSession, paths, clean: bool = False) -> DataFrame:
 
 
 def quarantine(df: DataFrame) -> DataFrame:
-    """Rows whose JSON line did not parse."""
-    return df.where(F.col("_corrupt_record").isNotNull())
+    """Rows whose JSON line did not parse. The filter also refers to the
+    parsed columns (a hash compared with the smallest long: always true, but
+    not folded away): Spark does not allow a scan of raw JSON that reads the
+    corrupt-record column alone."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != "_corrupt_record"]
+    always = F.xxhash64(*others) >= F.lit(-(2**63)).cast("long")
+    return df.where(F.col("_corrupt_record").isNotNull() & always)
 
 
 def _read_lines(spark: SparkSession, paths) -> DataFrame:
