@@ -71,13 +71,14 @@ def test_chat_layouts(spark):
 
 
 def test_routing(spark):
-    paths = ["cyberagent/calm2-7b-chat", "tokyotech-llm/Swallow-13b-instruct-hf", "rinna/bilingual-gpt-neox-4b-instruction-ppo",
-             "gpt-4-1106-preview", "tokyotech-llm/Swallow-7b-plus", "org/unknown"]
+    paths = ["rinna/youri-7b-chat", "llm-jp/llm-jp-13b-instruct-full-dolly-oasst-v1.0", "rinna/bilingual-gpt-neox-4b-instruction-ppo",
+             "gpt-4-1106-preview", "llm-jp/llm-jp-13b-instruct-full-other", "org/unknown"]
     df = spark.createDataFrame([(p,) for p in paths], "model_path string")
     got = {r["model_path"]: (r["loader_family"], r["family"], r["supported"]) for r in CH.route(df).collect()}
-    assert got["cyberagent/calm2-7b-chat"] == ("calm2", "calm2", True)
-    assert got["tokyotech-llm/Swallow-13b-instruct-hf"] == ("swallow", "swallow", True)
+    assert got["rinna/youri-7b-chat"] == ("youri", "youri", True)
+    assert got["llm-jp/llm-jp-13b-instruct-full-dolly-oasst-v1.0"] == ("llmjp", "llmjp", True)
+    assert got["rinna/bilingual-gpt-neox-4b-instruction-ppo"] == ("neox", "neox", True)
     assert got["gpt-4-1106-preview"] == ("openai", "openai", True)
     # loader matches by substring, renderer by exact name: not servable (Q22)
-    assert got["tokyotech-llm/Swallow-7b-plus"] == ("swallow", None, False)
+    assert got["llm-jp/llm-jp-13b-instruct-full-other"] == ("llmjp", None, False)
     assert got["org/unknown"] == (None, None, False)

@@ -83,9 +83,9 @@ def test_reports_to_leaderboard_through_files(spark, tmp_out):
 
 def test_quality_report_layout(spark):
     lines = Q.quality_lines(spark, SF0001)
-    one = lines.where("task = 'ad_text' AND model = 'cyberagent-calm2-7b-chat'").orderBy("line_no").collect()
+    one = lines.where("task = 'ad_text' AND model = 'elyza-ELYZA-japanese-Llama-2-7b-fast-instruct'").orderBy("line_no").collect()
     text = [r["line"] for r in one]
-    assert text[0] == "Model: cyberagent-calm2-7b-chat"
+    assert text[0] == "Model: elyza-ELYZA-japanese-Llama-2-7b-fast-instruct"
     assert text[1].startswith("Data Num: ")
     assert text[2] == "【format_wo_hf】"
     assert text[3].startswith("iter0-Acc: ") and text[6].startswith("All-Acc: ") and text[7] == ""

@@ -33,8 +33,8 @@ def _memo(name: str, spark: SparkSession, data_dir: str, *args, build):
 # Registry: four configured models; the first two have generations, the
 # third has no results yet, the fourth no renderer either.
 REGISTRY = [
-    "cyberagent/calm2-7b-chat",
-    "tokyotech-llm/Swallow-7b-instruct-hf",
+    "elyza/ELYZA-japanese-Llama-2-7b-fast-instruct",
+    "llm-jp/llm-jp-13b-instruct-full-jaster-v1.0",
     "rinna/bilingual-gpt-neox-4b-instruction-sft",
     "org/unlisted-model",
 ]
