@@ -18,8 +18,15 @@ def _c(x) -> Column:
 
 
 def delete_blank(s) -> Column:
-    """Remove space, ideographic space, newline and tab."""
-    return F.translate(_c(s), BLANKS, "")
+    """Remove space, ideographic space, newline and tab.
+
+    Four byte-level ``replace`` passes: deleting single characters one kind
+    at a time gives the same text as ``translate(s, BLANKS, '')`` and runs
+    several times faster (no per-code-point map lookup)."""
+    out = _c(s)
+    for ch in BLANKS:
+        out = F.replace(out, F.lit(ch), F.lit(""))
+    return out
 
 
 def is_sentinel(s) -> Column:
