@@ -117,15 +117,20 @@ def judge_bool_label(answer) -> Column:
     return out
 
 
-def parse_bool_list(s) -> Column:
+def parse_bool_list(s, compat: bool = False) -> Column:
     """Parse a Python list literal of booleans and raw answers.
 
     ``"[True, False, '判定できません']"`` -> ``[true, false, NULL]``: elements
     ``True``/``False`` become booleans, anything else (a kept raw answer) is
-    NULL, so that accuracy counts skip it as the scorer does.
+    NULL, so that accuracy counts skip it as the scorer does. ``compat``
+    gives the benchmark's reading of such a file instead (Q25): every
+    element is taken by truthiness, so ``False`` is false and any other
+    non-empty element, a raw answer included, is true.
     """
     inner = F.regexp_extract(_c(s), r"\A\[(.*)\]\z", 1)
     parts = F.split(inner, ", ")
+    if compat:
+        return F.transform(parts, lambda e: ~e.isin("False", "''", '""', "None", "0", ""))
     return F.transform(
         parts,
         lambda e: F.when(e == "True", F.lit(True)).when(e == "False", F.lit(False)).otherwise(F.lit(None).cast("boolean")),

@@ -156,6 +156,18 @@ def chat_system(family, use_system) -> Column:
     return out
 
 
+def chat_messages(family, text, use_system) -> Column:
+    """Hosted chat request body: ``array<struct<role, content>>`` with the
+    system message (empty string when switched off) and the user text;
+    NULL for families that take a prompt string."""
+    fam, t = _c(family), _c(text)
+    msg = F.array(
+        F.struct(F.lit("system").alias("role"), chat_system(fam, use_system).alias("content")),
+        F.struct(F.lit("user").alias("role"), t.alias("content")),
+    )
+    return F.when(fam.isin(*CHAT_SYSTEM.keys()), msg)
+
+
 def gen_params(family) -> Column:
     """Struct of generation parameters for a family (NULL if remote)."""
     fam = _c(family)
@@ -191,6 +203,7 @@ def render_requests(requests: DataFrame, use_system: bool = True, bos: str = DEF
             "use_system": F.lit(use_system),
             "chat_prompt": chat_prompt("family", "prompt", F.lit(use_system), bos, compat),
             "system": chat_system("family", F.lit(use_system)),
+            "messages": chat_messages("family", "prompt", F.lit(use_system)),
             "params": gen_params("family"),
         }
     )

@@ -4,8 +4,9 @@
 the partitioning they come with (no shuffle of prompt texts), are sorted by
 model inside each partition and handed to ``mapInPandas`` in Arrow
 batches, so a model holding a third of all requests is spread over all the
-tasks that hold them. With ``partitions`` set they are first hash
-partitioned on ``(model, salt)`` (for inputs with too few partitions). The
+tasks that hold them. Only an input with fewer partitions than task slots
+(``partitions="auto"``), or an explicit ``partitions=n``, is first hash
+partitioned on ``(model, salt)``. The
 model callable is built by ``factory(model_path)`` once per Python worker
 process (workers are reused across tasks) and answers a list of prompts. Each request gets ``text``, ``error`` and ``attempts``: calls
 that raise a retryable error are retried with bounded exponential back-off,
@@ -110,7 +111,7 @@ def run_model(
     prompt_col: str = "prompt",
     carry: list[str] | tuple = (),
     strip_echo: bool = False,
-    partitions: int | None = None,
+    partitions: int | str | None = "auto",
     salt: int = 64,
     checkpoint: bool = True,
 ) -> DataFrame:
@@ -132,6 +133,10 @@ def run_model(
         ]
     )
     staged = requests.select(*out_cols, prompt_col)
+    if partitions == "auto":
+        # too few input partitions would leave cores idle while models answer
+        slots = requests.sparkSession.sparkContext.defaultParallelism
+        partitions = target_partitions(requests.sparkSession) if staged.rdd.getNumPartitions() < slots else None
     if partitions:
         salted = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt))
         staged = staged.repartition(partitions, F.col(model_col), salted)

@@ -38,16 +38,21 @@ def parse_answers(df: DataFrame, first: str = "answer", second: str = "answer_bo
     ).drop("_l1", "_l2")
 
 
-def judge_with_models(items: DataFrame, factory, policy=None, checkpoint: bool = True) -> DataFrame:
+def judge_with_models(items: DataFrame, factory, policy=None, checkpoint: bool = True, skip_dead_letters: bool = False) -> DataFrame:
     """ask the judge (``judge_prompt``) for every text; ask again
     with the True/False prompt only for the answers that did not parse.
 
     ``items``: ``task, model, prompt_id, aspect, iter, text, base_text``.
-    Each call's output is checkpointed before it is used again.
+    Each call's output is checkpointed before it is used again. The
+    sentinel text of a failed cleaning is judged like any text (Q8) unless
+    ``skip_dead_letters``, which leaves those rows out.
     """
+    from ..schemas import SENTINEL
     from .inference import run_model
     from .prompts import judge_prompt
 
+    if skip_dead_letters:
+        items = items.where(F.col("text") != F.lit(SENTINEL))
     req = items.select(*JKEYS, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text").alias("prompt"))
     first = run_model(req, factory, policy=policy, keys=JKEYS, checkpoint=checkpoint).select(
         *JKEYS, F.col("text").alias("answer"), F.col("error").alias("error1")
@@ -130,3 +135,16 @@ def bool_list_cells(judged: DataFrame) -> DataFrame:
     )
     g = judged.groupBy("task", "model", "prompt_id", "aspect").agg(F.array_sort(F.collect_list(F.struct("iter", elem.alias("e")))).alias("xs"))
     return g.select("task", "model", "prompt_id", "aspect", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["e"]), ", "), F.lit("]")).alias("cell"))
+
+
+def judge_table(judged: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """the judge file, one row per prompt and model: ``prompt_id``,
+    ``model`` and one list-literal column ``{aspect}_wo_hf`` per aspect (plus
+    ``generated_text_id`` when ``ids`` gives it). Built from ``bool_list_cells``
+    by a pivot over the four aspects (groups of one prompt)."""
+    cells = bool_list_cells(judged)
+    wide = cells.groupBy("task", "model", "prompt_id").pivot("aspect", ASPECTS).agg(F.first("cell"))
+    wide = wide.select("task", "model", "prompt_id", *[F.col(f"`{a}`").alias(f"{a}_wo_hf") for a in ASPECTS])
+    if ids is not None:
+        wide = wide.join(ids.select("task", "model", "prompt_id", "generated_text_id"), ["task", "model", "prompt_id"], "left")
+    return wide

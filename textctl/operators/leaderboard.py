@@ -72,11 +72,18 @@ def leaderboard(ctg_report: DataFrame, quality_report: DataFrame, iters: int = 3
     return b.select("task", "model", *[fmt3(F.col(f"`{k}`")).alias(k) for k in BOARD_COLUMNS])
 
 
-def leaderboard_numbers(ctg: DataFrame, quality_all_acc: DataFrame, iters: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The two inputs of ``leaderboard`` straight from scores, without files:
-    the same values a write and read of the reports gives."""
-    c = ctg.select("task", "model", "iter", "aspect", round3("score").alias("score"))
-    q = quality_all_acc.select("task", "model", "aspect", round3("all_acc").alias("all_acc"))
+def leaderboard_numbers(ctg: DataFrame, quality_all_acc: DataFrame, iters: int = 3, mode: str = "report") -> tuple[DataFrame, DataFrame]:
+    """The two inputs of ``leaderboard`` straight from scores, without files.
+
+    ``mode="report"``: the values a write and read of the reports gives
+    (3 decimals per iteration, Q9/Q10), as the benchmark's leaderboard.
+    ``mode="exact"``: unrounded scores, rounding only in the final columns.
+    """
+    if mode not in ("report", "exact"):
+        raise ValueError("mode is 'report' or 'exact'")
+    r = round3 if mode == "report" else (lambda c: F.col(c))
+    c = ctg.select("task", "model", "iter", "aspect", r("score").alias("score"))
+    q = quality_all_acc.select("task", "model", "aspect", r("all_acc").alias("all_acc"))
     return c, q
 
 

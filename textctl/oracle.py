@@ -447,6 +447,18 @@ def build() -> dict[str, str]:
     out["judge_label"] = sql(*QJ, select=f"SELECT {KEYS}, l1 AS label FROM judged")
     out["judge_fallback"] = sql(*QJ, select=f"SELECT {KEYS}, ok, stage FROM judged WHERE stage <> 'first'")
     out["judge_unparsed"] = sql(*QJ, select=f"SELECT {KEYS}, raw FROM judged WHERE stage = 'unparsed'")
+    elem = "CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE chr(39) || replace(coalesce(raw, ''), chr(39), chr(92) || chr(39)) || chr(39) END"
+    cells = ", ".join(
+        f"'[' || string_agg({elem}, ', ' ORDER BY iter) FILTER (WHERE aspect = {q(a)}) || ']' AS {a}_wo_hf" for a in ASPECTS
+    )
+    out["judge_table"] = sql(
+        *QJ,
+        f"jt AS (SELECT task, model, prompt_id, {cells} FROM judged GROUP BY task, model, prompt_id)",
+        select=f"""SELECT jt.*, CAST(x.m.pos * n + rk - 1 AS BIGINT) AS generated_text_id FROM jt JOIN
+          (SELECT task, prompt_id, count(*) OVER (PARTITION BY task) AS n, row_number() OVER (PARTITION BY task ORDER BY prompt_id) AS rk,
+                  unnest({gm}) AS m FROM prompts) x
+          ON jt.task = x.task AND jt.prompt_id = x.prompt_id AND jt.model = x.m.model""",
+    )
     out["quality_scores"] = sql(*Q, select="SELECT * FROM quality")
     out["quality_all_acc"] = sql(*Q, select="SELECT * FROM allacc")
     out["quality_report_lines"] = sql(*Q, qlines_cte(), select="SELECT * FROM qlines")

@@ -401,6 +401,12 @@ def judge_unparsed(spark, d):
     return judged(spark, d).where(F.col("stage") == "unparsed").select(*KEYS, "raw")
 
 
+def judge_table(spark, d):
+    """the judge file (list-literal cells per aspect) with the ids of C3."""
+    ids = ID.generated_text_ids(narrow_master(spark, d), fx.generated_models())
+    return J.judge_table(judged(spark, d), ids)
+
+
 def quality_scores(spark, d):
     return quality(spark, d)
 
@@ -506,6 +512,7 @@ QUERIES = {
     "judge_label": judge_label,
     "judge_fallback": judge_fallback,
     "judge_unparsed": judge_unparsed,
+    "judge_table": judge_table,
     "quality_scores": quality_scores,
     "quality_all_acc": quality_all_acc,
     "quality_report_lines": quality_report_lines,

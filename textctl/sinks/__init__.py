@@ -52,3 +52,17 @@ def write_lines(lines: DataFrame, path: str, partition_by=("task", "model"), mod
 def write_leaderboard(board: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One CSV per task; first column ``model``."""
     write_csv(board.repartition("task").sortWithinPartitions("task", "model"), path, partition_by=("task",), mode=mode)
+
+
+def write_analysis(analysis: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The analysis table as CSV, TSV and JSON lines, one folder per
+    task, model and iteration."""
+    keys = ("task", "model", "iter")
+    write_csv(analysis, f"{path}/csv", partition_by=keys, mode=mode)
+    write_csv(analysis, f"{path}/tsv", partition_by=keys, sep="\t", mode=mode)
+    write_jsonl(analysis, f"{path}/jsonl", partition_by=keys, mode=mode)
+
+
+def write_judge_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """the judge file per task and model (CSV, list literals as text)."""
+    write_csv(table, path, partition_by=("task", "model"), mode=mode)

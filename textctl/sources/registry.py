@@ -86,3 +86,15 @@ def models_literal(models: list[tuple[int, str]]) -> Column:
 def list_models(results: DataFrame) -> DataFrame:
     """A10: the (task, model) directories that hold results."""
     return results.select("task", "model_path", "model").distinct()
+
+
+def check_inputs(missing: DataFrame, strict: bool = False, limit: int = 20) -> DataFrame:
+    """Q16: one policy for missing inputs. ``missing`` is the anti-join
+    report (e.g. ``missing_inputs``); with ``strict`` a non-empty report
+    raises, naming at most ``limit`` entries, else it is returned to be
+    written next to the results."""
+    if strict:
+        sample = missing.limit(limit).collect()
+        if sample:
+            raise FileNotFoundError(f"missing inputs: {[tuple(r) for r in sample]}")
+    return missing
