@@ -99,4 +99,14 @@ def coverage(results: DataFrame, master: DataFrame) -> DataFrame:
     return orphan.unionByName(missing).select("task", "model", "kind", "n")
 
 
-__all__ = ["constraints", "text_features", "with_validity", "coverage", "SENTINEL"]
+def master_key_issues(master: DataFrame) -> DataFrame:
+    """Q14: prompt keys that a join would treat wrongly: a NULL
+    ``prompt_id`` (never matches) or a ``(task, prompt_id)`` given more than
+    once (would multiply result rows). One aggregate on the keys."""
+    g = master.groupBy("task", "prompt_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.where(F.col("prompt_id").isNull() | F.col("task").isNull() | (F.col("n") > 1)).withColumn(
+        "issue", F.when(F.col("prompt_id").isNull() | F.col("task").isNull(), F.lit("null_key")).otherwise(F.lit("duplicate_key"))
+    )
+
+
+__all__ = ["constraints", "text_features", "with_validity", "coverage", "master_key_issues", "SENTINEL"]

@@ -431,6 +431,11 @@ def build() -> dict[str, str]:
           WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.task = m.task AND r.model = m.model AND r.prompt_id = p.prompt_id)
           GROUP BY m.task, m.model"""
     )
+    out["master_key_issues"] = sql(
+        select="""SELECT task, prompt_id, CAST(count(*) AS BIGINT) AS n,
+          CASE WHEN prompt_id IS NULL OR task IS NULL THEN 'null_key' ELSE 'duplicate_key' END AS issue
+          FROM prompts GROUP BY task, prompt_id HAVING prompt_id IS NULL OR task IS NULL OR count(*) > 1"""
+    )
     out["judged_columns"] = sql(
         select=f"SELECT task, model, prompt_id, aspect || '_wo_hf' AS label, iter, {md5len('clean_text', 'text')} FROM results"
     )

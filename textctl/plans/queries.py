@@ -332,6 +332,10 @@ def analysis_rows(spark, d):
     return out.select(*cols)
 
 
+def master_key_issues(spark, d):
+    return V.master_key_issues(narrow_master(spark, d)).select("task", "prompt_id", "n", "issue")
+
+
 def ctg_report_lines(spark, d):
     return S.ctg_report_lines(scores(spark, d))
 
@@ -505,6 +509,7 @@ QUERIES = {
     "analysis_rows": analysis_rows,
     "ctg_report_lines": ctg_report_lines,
     "coverage": coverage,
+    "master_key_issues": master_key_issues,
     # F quality
     "judged_columns": judged_columns,
     "judge_run": judge_run,
