@@ -101,6 +101,7 @@ def model_clean(results: DataFrame, factory, policy=None, dedupe: bool = True, c
     (keys only travel through that join, not texts). Without it every row
     is a request. A failed call gives the sentinel text and keeps its error.
     """
+    from ..plans.joins import join_small
     from .inference import run_model
     from .prompts import clean_prompt
 
@@ -111,7 +112,7 @@ def model_clean(results: DataFrame, factory, policy=None, dedupe: bool = True, c
     req = uniq.select("_k", clean_prompt("task", "raw_text").alias("prompt"), F.lit("cleaner").alias("model_path"))
     done = run_model(req, factory, policy=policy, keys=["_k"], checkpoint=checkpoint)
     ans = done.select("_k", "text", "error", "attempts")
-    merged = keyed.drop("clean_text").join(ans, "_k", "left")
+    merged = join_small(keyed.drop("clean_text"), ans, "_k", "left")
     return merged.withColumn("clean_text", F.when(F.col("error").isNotNull(), F.lit(SENTINEL)).otherwise(F.col("text"))).drop("_k", "text")
 
 

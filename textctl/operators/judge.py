@@ -47,6 +47,7 @@ def judge_with_models(items: DataFrame, factory, policy=None, checkpoint: bool =
     sentinel text of a failed cleaning is judged like any text (Q8) unless
     ``skip_dead_letters``, which leaves those rows out.
     """
+    from ..plans.joins import join_small
     from ..schemas import SENTINEL
     from .inference import run_model
     from .prompts import judge_prompt
@@ -58,13 +59,13 @@ def judge_with_models(items: DataFrame, factory, policy=None, checkpoint: bool =
         *JKEYS, F.col("text").alias("answer"), F.col("error").alias("error1")
     )
     todo = first.where(judge_label("answer").isNull()).select(*JKEYS)
-    req2 = items.join(todo, JKEYS, "left_semi").select(
+    req2 = join_small(items, todo, JKEYS, "left_semi").select(
         *JKEYS, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text", is_bool=True).alias("prompt")
     )
     second = run_model(req2, factory, policy=policy, keys=JKEYS, checkpoint=checkpoint).select(
         *JKEYS, F.col("text").alias("answer_bool"), F.col("error").alias("error2")
     )
-    return parse_answers(first.join(second, JKEYS, "left"))
+    return parse_answers(join_small(first, second, JKEYS, "left"))
 
 
 def quality_scores(judged: DataFrame) -> DataFrame:

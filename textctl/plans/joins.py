@@ -46,7 +46,9 @@ def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> b
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Join ``big`` with ``small``, broadcasting ``small`` only if it measured
-    at most ``max_bytes``; otherwise a shuffle join planned by Spark."""
+    at most ``max_bytes``; otherwise a sort-merge join (hinted, so that an
+    optimistic size estimate cannot turn it into a broadcast)."""
     if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    # measured too large: a sort-merge join, whatever the static estimate says
+    return big.join(small.hint("merge"), on, how)
