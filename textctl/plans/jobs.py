@@ -46,7 +46,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _master(spark: SparkSession, master_paths) -> DataFrame:
     m = files.read_master(spark, master_paths)
     bad = files.quarantine(m)
-    return m.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
+    return files.parsed(m), bad
 
 
 def generate(

@@ -64,6 +64,15 @@ def read_results(spark: SparkSession, paths, clean: bool = False) -> DataFrame:
     )
 
 
+def parsed(df: DataFrame, key: str = "prompt_id") -> DataFrame:
+    """Rows whose JSON line parsed, without the corrupt-record column. The
+    filter also reads the small ``key`` column (an always-true hash test):
+    otherwise a later count would prune the scan to the corrupt-record
+    column alone, which Spark refuses for raw JSON."""
+    always = F.xxhash64(F.col(key)) >= F.lit(-(2**63)).cast("long")
+    return df.where(F.col("_corrupt_record").isNull() & always).drop("_corrupt_record")
+
+
 def quarantine(df: DataFrame) -> DataFrame:
     """Rows whose JSON line did not parse. The filter also refers to the
     parsed columns (a hash compared with the smallest long: always true, but
