@@ -64,6 +64,40 @@ def char_count_valid(clean, min_chars, max_chars) -> Column:
     return F.when(is_sentinel(clean), F.lit(False)).otherwise((n >= _c(min_chars)) & (n <= _c(max_chars)))
 
 
+def _fmt3_body(x: str) -> str:
+    """SQL of ``fmt3`` for the double ``x`` (see ``fmt3``)."""
+    t4 = f"(TRY_CAST({x} AS DECIMAL(38,18)) * 10000)"
+    tie = f"({t4} = FLOOR({t4}) AND PMOD({t4}, 10) = 5)"
+    c = f"(134217729.0D * {x})"
+    ah = f"({c} - ({c} - {x}))"
+    al = f"({x} - {ah})"
+    p = f"({x} * 10000.0D)"
+    e = f"(({ah} * 10000.0D - {p}) + {al} * 10000.0D)"
+    diff = f"(({p} - CAST({t4} AS DOUBLE)) + {e})"
+    q = f"CAST(({t4} - 5) / 10 AS BIGINT)"
+    up = f"(CASE WHEN {diff} > 0 THEN TRUE WHEN {diff} < 0 THEN FALSE ELSE {q} % 2 = 1 END)"
+    thousandths = f"(CASE WHEN {up} THEN {q} + 1 ELSE {q} END)"
+    fixed = f"format_number(CAST(CAST({thousandths} AS DECIMAL(38,0)) / 1000 AS DECIMAL(38,3)), 3)"
+    return f"CASE WHEN {x} IS NULL THEN CAST(NULL AS STRING) WHEN {tie} AND {x} >= 0 THEN {fixed} ELSE format_number({x}, 3) END"
+
+
+FMT3_FUNCTION = "textctl_fmt3"
+_FMT3_SESSIONS: set = set()
+
+
+def _ensure_fmt3() -> None:
+    """Register ``fmt3`` as a SQL function of the active session, once. A SQL
+    function is inlined by the analyzer (no Python, whole-stage codegen)."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    key = (spark.sparkContext.applicationId, id(spark))
+    if key in _FMT3_SESSIONS:
+        return
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {FMT3_FUNCTION}(x DOUBLE) RETURNS STRING RETURN {_fmt3_body('x')}")
+    _FMT3_SESSIONS.add(key)
+
+
 def fmt3(x) -> Column:
     """Three-decimal text equal to Python's ``"{:.3f}".format(x)``.
 
@@ -74,24 +108,12 @@ def fmt3(x) -> Column:
     (Dekker's split, plain double arithmetic), and a true tie (exactly
     representable, like ``0.0625``) goes to even. For ``0 <= x < 1000``
     (scores): no grouping separator appears.
+
+    The rule is one SQL function of the session (``textctl_fmt3``), so that
+    each use is a single call instead of a tree of column objects.
     """
-    v = _c(x)
-    base = F.format_number(v, 3)
-    dec = v.try_cast("decimal(38,18)")
-    t4 = dec * F.lit(10000)
-    tie = (t4 == F.floor(t4)) & (F.pmod(t4, F.lit(10)) == 5)
-    # exact sign of x*10000 - T, T = t4 (an integer below 2^53)
-    c = F.lit(134217729.0) * v
-    ah = c - (c - v)
-    al = v - ah
-    p = v * F.lit(10000.0)
-    e = (ah * F.lit(10000.0) - p) + al * F.lit(10000.0)
-    diff = (p - t4.cast("double")) + e
-    q = ((t4 - F.lit(5)) / F.lit(10)).cast("long")  # thousandths below the tie
-    up = F.when(diff > 0, F.lit(True)).when(diff < 0, F.lit(False)).otherwise(q % 2 == 1)
-    thousandths = F.when(up, q + 1).otherwise(q)
-    fixed = F.format_number((thousandths.cast("decimal(38,0)") / F.lit(1000)).cast("decimal(38,3)"), 3)
-    return F.when(v.isNull(), F.lit(None).cast("string")).when(tie & (v >= 0), fixed).otherwise(base)
+    _ensure_fmt3()
+    return F.call_function(FMT3_FUNCTION, _c(x))
 
 
 def round3(x) -> Column:

@@ -114,8 +114,10 @@ def quality_report_lines(qs: DataFrame, data_num: DataFrame, iters: int = DEFAUL
         )
     lines.append(F.concat(F.lit("All-Acc: "), fmt3(total / F.lit(iters))))
     lines.append(F.lit(""))
-    body = per.select(
-        "task", "model", F.posexplode(F.array(*lines)).alias("pos", "line"), (F.lit(2) + order[F.col("aspect")] * block).alias("base")
+    # lines as columns first: a generator may not hold the SQL function of fmt3
+    named = per.select("task", "model", (F.lit(2) + order[F.col("aspect")] * block).alias("base"), *[x.alias(f"_l{j}") for j, x in enumerate(lines)])
+    body = named.select(
+        "task", "model", "base", F.posexplode(F.array(*[F.col(f"_l{j}") for j in range(len(lines))])).alias("pos", "line")
     ).select("task", "model", (F.col("base") + F.col("pos")).alias("line_no"), "line")
     head = data_num.select(
         "task",

@@ -431,11 +431,19 @@ def ctg_mean_rounded(spark, d):
 
 
 def _board_inputs(spark, d):
+    """The two inputs of the leaderboard as the reports hold them, formatted
+    and parsed back (A4, A5): for the completeness check of the reports."""
     return LB.parse_ctg_report(S.ctg_report_lines(scores(spark, d))), LB.parse_quality_report(quality_lines(spark, d))
 
 
+def _board_numbers(spark, d):
+    """The same values straight from the scores (3 decimals per iteration,
+    All-Acc rounded once): no text round trip, no shuffle to order lines."""
+    return LB.leaderboard_numbers(scores(spark, d), all_acc(spark, d), mode="report")
+
+
 def leaderboard_wide(spark, d):
-    c, q = _board_inputs(spark, d)
+    c, q = _board_numbers(spark, d)
     cm = c.groupBy("task", "model", "aspect").agg(
         *[F.first(F.when(F.col("iter") == i, F.col("score")), ignorenulls=True).alias(f"i{i}") for i in range(3)]
     ).select("task", "model", "aspect", ((F.col("i0") + F.col("i1") + F.col("i2")) / F.lit(3)).alias("ctg"))
@@ -451,7 +459,7 @@ def leaderboard_avg(spark, d):
 
 
 def leaderboard(spark, d):
-    c, q = _board_inputs(spark, d)
+    c, q = _board_numbers(spark, d)
     return LB.leaderboard(c, q)
 
 
