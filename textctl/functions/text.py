@@ -82,20 +82,17 @@ def _fmt3_body(x: str) -> str:
 
 
 FMT3_FUNCTION = "textctl_fmt3"
-_FMT3_SESSIONS: set = set()
 
 
-def _ensure_fmt3() -> None:
-    """Register ``fmt3`` as a SQL function of the active session, once. A SQL
-    function is inlined by the analyzer (no Python, whole-stage codegen)."""
+def register_functions(spark=None) -> None:
+    """Register ``fmt3`` as a temporary SQL function of ``spark`` (default:
+    the active session) unless it is there. A SQL function is inlined by the
+    analyzer: no Python runs, the expression stays in whole-stage codegen."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.active()
-    key = (spark.sparkContext.applicationId, id(spark))
-    if key in _FMT3_SESSIONS:
-        return
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {FMT3_FUNCTION}(x DOUBLE) RETURNS STRING RETURN {_fmt3_body('x')}")
-    _FMT3_SESSIONS.add(key)
+    spark = spark or SparkSession.active()
+    if not spark.catalog.functionExists(FMT3_FUNCTION):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {FMT3_FUNCTION}(x DOUBLE) RETURNS STRING RETURN {_fmt3_body('x')}")
 
 
 def fmt3(x) -> Column:
@@ -109,10 +106,11 @@ def fmt3(x) -> Column:
     representable, like ``0.0625``) goes to even. For ``0 <= x < 1000``
     (scores): no grouping separator appears.
 
-    The rule is one SQL function of the session (``textctl_fmt3``), so that
-    each use is a single call instead of a tree of column objects.
+    The rule is one SQL function of the session (``textctl_fmt3``, see
+    ``register_functions``), so that each use is a single call instead of a
+    tree of column objects.
     """
-    _ensure_fmt3()
+    register_functions()
     return F.call_function(FMT3_FUNCTION, _c(x))
 
 

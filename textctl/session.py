@@ -30,9 +30,18 @@ def get_session(app: str = "textctl", master: str | None = None, conf: dict | No
     for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    prepare(spark)
+    return spark
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query needs of a session it is given: the checkpoint
+    folder, the package on the Python workers, the SQL functions."""
+    from .functions.text import register_functions
+
     ensure_checkpoint_dir(spark)
     ensure_worker_code(spark)
-    return spark
+    register_functions(spark)
 
 
 _SHIPPED: set = set()
@@ -41,10 +50,13 @@ _SHIPPED: set = set()
 def ensure_worker_code(spark: SparkSession) -> None:
     """Make ``textctl`` importable in the Python workers (``mapInPandas``
     callables refer to it): the package is zipped once per application and
-    added with ``addPyFile``, which ships it to every executor."""
+    added with ``addPyFile``; Spark serves the file from the driver to every
+    executor (as with ``--py-files``), so no executor reads the driver's
+    folder. Where the package is installed on the cluster or passed with
+    ``--py-files``, set ``spark.textctl.shipCode=false``."""
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
+    if app in _SHIPPED or sc.getConf().get("spark.textctl.shipCode", "true").lower() == "false":
         return
     import zipfile
 
