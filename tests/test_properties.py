@@ -61,3 +61,34 @@ def test_predicates_match_python(spark, rows):
         # keyword and prohibited word are complementary unless sentinel
         if clean != SENT:
             assert r["k"] != r["p"]
+
+
+blank_runs = st.lists(
+    st.one_of(st.sampled_from(list("abxy要😀\r")), st.integers(1, 30).map(lambda k: " " * k), st.integers(1, 20).map(lambda k: "\n\t　" * k)),
+    max_size=25,
+).map("".join)
+edge_cases = st.lists(st.tuples(blank_runs, blank_runs), min_size=1, max_size=40)
+
+
+@settings(max_examples=15, deadline=None, derandomize=True)
+@given(edge_cases)
+def test_format_edges_from_windows_match_whole_text(spark, rows):
+    """The format rule reads a window at each end and falls back to the
+    whole text; small windows force the fallback on long blank runs."""
+    df = spark.createDataFrame(rows, "raw string, clean string")
+    windows = (11, 12, 16, 64)
+    cols = []
+    for w in windows:
+        cols += [
+            X.format_valid("raw", "clean", window=w).alias(f"f{w}"),
+            X.first_nonblank("raw", 10, w).alias(f"a{w}"),
+            X.last_nonblank("raw", 10, w).alias(f"z{w}"),
+            X.nonblank_more_than("clean", 10, w).alias(f"m{w}"),
+        ]
+    out = df.select(*cols).collect()
+    for (raw, clean), r in zip(rows, out):
+        for w in windows:
+            assert r[f"f{w}"] == py_format(raw, clean), (raw, clean, w)
+            assert r[f"a{w}"] == py_blank(raw)[:10]
+            assert r[f"z{w}"] == py_blank(raw)[-10:] if py_blank(raw) else r[f"z{w}"] == ""
+            assert r[f"m{w}"] == (len(py_blank(clean)) > 10)

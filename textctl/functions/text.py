@@ -33,19 +33,65 @@ def is_sentinel(s) -> Column:
     return _c(s) == F.lit(SENTINEL)
 
 
-def format_valid(raw, clean, raw_nb=None, clean_nb=None) -> Column:
+# Characters read at each end of a text by the format rule before it falls
+# back to the whole text (see ``first_nonblank``).
+FORMAT_WINDOW = 64
+
+
+def _short(s: Column, window: int) -> Column:
+    """Whether ``s`` has at most ``window`` characters (reads ``window + 1``)."""
+    return F.length(F.substring(s, 1, window + 1)) <= window
+
+
+def first_nonblank(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Column:
+    """``left(delete_blank(s), n)`` without rewriting the whole text.
+
+    Blank deletion keeps the order of the other characters, so when the
+    first ``window`` characters hold at least ``n`` non-blank ones (or are
+    the whole text), they give the exact answer; only otherwise (a blank
+    run longer than the window) is the whole text's blank deletion used.
+    """
+    s = _c(s)
+    head = delete_blank(F.substring(s, 1, window))
+    return F.when((F.length(head) >= n) | _short(s, window), F.left(head, F.lit(n))).otherwise(F.left(delete_blank(s), F.lit(n)))
+
+
+def last_nonblank(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Column:
+    """``right(delete_blank(s), n)``, from the last ``window`` characters
+    when they hold ``n`` non-blank ones, else from the whole text."""
+    s = _c(s)
+    tail = delete_blank(F.substring(s, -window, window))
+    return F.when((F.length(tail) >= n) | _short(s, window), F.right(tail, F.lit(n))).otherwise(F.right(delete_blank(s), F.lit(n)))
+
+
+def nonblank_more_than(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Column:
+    """``length(delete_blank(s)) > n``: true as soon as the first ``window``
+    characters hold more than ``n`` non-blank ones; counted on the whole
+    text only when they do not and the text is longer than the window."""
+    s = _c(s)
+    head = delete_blank(F.substring(s, 1, window))
+    return (
+        F.when(F.length(head) > n, F.lit(True))
+        .when(_short(s, window), F.lit(False))
+        .otherwise(F.length(delete_blank(s)) > n)
+    )
+
+
+def format_valid(raw, clean, window: int = FORMAT_WINDOW) -> Column:
     """Three-valued format predicate.
 
     False for the sentinel; NULL when the cleaned text without blanks has at
     most 10 characters; else whether the first and last 10 characters of the
-    raw and cleaned text (blanks deleted) agree. ``raw_nb``/``clean_nb`` may
-    pass blank-deleted columns computed once upstream.
+    raw and cleaned text (blanks deleted) agree. The edges are read from the
+    ends of each text (``first_nonblank``/``last_nonblank``): the same values
+    as deleting the blanks of the whole texts, without rewriting them.
     """
-    r = _c(raw_nb) if raw_nb is not None else delete_blank(raw)
-    k = _c(clean_nb) if clean_nb is not None else delete_blank(clean)
-    n = F.lit(FORMAT_EDGE)
-    same_edges = (F.left(r, n) == F.left(k, n)) & (F.right(r, n) == F.right(k, n))
-    return F.when(is_sentinel(clean), F.lit(False)).when(F.length(k) > FORMAT_EDGE, same_edges)
+    r, k = _c(raw), _c(clean)
+    n = FORMAT_EDGE
+    same_edges = (first_nonblank(r, n, window) == first_nonblank(k, n, window)) & (
+        last_nonblank(r, n, window) == last_nonblank(k, n, window)
+    )
+    return F.when(is_sentinel(k), F.lit(False)).when(nonblank_more_than(k, n, window), same_edges)
 
 
 def keyword_valid(clean, keyword) -> Column:

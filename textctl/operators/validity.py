@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import delete_blank, format_valid, is_sentinel
+from ..functions.text import format_valid, is_sentinel
 from ..plans.joins import join_small
 from ..schemas import SENTINEL
 
@@ -42,18 +42,11 @@ def text_features(results: DataFrame, keep=()) -> DataFrame:
     branch is evaluated for each row (``CASE`` branches are lazy)."""
     a = F.col("aspect")
     keys = [c for c in ["task", "model_path", "model", "prompt_id", "aspect", "iter"] if c in results.columns]
-    step = results.select(
-        *keys,
-        *keep,
-        F.col("clean_text"),
-        F.when(a == "format", delete_blank("raw_text")).alias("_raw_nb"),
-        F.when(a == "format", delete_blank("clean_text")).alias("_clean_nb"),
-    )
-    return step.select(
+    return results.select(
         *keys,
         *keep,
         is_sentinel("clean_text").alias("_sentinel"),
-        F.when(a == "format", format_valid(None, "clean_text", "_raw_nb", "_clean_nb")).alias("_format_ok"),
+        F.when(a == "format", format_valid("raw_text", "clean_text")).alias("_format_ok"),
         F.when(a == "char_count", F.length("clean_text")).alias("_n_chars"),
         F.when(a.isin("keyword", "prohibited_word"), F.col("clean_text")).alias("_probe"),
     )
