@@ -168,20 +168,25 @@ def chat_messages(family, text, use_system) -> Column:
     return F.when(fam.isin(*CHAT_SYSTEM.keys()), msg)
 
 
-def gen_params(family) -> Column:
-    """Struct of generation parameters for a family (NULL if remote)."""
-    fam = _c(family)
-    keys = ["do_sample", "temperature", "top_p", "top_k", "repetition_penalty", "num_beams"]
+_PARAM_TYPES = {"do_sample": "BOOLEAN", "temperature": "DOUBLE", "top_p": "DOUBLE", "top_k": "INT", "repetition_penalty": "DOUBLE", "num_beams": "INT"}
 
-    def lit(v, k):
-        t = {"do_sample": "boolean", "top_k": "int", "num_beams": "int"}.get(k, "double")
-        return F.lit(v).cast(t).alias(k)
 
-    out = F.lit(None)
+def _param_sql(v, t: str) -> str:
+    text = "NULL" if v is None else (("TRUE" if v else "FALSE") if isinstance(v, bool) else repr(v))
+    return f"CAST({text} AS {t})"
+
+
+def gen_params(family: str = "family") -> Column:
+    """Struct of generation parameters for the family in column
+    ``family`` (NULL for remote families). The table is literal, so it is
+    written as one SQL ``CASE`` over ``named_struct`` values."""
+    from ..sources.registry import sql_str
+
+    branches = []
     for name, p in GEN_PARAMS.items():
-        s = F.struct(*[lit(p[k], k) for k in keys], F.lit(MAX_NEW_TOKENS).alias("max_new_tokens"))
-        out = F.when(fam == name, s).otherwise(out)
-    return out
+        fields = ", ".join(f"'{k}', {_param_sql(p[k], t)}" for k, t in _PARAM_TYPES.items())
+        branches.append(f"WHEN {sql_str(name)} THEN named_struct({fields}, 'max_new_tokens', {MAX_NEW_TOKENS})")
+    return F.expr(f"CASE `{family}` {' '.join(branches)} END")
 
 
 def route(df: DataFrame, model_col: str = "model_path") -> DataFrame:

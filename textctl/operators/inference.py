@@ -4,9 +4,12 @@
 the partitioning they come with (no shuffle of prompt texts), are sorted by
 model inside each partition and handed to ``mapInPandas`` in Arrow
 batches, so a model holding a third of all requests is spread over all the
-tasks that hold them. Only an input with fewer partitions than task slots
-(``partitions="auto"``), or an explicit ``partitions=n``, is first hash
-partitioned on ``(model, salt)``. The
+tasks that hold them. An explicit ``partitions=n`` first hash partitions
+the requests on ``(model, salt)``: for model calls the work is per row, not
+per byte, so a small input can be spread over more tasks than AQE would
+give it. ``partitions="auto"`` does that only when the input has fewer
+partitions than task slots; finding that out runs the input's shuffle
+stages once more, so it is meant for small inputs. The
 model callable is built by ``factory(model_path)`` once per Python worker
 process (workers are reused across tasks) and answers a list of prompts. Each request gets ``text``, ``error`` and ``attempts``: calls
 that raise a retryable error are retried with bounded exponential back-off,
@@ -111,7 +114,7 @@ def run_model(
     prompt_col: str = "prompt",
     carry: list[str] | tuple = (),
     strip_echo: bool = False,
-    partitions: int | str | None = "auto",
+    partitions: int | str | None = None,
     salt: int = 64,
     checkpoint: bool = True,
 ) -> DataFrame:
@@ -134,7 +137,8 @@ def run_model(
     )
     staged = requests.select(*out_cols, prompt_col)
     if partitions == "auto":
-        # too few input partitions would leave cores idle while models answer
+        # too few input partitions would leave cores idle while models answer;
+        # counting them executes the input's shuffle stages (AQE) once more
         slots = requests.sparkSession.sparkContext.defaultParallelism
         partitions = target_partitions(requests.sparkSession) if staged.rdd.getNumPartitions() < slots else None
     if partitions:
