@@ -73,3 +73,19 @@ def test_errors_as_sentinel(spark):
     req = Q._chat_requests(spark, SF0001)
     done = INF.errors_as_text(INF.run_model(req, INF.flaky_factory, policy=INF.NO_WAIT, keys=KEYS), sentinel="Invalid Error")
     assert done.where(F.col("error").isNotNull() & (F.col("text") != "Invalid Error")).count() == 0
+
+
+def test_partition_count_runs_no_shuffle_stage(spark):
+    """``run_model`` sizes its input without executing it: under AQE,
+    ``rdd.getNumPartitions()`` would run the shuffle stages once more."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100000).withColumn("k", F.col("id") % 97).groupBy("k").agg(F.count("*").alias("n")).dropDuplicates(["n"])
+    st = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("count-partitions", "count-partitions")
+    try:
+        assert INF.input_partitions(df) >= 1
+        assert st.getJobIdsForGroup("count-partitions") == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

@@ -6,10 +6,10 @@ model inside each partition and handed to ``mapInPandas`` in Arrow
 batches, so a model holding a third of all requests is spread over all the
 tasks that hold them. An explicit ``partitions=n`` first hash partitions
 the requests on ``(model, salt)``: for model calls the work is per row, not
-per byte, so a small input can be spread over more tasks than AQE would
-give it. ``partitions="auto"`` does that only when the input has fewer
-partitions than task slots; finding that out runs the input's shuffle
-stages once more, so it is meant for small inputs. The
+per byte, so a small input can be spread over more tasks. The default
+``partitions="auto"`` does that only when the input has fewer partitions
+than task slots, counted on the non-adaptive plan (``input_partitions``),
+which runs none of the input's shuffle stages. The
 model callable is built by ``factory(model_path)`` once per Python worker
 process (workers are reused across tasks) and answers a list of prompts. Each request gets ``text``, ``error`` and ``attempts``: calls
 that raise a retryable error are retried with bounded exponential back-off,
@@ -105,6 +105,21 @@ def _model(factory, model_path):
     return m
 
 
+def input_partitions(df: DataFrame) -> int:
+    """Partitions of ``df`` as planned without adaptive execution. With AQE
+    on, ``df.rdd`` runs every shuffle stage of ``df`` to fix the final plan,
+    and a later action would run them again; without it the RDDs are only
+    created (a broadcast side is built). The setting is restored at once."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.select("*").rdd.getNumPartitions()
+    finally:
+        conf.set(key, before)
+
+
 def run_model(
     requests: DataFrame,
     factory: Callable[[str], Callable[[list[str]], list[str]]],
@@ -114,7 +129,7 @@ def run_model(
     prompt_col: str = "prompt",
     carry: list[str] | tuple = (),
     strip_echo: bool = False,
-    partitions: int | str | None = None,
+    partitions: int | str | None = "auto",
     salt: int = 64,
     checkpoint: bool = True,
 ) -> DataFrame:
@@ -137,10 +152,9 @@ def run_model(
     )
     staged = requests.select(*out_cols, prompt_col)
     if partitions == "auto":
-        # too few input partitions would leave cores idle while models answer;
-        # counting them executes the input's shuffle stages (AQE) once more
+        # too few input partitions would leave cores idle while models answer
         slots = requests.sparkSession.sparkContext.defaultParallelism
-        partitions = target_partitions(requests.sparkSession) if staged.rdd.getNumPartitions() < slots else None
+        partitions = target_partitions(requests.sparkSession) if input_partitions(staged) < slots else None
     if partitions:
         salted = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt))
         staged = staged.repartition(partitions, F.col(model_col), salted)
