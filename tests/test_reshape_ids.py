@@ -35,6 +35,19 @@ def test_row_numbers_match_window_with_hot_group(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_row_numbers_without_broadcast(spark, monkeypatch):
+    """Offsets too large to broadcast (limit 0): sort-merge join, same ranks."""
+    from textctl.plans import joins
+
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_BYTES", 0)
+    rows = [(f"g{i % 3}", i * 7 % 1009) for i in range(1009)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    got = ids.row_numbers(df, ["g"], "k", partitions=5)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    want = df.withColumn("rank0", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_generated_text_ids_dense_per_task(spark):
     ids_df = ids.generated_text_ids(fx.prompts(spark, SF0001, text=False), fx.generated_models())
     per = ids_df.groupBy("task").agg(F.min("generated_text_id").alias("lo"), F.max("generated_text_id").alias("hi"), F.count("*").alias("n"))

@@ -5,7 +5,9 @@ task in one task. Instead the keys are range partitioned (the range
 partitioner splits even a single hot task over many partitions), numbered
 inside each partition, and shifted by the count of rows of the same group
 in the partitions before it. The offset table has one row per partition
-and group, so its broadcast is bounded by partitions x groups.
+and group present in it; range partitions hold contiguous key ranges, so
+it has at most ``partitions + groups - 1`` rows. It is broadcast only when
+that bound, from the measured number of groups, fits the broadcast limit.
 """
 
 from __future__ import annotations
@@ -16,6 +18,18 @@ from pyspark.sql import functions as F
 from ..sources.tables import target_partitions
 
 
+def _offsets_fit(keys: DataFrame, group_cols: list[str], partitions: int) -> bool:
+    """Whether the offset table is certainly small: at most ``partitions +
+    groups - 1`` rows of the group columns and three numbers. Measures the
+    distinct groups (a partial aggregate over the narrow keys), not the
+    offsets, whose measurement would run the range shuffle a second time."""
+    from ..plans import joins
+
+    groups, group_bytes = joins.measured(keys.select(*group_cols).distinct())
+    per_row = (group_bytes / groups if groups else 0) + 24
+    return (partitions + groups) * per_row <= joins.DEFAULT_BROADCAST_BYTES
+
+
 def row_numbers(keys: DataFrame, group_cols: list[str], order_col: str, out: str = "rank0", partitions: int | None = None) -> DataFrame:
     """Add ``out``: 0-based position of each row within its group, ordered
     by ``order_col`` (unique within a group)."""
@@ -32,7 +46,8 @@ def row_numbers(keys: DataFrame, group_cols: list[str], order_col: str, out: str
     offsets = per_part.select(
         "_part", *group_cols, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")
     )
-    joined = ranged.join(F.broadcast(offsets), ["_part", *group_cols], "inner")
+    on = ["_part", *group_cols]
+    joined = ranged.join(F.broadcast(offsets) if _offsets_fit(keys, group_cols, n) else offsets.hint("merge"), on, "inner")
     return joined.select(*keys.columns, (F.col("_off") + F.col("_mono") - F.col("_first")).alias(out))
 
 
@@ -41,13 +56,14 @@ def generated_text_ids(prompts: DataFrame, models: list[tuple[int, str]]) -> Dat
     master order: ``position * n_prompts(task) + rank``. ``prompts`` needs
     ``task, prompt_id``; the output has ``task, model_path, prompt_id,
     generated_text_id``."""
+    from ..plans.joins import join_small
     from ..sources.registry import models_literal
 
     keys = prompts.select("task", "prompt_id")
     ranked = row_numbers(keys, ["task"], "prompt_id")
     counts = keys.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))  # one row per task
     run = [(pos, path) for pos, (_, path) in enumerate(models)]
-    x = ranked.join(F.broadcast(counts), "task").select("task", "prompt_id", "rank0", "_n", F.explode(models_literal(run)).alias("m"))
+    x = join_small(ranked, counts, "task").select("task", "prompt_id", "rank0", "_n", F.explode(models_literal(run)).alias("m"))
     return x.select(
         "task",
         F.col("m.model_path").alias("model_path"),

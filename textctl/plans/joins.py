@@ -36,12 +36,17 @@ def measured_bytes(df: DataFrame) -> tuple[int, int]:
 _MEASURED: dict = {}
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """Measured once per distinct plan in an application (``semanticHash``)."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """``measured_bytes`` once per distinct plan in an application
+    (``semanticHash``)."""
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns))
     if key not in _MEASURED:
         _MEASURED[key] = measured_bytes(df)
-    return _MEASURED[key][1] <= max_bytes
+    return _MEASURED[key]
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    return measured(df)[1] <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
