@@ -77,8 +77,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names; set one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` points to shared storage and is
-    used as is. Only when nothing is set (local tests) a fresh folder is
-    made, so that ``DataFrame.checkpoint`` has somewhere reliable to write.
+    used as is; if it is unset there, this raises, because a folder on one
+    machine is not reliable storage for executors. Only in local mode
+    (tests) a fresh folder is made when nothing is set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -86,6 +87,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (model outputs are checkpointed there)")
         configured = tempfile.mkdtemp(prefix="textctl-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
