@@ -38,9 +38,43 @@ def is_sentinel(s) -> Column:
 FORMAT_WINDOW = 64
 
 
-def _short(s: Column, window: int) -> Column:
-    """Whether ``s`` has at most ``window`` characters (reads ``window + 1``)."""
-    return F.length(F.substring(s, 1, window + 1)) <= window
+def _sql_text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_delete_blank(s: str) -> str:
+    out = s
+    for ch in BLANKS:
+        out = f"replace({out}, {_sql_text(ch)}, '')"
+    return out
+
+
+def _sql_short(s: str, w: str) -> str:
+    return f"(length(substring({s}, 1, {w} + 1)) <= {w})"
+
+
+def _sql_first_nonblank(s: str, n: str, w: str) -> str:
+    head = _sql_delete_blank(f"substring({s}, 1, {w})")
+    return f"(CASE WHEN length({head}) >= {n} OR {_sql_short(s, w)} THEN left({head}, {n}) ELSE left({_sql_delete_blank(s)}, {n}) END)"
+
+
+def _sql_last_nonblank(s: str, n: str, w: str) -> str:
+    tail = _sql_delete_blank(f"substring({s}, -{w}, {w})")
+    return f"(CASE WHEN length({tail}) >= {n} OR {_sql_short(s, w)} THEN right({tail}, {n}) ELSE right({_sql_delete_blank(s)}, {n}) END)"
+
+
+def _sql_nonblank_more_than(s: str, n: str, w: str) -> str:
+    head = _sql_delete_blank(f"substring({s}, 1, {w})")
+    return f"(CASE WHEN length({head}) > {n} THEN TRUE WHEN {_sql_short(s, w)} THEN FALSE ELSE length({_sql_delete_blank(s)}) > {n} END)"
+
+
+def _sql_format_valid(raw: str, clean: str, w: str) -> str:
+    n = str(FORMAT_EDGE)
+    same = (
+        f"({_sql_first_nonblank(raw, n, w)} = {_sql_first_nonblank(clean, n, w)}"
+        f" AND {_sql_last_nonblank(raw, n, w)} = {_sql_last_nonblank(clean, n, w)})"
+    )
+    return f"CASE WHEN {clean} = {_sql_text(SENTINEL)} THEN FALSE WHEN {_sql_nonblank_more_than(clean, n, w)} THEN {same} END"
 
 
 def first_nonblank(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Column:
@@ -51,30 +85,23 @@ def first_nonblank(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Colu
     the whole text), they give the exact answer; only otherwise (a blank
     run longer than the window) is the whole text's blank deletion used.
     """
-    s = _c(s)
-    head = delete_blank(F.substring(s, 1, window))
-    return F.when((F.length(head) >= n) | _short(s, window), F.left(head, F.lit(n))).otherwise(F.left(delete_blank(s), F.lit(n)))
+    register_functions()
+    return F.call_function("textctl_first_nonblank", _c(s), F.lit(n), F.lit(window))
 
 
 def last_nonblank(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Column:
     """``right(delete_blank(s), n)``, from the last ``window`` characters
     when they hold ``n`` non-blank ones, else from the whole text."""
-    s = _c(s)
-    tail = delete_blank(F.substring(s, -window, window))
-    return F.when((F.length(tail) >= n) | _short(s, window), F.right(tail, F.lit(n))).otherwise(F.right(delete_blank(s), F.lit(n)))
+    register_functions()
+    return F.call_function("textctl_last_nonblank", _c(s), F.lit(n), F.lit(window))
 
 
 def nonblank_more_than(s, n: int = FORMAT_EDGE, window: int = FORMAT_WINDOW) -> Column:
     """``length(delete_blank(s)) > n``: true as soon as the first ``window``
     characters hold more than ``n`` non-blank ones; counted on the whole
     text only when they do not and the text is longer than the window."""
-    s = _c(s)
-    head = delete_blank(F.substring(s, 1, window))
-    return (
-        F.when(F.length(head) > n, F.lit(True))
-        .when(_short(s, window), F.lit(False))
-        .otherwise(F.length(delete_blank(s)) > n)
-    )
+    register_functions()
+    return F.call_function("textctl_nonblank_more_than", _c(s), F.lit(n), F.lit(window))
 
 
 def format_valid(raw, clean, window: int = FORMAT_WINDOW) -> Column:
@@ -86,12 +113,8 @@ def format_valid(raw, clean, window: int = FORMAT_WINDOW) -> Column:
     ends of each text (``first_nonblank``/``last_nonblank``): the same values
     as deleting the blanks of the whole texts, without rewriting them.
     """
-    r, k = _c(raw), _c(clean)
-    n = FORMAT_EDGE
-    same_edges = (first_nonblank(r, n, window) == first_nonblank(k, n, window)) & (
-        last_nonblank(r, n, window) == last_nonblank(k, n, window)
-    )
-    return F.when(is_sentinel(k), F.lit(False)).when(nonblank_more_than(k, n, window), same_edges)
+    register_functions()
+    return F.call_function("textctl_format_valid", _c(raw), _c(clean), F.lit(window))
 
 
 def keyword_valid(clean, keyword) -> Column:
@@ -130,15 +153,31 @@ def _fmt3_body(x: str) -> str:
 FMT3_FUNCTION = "textctl_fmt3"
 
 
+def _sql_functions() -> dict[str, tuple[str, str, str]]:
+    """The session SQL functions: name -> (parameters, return type, body)."""
+    return {
+        FMT3_FUNCTION: ("x DOUBLE", "STRING", _fmt3_body("x")),
+        "textctl_first_nonblank": ("s STRING, n INT, w INT", "STRING", _sql_first_nonblank("s", "n", "w")),
+        "textctl_last_nonblank": ("s STRING, n INT, w INT", "STRING", _sql_last_nonblank("s", "n", "w")),
+        "textctl_nonblank_more_than": ("s STRING, n INT, w INT", "BOOLEAN", _sql_nonblank_more_than("s", "n", "w")),
+        "textctl_format_valid": ("raw STRING, clean STRING, w INT", "BOOLEAN", _sql_format_valid("raw", "clean", "w")),
+    }
+
+
 def register_functions(spark=None) -> None:
-    """Register ``fmt3`` as a temporary SQL function of ``spark`` (default:
-    the active session) unless it is there. A SQL function is inlined by the
-    analyzer: no Python runs, the expression stays in whole-stage codegen."""
+    """Register the rules that are written as SQL (three-decimal text, the
+    format rule) as temporary SQL functions of ``spark`` (default: the
+    active session), unless they are there. A SQL function is inlined by
+    the analyzer: no Python runs, the expression stays in whole-stage
+    codegen, and a use costs one call when a plan is built."""
     from pyspark.sql import SparkSession
 
     spark = spark or SparkSession.active()
-    if not spark.catalog.functionExists(FMT3_FUNCTION):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {FMT3_FUNCTION}(x DOUBLE) RETURNS STRING RETURN {_fmt3_body('x')}")
+    functions = _sql_functions()
+    if spark.catalog.functionExists(list(functions)[-1]):
+        return
+    for name, (params, returns, body) in functions.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
 
 
 def fmt3(x) -> Column:
