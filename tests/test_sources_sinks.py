@@ -90,3 +90,19 @@ def test_quality_report_layout(spark):
     assert text[2] == "【format_wo_hf】"
     assert text[3].startswith("iter0-Acc: ") and text[6].startswith("All-Acc: ") and text[7] == ""
     assert len(text) == 2 + 4 * 6
+
+
+def test_leaderboard_rows_follow_the_registry(spark, tmp_out):
+    """Rows in registry order (not name order) within each task file."""
+    import glob
+
+    from textctl import sinks
+    from textctl.operators.leaderboard import BOARD_COLUMNS
+
+    models = [(0, "zeta/model-b"), (1, "alpha/model-a"), (2, "mid/model-c")]
+    rows = [(t, m.replace("/", "-"), *["0.500"] * len(BOARD_COLUMNS)) for t in ("summary", "ad_text") for _, m in reversed(models)]
+    board = spark.createDataFrame(rows, ["task", "model", *BOARD_COLUMNS])
+    sinks.write_leaderboard(board, f"{tmp_out}/lb", models=models)
+    for task in ("summary", "ad_text"):
+        lines = open(glob.glob(f"{tmp_out}/lb/task={task}/*.csv")[0]).read().splitlines()
+        assert [line.split(",")[0] for line in lines[1:]] == ["zeta-model-b", "alpha-model-a", "mid-model-c"]

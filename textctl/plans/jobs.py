@@ -146,14 +146,17 @@ def score_quality(spark: SparkSession, master_paths, out: str, factory, policy=N
     return qs
 
 
-def leaderboard(spark: SparkSession, out: str, strict: bool = True) -> DataFrame:
+def leaderboard(spark: SparkSession, out: str, strict: bool = True, models: list[tuple[int, str]] | None = None) -> DataFrame:
     """Stage 5: the reports read back and combined; ``strict`` raises when a
-    model's reports are incomplete (else they are left out and listed)."""
+    model's reports are incomplete (else they are left out and listed).
+    Rows of each task's file follow the registry order of ``models``
+    (default: the configured registry)."""
     c = files.read_ctg_reports(spark, f"{out}/reports/ctg/*/*/*/*.txt")
     q = files.read_quality_reports(spark, f"{out}/reports/quality/*/*/*.txt")
     bad = LB.incomplete_scores(c, q)
     if strict and bad.limit(1).count():
         raise RuntimeError(f"incomplete score reports: {[tuple(r) for r in bad.limit(10).collect()]}")
     board = LB.leaderboard(c.join(bad.select("task", "model"), ["task", "model"], "left_anti"), q)
-    sinks.write_leaderboard(board, f"{out}/leaderboard")
+    models = models if models is not None else model_slice(registry_paths())
+    sinks.write_leaderboard(board, f"{out}/leaderboard", models=models)
     return board

@@ -49,9 +49,19 @@ def write_lines(lines: DataFrame, path: str, partition_by=("task", "model"), mod
     )
 
 
-def write_leaderboard(board: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One CSV per task; first column ``model``."""
-    write_csv(board.repartition("task").sortWithinPartitions("task", "model"), path, partition_by=("task",), mode=mode)
+def write_leaderboard(board: DataFrame, path: str, mode: str = "overwrite", models: list[tuple[int, str]] | None = None) -> None:
+    """One CSV per task; first column ``model``. Rows follow the
+    registry order of ``models`` (``(idx, model_path)``; a literal map from
+    the directory name to its index, no join), then the model name."""
+    from ..sources.registry import sql_str, suffix_py
+
+    rows = board.repartition("task")
+    if models:
+        order = F.expr("map(" + ", ".join(f"{sql_str(suffix_py(p))}, {int(i)}" for i, p in models) + ")")
+        rows = rows.withColumn("_idx", order[F.col("model")]).sortWithinPartitions("task", "_idx", "model").drop("_idx")
+    else:
+        rows = rows.sortWithinPartitions("task", "model")
+    write_csv(rows, path, partition_by=("task",), mode=mode)
 
 
 def write_analysis(analysis: DataFrame, path: str, mode: str = "overwrite") -> None:
