@@ -52,3 +52,23 @@ def test_scores_properties(spark):
         assert r["n_valid"] + r["n_undecided"] <= r["n"]
         if r["aspect"] != "format":
             assert r["n_undecided"] == 0
+
+
+def test_model_stage_adds_no_shuffle_to_a_spread_input(spark):
+    """Requests keep their partitioning (no shuffle by model); the model
+    stage only sorts by model inside each partition."""
+    from textctl.operators import inference as INF
+
+    req = Q._chat_requests(spark, SF0001)
+    assert INF.input_partitions(req) >= spark.sparkContext.defaultParallelism
+    before = plan(req).count("Exchange")
+    staged = INF.run_model(req, INF.echo_factory, keys=Q.KEYS, checkpoint=False)
+    p = plan(staged)
+    assert "MapInPandas" in p and p.count("Exchange") == before
+
+
+def test_score_aggregate_combines_map_side(spark):
+    """A partial aggregate before the shuffle, so a hot group sends one
+    row per map task, not its rows."""
+    p = plan(Q.scores(spark, SF0001))
+    assert "partial_count" in p
