@@ -89,3 +89,17 @@ def test_partition_count_runs_no_shuffle_stage(spark):
     finally:
         spark.sparkContext.setJobGroup("", "")
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_pending_prompts_on_keys(spark):
+    """C8 before the fan-out: exactly the prompts with a request left."""
+    master = fx.prompts(spark, SF0001, with_prompts=True)
+    models = fx.generated_models()
+    req = INF.generation_requests(master, models).select(*KEYS)
+    keys = INF.request_keys(master.select("task", "prompt_id"), models)
+    assert keys.exceptAll(req).count() == 0 and req.exceptAll(keys).count() == 0
+    # prompt_id % 3 == 0: all done; == 1: all but iteration 2 done; else nothing done
+    finished = req.where((F.col("prompt_id") % 3 == 0) | ((F.col("prompt_id") % 3 == 1) & (F.col("iter") < 2)))
+    got = {r["prompt_id"] for r in INF.pending_prompts(master, models, finished).select("prompt_id").collect()}
+    want = {r["prompt_id"] for r in master.where(F.col("prompt_id") % 3 != 0).select("prompt_id").collect()}
+    assert got == want

@@ -222,6 +222,37 @@ def pending(requests: DataFrame, finished: DataFrame, keys=("task", "model", "pr
     return requests.join(finished.select(*keys).dropDuplicates(list(keys)), list(keys), "left_anti")
 
 
+def request_keys(master: DataFrame, models: list[tuple[int, str]], iters: int = DEFAULT_ITERS, aspects=ASPECTS) -> DataFrame:
+    """The keys of ``generation_requests`` without any text: the same
+    fan-out over ``task, prompt_id`` alone."""
+    combos = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('m', {model_struct_sql(mi, path)}, 'aspect', '{a}', 'iter', {it})"
+            for mi, path in models
+            for a in aspects
+            for it in range(iters)
+        )
+        + ")"
+    )
+    x = master.select("task", "prompt_id", F.explode(combos).alias("c"))
+    return x.select("task", F.col("c.m.model").alias("model"), "prompt_id", F.col("c.aspect").alias("aspect"), F.col("c.iter").alias("iter"))
+
+
+def pending_prompts(
+    master: DataFrame, models: list[tuple[int, str]], finished: DataFrame, iters: int = DEFAULT_ITERS, keys=("task", "model", "prompt_id", "aspect", "iter")
+) -> DataFrame:
+    """C8 before the fan-out: the master rows with at least one request not
+    finished. Found on keys alone (an anti join of request keys, then the
+    distinct prompt keys), so that on a restart only the prompts with work
+    left are rendered and carry text into ``pending``."""
+    from ..plans.joins import join_small
+
+    open_keys = pending(request_keys(master.select("task", "prompt_id"), models, iters), finished, keys)
+    todo = open_keys.select("task", "prompt_id").distinct()
+    return join_small(master, todo, ["task", "prompt_id"], "left_semi")
+
+
 # ---- deterministic stand-in models (tests, offline runs) ----
 
 

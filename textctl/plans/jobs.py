@@ -64,12 +64,16 @@ def generate(
     chat layout and the model; stored long in ``{out}/generated``."""
     master, _ = _master(spark, master_paths)
     models = models if models is not None else model_slice(registry_paths())
+    target = f"{out}/generated"
+    resuming = resume and _exists(spark, target)
+    if resuming:
+        # only prompts with work left are fanned out and rendered
+        master = INF.pending_prompts(master, models, spark.read.parquet(target), iters=iters)
     req = INF.generation_requests(master, models, iters=iters)
     req = CH.render_requests(req, use_system=use_system)
     unsupported = req.where(~F.col("supported"))
     req = req.where(F.col("supported")).select(*KEYS, "model_path", F.col("chat_prompt").alias("prompt"))
-    target = f"{out}/generated"
-    if resume and _exists(spark, target):
+    if resuming:
         req = INF.pending(req, spark.read.parquet(target))
     done = INF.run_model(req, factory, policy=policy, keys=KEYS, strip_echo=True)
     done = done.withColumnRenamed("text", "raw_text")
