@@ -76,19 +76,27 @@ def with_validity(results: DataFrame, master: DataFrame, keep=()) -> DataFrame:
 
 def coverage(results: DataFrame, master: DataFrame) -> DataFrame:
     """Prompts without any result and results without a prompt,
-    per task and model. Two anti joins on keys only."""
+    per task and model, as counts.
+
+    No prompt x model pairs are formed: for each model with results in a
+    task, the prompts it misses are the task's prompt rows minus the prompt
+    rows it covers (an inner join of keys counted per task and model). A
+    prompt row with a NULL key is never covered, as in a join."""
     keys = results.select("task", "model", "prompt_id").distinct()
     prompts = master.select("task", "prompt_id")
-    models = results.select("task", "model").distinct()
     orphan = keys.join(prompts, ["task", "prompt_id"], "left_anti").groupBy("task", "model").agg(
         F.count(F.lit(1)).alias("n")
     ).withColumn("kind", F.lit("result_without_prompt"))
-    # Per task: every prompt for every model that has results there. The
-    # model side is bounded by the registry; its size is checked anyway.
-    expected = join_small(prompts, models, "task", "inner")
-    missing = expected.join(keys, ["task", "model", "prompt_id"], "left_anti").groupBy("task", "model").agg(
-        F.count(F.lit(1)).alias("n")
-    ).withColumn("kind", F.lit("prompt_without_result"))
+    models = keys.select("task", "model").distinct()
+    covered = keys.join(prompts, ["task", "prompt_id"], "inner").groupBy("task", "model").agg(F.count(F.lit(1)).alias("_covered"))
+    per_task = prompts.groupBy("task").agg(F.count(F.lit(1)).alias("_prompts"))
+    # one row per task and model on each side: bounded by the models
+    counted = join_small(join_small(models, per_task, "task", "inner"), covered, ["task", "model"], "left")
+    missing = (
+        counted.select("task", "model", (F.col("_prompts") - F.coalesce(F.col("_covered"), F.lit(0))).alias("n"))
+        .where(F.col("n") > 0)
+        .withColumn("kind", F.lit("prompt_without_result"))
+    )
     return orphan.unionByName(missing).select("task", "model", "kind", "n")
 
 
