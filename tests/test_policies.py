@@ -79,3 +79,30 @@ def test_run_model_spreads_a_single_partition(spark):
     done = INF.run_model(req, INF.echo_factory, keys=["task", "model", "prompt_id", "aspect", "iter"], checkpoint=False)
     assert done.rdd.getNumPartitions() > 1
     assert done.count() == req.count()
+
+
+def test_judge_dedupe_same_answers_fewer_calls(spark):
+    """with a deterministic judge, one call per distinct (task,
+    base_text, text) gives every row the answers it would get alone."""
+    items = Q._with_base(spark, SF0001).withColumnRenamed("clean_text", "text")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting_judge(model_path):
+        judge = Q.LengthJudge()
+
+        def call(prompts):
+            calls.add(len(prompts))
+            return judge(prompts)
+
+        return call
+
+    cols = ["task", "model", "prompt_id", "aspect", "iter", "ok", "stage", "raw"]
+    every = J.judge_with_models(items, Q.length_judge_factory, policy=INF.NO_WAIT).select(*cols)
+    once = J.judge_with_models(items, counting_judge, policy=INF.NO_WAIT, dedupe=True).select(*cols)
+    assert once.count() == items.count()
+    assert every.exceptAll(once).count() == 0 and once.exceptAll(every).count() == 0
+    distinct = items.select("task", "base_text", "text").distinct().count()
+    assert distinct < items.count()
+    keys = ["task", "model", "prompt_id", "aspect", "iter"]
+    asked_again = items.join(once.where(F.col("stage") != "first").select(*keys), keys).select("task", "base_text", "text").distinct().count()
+    assert calls.value == distinct + asked_again

@@ -55,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--factory", help="generation model factory, module:function")
     p.add_argument("--cleaner", help="cleaning model factory, module:function (default: rule cleaner)")
     p.add_argument("--judge", help="judge model factory, module:function")
+    p.add_argument("--judge-dedupe", dest="judge_dedupe", action="store_true", help="one judge call per distinct text (deterministic judges)")
     p.add_argument("--resume", action="store_true", help="generate only the requests without a stored result")
     p.add_argument("--lenient", action="store_true", help="leaderboard: leave out models with incomplete reports")
     return p
@@ -86,7 +87,7 @@ def main(argv: list[str] | None = None) -> None:
         elif stage == "score-control":
             jobs.score_control(spark, master, out)
         elif stage == "score-quality":
-            jobs.score_quality(spark, master, out, load(a.judge))
+            jobs.score_quality(spark, master, out, load(a.judge), dedupe=a.judge_dedupe)
         elif stage == "leaderboard":
             jobs.leaderboard(spark, out, strict=not a.lenient, models=models)
 

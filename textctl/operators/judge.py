@@ -38,7 +38,9 @@ def parse_answers(df: DataFrame, first: str = "answer", second: str = "answer_bo
     ).drop("_l1", "_l2")
 
 
-def judge_with_models(items: DataFrame, factory, policy=None, checkpoint: bool = True, skip_dead_letters: bool = False) -> DataFrame:
+def judge_with_models(
+    items: DataFrame, factory, policy=None, checkpoint: bool = True, skip_dead_letters: bool = False, dedupe: bool = False
+) -> DataFrame:
     """ask the judge (``judge_prompt``) for every text; ask again
     with the True/False prompt only for the answers that did not parse.
 
@@ -46,26 +48,46 @@ def judge_with_models(items: DataFrame, factory, policy=None, checkpoint: bool =
     Each call's output is checkpointed before it is used again. The
     sentinel text of a failed cleaning is judged like any text (Q8) unless
     ``skip_dead_letters``, which leaves those rows out.
+
+    ``dedupe`` asks once per distinct ``(task, base_text, text)`` (the judge
+    prompt depends on nothing else) and joins the answers back to every row
+    on a SHA-256 key; the distinct step combines map-side, so a text
+    repeated across models, aspects and iterations costs one call. Only for
+    a deterministic judge: with sampling, each row of the benchmark gets its
+    own answer.
     """
     from ..plans.joins import join_small
     from ..schemas import SENTINEL
-    from .inference import run_model
-    from .prompts import judge_prompt
 
     if skip_dead_letters:
         items = items.where(F.col("text") != F.lit(SENTINEL))
-    req = items.select(*JKEYS, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text").alias("prompt"))
-    first = run_model(req, factory, policy=policy, keys=JKEYS, checkpoint=checkpoint).select(
-        *JKEYS, F.col("text").alias("answer"), F.col("error").alias("error1")
+    if not dedupe:
+        return parse_answers(_ask_judge(items, JKEYS, factory, policy, checkpoint))
+    keyed = items.withColumn("_k", F.sha2(F.to_json(F.struct("task", "base_text", "text")), 256))
+    uniq = keyed.select("_k", "task", "text", "base_text").dropDuplicates(["_k"])
+    answers = _ask_judge(uniq, ["_k"], factory, policy, checkpoint)
+    return parse_answers(join_small(keyed.select(*JKEYS, "_k"), answers, "_k", "left").drop("_k"))
+
+
+def _ask_judge(items: DataFrame, keys: list[str], factory, policy, checkpoint: bool) -> DataFrame:
+    """``keys, answer, error1, answer_bool, error2``: the first question for
+    every row, the fallback question for the rows whose answer did not parse."""
+    from ..plans.joins import join_small
+    from .inference import run_model
+    from .prompts import judge_prompt
+
+    req = items.select(*keys, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text").alias("prompt"))
+    first = run_model(req, factory, policy=policy, keys=keys, checkpoint=checkpoint).select(
+        *keys, F.col("text").alias("answer"), F.col("error").alias("error1")
     )
-    todo = first.where(judge_label("answer").isNull()).select(*JKEYS)
-    req2 = join_small(items, todo, JKEYS, "left_semi").select(
-        *JKEYS, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text", is_bool=True).alias("prompt")
+    todo = first.where(judge_label("answer").isNull()).select(*keys)
+    req2 = join_small(items, todo, keys, "left_semi").select(
+        *keys, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text", is_bool=True).alias("prompt")
     )
-    second = run_model(req2, factory, policy=policy, keys=JKEYS, checkpoint=checkpoint).select(
-        *JKEYS, F.col("text").alias("answer_bool"), F.col("error").alias("error2")
+    second = run_model(req2, factory, policy=policy, keys=keys, checkpoint=checkpoint).select(
+        *keys, F.col("text").alias("answer_bool"), F.col("error").alias("error2")
     )
-    return parse_answers(join_small(first, second, JKEYS, "left"))
+    return join_small(first, second, keys, "left")
 
 
 def quality_scores(judged: DataFrame) -> DataFrame:

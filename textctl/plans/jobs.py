@@ -134,13 +134,15 @@ def _analysis(valid: DataFrame, master: DataFrame) -> DataFrame:
     return j.select(*sel)
 
 
-def score_quality(spark: SparkSession, master_paths, out: str, factory, policy=None, skip_dead_letters: bool = False) -> DataFrame:
+def score_quality(
+    spark: SparkSession, master_paths, out: str, factory, policy=None, skip_dead_letters: bool = False, dedupe: bool = False
+) -> DataFrame:
     """Stage 4: the judge for every cleaned text (fallback question for the
     answers that do not parse), judge table and quality reports."""
     master, _ = _master(spark, master_paths)
     cleaned = spark.read.parquet(f"{out}/cleaned").select(*KEYS, F.col("clean_text").alias("text"))
     items = join_small(cleaned, master.select("task", "prompt_id", "base_text"), ["task", "prompt_id"], "inner")
-    judged = J.judge_with_models(items, factory, policy=policy, skip_dead_letters=skip_dead_letters)
+    judged = J.judge_with_models(items, factory, policy=policy, skip_dead_letters=skip_dead_letters, dedupe=dedupe)
     judged.write.mode("overwrite").partitionBy("task", "model").parquet(f"{out}/judged")
     judged = spark.read.parquet(f"{out}/judged")
     qs = J.quality_scores(judged)
