@@ -9,6 +9,8 @@ holds when the side grows with the data.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def measured_bytes(df: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["b"])
 
 
-_MEASURED: dict = {}
+_MEASURED: OrderedDict = OrderedDict()
+_MAX_MEASURED = 1024
 
 
 def measured(df: DataFrame) -> tuple[int, int]:
@@ -42,6 +45,10 @@ def measured(df: DataFrame) -> tuple[int, int]:
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns))
     if key not in _MEASURED:
         _MEASURED[key] = measured_bytes(df)
+        while len(_MEASURED) > _MAX_MEASURED:
+            _MEASURED.popitem(last=False)
+    else:
+        _MEASURED.move_to_end(key)
     return _MEASURED[key]
 
 

@@ -9,6 +9,8 @@ the same rules (``textctl.oracle``).
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,23 @@ from ..schemas import ASPECTS, DEFAULT_ITERS, SENTINEL, TASKS
 from .registry import model_slice, model_struct_sql, sql_str
 from .tables import read_table
 
-_VIEWS: dict = {}
+_VIEWS: OrderedDict = OrderedDict()
+_MAX_VIEWS = 64
 
 
 def _memo(name: str, spark: SparkSession, data_dir: str, *args, build):
     """One DataFrame per view, session and folder: branches of a query that
-    use the same view share one plan (and Spark can reuse its exchanges)."""
+    use the same view share one plan (and Spark can reuse its exchanges).
+    The most recently used views are kept; a view of another session object
+    (an id reused after a session ended) is built again."""
     key = (name, spark.sparkContext.applicationId, id(spark), data_dir, args)
     df = _VIEWS.get(key)
-    if df is None:
+    if df is None or df.sparkSession is not spark:
         df = _VIEWS[key] = build()
+        while len(_VIEWS) > _MAX_VIEWS:
+            _VIEWS.popitem(last=False)
+    else:
+        _VIEWS.move_to_end(key)
     return df
 
 # --- Fixture rules (our own; FIXTURES.md §3) ---
