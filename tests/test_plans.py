@@ -72,3 +72,19 @@ def test_score_aggregate_combines_map_side(spark):
     row per map task, not its rows."""
     p = plan(Q.scores(spark, SF0001))
     assert "partial_count" in p
+
+
+def test_scores_equal_when_the_constraint_side_is_too_large(spark, monkeypatch):
+    """Beyond the broadcast limit the validity join is a sort-merge join
+    (AQE may split skewed partitions); the scores stay the same."""
+    want = Q.scores(spark, SF0001)
+    rows_want = sorted(tuple(r) for r in want.collect())
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_bytes=0: False)
+    fx._VIEWS.clear()
+    try:
+        got = Q.scores(spark, SF0001)
+        p = plan(got)
+        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+        assert sorted(tuple(r) for r in got.collect()) == rows_want
+    finally:
+        fx._VIEWS.clear()
