@@ -103,3 +103,23 @@ def test_pending_prompts_on_keys(spark):
     got = {r["prompt_id"] for r in INF.pending_prompts(master, models, finished).select("prompt_id").collect()}
     want = {r["prompt_id"] for r in master.where(F.col("prompt_id") % 3 != 0).select("prompt_id").collect()}
     assert got == want
+
+
+def test_arrow_batches_are_cut_by_bytes(spark):
+    """Model calls get Arrow batches bounded in bytes (long prompts), not
+    only in rows (``spark.sql.execution.arrow.maxBytesPerBatch``)."""
+    import pandas as pd
+
+    req = Q._chat_requests(spark, SF0001).select("prompt")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(256 * 1024))
+    try:
+        batches = req.mapInPandas(
+            lambda it: (pd.DataFrame({"n": [len(b)], "chars": [int(b["prompt"].str.len().sum())]}) for b in it), "n long, chars long"
+        ).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(b["n"] for b in batches) == req.count()
+    assert max(b["chars"] for b in batches) < 2 * 256 * 1024  # a batch closes once it passes the limit
+    assert max(b["n"] for b in batches) < 10000

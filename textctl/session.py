@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # batches for model calls are cut by bytes as well as rows: prompts
+    # carry whole documents, so 10,000 rows could be gigabytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.speculation": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
