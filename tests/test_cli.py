@@ -36,3 +36,31 @@ def test_command_line_checks_its_arguments():
         cli.main(["generate"])  # no model factory
     with pytest.raises(ValueError):
         cli.load("no_function_here")
+
+
+def test_task_option_reads_the_benchmark_layout(spark, tmp_out, monkeypatch):
+    """--task narrows the prompt files read: {master_path}/{task}/{master_file}."""
+    from pyspark.sql import functions as F
+
+    from textctl.sources import files
+    from textctl.sources import fixtures as fx
+
+    monkeypatch.setenv("MODEL_PATH_0", "elyza/ELYZA-japanese-Llama-2-7b-fast-instruct")
+    m = fx.prompts(spark, "/root/testdata/sf0.001", with_prompts=True)
+    cols = [f.name for f in files.MASTER.fields]
+    for task in ("summary", "ad_text", "pros_and_cons"):
+        m.where(F.col("task") == task).select(*cols).write.option("ignoreNullFields", "false").json(f"{tmp_out}/datasets/{task}")
+    out = f"{tmp_out}/output"
+    cli.main(
+        [
+            "generate",
+            "--master_path", f"{tmp_out}/datasets",
+            "--master_file", "*.json",
+            "--task", "summary",
+            "--task", "ad_text",
+            "--output_path", out,
+            "--factory", "textctl.operators.inference:echo_factory",
+        ]
+    )
+    tasks = {r["task"] for r in spark.read.parquet(f"{out}/generated").select("task").distinct().collect()}
+    assert tasks == {"summary", "ad_text"}
