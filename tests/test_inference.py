@@ -123,3 +123,18 @@ def test_arrow_batches_are_cut_by_bytes(spark):
     assert sum(b["n"] for b in batches) == req.count()
     assert max(b["chars"] for b in batches) < 2 * 256 * 1024  # a batch closes once it passes the limit
     assert max(b["n"] for b in batches) < 10000
+
+
+def test_pending_requests_on_keys_equal_full_fan_out(spark):
+    """C8 restart: the pending requests found on keys, with their prompt
+    joined afterwards, are the rows the full fan-out would leave."""
+    master = fx.prompts(spark, SF0001, with_prompts=True)
+    models = fx.generated_models()
+    full = INF.generation_requests(master, models)
+    finished = full.where((F.col("prompt_id") % 3 == 0) | ((F.col("prompt_id") % 3 == 1) & (F.col("iter") < 2))).select(*KEYS)
+    want = INF.pending(full, finished)
+    got = INF.pending_requests(master, models, finished)
+    assert sorted(got.columns) == sorted(want.columns)  # a join puts its keys first
+    want = want.select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.count() == full.count() - finished.count()

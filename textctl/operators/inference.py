@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ASPECTS, DEFAULT_ITERS
-from ..sources.registry import model_struct_sql
+from ..sources.registry import model_struct_sql, sql_str, suffix_py
 from ..sources.tables import target_partitions
 
 
@@ -239,6 +239,34 @@ def request_keys(master: DataFrame, models: list[tuple[int, str]], iters: int =
     return x.select("task", F.col("c.m.model").alias("model"), "prompt_id", F.col("c.aspect").alias("aspect"), F.col("c.iter").alias("iter"))
 
 
+def pending_requests(
+    master: DataFrame, models: list[tuple[int, str]], finished: DataFrame, iters: int = DEFAULT_ITERS, aspects=ASPECTS
+) -> DataFrame:
+    """C8 for a restart: the rows of ``generation_requests`` that have no
+    finished result, found on keys alone. The anti join runs on request
+    keys; only then is each pending request joined with its prompt row and
+    the aspect's ``prompt_{aspect}`` picked, so one copy of a prompt's text
+    crosses that join instead of every rendered request."""
+    keys = ["task", "model", "prompt_id", "aspect", "iter"]
+    open_keys = pending(request_keys(master.select("task", "prompt_id").distinct(), models, iters, aspects), finished, keys)
+    registry = F.expr("map(" + ", ".join(f"{sql_str(suffix_py(path))}, {model_struct_sql(mi, path)}" for mi, path in models) + ")")
+    prompt = None
+    for a in aspects:
+        prompt = F.when(F.col("aspect") == a, F.col(f"prompt_{a}")) if prompt is None else prompt.when(F.col("aspect") == a, F.col(f"prompt_{a}"))
+    rows = open_keys.join(master.select("task", "prompt_id", *[f"prompt_{a}" for a in aspects]), ["task", "prompt_id"], "inner")
+    m = registry[F.col("model")]
+    return rows.select(
+        "task",
+        m["model_idx"].alias("model_idx"),
+        m["model_path"].alias("model_path"),
+        "model",
+        "prompt_id",
+        "aspect",
+        "iter",
+        prompt.alias("prompt"),
+    )
+
+
 def pending_prompts(
     master: DataFrame, models: list[tuple[int, str]], finished: DataFrame, iters: int = DEFAULT_ITERS, keys=("task", "model", "prompt_id", "aspect", "iter")
 ) -> DataFrame:

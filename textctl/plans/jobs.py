@@ -67,14 +67,13 @@ def generate(
     target = f"{out}/generated"
     resuming = resume and _exists(spark, target)
     if resuming:
-        # only prompts with work left are fanned out and rendered
-        master = INF.pending_prompts(master, models, spark.read.parquet(target), iters=iters)
-    req = INF.generation_requests(master, models, iters=iters)
+        # the anti join runs on keys; only pending requests get their prompt text
+        req = INF.pending_requests(master, models, spark.read.parquet(target), iters=iters)
+    else:
+        req = INF.generation_requests(master, models, iters=iters)
     req = CH.render_requests(req, use_system=use_system)
     unsupported = req.where(~F.col("supported"))
     req = req.where(F.col("supported")).select(*KEYS, "model_path", F.col("chat_prompt").alias("prompt"))
-    if resuming:
-        req = INF.pending(req, spark.read.parquet(target))
     done = INF.run_model(req, factory, policy=policy, keys=KEYS, strip_echo=True)
     done = done.withColumnRenamed("text", "raw_text")
     done.write.mode("append" if resume else "overwrite").partitionBy("task", "model").parquet(target)
