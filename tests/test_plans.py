@@ -88,3 +88,54 @@ def test_scores_equal_when_the_constraint_side_is_too_large(spark, monkeypatch):
         assert sorted(tuple(r) for r in got.collect()) == rows_want
     finally:
         fx._VIEWS.clear()
+
+
+def test_hot_prompt_is_split_by_aqe_and_scores_stay(spark, monkeypatch):
+    """One prompt holds a third of the results; with the constraint join
+    above the broadcast limit, AQE splits the hot partition of the
+    sort-merge join (skew=true) and the scores equal the broadcast ones."""
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+
+    from textctl.operators import scores as S
+    from textctl.operators import validity as V
+
+    n = 30000
+    aspects = F.array(*[F.lit(a) for a in ["format", "char_count", "keyword", "prohibited_word"]])
+    res = spark.range(n).select(
+        F.lit("summary").alias("task"),
+        F.lit("m").alias("model"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("prompt_id"),
+        F.element_at(aspects, (F.col("id") % 4 + 1).cast("int")).alias("aspect"),
+        (F.col("id") % 3).cast("int").alias("iter"),
+        F.concat(F.lit("前置き "), F.repeat(F.lit("abc def "), (F.col("id") % 50).cast("int"))).alias("raw_text"),
+        F.repeat(F.lit("abc def "), (F.col("id") % 50).cast("int")).alias("clean_text"),
+    )
+    master = spark.range(n).select(
+        F.lit("summary").alias("task"), F.col("id").alias("prompt_id"), F.lit(10).alias("min_chars"), F.lit(200).alias("max_chars"),
+        F.lit("abc").alias("keyword_answer"), F.lit("zzz").alias("prohibited_word_answer"),
+    )
+    want = sorted(tuple(r) for r in S.ctg_scores(V.with_validity(res, master)).collect())
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_bytes=0: False)
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = S.ctg_scores(V.with_validity(res, master))
+        got = sorted(tuple(r) for r in df.collect())
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in buf.getvalue()
+    assert got == want
