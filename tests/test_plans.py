@@ -139,3 +139,15 @@ def test_hot_prompt_is_split_by_aqe_and_scores_stay(spark, monkeypatch):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "SortMergeJoin(skew=true)" in buf.getvalue()
     assert got == want
+
+
+def test_clean_dedupe_combines_map_side(spark):
+    """Identical texts collapse in each map task before the dedupe
+    shuffle (partial aggregate), so a text repeated in a third of the rows
+    crosses the shuffle once per map task."""
+    from textctl.operators import clean as CL
+    from textctl.operators import inference as INF
+
+    r = fx.results(spark, SF0001).select(*Q.KEYS, "raw_text")
+    out = CL.model_clean(r, CL.rule_cleaner_factory, policy=INF.NO_WAIT, checkpoint=False)
+    assert "partial_first" in plan(out)
