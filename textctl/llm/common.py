@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textctl.session import prepare
+from textctl.session import ensure_checkpoint_dir, prepare
 
 MASK = (1 << 64) - 1
 #: UTF-8 bytes; A-Z to a-z, nothing else.
@@ -88,3 +90,17 @@ def word_hashes(data: bytes) -> np.ndarray:
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """Writes ``df`` once to the shared checkpoint folder and reads it back:
+    cuts the lineage, survives lost executors, keeps column pruning."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def is_empty(df: DataFrame) -> bool:
+    """For saved tables: reads at most one row."""
+    return not df.take(1)
