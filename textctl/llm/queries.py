@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_duplicates, order_minhash
+from . import decontaminate, language, line_spread, mixing, near_duplicates, order_minhash
 from .common import remainder, table
 
 
@@ -17,6 +17,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mixed(docs).select("doc_id", "n_tokens", "probability", "kept")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    clean = line_spread.without_boilerplate(docs)
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("clean_sha256"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -46,10 +57,60 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 """
 
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, source, pos, line, trim(line, E' \t\r') AS k FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+b AS (SELECT k, min((doc_id, pos)) AS f FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+m AS (SELECT l.*, b.k IS NOT NULL AND (doc_id, pos) <> f AS gone FROM l LEFT JOIN b ON l.k = b.k)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n_removed > 0 THEN coalesce(clean, '') ELSE d.text END) AS clean_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS clean
+  FROM m GROUP BY doc_id) c ON d.doc_id = c.doc_id
+"""
+
+
+def _rake_sql(p: mixing.Params) -> str:
+    """The raking unrolled: one sub-select per round and dimension."""
+    steps, last = [], "t"
+    for turn in range(p.rounds):
+        for d in mixing.DIMENSIONS:
+            now = f"r{turn}_{d}"
+            steps.append(f"{now} AS (SELECT * REPLACE (share * target_{d} / sum(share) OVER (PARTITION BY {d}) AS share) FROM {last})")
+            last = now
+    wanted = [
+        f"w_{d} AS (SELECT {d}, power(sum(tokens) / (SELECT sum(tokens) FROM c), {p.targets[d]}) AS want FROM c GROUP BY {d}), "
+        f"t_{d} AS (SELECT {d}, want / (SELECT sum(want) FROM w_{d}) AS target_{d} FROM w_{d})"
+        for d in mixing.DIMENSIONS
+    ]
+    joins = " ".join(f"JOIN t_{d} USING ({d})" for d in mixing.DIMENSIONS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CASE WHEN contains(text, 'icens') THEN 'legal' WHEN contains(text, ' | ') THEN 'tabular'
+    WHEN contains(text, '@') OR contains(text, 'http') THEN 'contact' ELSE 'prose' END AS topic,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+{", ".join(wanted)},
+t AS MATERIALIZED (SELECT c.*, tokens / (SELECT sum(tokens) FROM c) AS share, target_source, target_lang, target_topic FROM c {joins}),
+{", ".join(steps)},
+f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN share * (SELECT sum(tokens) FROM c) / tokens ELSE 0 END AS factor FROM {last}),
+p AS (SELECT doc_id, n_tokens, round(least(1.0, {p.budget} * factor), 6) AS probability FROM d JOIN f USING (source, lang, topic))
+SELECT doc_id, n_tokens, probability,
+  CAST('0x' || substr(md5('{p.seed}:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM p
+"""
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontamination": op2_decontamination,
+    "op6_mixing": op6_mixing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language": op9_language,
+    "op10_line_spread": op10_line_spread,
+}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op6_mixing": _rake_sql(mixing.Params()),
+    "op10_line_spread": OP10_SQL,
 }
-ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL}
