@@ -114,18 +114,19 @@ def _patterns(block, window: int) -> Patterns:
     return _BUILT[key]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the id, ``n_words``, ``spans`` (merged runs of hit
-    words with character offsets into the original text, ends exclusive, and
-    word numbers, ends inclusive) and ``items`` (ids of occurring items)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``row`` (a struct of its columns), ``n_words``,
+    ``spans`` (merged runs of hit words with character offsets into the
+    original text, ends exclusive, and word numbers, ends inclusive) and
+    ``items`` (ids of occurring items)."""
     spark = docs.sparkSession
     text_session(spark)
     items = benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("text")).filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    item_type, id_type = items.schema["item"].dataType, rows.schema["id"].dataType
-    schema = f"id {id_type.simpleString()}, n_words long, spans {_SPANS}, items array<{item_type.simpleString()}>"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    item_type = items.schema["item"].dataType
+    hits = f"n_words long, spans {_SPANS}, items array<{item_type.simpleString()}>"
     arrow = [pa.int64(), _ARROW_SPANS, pa.list_(to_arrow_type(item_type))]
 
     def scan(block):
@@ -143,17 +144,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return spark.sparkContext.broadcast((uuid4().hex, [(r["item"], r["text"]) for r in part.collect()]))
 
     if n_blocks == 1:
-        return rows.mapInArrow(scan(block_of(0)), schema).withColumnRenamed("id", id_col)
+        return rows.mapInArrow(scan(block_of(0)), f"row {rows.schema['row'].dataType.simpleString()}, {hits}")
 
-    rows = rows.withColumn("digest", F.sha2("text", 256)).select("id", "digest", "text")
-    parts = [rows.dropDuplicates(["id", "digest"]).mapInArrow(scan(block_of(n)), schema.replace(", n_words", ", digest string, n_words", 1)) for n in range(n_blocks)]
+    # equal texts have equal hits: each block is scanned against (digest, text)
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    parts = [rows.select("digest", "text").mapInArrow(scan(block_of(n)), f"digest string, {hits}") for n in range(n_blocks)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    found = found.groupBy("id", "digest").agg(
+    found = found.groupBy("digest").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_set("spans")), lambda x, y: F.coalesce(F.nullif(F.signum(x["first_word"] - y["first_word"]), F.lit(0.0)), F.signum(x["last_word"] - y["last_word"])).cast("int")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     # union of the blocks' runs: a run that begins inside or right after the last one widens it
     joined = F.aggregate(
@@ -168,9 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         ).otherwise(F.concat(acc, F.array(s))),
     )
     found = found.withColumn("spans", joined)
-    left = rows.select("id", "digest")
-    same = left["id"].eqNullSafe(found["id"]) & left["digest"].eqNullSafe(found["digest"])
-    return left.join(found, same).select(left["id"].alias(id_col), "n_words", "spans", "items")
+    found = found.withColumnRenamed("digest", "found")
+    return rows.join(found, F.col("digest").eqNullSafe(F.col("found")), "left").select("row", "n_words", "spans", "items")
 
 
 def _wider(a, b):
@@ -188,7 +189,7 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["last_word"] - s["first_word"] + 1))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
-        id_col,
+        F.col("row")[id_col].alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

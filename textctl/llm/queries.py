@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,11 @@ SELECT doc_id, n_tokens, probability,
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` at the top of the repository."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontamination": op2_decontamination,
@@ -108,6 +114,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language": op9_language,
     "op10_line_spread": op10_line_spread,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
