@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_spread, mixing, near_duplicates, order_minhash
+from . import decontaminate, language, line_spread, mixing, near_duplicates, order_minhash, sentence_spans
 from .common import remainder, table
 
 
@@ -18,6 +18,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_ranges"), "removed", F.sha2("clean", 256).alias("clean_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mixed(docs).select("doc_id", "n_tokens", "probability", "kept")
@@ -110,6 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontamination": op2_decontamination,
+    "op3_sentence_spans": op3_sentence_spans,
     "op6_mixing": op6_mixing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language": op9_language,
