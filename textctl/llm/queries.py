@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_spread, mixing, near_duplicates, order_minhash, sentence_spans
+from . import decontaminate, language, licences, line_spread, mixing, near_duplicates, order_minhash, sentence_spans, token_counts
 from .common import remainder, table
 
 
@@ -23,11 +23,26 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_ranges"), "removed", F.sha2("clean", 256).alias("clean_sha256"))
 
 
+#: Any rank file of the tokenizers folder.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), RANKS)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mixed(docs).select("doc_id", "n_tokens", "probability", "kept")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a tree of files: source / thousands / hundreds / id."""
+    n = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.concat(n.cast("string"), F.lit(".txt")))
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,6 +92,39 @@ FROM documents d LEFT JOIN (
 """
 
 
+def _licence_sql(p: licences.Params) -> str:
+    quoted = lambda t: t.replace("'", "''")
+    rows = ", ".join(f"('{quoted(name)}', {i}, '{quoted(t)}')" for name, texts in p.templates.items() for i, t in enumerate(texts))
+    split = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""
+WITH t AS (SELECT licence, variant, unnest({split.format("line")}) AS word FROM (VALUES {rows}) v(licence, variant, line)),
+tt AS (SELECT licence, variant, word, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, text, concat_ws('/', source, doc_id // 1000, doc_id // 100) AS dir, concat_ws('/', source, doc_id // 1000, doc_id // 100, doc_id || '.txt') AS path FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+u AS MATERIALIZED (SELECT doc_id, pos, {split.format("line")} AS words FROM l WHERE len({split.format("line")}) > 0),
+n AS (SELECT count(*) AS n FROM u),
+w AS MATERIALIZED (SELECT doc_id, pos, len(words) AS n_words, unnest(words) AS word FROM u),
+tf AS (SELECT doc_id, pos, n_words, word, count(*) AS tf FROM w GROUP BY ALL),
+df AS (SELECT k.word, ln(((SELECT n FROM n) + 1.0) / (count(tf.word) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tt) k LEFT JOIN tf ON tf.word = k.word GROUP BY k.word),
+tw AS (SELECT licence, variant, tt.word, tf * idf AS x, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence, variant)) AS norm FROM tt JOIN df ON tt.word = df.word),
+uw AS (SELECT doc_id, pos, n_words, tf.word, tf * coalesce(idf, ln((SELECT n FROM n) + 1.0) + 1) AS x FROM tf LEFT JOIN df ON tf.word = df.word),
+un AS (SELECT doc_id, pos, sqrt(sum(x * x)) AS norm FROM uw GROUP BY ALL),
+dot AS (SELECT doc_id, pos, n_words, licence, variant, sum(uw.x * tw.x / tw.norm) AS dot FROM uw JOIN tw ON uw.word = tw.word GROUP BY ALL),
+s AS (SELECT dot.doc_id, dot.pos, n_words, licence, round(dot / un.norm, 6) AS cosine FROM dot JOIN un ON dot.doc_id = un.doc_id AND dot.pos = un.pos WHERE round(dot / un.norm, 6) >= {p.threshold}),
+m AS (SELECT doc_id, pos, n_words, licence, cosine FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY cosine DESC, licence) = 1),
+o AS (SELECT doc_id, licence, cosine, sum(n_words) OVER (PARTITION BY doc_id) AS inside FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, pos, licence) = 1),
+f AS (SELECT d.dir, o.* FROM o JOIN d ON o.doc_id = d.doc_id WHERE inside >= {p.file_share} * len({split.format("text")})),
+g AS (SELECT dir, licence, cosine FROM f QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, doc_id) = 1),
+a AS (SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS up FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM d))),
+h AS (SELECT a.dir, a.up, licence, cosine FROM a JOIN g ON a.up = g.dir QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY k DESC) = 1)
+SELECT d.doc_id, d.path, coalesce(o.licence, h.licence) AS licence,
+  CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN h.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN o.licence IS NULL THEN h.cosine ELSE o.cosine END AS cosine,
+  CASE WHEN o.licence IS NULL THEN h.up END AS from_dir
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id LEFT JOIN h ON d.dir = h.dir
+"""
+
+
 def _rake_sql(p: mixing.Params) -> str:
     """The raking unrolled: one sub-select per round and dimension."""
     steps, last = [], "t"
@@ -116,7 +164,9 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontamination": op2_decontamination,
     "op3_sentence_spans": op3_sentence_spans,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_licences": op7_licences,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language": op9_language,
     "op10_line_spread": op10_line_spread,
@@ -125,5 +175,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op6_mixing": _rake_sql(mixing.Params()),
+    "op7_licences": _licence_sql(licences.Params()),
     "op10_line_spread": OP10_SQL,
 }
