@@ -39,7 +39,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (multiply and shift rounds)."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xA0761D6478BD642F)
     x ^= x >> np.uint64(32)
@@ -92,12 +92,13 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` once to the shared checkpoint folder and reads it back:
-    cuts the lineage, survives lost executors, keeps column pruning."""
+    cuts the lineage, survives lost executors, keeps column pruning. Rows may
+    be laid out in folders ``by`` a column of few values."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, line_spread, mixing, near_duplicates, order_minhash, sentence_spans, token_counts
+from . import context_mixing, decontaminate, language, licences, line_spread, mixing, near_duplicates, order_minhash, sentence_spans, token_counts
 from .common import remainder, table
 
 
@@ -23,6 +23,11 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_ranges"), "removed", F.sha2("clean", 256).alias("clean_sha256"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return context_mixing.score(docs, remainder(F.col("doc_id"), 10) == 0)
+
+
 #: Any rank file of the tokenizers folder.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -164,6 +169,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontamination": op2_decontamination,
     "op3_sentence_spans": op3_sentence_spans,
+    "op4_context_mixing": op4_context_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_licences": op7_licences,
