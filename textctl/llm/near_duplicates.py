@@ -8,18 +8,20 @@ from round ``bins`` on round i throws all shingles into bin i - bins, so
 that every coordinate is filled after 2 * bins rounds whatever the size of
 the set; rounds stop once all are. Coordinates of two sets agree with
 probability equal to their Jaccard similarity. ``rows`` coordinates make a
-band; documents that share a band are candidates, and a candidate link
-counts only if the full shingle sets confirm it.
+band; documents that share one of ``bands`` bands are candidates, and a
+candidate link counts only if the full shingle sets confirm it.
 
 How the work stays bounded without losing links:
 
 - equal sets (exact copies) collapse into one class before anything else;
 - a bucket's members are compared with one hub each, not with one another;
   members that end up in one component need no further comparison;
-- buckets with members of several components get a second hub; pairs that
-  are still undecided after that (members of one bucket in different
-  components, not compared yet) are compared exhaustively. So every pair
-  that shares a band is either compared or already connected.
+- what is left are members of one bucket in different components. Each such
+  pair is looked at, once, within the join: sizes that exclude a link, or
+  two bits of every coordinate that agree too seldom (by ``sigmas`` standard
+  deviations for a pair at the threshold), settle it there; the other pairs
+  go to exact confirmation. So large groups whose members share a passage,
+  but are no near duplicates, do not turn into sets sent for every pair.
 
 Defined results: null and wordless texts have an empty set and are linked
 with nothing; a row without an id is linked with nothing and kept; rows that
@@ -29,6 +31,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,15 +47,24 @@ from .graph import components
 
 @dataclass(frozen=True)
 class Params:
-    """A link: 100 * |intersection| >= percent * |union|. With 32 bands of 4
-    a pair at 75 % misses all bands with probability 5e-6."""
+    """A link: 100 * |intersection| >= percent * |union|. A pair at 75 %
+    misses all of 80 bands of 8 with probability 2e-4, a pair at 80 % with
+    4e-7; the same holds for 3.5 sigmas."""
 
     width: int = 5
     percent: int = 75
-    bins: int = 128
-    rows: int = 4
+    bins: int = 1024
+    rows: int = 8
+    bands: int = 80
+    sigmas: float = 3.5
     seed: int = 77
 
+    @property
+    def most_unequal(self) -> int:
+        """Coordinates whose two bits may differ."""
+        equal = 1 - 0.75 * (1 - self.percent / 100)
+        return math.floor(self.bins * (1 - equal) + self.sigmas * math.sqrt(self.bins * equal * (1 - equal)))
+
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
@@ -80,19 +92,25 @@ class Sketcher:
         for first in range(0, bins, together):
             i = np.arange(first, min(bins, first + together))
             h = mix64(s[None, :] ^ self.seeds[i, None])
-            value = (i.astype(np.uint64)[:, None] << np.uint64(54)) | (h >> np.uint64(10))
+            value = (i.astype(np.uint64)[:, None] << np.uint64(52)) | (h >> np.uint64(12))
             np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64).ravel(), value.ravel())
             if out.max() != none:
                 return out
         for b in np.flatnonzero(out == none):
-            out[b] = (np.uint64(bins + b) << np.uint64(54)) | (mix64(s ^ self.seeds[bins + b]) >> np.uint64(10)).min()
+            out[b] = (np.uint64(bins + b) << np.uint64(52)) | (mix64(s ^ self.seeds[bins + b]) >> np.uint64(12)).min()
         return out
 
-    def bands(self, s: np.ndarray) -> np.ndarray:
-        parts = self.sketch(s).reshape(-1, self.p.rows) * self.band
+    def bands(self, sketch: np.ndarray) -> np.ndarray:
+        parts = sketch.reshape(-1, self.p.rows)[: self.p.bands] * self.band
         number = np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return mix64(mix64(parts).sum(axis=1, dtype=np.uint64) + number).view(np.int64)
 
+    @staticmethod
+    def code(sketch: np.ndarray) -> np.ndarray:
+        """Two bits of each coordinate, 32 coordinates a number."""
+        two = (mix64(sketch) & np.uint64(3)).reshape(-1, 32)
+        return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
 
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits of the set: two independent sums over its mixed members."""
@@ -102,23 +120,25 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketched(rows: DataFrame, p: Params) -> DataFrame:
-    """(id, n, k1, k2, bands) of (id, text)."""
+    """(id, n, k1, k2, bands, code) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(p)
         for b in batches:
-            n, k1, k2, bands = [], [], [], []
+            n, k1, k2, bands, code = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, p.width)
                 one, two = digest(s) if len(s) else (None, None)
                 n.append(len(s))
                 k1.append(one)
                 k2.append(two)
-                bands.append(sketcher.bands(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "bands"])
+                sketch = sketcher.sketch(s) if len(s) else None
+                bands.append(None if sketch is None else sketcher.bands(sketch))
+                code.append(None if sketch is None else sketcher.code(sketch))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(code, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "bands", "code"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, bands array<long>, code array<long>")
 
 
 def _sets(rows: DataFrame, p: Params) -> DataFrame:
@@ -161,7 +181,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return full.select("a", "b", "ma", "mb").mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params(), hubs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, p: Params = Params(), hubs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest
     id reachable over links) and ``kept`` (the id is the component's)."""
     spark = docs.sparkSession
@@ -176,7 +196,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), hubs: int = 2, id_col
     banded = first.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     members = saved(banded.join(shared.select("bucket"), "bucket").select("bucket", "id"), "buckets")
-    found = _linked(rows, members, p, hubs)
+    found = _linked(rows, members, first.select("id", "n", "code"), p, hubs)
 
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left")
@@ -189,12 +209,13 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), hubs: int = 2, id_col
     )
 
 
-def _linked(rows: DataFrame, members: DataFrame, p: Params, hubs: int) -> DataFrame:
+def _linked(rows: DataFrame, members: DataFrame, codes: DataFrame, p: Params, hubs: int) -> DataFrame:
     """(node, component) from buckets (bucket, id) with several members."""
     nodes = members.select("id").distinct()
     sets = saved(_sets(rows.join(nodes, "id", "left_semi"), p), "sets")
-    none = rows.sparkSession.createDataFrame([], f"a {members.schema['id'].dataType.simpleString()}, b {members.schema['id'].dataType.simpleString()}")
-    tested, links, found = none, none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    kind = members.schema["id"].dataType.simpleString()
+    tested = links = rows.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    found = links.toDF("node", "component")
     left = members.withColumn("component", F.col("id"))
     for turn in range(hubs + 1):
         mixed = left.groupBy("bucket").agg(F.min("id").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
@@ -202,32 +223,42 @@ def _linked(rows: DataFrame, members: DataFrame, p: Params, hubs: int) -> DataFr
             # every member of another component against the bucket's hub
             with_hub = left.join(mixed.select("bucket", "hub"), "bucket")
             hub = with_hub.filter("id = hub").select("bucket", F.col("component").alias("own")).dropDuplicates(["bucket"])
-            pairs = with_hub.join(hub, "bucket").filter("component <> own").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+            pairs = with_hub.join(hub, "bucket").filter("component <> own").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            # the rest: members of different components, not compared yet
-            rest = left.join(mixed.select("bucket"), "bucket", "left_semi")
-            other = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("own"))
-            pairs = rest.withColumnRenamed("id", "b").join(other, "bucket").filter("own <> component AND a < b").select("a", "b")
-        pairs = pairs.distinct()
-        if turn:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if is_empty(pairs):
-            if turn < hubs:
-                left = _without_hubs(left, mixed)
-                continue
-            break
-        new = saved(_confirmed(pairs, sets, p), "links")
-        tested = tested.unionByName(pairs)
-        if not is_empty(new):
-            links = links.unionByName(new)
-            found = components(links)
+            pairs = _rest(left.join(mixed.select("bucket"), "bucket", "left_semi"), codes, p)
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        if not is_empty(pairs):
+            new = saved(_confirmed(pairs, sets, p), "links")
+            tested = tested.unionByName(pairs)
+            if not is_empty(new):
+                links = links.unionByName(new)
+                found = components(links)
         if turn < hubs:
             left = left.drop("component").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
             left = saved(_without_hubs(left, mixed), "buckets")
     return found
 
 
+def _rest(left: DataFrame, codes: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components, each from
+    the first bucket they share, that size and sketch do not rule out."""
+    left = saved(left, "mixed")
+    shared = left.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    full = left.join(shared.join(codes.dropDuplicates(["id"]), "id"), "id")
+    b = full.select("bucket", F.col("id").alias("b"), "component", "n", "code", "buckets")
+    a = full.select("bucket", F.col("id").alias("a"), F.col("component").alias("own"), F.col("n").alias("na"), F.col("code").alias("code_a"), F.col("buckets").alias("buckets_a"))
+    odd = F.lit(0x5555555555555555)
+
+    def unequal(x, y):
+        return F.bit_count(x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(odd))
+
+    differ = F.aggregate(F.zip_with("code_a", "code", unequal), F.lit(0), lambda total, x: total + x)
+    fit = (100 * F.col("na") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("na"))
+    once = F.array_min(F.array_intersect("buckets_a", "buckets")) == a["bucket"]
+    on = (a["bucket"] == b["bucket"]) & (F.col("own") != F.col("component")) & (F.col("a") < F.col("b")) & fit & (differ <= p.most_unequal) & once
+    return a.join(b, on).select("a", "b")
+
+
 def _without_hubs(left: DataFrame, mixed: DataFrame) -> DataFrame:
     """Buckets that were mixed, without the hubs that were just compared
     with all members."""
