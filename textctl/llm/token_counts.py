@@ -146,6 +146,7 @@ def token_counts(
     sent = spark.sparkContext.broadcast((uuid4().hex, ranks, pattern))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     given = isinstance(sections, DataFrame)
+    cut = None if given else sections  # what the tasks need
     if given:
         own = sections.filter("start IS NOT NULL AND end IS NOT NULL").groupBy(F.col(id_col).alias("__id"))
         own = own.agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("section").cast("string").alias("section")))).alias("sections"))
@@ -160,7 +161,7 @@ def token_counts(
             for i, text in enumerate(b.column(1).to_pylist()):
                 text = text or ""
                 start, end = encoder.spans(text)
-                parts = [(s["section"], s["start"], s["end"]) for s in tables[i] or []] if given else sections(text)
+                parts = [(s["section"], s["start"], s["end"]) for s in tables[i] or []] if given else cut(text)
                 parts = [(name, max(0, min(x, len(text))), max(0, min(y, len(text)))) for name, x, y in parts]
                 if parts:
                     count, crossing = attribute(start, end, parts, rule)
