@@ -67,7 +67,7 @@ def _targets(cells: DataFrame, p: Params) -> DataFrame:
     """Adds each dimension's target share to the cells."""
     for d in DIMENSIONS:
         rule = p.targets.get(d, 1.0)
-        seen = cells.groupBy(d).agg((F.sum("tokens") / F.first("total")).alias("seen"))
+        seen = cells.groupBy(d).agg(F.coalesce(F.try_divide(F.sum("tokens"), F.first("total")), F.lit(0.0)).alias("seen"))
         if isinstance(rule, Mapping):
             given = F.create_map(*[x for k, v in sorted(rule.items()) for x in (F.lit(k), F.lit(float(v)))]) if rule else None
             wanted = seen.withColumn("want", F.coalesce(F.try_element_at(given, F.col(d)), F.col("seen")) if rule else F.col("seen"))
@@ -75,7 +75,7 @@ def _targets(cells: DataFrame, p: Params) -> DataFrame:
             wanted = seen.withColumn("want", F.when(F.col("seen") > 0, F.pow("seen", F.lit(float(rule)))).otherwise(0.0))
         sums = wanted.agg(F.sum("want").alias("all"))
         # one row of one number; a scalar sub-select as a join
-        wanted = wanted.join(F.broadcast(sums)).select(d, (F.col("want") / F.col("all")).alias(f"target_{d}"))
+        wanted = wanted.join(F.broadcast(sums)).select(d, F.coalesce(F.try_divide("want", "all"), F.lit(0.0)).alias(f"target_{d}"))
         cells = cells.join(wanted, d)
     return cells
 
@@ -84,7 +84,7 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
     """``cells`` (the dimensions and ``tokens``) with ``factor``."""
     total = cells.agg(F.sum("tokens").alias("total"))
     cells = cells.join(F.broadcast(total))
-    cells = saved(_targets(cells, p).withColumn("share", F.col("tokens") / F.col("total")), "cells")
+    cells = saved(_targets(cells, p).withColumn("share", F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0))), "cells")
     for turn in range(p.rounds):
         for d in DIMENSIONS:
             now = F.sum("share").over(Window.partitionBy(d))
