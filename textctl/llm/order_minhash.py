@@ -41,6 +41,7 @@ class Params:
 
 _BASE = 0xC6A4A7935BD1E995
 _BLOCK = 2048
+_CHUNK = 1 << 16
 
 
 class Sketcher:
@@ -50,74 +51,100 @@ class Sketcher:
         rng = np.random.Generator(np.random.PCG64(p.seed))
         self.p = p
         self.mul = (rng.integers(0, 1 << 31, p.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)[:, None]
-        self.add = rng.integers(0, 1 << 32, p.size, dtype=np.uint64).astype(np.uint32)[:, None]
+        self._rows = np.arange(p.size)
+        self._x = np.empty(p.size * _BLOCK, np.uint32)
         self.tuple_mul = rng.integers(0, 1 << 63, p.tuple_size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def kmers(self, text: str) -> np.ndarray:
-        h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    def kmers(self, texts: list[str]) -> list[np.ndarray]:
+        """Hashes of each text's k-mers, in text order."""
         k = self.p.k
-        if len(h) < k:
-            code = 0
-            for c in h.tolist():
-                code = (code * _BASE + c) & (1 << 64) - 1
-            return mix64(np.array([code], np.uint64))
-        width = 1
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        codes += np.uint64(1)
+        h, width = codes, 1
         while width < k:
             h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
             width *= 2
-        return mix64(h)
+        h = mix64(h)
+        out, at = [], 0
+        for t in texts:
+            if len(t) >= k:
+                out.append(h[at : at + len(t) - k + 1])
+            else:
+                code = 0
+                for c in codes[at : at + len(t)].tolist():
+                    code = (code * _BASE + c) & (1 << 64) - 1
+                out.append(mix64(np.array([code], np.uint64)))
+            at += len(t)
+        return out
 
     @staticmethod
-    def numbered(h: np.ndarray) -> np.ndarray:
-        """Hashes of the elements (k-mer, occurrence number)."""
+    def numbered(parts: list[np.ndarray]) -> list[np.ndarray]:
+        """32-bit hashes of each text's elements (k-mer, occurrence number)."""
+        h = np.concatenate(parts)
         n = len(h)
+        sizes = [len(p) for p in parts]
+        own = h + np.repeat(np.arange(len(parts), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95), sizes)
         bits = np.uint64(int(n).bit_length())
-        s = np.sort((h >> bits << bits) | np.arange(n, dtype=np.uint64))
-        key = s >> bits
-        again = np.flatnonzero(key[1:] == key[:-1]) + 1
-        if not len(again):
-            return h
-        fresh = np.arange(n)
-        fresh[again] = 0
-        count = again - np.maximum.accumulate(fresh)[again]
-        out = h.copy()
-        at = (s[again] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        out[at] = mix64(h[at] + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        s = own >> bits
+        s <<= bits
+        s |= np.arange(n, dtype=np.uint64)
+        s.sort()
+        at = (s & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+        s >>= bits
+        again = np.flatnonzero(s[1:] == s[:-1]) + 1
+        again = again[own[at[again]] == own[at[again - 1]]]  # the same text's k-mer as before it
+        out = (h >> np.uint64(32)).astype(np.uint32)
+        if len(again):
+            run = np.flatnonzero(np.diff(again, prepend=-1) != 1)
+            count = np.arange(len(again)) - np.repeat(run, np.diff(run, append=len(again))) + 1
+            at = at[again]
+            out[at] = mix64(h[at] + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        return np.split(out, np.cumsum(sizes[:-1]))
+
+    def smallest(self, g: np.ndarray) -> np.ndarray:
+        """Places of the ``tuple_size`` smallest elements (the last one again
+        if there are fewer), for each order."""
+        want = self.p.tuple_size
+        values, pick = [], []
+        for at in range(0, len(g), _BLOCK):
+            part = g[at : at + _BLOCK]
+            x = np.multiply(self.mul, part, out=self._x[: self.p.size * len(part)].reshape(self.p.size, -1))
+            for turn in range(min(want, len(part))):  # the smallest of the block, one after the other
+                if turn:
+                    x[self._rows, col] = 0xFFFFFFFF
+                col = x.argmin(axis=1)
+                if len(g) > _BLOCK:
+                    values.append(x[self._rows, col])
+                pick.append(col + at)
+        if len(pick) > want:
+            return np.take_along_axis(np.array(pick), np.argsort(np.array(values), axis=0, kind="stable")[:want], axis=0)
+        return np.array(pick + [np.full(self.p.size, len(g) - 1)] * (want - len(pick)))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """``size`` 32-bit entries a text; none for an empty text. Short
+        texts are read together, as calls would cost more than the work."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        chunk: list[int] = []
+        length = 0
+        for i, t in enumerate(texts):
+            if t:
+                chunk.append(i)
+                length += len(t)
+            if chunk and (length >= _CHUNK or i == len(texts) - 1):
+                parts = self.kmers([texts[j] for j in chunk])
+                pick = np.array([self.smallest(g) for g in self.numbered(parts)])
+                pick.sort(axis=1)  # back into the order of the text
+                sizes = np.array([len(h) for h in parts])
+                pick += (np.cumsum(sizes) - sizes)[:, None, None]
+                picked = np.concatenate(parts)[pick]
+                code = np.minimum(sizes, self.p.tuple_size).astype(np.uint64)[:, None]
+                for n in range(self.p.tuple_size):
+                    code = code + picked[:, n] * self.tuple_mul[n]
+                for j, entries in zip(chunk, (mix64(code) >> np.uint64(32)).astype(np.uint32)):
+                    out[j] = entries
+                chunk, length = [], 0
         return out
 
-    def __call__(self, text: str) -> np.ndarray:
-        """``size`` 32-bit entries; none for an empty text."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        size, want = self.p.size, self.p.tuple_size
-        h = self.kmers(text)
-        n = len(h)
-        g = (self.numbered(h) >> np.uint64(32)).astype(np.uint32)
-        take = min(want, n)
-        # few values of an order lie under the limit; orders with too few
-        # such values are selected from all values below
-        limit = np.uint32(min((1 << 32) - 1, (8 + 2 * want) * (1 << 32) // n))
-        keys, cols = [], []
-        for at in range(0, n, _BLOCK):
-            x = self.mul * g[at : at + _BLOCK] + self.add
-            flat = np.flatnonzero(x <= limit)
-            row, col = np.divmod(flat, x.shape[1])
-            keys.append((row.astype(np.uint64) << np.uint64(32)) | x.ravel()[flat])
-            cols.append(col + at)
-        key, col = np.concatenate(keys), np.concatenate(cols)
-        order = np.argsort(key, kind="stable")
-        key, col = key[order], col[order]
-        start = np.searchsorted(key, np.arange(size + 1, dtype=np.uint64) << np.uint64(32))
-        short = np.flatnonzero(np.diff(start) < take)
-        pick = col[np.minimum(start[:-1, None] + np.arange(take), max(len(col) - 1, 0))] if len(col) else np.zeros((size, take), np.int64)
-        for i in short:
-            pick[i] = np.argsort(self.mul[i] * g + self.add[i], kind="stable")[:take]
-        pick.sort(axis=1)
-        code = np.full(size, take, np.uint64)
-        for j in range(want):
-            code += h[pick[:, min(j, take - 1)]] * self.tuple_mul[j]
-        return (mix64(code) >> np.uint64(32)).astype(np.uint32)
-
 
 def as_text(sketch: np.ndarray) -> str:
     """Hex, eight digits an entry."""
@@ -138,7 +165,7 @@ def fingerprints(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
         sketch = Sketcher(p)
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([as_text(sketch(t or "")) for t in texts], pa.string())], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([as_text(x) for x in sketch([t or "" for t in texts])], pa.string())], ["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -191,22 +218,25 @@ def edited_likeness(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(p)
-        held = None  # bucket, id, text, sketch of the row whose successor is to come
+        held: tuple = ()  # bucket and (id, text, sketch) of the row whose successor is to come
         closed = None  # the bucket whose successor copy has been read
         for b in batches:
-            out = []
-            for bucket, copy, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+            buckets, copies, ids, texts = (c.to_pylist() for c in b.columns)
+            texts = [t or "" for t in texts]
+            pairs = []  # row, its successor
+            for row in zip(buckets, copies, ids, texts, sketch(texts)):
+                bucket, copy, *rest = row
                 if copy and bucket == closed:
                     continue  # further rows with the id of the copied row
-                text = text or ""
-                own = sketch(text)
-                if held is not None and held[0] == bucket:
-                    _, before, whole, prior = held
-                    edited = edit(whole, text)
-                    other = sketch(edited)
-                    out.append((before, len(whole), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(prior), as_text(other), likeness(prior, other), likeness(prior, own)))
-                held = None if copy else (bucket, doc, text, own)
+                if held and held[0] == bucket:
+                    pairs.append((held[1], rest))
+                held = () if copy else (bucket, rest)
                 closed = bucket if copy else None
+            edited = [edit(one[1], two[1]) for one, two in pairs]
+            out = [
+                (doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(other), likeness(own, other), likeness(own, after))
+                for ((doc, text, own), (_, _, after)), new, other in zip(pairs, edited, sketch(edited))
+            ]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
