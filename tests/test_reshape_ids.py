@@ -53,3 +53,20 @@ def test_generated_text_ids_dense_per_task(spark):
     per = ids_df.groupBy("task").agg(F.min("generated_text_id").alias("lo"), F.max("generated_text_id").alias("hi"), F.count("*").alias("n"))
     for r in per.collect():
         assert r["lo"] == 0 and r["hi"] == r["n"] - 1
+
+
+def test_row_numbers_do_not_depend_on_exchange_reuse(spark):
+    """3,000,000 keys, another column carried, no exchange reuse."""
+    df = spark.range(3_000_000).select((F.col("id") * 7919 % 3_000_017).alias("k"), F.lit("g").alias("g"), F.concat(F.lit("x"), F.col("id")).alias("x"))
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ids.row_numbers(df, ["g"], "k", partitions=16)
+        got = got.withColumn("near", F.lag("k").over(Window.partitionBy((F.col("rank0") / 1000).cast("long")).orderBy("rank0")))
+        r = got.agg(F.count_distinct("rank0").alias("n"), F.min("rank0").alias("lo"), F.max("rank0").alias("hi"), F.sum((F.col("near") >= F.col("k")).cast("int")).alias("bad")).first()
+        edge = got.groupBy((F.col("rank0") / 1000).cast("long").alias("b")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+        w = Window.orderBy("b")
+        wrong = edge.withColumn("prior", F.lag("hi").over(w)).where("prior >= lo").count()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert tuple(r) == (3_000_000, 0, 2_999_999, 0) and wrong == 0
