@@ -95,3 +95,16 @@ def test_registry_prefix_and_slice():
 
     with pytest.raises(ValueError):
         model_slice(["a"], 1, None)
+
+
+def test_parse_bool_list_is_quote_aware(spark):
+    cells = {
+        "[True, False, '判定, できません']": [True, False, None],
+        "[True, 'a\\'b, True', \"it's, False\", False]": [True, None, None, False],
+        "['x\r\n[y]', True]": [None, True],
+        "['end\\\\', True]": [None, True],
+        "[]": [],
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = {r["c"]: r["x"] for r in df.select("c", X.parse_bool_list("c").alias("x")).collect()}
+    assert got == cells

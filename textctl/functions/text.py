@@ -232,10 +232,13 @@ def parse_bool_list(s, compat: bool = False) -> Column:
     element is taken by truthiness, so ``False`` is false and any other
     non-empty element, a raw answer included, is true.
     """
-    inner = F.regexp_extract(_c(s), r"\A\[(.*)\]\z", 1)
-    parts = F.split(inner, ", ")
+    # elements: a quoted string (quotes inside are escaped or of the other
+    # kind), or what stands between commas
+    element = r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,\[\]\s'"]+"""
+    inner = F.regexp_extract(_c(s), r"(?s)\A\s*\[(.*)\]\s*\z", 1)
+    parts = F.regexp_extract_all(inner, F.lit(element), F.lit(0))
     if compat:
-        return F.transform(parts, lambda e: ~e.isin("False", "''", '""', "None", "0", ""))
+        return F.transform(parts, lambda e: ~e.isin("False", "''", '""', "None", "0"))
     return F.transform(
         parts,
         lambda e: F.when(e == "True", F.lit(True)).when(e == "False", F.lit(False)).otherwise(F.lit(None).cast("boolean")),

@@ -62,7 +62,7 @@ def results_cte() -> str:
 gen2 AS (
   SELECT {TASK_OF} AS task, CAST(c.model_idx AS INTEGER) AS model_idx, c.model_path AS model_path, c.model AS model,
          prompt_id, c.aspect AS aspect, CAST(c.iter AS INTEGER) AS iter,
-         CASE WHEN c.aspect = 'char_count' THEN left(text, 400 * (c.iter + 1)) ELSE text END AS body,
+         text AS body,
          (prompt_id + c.iter + c.model_idx) % 7 AS h
   FROM gen),
 results AS (
@@ -198,7 +198,7 @@ def answers_cte() -> str:
   SELECT {TASK_OF} AS task, prompt_id, iter,
     CASE WHEN quality = 1 THEN CASE WHEN {pi} % 4 = 0 THEN '適 切' || chr(10) ELSE '適切' END
          WHEN quality = 0 THEN '不適切' ELSE '適切です' END AS answer,
-    CASE WHEN {pi} % 5 < 2 THEN ' True' WHEN {pi} % 5 < 4 THEN 'False' ELSE '判定できません' END AS answer_bool
+    CASE WHEN {pi} % 5 < 2 THEN ' True' WHEN {pi} % 5 < 4 THEN 'False' WHEN {pi} % 10 = 4 THEN '判定, "でき' || chr(39) || chr(92) || 'ま' || chr(13) || 'せん' ELSE '判定できません' END AS answer_bool
   FROM (SELECT d.doc_id AS prompt_id, l.quality, CAST(unnest([0, 1, 2]) AS INTEGER) AS iter
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x)"""
 
@@ -452,7 +452,7 @@ def build() -> dict[str, str]:
     out["judge_label"] = sql(*QJ, select=f"SELECT {KEYS}, l1 AS label FROM judged")
     out["judge_fallback"] = sql(*QJ, select=f"SELECT {KEYS}, ok, stage FROM judged WHERE stage <> 'first'")
     out["judge_unparsed"] = sql(*QJ, select=f"SELECT {KEYS}, raw FROM judged WHERE stage = 'unparsed'")
-    elem = "CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE chr(39) || replace(coalesce(raw, ''), chr(39), chr(92) || chr(39)) || chr(39) END"
+    elem = "CASE WHEN ok THEN 'True' WHEN NOT ok THEN 'False' ELSE chr(39) || replace(replace(replace(coalesce(raw, ''), chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)), chr(13), chr(92) || 'r') || chr(39) END"
     cells = ", ".join(
         f"'[' || string_agg({elem}, ', ' ORDER BY iter) FILTER (WHERE aspect = {q(a)}) || ']' AS {a}_wo_hf" for a in ASPECTS
     )

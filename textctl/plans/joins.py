@@ -2,15 +2,14 @@
 
 ``broadcast()`` is only given to a side whose size was checked: the check
 is one aggregate over the (already column-pruned) small side, so it reads
-only the narrow key/constraint columns. Above the limit the join is left
+only the narrow key/constraint columns. A side that carries whole texts is
+never measured: it is joined plainly, and AQE decides from run-time sizes. Above the limit the join is left
 to the planner (sort-merge with AQE skew splitting), which is the way that
 holds when the side grows with the data.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +34,10 @@ def measured_bytes(df: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["b"])
 
 
-_MEASURED: OrderedDict = OrderedDict()
-_MAX_MEASURED = 1024
-
-
 def measured(df: DataFrame) -> tuple[int, int]:
-    """``measured_bytes`` once per distinct plan in an application
-    (``semanticHash``)."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns))
-    if key not in _MEASURED:
-        _MEASURED[key] = measured_bytes(df)
-        while len(_MEASURED) > _MAX_MEASURED:
-            _MEASURED.popitem(last=False)
-    else:
-        _MEASURED.move_to_end(key)
-    return _MEASURED[key]
+    """``measured_bytes``, measured each time: a folder may have grown since
+    the same plan was last measured."""
+    return measured_bytes(df)
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:

@@ -159,7 +159,8 @@ def clean_prompts(spark, d):
 def _with_base(spark, d):
     r = results(spark, d).select(*KEYS, "clean_text")
     base = master(spark, d).select("task", "prompt_id", "base_text")
-    return join_small(r, base, ["task", "prompt_id"], "inner")
+    # base texts are not read once more to be measured
+    return r.join(base, ["task", "prompt_id"], "inner")
 
 
 def judge_prompts(spark, d):
@@ -317,15 +318,15 @@ def valid_all(spark, d):
 
 def analysis_rows(spark, d):
     """The analysis table (one row per prompt, model and iteration)."""
-    v = V.with_validity(results(spark, d), narrow_master(spark, d), keep=["raw_text", "clean_text"])
-    slim = v.select(
-        "task", "model", "prompt_id", "iter", "aspect", F.md5("raw_text").alias("r"), F.md5("clean_text").alias("c"), "is_valid"
-    )
+    # hashes are taken next to the scan: no text crosses the join or the pivot
+    hashed = results(spark, d).withColumns({"r": F.md5("raw_text"), "c": F.md5("clean_text")})
+    v = V.with_validity(hashed, narrow_master(spark, d), keep=["r", "c"])
+    slim = v.select("task", "model", "prompt_id", "iter", "aspect", "r", "c", "is_valid")
     w = slim.groupBy("task", "model", "prompt_id", "iter").pivot("aspect", ASPECTS).agg(
         F.first("r").alias("result_md5"), F.first("c").alias("result_wo_hf_md5"), F.first("is_valid").alias("is_valid")
     )
     m = master(spark, d).select("task", "prompt_id", "title", F.md5("base_text").alias("base_text_md5"), *ASPECTS)
-    out = join_small(w, m, ["task", "prompt_id"], "inner")
+    out = w.join(m, ["task", "prompt_id"], "inner")
     cols = ["task", "model", "iter", "prompt_id", "title", "base_text_md5"]
     for a in ["char_count", "keyword", "prohibited_word", "format"]:
         cols += [F.col(a), F.col(f"{a}_result_md5"), F.col(f"{a}_result_wo_hf_md5"), F.col(f"{a}_is_valid").alias(f"is_valid_{a}")]

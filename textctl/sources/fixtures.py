@@ -130,8 +130,7 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS, tex
     """Generated and cleaned texts, long: one row per ``(task, model,
     prompt_id, aspect, iter)`` with ``raw_text`` and ``clean_text``.
 
-    The fixture's model answers with the whole base text (for char_count the
-    first ``400*(iter+1)`` characters); ``h = (prompt_id+iter+model_idx) % 7``
+    The fixture's model answers with the whole base text; ``h = (prompt_id+iter+model_idx) % 7``
     adds a header (h=0) or footer (h=1); the cleaner failed for h=6.
     """
     d = documents(spark, data_dir, ("doc_id", "text") if text else ("doc_id",))
@@ -158,7 +157,7 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS, tex
     ]
     if not text:
         return x.select(*keys)
-    body = F.when(F.col("c.aspect") == "char_count", F.left(F.col("text"), F.lit(400) * (it + 1))).otherwise(F.col("text"))
+    body = F.col("text")
     h = (pid + it + midx) % 7
     raw = F.when(h == 0, F.concat(F.lit(HEADER), body)).when(h == 1, F.concat(body, F.lit(FOOTER))).otherwise(body)
     clean = F.when(h == 6, F.lit(SENTINEL)).otherwise(body)
@@ -186,7 +185,9 @@ def _judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITER
         .otherwise(F.lit("適切です"))
     )
     r = (pid + it) % 5
-    second = F.when(r < 2, F.lit(" True")).when(r < 4, F.lit("False")).otherwise(F.lit("判定できません"))
+    second = F.when(r < 2, F.lit(" True")).when(r < 4, F.lit("False"))
+    # an answer with everything that a list literal must escape, and a plain one
+    second = second.when((pid + it) % 10 == 4, F.lit("判定, \"でき'\\ま\rせん")).otherwise(F.lit("判定できません"))
     return x.select(
         task_of(pid).alias("task"), pid.alias("prompt_id"), it.cast("int").alias("iter"), first.alias("answer"), second.alias("answer_bool")
     )
