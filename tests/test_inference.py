@@ -75,34 +75,60 @@ def test_errors_as_sentinel(spark):
     assert done.where(F.col("error").isNotNull() & (F.col("text") != "Invalid Error")).count() == 0
 
 
-def test_partition_count_runs_no_shuffle_stage(spark):
-    """``run_model`` sizes its input without executing it: under AQE,
-    ``rdd.getNumPartitions()`` would run the shuffle stages once more."""
-    from pyspark.sql import functions as F
-
-    df = spark.range(100000).withColumn("k", F.col("id") % 97).groupBy("k").agg(F.count("*").alias("n")).dropDuplicates(["n"])
-    st = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("count-partitions", "count-partitions")
-    try:
-        assert INF.input_partitions(df) >= 1
-        assert st.getJobIdsForGroup("count-partitions") == []
-    finally:
-        spark.sparkContext.setJobGroup("", "")
-    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
-
-
-def test_pending_prompts_on_keys(spark):
-    """C8 before the fan-out: exactly the prompts with a request left."""
-    master = fx.prompts(spark, SF0001, with_prompts=True)
-    models = fx.generated_models()
-    req = INF.generation_requests(master, models).select(*KEYS)
-    keys = INF.request_keys(master.select("task", "prompt_id"), models)
-    assert keys.exceptAll(req).count() == 0 and req.exceptAll(keys).count() == 0
-    # prompt_id % 3 == 0: all done; == 1: all but iteration 2 done; else nothing done
-    finished = req.where((F.col("prompt_id") % 3 == 0) | ((F.col("prompt_id") % 3 == 1) & (F.col("iter") < 2)))
-    got = {r["prompt_id"] for r in INF.pending_prompts(master, models, finished).select("prompt_id").collect()}
-    want = {r["prompt_id"] for r in master.where(F.col("prompt_id") % 3 != 0).select("prompt_id").collect()}
-    assert got == want
+def test_as_many_tasks_as_asked_for_call_the_model(spark):
+    """One model's requests spread over all partitions."""
+    req = spark.range(20_000).select(F.col("id").alias("k"), F.lit("m").alias("model_path"), F.concat(F.lit("p"), F.col("id")).alias("prompt"))
+    done = INF.run_model(req, INF.echo_factory, keys=["k"], partitions=1000, checkpoint=False)
+    assert done.select(F.spark_partition_id().alias("p")).distinct().count() > 950
+
+
+def test_only_failed_prompts_are_asked_again():
+    """C4: errors per prompt cost their own retries; a call that raises is
+    asked again prompt by prompt, within its sub-batch."""
+    asked = []
+
+    def per_prompt(prompts):
+        asked.extend(prompts)
+        return [INF.RetryableError("busy") if p == "p99" and asked.count(p) < 3 else ValueError("no") if p == "p7" else "ok:" + p for p in prompts]
+
+    policy = INF.RetryPolicy(max_attempts=5, backoff_s=0)
+    texts, errors, attempts = INF._answer(per_prompt, [f"p{i}" for i in range(100)], policy)
+    assert len(asked) == 102 and texts[99] == "ok:p99" and attempts[99] == 3 and attempts[0] == 1
+    assert texts[7] is None and errors[7] == "ValueError: no" and attempts[7] == 1
+    asked.clear()
+
+    def raising(prompts):
+        asked.extend(prompts)
+        if "p3" in prompts:
+            raise ValueError("bad prompt")
+        return prompts
+
+    texts, errors, attempts = INF._answer(raising, [f"p{i}" for i in range(8)], policy)
+    assert len(asked) == 16 and errors == [None] * 3 + ["ValueError: bad prompt"] + [None] * 4
+
+
+def test_requests_reach_the_model(spark):
+    """System message, messages and parameters come with the prompt."""
+    from textctl.operators import chat as CH
+
+    class Seen:
+        takes_requests = True
+
+        def __call__(self, requests):
+            return [f"{r['system']}|{len(r['messages']) if r['messages'] is not None else 0}|{r['params'] is not None}" for r in requests]
+
+    models = [("gpt-4", "openai"), ("cyberagent/calm2-7b-chat", "calm2")]
+    rows = [(i, path, "text") for i, (path, _) in enumerate(models)]
+    req = CH.render_requests(spark.createDataFrame(rows, "k int, model_path string, prompt string"))
+    req = req.select("k", "model_path", F.col("chat_prompt").alias("prompt"), "system", "messages", "params", "family")
+    known = {r["k"]: r["family"] for r in req.collect()}
+    done = INF.run_model(req, lambda path: Seen(), keys=["k"], request_cols=["system", "messages", "params"])
+    for r in done.collect():
+        system, messages, params = r["text"].split("|")
+        if known[r["k"]] in CH.CHAT_SYSTEM:
+            assert system != "None" and messages == "2"
+        elif known[r["k"]] in CH.GEN_PARAMS:
+            assert messages == "0" and params == "True"
 
 
 def test_arrow_batches_are_cut_by_bytes(spark):

@@ -7,8 +7,8 @@
     python -m textctl leaderboard
     python -m textctl all --factory mymodels:factory --judge mymodels:judge
 
-Every stage runs all tasks and models of its input in one Spark job (the
-task list only narrows the prompt files read). Models come from the
+Every stage runs all tasks and models asked for (``--task``, the model
+slice) in one Spark job and leaves the files of others as they are. Models come from the
 registry (``MODEL_PATH_0..n`` in the environment); a model is a factory
 ``module:function`` that takes a model path and returns a callable
 ``list[str] -> list[str]``. Locally, ``python -m textctl`` starts its own
@@ -56,7 +56,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cleaner", help="cleaning model factory, module:function (default: rule cleaner)")
     p.add_argument("--judge", help="judge model factory, module:function")
     p.add_argument("--judge-dedupe", dest="judge_dedupe", action="store_true", help="one judge call per distinct text (deterministic judges)")
-    p.add_argument("--resume", action="store_true", help="generate only the requests without a stored result")
+    p.add_argument("--resume", action="store_true", help="ask models only for what has no stored answer")
+    p.add_argument("--strict", action="store_true", help="stop when lines of the prompt master do not parse")
+    p.add_argument("--partitions", type=int, help="tasks that call models (default: as the input is split)")
     p.add_argument("--lenient", action="store_true", help="leaderboard: leave out models with incomplete reports")
     return p
 
@@ -81,15 +83,15 @@ def main(argv: list[str] | None = None) -> None:
     out = a.output_path
     for stage in stages:
         if stage == "generate":
-            jobs.generate(spark, master, out, load(a.factory), models=models, iters=a.iter_num, use_system=a.use_system_prompt, resume=a.resume)
+            jobs.generate(spark, master, out, load(a.factory), models=models, iters=a.iter_num, use_system=a.use_system_prompt, resume=a.resume, strict=a.strict, partitions=a.partitions)
         elif stage == "clean":
-            jobs.clean(spark, out, factory=load(a.cleaner))
+            jobs.clean(spark, out, factory=load(a.cleaner), tasks=a.task, models=models, resume=a.resume, partitions=a.partitions)
         elif stage == "score-control":
-            jobs.score_control(spark, master, out)
+            jobs.score_control(spark, master, out, tasks=a.task, models=models, strict=a.strict)
         elif stage == "score-quality":
-            jobs.score_quality(spark, master, out, load(a.judge), dedupe=a.judge_dedupe)
+            jobs.score_quality(spark, master, out, load(a.judge), dedupe=a.judge_dedupe, tasks=a.task, models=models, iters=a.iter_num, resume=a.resume, strict=a.strict, partitions=a.partitions)
         elif stage == "leaderboard":
-            jobs.leaderboard(spark, out, strict=not a.lenient, models=models)
+            jobs.leaderboard(spark, out, strict=not a.lenient, models=models, tasks=a.task, iters=a.iter_num)
 
 
 if __name__ == "__main__":

@@ -214,6 +214,12 @@ def render_requests(requests: DataFrame, use_system: bool = True, bos: str = DEF
     )
 
 
+def unsupported_paths(models: list[tuple[int, str]]) -> list[str]:
+    """The configured models without a renderer or a loader."""
+    loads = lambda p: p in LOADER_EXACT or any(x in p for x, _ in LOADER_RULES)
+    return [p for _, p in models if p not in RENDERER or not loads(p)]
+
+
 def unsupported(requests: DataFrame) -> DataFrame:
     """Per model, the requests no renderer or loader can serve."""
     r = route(requests)

@@ -93,27 +93,50 @@ def clean_rules(results: DataFrame, out: str = "clean_text") -> DataFrame:
     return results.withColumn(out, rule_clean("task", "raw_text"))
 
 
+def text_key() -> Column:
+    """The key of a cleaning request: a SHA-256 of ``task`` and ``raw_text``."""
+    return F.sha2(F.concat_ws("\u0000", F.col("task"), F.col("raw_text")), 256)
+
+
+def clean_requests(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``_k, model_path, prompt, system``: one request per distinct ``_k``
+    without an answer in ``known``. Which row of a key is asked for is chosen
+    on fixed-width values (the smallest hash of the row's own keys), so the
+    distinct step aggregates numbers; the text is then fetched by that row."""
+    from ..schemas import ASSISTANT_SYSTEM
+    from .prompts import clean_prompt
+
+    own = F.xxhash64("model", F.col("prompt_id").cast("string"), "aspect", "iter")
+    rows = keyed.select("_k", "task", "raw_text", own.alias("_row"))
+    if known is not None:
+        rows = rows.join(known.select("_k").distinct(), "_k", "left_anti")
+    one = rows.groupBy("_k").agg(F.min("_row").alias("_row"))
+    picked = rows.join(one, ["_k", "_row"], "left_semi")
+    return picked.select("_k", F.lit("cleaner").alias("model_path"), clean_prompt("task", "raw_text").alias("prompt"), F.lit(ASSISTANT_SYSTEM).alias("system"))
+
+
+def with_answers(keyed: DataFrame, answers: DataFrame) -> DataFrame:
+    """``clean_text`` (the sentinel after a failed call) and ``clean_error``."""
+    ans = answers.select("_k", "text", F.col("error").alias("clean_error"))
+    merged = keyed.drop("clean_text", "clean_error").join(ans, "_k", "left")
+    return merged.withColumn("clean_text", F.when(F.col("clean_error").isNotNull(), F.lit(SENTINEL)).otherwise(F.col("text"))).drop("_k", "text")
+
+
 def model_clean(results: DataFrame, factory, policy=None, dedupe: bool = True, checkpoint: bool = True) -> DataFrame:
     """Ask a cleaning model for each raw text (``clean_prompt``).
 
     With ``dedupe`` the distinct ``(task, raw_text)`` pairs are sent once,
-    keyed by a SHA-256 of the pair, and the answers joined back on that key
-    (keys only travel through that join, not texts). Without it every row
-    is a request. A failed call gives the sentinel text and keeps its error.
+    keyed by a SHA-256 of the pair, and the answers joined back on that key.
+    Without it every row is a request. A failed call gives the sentinel text
+    and keeps its error.
     """
-    from ..plans.joins import join_small
     from .inference import run_model
-    from .prompts import clean_prompt
 
-    keyed = results.withColumn("_k", F.sha2(F.concat_ws("\u0000", F.col("task"), F.col("raw_text")), 256))
+    keyed = results.withColumn("_k", text_key())
     if not dedupe:
         keyed = keyed.withColumn("_k", F.sha2(F.concat_ws("\u0000", "_k", "model", F.col("prompt_id").cast("string"), "aspect", F.col("iter").cast("string")), 256))
-    uniq = keyed.select("_k", "task", "raw_text").dropDuplicates(["_k"]) if dedupe else keyed.select("_k", "task", "raw_text")
-    req = uniq.select("_k", clean_prompt("task", "raw_text").alias("prompt"), F.lit("cleaner").alias("model_path"))
-    done = run_model(req, factory, policy=policy, keys=["_k"], checkpoint=checkpoint)
-    ans = done.select("_k", "text", "error", "attempts")
-    merged = join_small(keyed.drop("clean_text"), ans, "_k", "left")
-    return merged.withColumn("clean_text", F.when(F.col("error").isNotNull(), F.lit(SENTINEL)).otherwise(F.col("text"))).drop("_k", "text")
+    done = run_model(clean_requests(keyed), factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint)
+    return with_answers(keyed, done).withColumnRenamed("clean_error", "error")
 
 
 class RuleCleanerModel:

@@ -4,20 +4,25 @@
 the partitioning they come with (no shuffle of prompt texts), are sorted by
 model inside each partition and handed to ``mapInPandas`` in Arrow
 batches, so a model holding a third of all requests is spread over all the
-tasks that hold them. An explicit ``partitions=n`` first hash partitions
-the requests on ``(model, salt)``: for model calls the work is per row, not
-per byte, so a small input can be spread over more tasks. The default
-``partitions="auto"`` does that only when the input has fewer partitions
-than task slots, counted on the non-adaptive plan (``input_partitions``),
-which runs none of the input's shuffle stages. The
-model callable is built by ``factory(model_path)`` once per Python worker
-process (workers are reused across tasks) and answers a list of prompts. Each request gets ``text``, ``error`` and ``attempts``: calls
-that raise a retryable error are retried with bounded exponential back-off,
-others (or retries exhausted) become dead letters with ``text`` NULL.
-
-The result is checkpointed to the session's checkpoint folder (reliable
-storage, lineage cut), so a later action never calls the model again; a task
-retry may repeat calls of that task, never results: keys stay unique.
+tasks that hold them. An explicit ``partitions=n`` hash partitions the
+requests on their keys: as many tasks as asked for get work, whatever the
+number of models. The model callable is built by ``factory(model_path)``
+once per Python worker process (workers are reused across tasks).
+
+A callable answers a list of prompts with a list of the same length; an
+element is the text, or an exception for that prompt alone. Prompts are sent
+in sub-batches of ``policy.batch``; only prompts that failed are asked
+again, after a back-off, until ``policy.max_attempts``. Where the callable
+raises for a whole sub-batch, its prompts are asked one by one. Errors that
+are not retryable, or retries exhausted, become dead letters with ``text``
+NULL. A callable with a true attribute ``takes_requests`` gets dictionaries
+(``prompt`` and the ``request_cols``: system message, messages, parameters)
+instead of prompts.
+
+``checkpoint=True`` writes the result to the session's checkpoint folder, so
+that a later action never calls the model again; a job that writes the
+result once itself passes False and reads its own table. A task retry may
+repeat calls of that task, never results: keys stay unique.
 """
 
 from __future__ import annotations
@@ -34,7 +39,6 @@ from pyspark.sql import types as T
 
 from ..schemas import ASPECTS, DEFAULT_ITERS
 from ..sources.registry import model_struct_sql, sql_str, suffix_py
-from ..sources.tables import target_partitions
 
 
 class RetryableError(Exception):
@@ -47,6 +51,7 @@ class RetryPolicy:
     backoff_s: float = 1.0
     max_backoff_s: float = 60.0
     retry_on: tuple = field(default=(RetryableError,))
+    batch: int = 64
 
     def delay(self, attempt: int) -> float:
         return min(self.max_backoff_s, self.backoff_s * (2 ** (attempt - 1)))
@@ -55,32 +60,42 @@ class RetryPolicy:
 NO_WAIT = RetryPolicy(max_attempts=3, backoff_s=0.0, max_backoff_s=0.0)
 
 
-def _call_one(model: Callable, prompt: str, policy: RetryPolicy):
-    attempt = 0
-    while True:
-        attempt += 1
-        try:
-            return model([prompt])[0], None, attempt
-        except policy.retry_on as e:  # noqa: PERF203
-            if attempt >= policy.max_attempts:
-                return None, f"{type(e).__name__}: {e}", attempt
-            d = policy.delay(attempt)
-            if d > 0:
-                time.sleep(d)
-        except Exception as e:  # noqa: BLE001 - any other failure is a dead letter
-            return None, f"{type(e).__name__}: {e}", attempt
-
-
-def _answer(model: Callable, prompts: list[str], policy: RetryPolicy):
-    """Whole batch first; on failure, one by one under the policy."""
-    try:
-        out = model(prompts)
-        if len(out) != len(prompts):
-            raise ValueError("model returned a different number of texts")
-        return list(out), [None] * len(prompts), [1] * len(prompts)
-    except Exception:  # noqa: BLE001
-        res = [_call_one(model, p, policy) for p in prompts]
-        return [r[0] for r in res], [r[1] for r in res], [r[2] for r in res]
+def _ask(model: Callable, prompts: list) -> list:
+    """One call: a text or an exception per prompt."""
+    out = list(model(prompts))
+    if len(out) != len(prompts):
+        raise ValueError("model returned a different number of texts")
+    return out
+
+
+def _answer(model: Callable, prompts: list, policy: RetryPolicy):
+    """Texts, errors and attempts of one sub-batch. A prompt's attempts count
+    the calls it was part of."""
+    texts, errors, attempts = [None] * len(prompts), [None] * len(prompts), [0] * len(prompts)
+    open_, alone = list(range(len(prompts))), False
+    for attempt in range(1, policy.max_attempts + 1):
+        if attempt > 1 and (delay := policy.delay(attempt - 1)) > 0:
+            time.sleep(delay)
+        failed = []
+        for part in [[i] for i in open_] if alone else [open_]:
+            try:
+                out = _ask(model, [prompts[i] for i in part])
+            except Exception as e:  # noqa: BLE001 - kept as the prompts' error
+                out = [e] * len(part)
+                if len(part) > 1:  # whose fault it was is not known: each may try again
+                    out, alone = [policy.retry_on[0](f"{type(e).__name__}: {e}") if policy.retry_on else e] * len(part), True
+            for i, answer in zip(part, out):
+                attempts[i] += 1
+                if not isinstance(answer, BaseException):
+                    texts[i], errors[i] = answer, None
+                else:
+                    errors[i] = f"{type(answer).__name__}: {answer}"
+                    if isinstance(answer, policy.retry_on):
+                        failed.append(i)
+        open_ = failed
+        if not open_:
+            break
+    return texts, errors, attempts
 
 
 _LOADED: OrderedDict = OrderedDict()
@@ -105,21 +120,6 @@ def _model(factory, model_path):
     return m
 
 
-def input_partitions(df: DataFrame) -> int:
-    """Partitions of ``df`` as planned without adaptive execution. With AQE
-    on, ``df.rdd`` runs every shuffle stage of ``df`` to fix the final plan,
-    and a later action would run them again; without it the RDDs are only
-    created (a broadcast side is built). The setting is restored at once."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.adaptive.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.select("*").rdd.getNumPartitions()
-    finally:
-        conf.set(key, before)
-
-
 def run_model(
     requests: DataFrame,
     factory: Callable[[str], Callable[[list[str]], list[str]]],
@@ -129,8 +129,8 @@ def run_model(
     prompt_col: str = "prompt",
     carry: list[str] | tuple = (),
     strip_echo: bool = False,
-    partitions: int | str | None = "auto",
-    salt: int = 64,
+    partitions: int | None = None,
+    request_cols: list[str] | tuple = (),
     checkpoint: bool = True,
 ) -> DataFrame:
     """``keys + model + carry + text, error, attempts`` per request.
@@ -141,23 +141,19 @@ def run_model(
     policy = policy or RetryPolicy()
     keys = list(keys or [c for c in requests.columns if c not in (prompt_col, model_col)])
     out_cols = list(dict.fromkeys([*keys, model_col, *carry]))
-    in_schema = requests.select(*out_cols, prompt_col).schema
+    extra = [c for c in request_cols if c not in out_cols]
+    in_schema = requests.select(*out_cols).schema
     out_schema = T.StructType(
-        [f for f in in_schema.fields if f.name != prompt_col]
+        in_schema.fields
         + [
             T.StructField("text", T.StringType()),
             T.StructField("error", T.StringType()),
             T.StructField("attempts", T.IntegerType()),
         ]
     )
-    staged = requests.select(*out_cols, prompt_col)
-    if partitions == "auto":
-        # too few input partitions would leave cores idle while models answer
-        slots = requests.sparkSession.sparkContext.defaultParallelism
-        partitions = target_partitions(requests.sparkSession) if input_partitions(staged) < slots else None
+    staged = requests.select(*out_cols, *extra, prompt_col)
     if partitions:
-        salted = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt))
-        staged = staged.repartition(partitions, F.col(model_col), salted)
+        staged = staged.repartition(partitions, *[F.col(k) for k in keys])
     staged = staged.sortWithinPartitions(model_col)
 
     def fn(batches):
@@ -168,10 +164,16 @@ def run_model(
             for mp, g in pdf.groupby(model_col, sort=False):
                 model = _model(factory, mp)
                 prompts = g[prompt_col].tolist()
-                texts, errors, attempts = _answer(model, prompts, policy)
+                asked = prompts
+                if getattr(model, "takes_requests", False):
+                    asked = [{"prompt": p, **r} for p, r in zip(prompts, g[list(request_cols)].to_dict("records"))]
+                texts, errors, attempts = [], [], []
+                for at in range(0, len(asked), policy.batch):
+                    for whole, part in zip((texts, errors, attempts), _answer(model, asked[at : at + policy.batch], policy)):
+                        whole.extend(part)
                 if strip_echo:
                     texts = [t[len(p):] if (t is not None and p is not None and t.startswith(p)) else t for t, p in zip(texts, prompts)]
-                o = g.drop(columns=[prompt_col]).copy()
+                o = g[out_cols].copy()
                 o["text"] = pd.Series(texts, index=g.index, dtype=object)
                 o["error"] = pd.Series(errors, index=g.index, dtype=object)
                 o["attempts"] = pd.Series(attempts, index=g.index, dtype="int32")
@@ -267,20 +269,6 @@ def pending_requests(
     )
 
 
-def pending_prompts(
-    master: DataFrame, models: list[tuple[int, str]], finished: DataFrame, iters: int = DEFAULT_ITERS, keys=("task", "model", "prompt_id", "aspect", "iter")
-) -> DataFrame:
-    """C8 before the fan-out: the master rows with at least one request not
-    finished. Found on keys alone (an anti join of request keys, then the
-    distinct prompt keys), so that on a restart only the prompts with work
-    left are rendered and carry text into ``pending``."""
-    from ..plans.joins import join_small
-
-    open_keys = pending(request_keys(master.select("task", "prompt_id"), models, iters), finished, keys)
-    todo = open_keys.select("task", "prompt_id").distinct()
-    return join_small(master, todo, ["task", "prompt_id"], "left_semi")
-
-
 # ---- deterministic stand-in models (tests, offline runs) ----
 
 

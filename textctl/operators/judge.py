@@ -38,6 +38,38 @@ def parse_answers(df: DataFrame, first: str = "answer", second: str = "answer_bo
     ).drop("_l1", "_l2")
 
 
+def answer_key(dedupe: bool):
+    """The key of a judge request: of the row, or (``dedupe``) of the task
+    and both texts, on which alone the question depends."""
+    return F.sha2(F.to_json(F.struct("task", "base_text", "text") if dedupe else F.struct(*JKEYS)), 256)
+
+
+def judge_requests(items: DataFrame, is_bool: bool = False, first: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``_k, model_path, prompt, system``: one request per key of ``items``;
+    for the fallback question only where the ``first`` answer did not parse;
+    none where ``known`` has an answer. Of rows that share a key one is chosen
+    on fixed-width values before any text moves."""
+    from ..schemas import ASSISTANT_SYSTEM
+    from .prompts import judge_prompt
+
+    rows = items.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in JKEYS]))
+    if first is not None:
+        rows = rows.join(first.where(judge_label("text").isNull()).select("_k"), "_k", "left_semi")
+    if known is not None:
+        rows = rows.join(known.select("_k").distinct(), "_k", "left_anti")
+    one = rows.groupBy("_k").agg(F.min("_row").alias("_row"))
+    picked = rows.join(one, ["_k", "_row"], "left_semi")
+    prompt = judge_prompt("task", "text", "base_text", is_bool=is_bool)
+    return picked.select("_k", F.lit("judge").alias("model_path"), prompt.alias("prompt"), F.lit(ASSISTANT_SYSTEM).alias("system"))
+
+
+def with_answers(items: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """The judged rows, from the answers (``_k, text, error``) to both questions."""
+    x = items.select(*JKEYS, "_k").join(first.select("_k", F.col("text").alias("answer"), F.col("error").alias("error1")), "_k", "left")
+    x = x.join(second.select("_k", F.col("text").alias("answer_bool"), F.col("error").alias("error2")), "_k", "left")
+    return parse_answers(x.drop("_k"))
+
+
 def judge_with_models(
     items: DataFrame, factory, policy=None, checkpoint: bool = True, skip_dead_letters: bool = False, dedupe: bool = False
 ) -> DataFrame:
@@ -51,43 +83,20 @@ def judge_with_models(
 
     ``dedupe`` asks once per distinct ``(task, base_text, text)`` (the judge
     prompt depends on nothing else) and joins the answers back to every row
-    on a SHA-256 key; the distinct step combines map-side, so a text
-    repeated across models, aspects and iterations costs one call. Only for
-    a deterministic judge: with sampling, each row of the benchmark gets its
-    own answer.
+    on a SHA-256 key. Only for a deterministic judge: with sampling, each row
+    of the benchmark gets its own answer.
     """
-    from ..plans.joins import join_small
     from ..schemas import SENTINEL
+    from .inference import run_model
 
     if skip_dead_letters:
         items = items.where(F.col("text") != F.lit(SENTINEL))
-    if not dedupe:
-        return parse_answers(_ask_judge(items, JKEYS, factory, policy, checkpoint))
-    keyed = items.withColumn("_k", F.sha2(F.to_json(F.struct("task", "base_text", "text")), 256))
-    uniq = keyed.select("_k", "task", "text", "base_text").dropDuplicates(["_k"])
-    answers = _ask_judge(uniq, ["_k"], factory, policy, checkpoint)
-    return parse_answers(join_small(keyed.select(*JKEYS, "_k"), answers, "_k", "left").drop("_k"))
-
-
-def _ask_judge(items: DataFrame, keys: list[str], factory, policy, checkpoint: bool) -> DataFrame:
-    """``keys, answer, error1, answer_bool, error2``: the first question for
-    every row, the fallback question for the rows whose answer did not parse."""
-    from ..plans.joins import join_small
-    from .inference import run_model
-    from .prompts import judge_prompt
-
-    req = items.select(*keys, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text").alias("prompt"))
-    first = run_model(req, factory, policy=policy, keys=keys, checkpoint=checkpoint).select(
-        *keys, F.col("text").alias("answer"), F.col("error").alias("error1")
-    )
-    todo = first.where(judge_label("answer").isNull()).select(*keys)
-    req2 = join_small(items, todo, keys, "left_semi").select(
-        *keys, F.lit("judge").alias("model_path"), judge_prompt("task", "text", "base_text", is_bool=True).alias("prompt")
-    )
-    second = run_model(req2, factory, policy=policy, keys=keys, checkpoint=checkpoint).select(
-        *keys, F.col("text").alias("answer_bool"), F.col("error").alias("error2")
-    )
-    return join_small(first, second, keys, "left")
+    items = items.withColumn("_k", answer_key(dedupe))
+    answers = []
+    for is_bool in (False, True):
+        req = judge_requests(items, is_bool, first=answers[0] if answers else None)
+        answers.append(run_model(req, factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint))
+    return with_answers(items, *answers)
 
 
 def quality_scores(judged: DataFrame) -> DataFrame:
@@ -149,6 +158,13 @@ def quality_report_lines(qs: DataFrame, data_num: DataFrame, iters: int = DEFAUL
     return head.unionByName(body)
 
 
+def _quoted(text):
+    """Backslashes, quotes and line ends as a list literal escapes them."""
+    for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\r", "\\r"), ("\n", "\\n")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
 def bool_list_cells(judged: DataFrame) -> DataFrame:
     """one list-literal cell per text and aspect, as the benchmark's
     judge CSV holds it: ``[True, False, '判定できません']`` (iteration
@@ -156,7 +172,7 @@ def bool_list_cells(judged: DataFrame) -> DataFrame:
     elem = (
         F.when(F.col("ok"), F.lit("True"))
         .when(~F.col("ok"), F.lit("False"))
-        .otherwise(F.concat(F.lit("'"), F.regexp_replace(F.coalesce(F.col("raw"), F.lit("")), "'", "\\\\'"), F.lit("'")))
+        .otherwise(F.concat(F.lit("'"), _quoted(F.coalesce(F.col("raw"), F.lit(""))), F.lit("'")))
     )
     g = judged.groupBy("task", "model", "prompt_id", "aspect").agg(F.array_sort(F.collect_list(F.struct("iter", elem.alias("e")))).alias("xs"))
     return g.select("task", "model", "prompt_id", "aspect", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["e"]), ", "), F.lit("]")).alias("cell"))

@@ -54,7 +54,8 @@ def leaderboard(ctg_report: DataFrame, quality_report: DataFrame, iters: int = 3
     back. Only models with both reports appear (G5).
     """
     c = ctg_report.groupBy("task", "model").pivot("aspect", ASPECTS).agg(
-        *[F.first(F.when(F.col("iter") == i, F.col("score")), ignorenulls=True).alias(f"i{i}") for i in range(iters)]
+        *[F.first(F.when(F.col("iter") == i, F.col("score")), ignorenulls=True).alias(f"i{i}") for i in range(iters)],
+        F.count("score").alias("n"),  # with one aggregate alone a pivot leaves its name out
     )
     q = quality_report.groupBy("task", "model").pivot("aspect", ASPECTS).agg(F.first("all_acc"))
     cols = {}

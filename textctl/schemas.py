@@ -51,7 +51,7 @@ KEYS = ["task", "model", "prompt_id", "aspect", "iter"]
 
 MASTER = T.StructType(
     [
-        T.StructField("prompt_id", T.LongType()),
+        T.StructField("prompt_id", T.StringType()),  # numbers are read as their text
         T.StructField("title", T.StringType()),
         T.StructField("base_text", T.StringType()),
         T.StructField("format", T.StringType()),
@@ -74,7 +74,7 @@ RESULTS_WIDE = T.StructType(
     [
         T.StructField("generated_text_id", T.LongType()),
         T.StructField("model", T.StringType()),
-        T.StructField("prompt_id", T.LongType()),
+        T.StructField("prompt_id", T.StringType()),  # numbers are read as their text
         T.StructField("base_text", T.StringType()),
     ]
     + [T.StructField(f"{a}_result", _TEXTS) for a in ASPECTS]

@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A write replaces the folders it has rows for and leaves all others alone.
+DYNAMIC = ("partitionOverwriteMode", "dynamic")
+
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -23,12 +26,12 @@ CSV_OPTIONS = {
 
 def write_jsonl(df: DataFrame, path: str, partition_by=("task", "model"), mode: str = "overwrite") -> None:
     """JSON lines, UTF-8 unescaped, NULL fields kept."""
-    df.write.mode(mode).partitionBy(*partition_by).option("ignoreNullFields", "false").json(path)
+    df.write.mode(mode).option(*DYNAMIC).partitionBy(*partition_by).option("ignoreNullFields", "false").json(path)
 
 
 def write_csv(df: DataFrame, path: str, partition_by=("task", "model"), sep: str = ",", mode: str = "overwrite") -> None:
     """CSV (``sep=','``) or TSV (``sep='\\t'``)."""
-    w = df.write.mode(mode).partitionBy(*partition_by)
+    w = df.write.mode(mode).option(*DYNAMIC).partitionBy(*partition_by)
     for k, v in {**CSV_OPTIONS, "sep": sep}.items():
         w = w.option(k, v)
     w.csv(path)
@@ -44,6 +47,7 @@ def write_lines(lines: DataFrame, path: str, partition_by=("task", "model"), mod
         .sortWithinPartitions(*keys, "line_no")
         .select(*keys, "line")
         .write.mode(mode)
+        .option(*DYNAMIC)
         .partitionBy(*keys)
         .text(path)
     )

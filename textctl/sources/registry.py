@@ -88,6 +88,12 @@ def list_models(results: DataFrame) -> DataFrame:
     return results.select("task", "model_path", "model").distinct()
 
 
+def missing_results(spark: SparkSession, found: DataFrame, tasks: list[str], models: list[tuple[int, str]]) -> DataFrame:
+    """``task, model_path, model`` asked for but not in ``found``."""
+    wanted = spark.createDataFrame([(t, p, suffix_py(p)) for t in tasks for _, p in models], "task string, model_path string, model string")
+    return wanted.join(found.select("task", "model"), ["task", "model"], "left_anti").select("task", "model_path", "model")
+
+
 def check_inputs(missing: DataFrame, strict: bool = False, limit: int = 20) -> DataFrame:
     """Q16: one policy for missing inputs. ``missing`` is the anti-join
     report (e.g. ``missing_inputs``); with ``strict`` a non-empty report
