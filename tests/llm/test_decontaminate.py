@@ -1,6 +1,6 @@
 import hashlib
 
-from tests_llm_words import item_words
+from .tests_llm_words import item_words
 
 from textctl.llm.decontaminate import contamination, summary
 

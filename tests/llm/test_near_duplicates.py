@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
-from tests_llm_words import words
+from .tests_llm_words import words
 
 from textctl.llm.graph import components
 from textctl.llm.near_duplicates import Params, Sketcher, near_duplicates, shingles

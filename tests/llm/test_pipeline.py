@@ -5,10 +5,10 @@ import hashlib
 
 import duckdb
 import pytest
-from test_decontaminate import brute as hits
-from test_line_spread import brute as lines
-from test_near_duplicates import brute as groups
-from tests_llm_words import words
+from .test_decontaminate import brute as hits
+from .test_line_spread import brute as lines
+from .test_near_duplicates import brute as groups
+from .tests_llm_words import words
 
 import corpus_pipeline
 from textctl.llm import queries

@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from tests_llm_words import words
+from .tests_llm_words import words
 
 from textctl.llm.sentence_spans import Params, without_repeats
 
