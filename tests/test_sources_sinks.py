@@ -41,7 +41,7 @@ def test_results_wide_jsonl_round_trip_in_benchmark_layout(spark, tmp_out):
         os.link(src, out + "/generated_result_v1_wo_hf.jsonl")
     back = files.read_results(spark, f"{tmp_out}/out/*/*/generated_result/*.jsonl", clean=True)
     assert back.count() == w.count()
-    relong = reshape.to_long(back)
+    relong = reshape.to_long(back).withColumn("prompt_id", F.col("prompt_id").cast("long"))  # ids are read as text
     k = ["task", "model", "prompt_id", "aspect", "iter", "raw_text", "clean_text"]
     assert relong.select(*k).exceptAll(long.select(*k)).count() == 0
 
@@ -53,7 +53,7 @@ def test_corrupt_lines_are_quarantined(spark, tmp_out):
         f.write('{"prompt_id": 1, "base_text": "x", "keyword": 45}\n{not json\n')
     df = files.read_master(spark, f"{tmp_out}/*/prompts_v1.jsonl")
     rows = {r["prompt_id"]: r for r in df.collect()}
-    assert rows[1]["keyword"] == "45" and rows[1]["task"] == "summary"  # number read as declared string
+    assert rows["1"]["keyword"] == "45" and rows["1"]["task"] == "summary"  # numbers read as declared strings
     assert files.quarantine(df).count() == 1
 
 
