@@ -76,8 +76,11 @@ def test_analysis_and_judge_table_sinks(spark, tmp_out):
 
 def test_run_model_spreads_a_single_partition(spark):
     req = Q._chat_requests(spark, SF0001).coalesce(1)
-    done = INF.run_model(req, INF.echo_factory, keys=["task", "model", "prompt_id", "aspect", "iter"], checkpoint=False)
-    assert done.rdd.getNumPartitions() > 1
+    keys = ["task", "model", "prompt_id", "aspect", "iter"]
+    # a shuffle of the prompts only where asked for
+    assert INF.run_model(req, INF.echo_factory, keys=keys, checkpoint=False).rdd.getNumPartitions() == 1
+    done = INF.run_model(req, INF.echo_factory, keys=keys, partitions=8, checkpoint=False)
+    assert done.rdd.getNumPartitions() == 8
     assert done.count() == req.count()
 
 
