@@ -5,14 +5,14 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from tests_llm_words import words
+from .tests_llm_words import words
 
 from pyspark.sql import functions as F
 
 from textctl.llm import context_mixing as cm
 from textctl.llm.common import remainder
 
-SMALL = replace(cm.Params(), bits=(18, 18, 18, 18))
+SMALL = replace(cm.Params(), bits=(18, 18, 18))
 
 
 def test_base_equals_brute_force_and_the_model_learns(docs, texts):
@@ -34,7 +34,7 @@ def test_base_equals_brute_force_and_the_model_learns(docs, texts):
 
 def test_probabilities_sum_to_one():
     """Over all texts of one byte (as the coder sees them), with counts."""
-    code = cm.Code(np.arange(256))
+    code = cm.Code(np.arange(1 << 16))
     into = [np.zeros(2 << b, np.uint32) for b in SMALL.bits]
     cm.counts(code, [b"some words to count\n", b"others\n"], SMALL.bits, into)
     tables = [cm._logits(x[1::2].astype(float), (x[0::2] + x[1::2]).astype(float), SMALL.prior) for x in into]
@@ -44,7 +44,8 @@ def test_probabilities_sum_to_one():
 
 def test_scores_depend_on_the_text_alone(texts):
     data = [cm.normalised(t) for _, t, _, _ in texts[:60]] + [cm.normalised(None), cm.normalised("x " * 50_000)]
-    code = cm.Code(np.bincount(np.frombuffer(b"".join(data), np.uint8), minlength=256))
+    pairs = np.frombuffer(b"\0" + b"\0".join(data), np.uint8).astype(int)
+    code = cm.Code(np.bincount(pairs[:-1] * 256 + pairs[1:], minlength=1 << 16))
     into = [np.zeros(2 << b, np.uint32) for b in SMALL.bits]
     cm.counts(code, data[:40], SMALL.bits, into)
     tables = [cm._logits(x[1::2].astype(float), (x[0::2] + x[1::2]).astype(float), SMALL.prior) for x in into]

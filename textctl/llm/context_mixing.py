@@ -3,7 +3,7 @@
 A text is its words (A-Z lower-cased) joined by single blanks, and one end
 mark. It is coded byte by byte along a binary code tree, so that a byte is a
 few binary decisions. Several predictors, each with a hashed context (the
-last two, four or five bytes; the word so far), give the
+last two, four or five bytes), give the
 probability of each decision from counts gathered over all training texts.
 Their logits are combined by weights chosen by a gate (the kind of the last
 byte, the depth in the tree); the weights learn online within each text, and
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,10 @@ _END_HASH = np.uint64(0x5851F42D4C957F2D)
 class Params:
     """``bits``: log2 of each predictor's counters."""
 
-    bits: tuple[int, ...] = (18, 22, 22, 22)
+    bits: tuple[int, ...] = (18, 22, 22)
     prior: float = 0.05
     rate: float = 0.02
-    start: tuple[float, ...] = (0.25, 0.35, 0.35, 0.35)
+    start: tuple[float, ...] = (0.3, 0.4, 0.45)
     block_tokens: int = 4_000_000
 
 
@@ -66,61 +67,57 @@ def normalised(text: str | None) -> bytes:
 
 
 class Code:
-    """A Huffman code of the 256 bytes: the inner nodes passed and the turns
-    taken for each byte, one after the other."""
+    """A Huffman code of the 256 bytes for each byte that may stand before:
+    the inner nodes passed and the turns taken, one after the other. A usual
+    byte is few decisions; the bits are the same as with any other code tree,
+    as the predictors decide each turn."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        node = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[2]], parent[b[2]] = (node, 0), (node, 1)
-            heapq.heappush(heap, (a[0] + b[0], node, node))
-            node += 1
-        paths = []
-        for b in range(256):
-            path, at = [], b
-            while at in parent:
-                at, turn = parent[at]
-                path.append((node - 1 - at, turn))
-            paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths])
+        """``counts``: 256 x 256, of pairs of bytes."""
+        counts = np.asarray(counts).reshape(256, 256)
+        length, nodes, turns = np.zeros((256, 256), np.int64), [], []
+        unseen = _paths(np.zeros(256, np.int64))  # one code for all bytes never seen
+        for before in range(256):
+            paths = _paths(counts[before]) if counts[before].any() else unseen
+            for b, path in enumerate(paths):
+                length[before, b] = len(path)
+                nodes.extend(n for n, _ in path)
+                turns.extend(t for _, t in path)
+        self.length = length.ravel()
         self.offset = np.cumsum(self.length) - self.length
-        flat = [x for p in paths for x in p]
-        self.node = np.array([n for n, _ in flat])
-        self.turn = np.array([t for _, t in flat], np.uint8)
-        self.gate = np.concatenate([np.minimum(np.arange(n), 3) for n in self.length])
+        self.node = np.array(nodes)
+        self.turn = np.array(turns, np.uint8)
+        depth = np.arange(len(nodes)) - np.repeat(self.offset, self.length)
+        self.gate = np.minimum(depth, 3)
+
+
+def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each byte its path from the root (node 0): nodes and turns."""
+    heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent: dict[int, tuple[int, int]] = {}
+    for node in range(256, 511):
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a[2]], parent[b[2]] = (node, 0), (node, 1)
+        heapq.heappush(heap, (a[0] + b[0], node, node))
+    out = []
+    for b in range(256):
+        path, at = [], b
+        while at in parent:
+            at, turn = parent[at]
+            path.append((510 - at, turn))
+        out.append(path[::-1])
+    return out
+
 
 _PAD = 8  # zero bytes before each text
 
 
-def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts with padding, where each starts, and before each byte a hash
-    of the word so far."""
+def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts with padding, and where each starts."""
     data = np.frombuffer(b"".join(b"\0" * _PAD + t for t in texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
-    start = np.cumsum(sizes + _PAD) - sizes
-    # a word's polynomial prefix hash from prefix sums, as in word_hashes
-    up, down = _powers32(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint32)
-    np.cumsum((data.astype(np.uint32) + np.uint32(1)) * up[: len(data)], out=sums[1:], dtype=np.uint32)
-    at = np.arange(len(data), dtype=np.int64)
-    begin = np.maximum.accumulate(np.where((data == 32) | (data == 0), at + 1, 0))
-    begin = np.concatenate([[0], begin[:-1]])  # of the word that the byte before belongs to
-    return data, start, (sums[:-1] - sums[begin]) * down[begin]
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers32(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x2545F491
-    for x in (base, pow(base, -1, 1 << 32)):
-        if x not in _POWERS or len(_POWERS[x]) < n:
-            _POWERS[x] = np.cumprod(np.concatenate([[1], np.full(1 << max(16, n.bit_length()), x)]).astype(np.uint32), dtype=np.uint32)
-    return _POWERS[base], _POWERS[pow(base, -1, 1 << 32)]
+    return data, np.cumsum(sizes + _PAD) - sizes
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -132,13 +129,13 @@ def _mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _contexts(data: np.ndarray, words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def _contexts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """A 32-bit hash of each predictor's context before the bytes ``at``."""
     one, two, three, four, five = (data[at - i].astype(np.uint32) for i in range(1, 6))
     two = one | (two << np.uint32(8))
     four = two | (three << np.uint32(16)) | (four << np.uint32(24))
     mixed = _mix32(four)
-    return [_mix32(two + np.uint32(0x1000000)), mixed, _mix32(mixed + five), _mix32(words[at] ^ np.uint32(0x9E3779B1))]
+    return [_mix32(two + np.uint32(0x1000000)), mixed, _mix32(mixed + five)]
 
 
 class Places:
@@ -147,14 +144,14 @@ class Places:
     So a context's counters lie side by side, the usual nodes' in one line
     of the cache."""
 
-    def __init__(self, code: Code, data: np.ndarray, words: np.ndarray, at: np.ndarray, bits: tuple[int, ...]):
-        symbols = data[at]
-        self.each = code.length[symbols]
+    def __init__(self, code: Code, data: np.ndarray, at: np.ndarray, bits: tuple[int, ...]):
+        symbols = data[at] | (data[at - 1].astype(np.int64) << 8)
+        self.each = code.length.take(symbols)
         ends = np.cumsum(self.each)
-        self.place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.offset[symbols] - (ends - self.each), self.each)
+        self.place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.offset.take(symbols) - (ends - self.each), self.each)
         self.turn = code.turn.take(self.place)
         self._node = code.node.take(self.place)
-        self._contexts, self.bits = _contexts(data, words, at), bits
+        self._contexts, self.bits = _contexts(data, at), bits
 
     def counter(self, k: int) -> np.ndarray:
         x = np.repeat((self._contexts[k] >> np.uint32(32 - self.bits[k])).astype(np.int64), self.each)
@@ -184,7 +181,7 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Natural logarithms of the texts' probabilities."""
         p, code = self.p, self.code
-        data, start, words = _buffer(texts)
+        data, start = _buffer(texts)
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")  # the longest first: those still read are a prefix
         start, size = start[order], size[order]
@@ -197,7 +194,7 @@ class Scorer:
             n = np.minimum(size[:alive] - read, max(32, min(read // 16, 1 << 16)))
             doc = np.repeat(np.arange(alive), n)
             at = np.arange(len(doc)) + np.repeat(start[:alive] + read - (np.cumsum(n) - n), n)
-            d = Places(code, data, words, at, p.bits)
+            d = Places(code, data, at, p.bits)
             mine = np.repeat(doc, d.each)
             gate = np.repeat(doc * _GATES + _KIND[data[at - 1]], d.each) + code.gate.take(d.place)
             bit = d.turn.astype(np.float32)
@@ -236,15 +233,15 @@ class Scorer:
 def counts(code: Code, texts: list[bytes], bits: tuple[int, ...], into: list[np.ndarray]) -> None:
     """Adds the texts' decisions to the predictors' counters (left and right
     turns side by side)."""
-    data, start, words = _buffer(texts)
+    data, start = _buffer(texts)
     n = np.array([len(t) for t in texts])
     at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-    d = Places(code, data, words, at, bits)
+    d = Places(code, data, at, bits)
     for k, array in enumerate(into):
         slot = d.counter(k)
         slot <<= 1
         slot |= d.turn
-        array += np.bincount(slot, minlength=len(array)).astype(array.dtype)
+        np.add(array, np.bincount(slot, minlength=len(array)), out=array, casting="unsafe")
 
 
 def _logits(ones: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
@@ -257,12 +254,12 @@ _PIECE = 1 << 17  # numbers (two a counter) sent as one row
 _TEXT_BYTES = 1 << 20  # of texts worked on together
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _chunks(texts: list[bytes], most: int = _TEXT_BYTES) -> Iterator[list[bytes]]:
     chunk, size = [], 0
     for t in texts:
         chunk.append(t)
         size += len(t)
-        if size >= _TEXT_BYTES:
+        if size >= most:
             yield chunk
             chunk, size = [], 0
     if chunk:
@@ -273,7 +270,7 @@ def _tokens(rows: DataFrame, p: Params) -> DataFrame:
     """Three kinds of rows from (id, mark, train, text). Kind 0, a document:
     its block, id, mark, tokens and their places in the block's word list.
     Kind 1, a word of a block: its hash, place, and number in training texts.
-    Kind 2, a byte value and its number in a task's training texts."""
+    Kind 2, a pair of bytes and its number in a task's training texts."""
     names = ["kind", "block", "id", "mark", "n", "payload", "hash", "place"]
     kind = rows.schema["id"].dataType
     types = [pa.int32(), pa.int64(), to_arrow_type(kind), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
@@ -284,7 +281,8 @@ def _tokens(rows: DataFrame, p: Params) -> DataFrame:
     def flushed(ids: list, marks: list, train: list, hashes: list) -> Iterator[pa.RecordBatch]:
         block = int.from_bytes(os.urandom(8), "big") >> 1
         size = np.array([len(h) for h in hashes])
-        words, place, each = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        place, words = pd.factorize(np.concatenate(hashes))
+        each = np.bincount(place)
         learnt = np.bincount(place, np.repeat(np.array(train, float), size), len(words)).astype(np.int64)
         order = np.argsort(-each, kind="stable")  # usual words get small places
         rank = np.empty(len(order), np.uint32)
@@ -300,12 +298,12 @@ def _tokens(rows: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
-        tokens, seen = 0, np.zeros(256, np.int64)
+        tokens, pairs, seen = 0, [], np.zeros(1 << 16, np.int64)
         for b in batches:
             for doc, mark, train, text in zip(*(c.to_pylist() for c in b.columns)):
                 data = normalised(text)
                 if train:
-                    seen += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+                    pairs.append(data)
                 hashes = np.append(word_hashes(data), _END_HASH)
                 for column, value in zip(held, (doc, mark, train, hashes)):
                     column.append(value)
@@ -313,9 +311,14 @@ def _tokens(rows: DataFrame, p: Params) -> DataFrame:
                 if tokens >= p.block_tokens:
                     yield from flushed(*held)
                     held, tokens = ([], [], [], []), 0
+            # pairs of bytes; a text's first byte stands after a zero byte
+            both = np.frombuffer(b"\0" + b"\0".join(pairs), np.uint8).astype(np.int64)
+            seen += np.bincount(both[1:] | (both[:-1] << 8), minlength=1 << 16)
+            pairs = []
         if tokens:
             yield from flushed(*held)
-        yield batch(256, kind=[2] * 256, hash=np.arange(256), n=seen)
+        (some,) = np.nonzero(seen)
+        yield batch(len(some), kind=[2] * len(some), hash=some, n=seen[some])
 
     return rows.mapInArrow(run, f"kind int, block long, id {kind.simpleString()}, mark long, n long, payload binary, hash long, place int")
 
@@ -401,7 +404,7 @@ def _tables(rows: DataFrame, code: Code, p: Params) -> list[np.ndarray]:
         arrays = [np.zeros(n, np.uint32) for n in sizes]
         some = False
         for b in batches:
-            for chunk in _chunks([normalised(t) for t in b.column(0).to_pylist()]):
+            for chunk in _chunks([normalised(t) for t in b.column(0).to_pylist()], 2 * _TEXT_BYTES):
                 counts(sent.value, chunk, p.bits, arrays)
                 some = True
         salt = int.from_bytes(os.urandom(2), "big") % 16
@@ -429,7 +432,7 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     tokens = saved(_tokens(rows.select("id", "mark", (~F.col("held")).alias("train"), "text"), p), "tokens", by="kind")
     base, total = _base(tokens, p)
-    seen = np.zeros(256, np.int64)
+    seen = np.zeros(1 << 16, np.int64)
     for r in tokens.filter("kind = 2").groupBy("hash").agg(F.sum("n").alias("n")).collect():
         seen[r["hash"]] = r["n"]
     code = Code(seen)
