@@ -11,8 +11,8 @@ is removed. Clauses are used as sentences because passages that are copied
 into other texts seldom begin and end with a sentence: short units leave few
 uncovered words at both ends.
 
-Hot spans do no harm: the first occurrence is a pre-aggregated minimum, and
-the join of spans to repeated hashes is splittable. Texts are read twice by
+Hot spans do no harm: counts and first occurrences are pre-aggregated, and
+the joins of spans to repeated hashes are splittable. Texts are read twice by
 scans and shuffled once, spans are narrow rows.
 
 Defined results: a null text stays null, an empty one empty, both without
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, text_session, word_hashes
+from .common import LOWER, mix64, saved, text_session, word_hashes
 
 _END = re.compile(rb"(?<=[.!?;:,])[\x20\x09\x0B-\x0D]+|\n+|(?<=\xe3\x80\x82)")
 
@@ -124,8 +124,11 @@ def without_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     found = _span_rows(rows, p)
     place = F.struct("id", "first")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("other")).filter("origin <> other")
-    again = found.join(firsts.select("h1", "h2", "origin"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("origin")))
+    # hashes are counted alone; places are only compared among repeated spans
+    counts = found.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
+    repeated = saved(found.join(counts, ["h1", "h2"], "left_semi"), "repeated-spans")
+    firsts = repeated.groupBy("h1", "h2").agg(F.min(place).alias("origin"))
+    again = repeated.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("origin")))
     covered = again.select("id", "mark", "first", "last").groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("__covered"))
     covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
