@@ -66,3 +66,35 @@ def test_odd_rows(odd, none):
     assert cm.score(none, F.lit(False), SMALL).collect() == []
     held = cm.score(odd, F.lit(True), SMALL).collect()
     assert {(r.train_tokens, r.n_known) for r in held} == {(0, 0)}
+
+
+def test_contexts_do_not_share_counts(docs):
+    """What is gathered grows with the texts: a table's size has no say."""
+    some = docs.filter("doc_id < 60")
+    one, two = ({r.doc_id: r.score for r in cm.score(some, remainder(F.col("doc_id"), 10) == 0, replace(cm.Params(), bits=(b, b, b), block_bytes=size, piece_bytes=piece)).collect()} for b, size, piece in ((17, 20_000, 10_000), (22, 1 << 23, 1 << 22)))
+    assert one.keys() == two.keys() and len(one) > 0
+    for d, score in one.items():
+        assert score == pytest.approx(two[d], rel=1e-5)
+
+
+def test_logits_equal_brute_force():
+    texts = [b"some words to count\n", b"others to count, some more\n"]
+    code = cm.Code(np.arange(1 << 16))
+    asked = cm.Asked([texts], 3)
+    keys, order = np.unique(asked.keys, return_index=True)
+    assert len(keys) == len(asked.keys)
+    logits, begin = cm._paths_logits(code, keys, asked.learnt(np.ones(sum(map(len, texts)), bool))[order], 0.05)
+    found = Counter()
+    for k, order in enumerate((2, 4, 5)):
+        for t in texts:
+            padded = b"\0" * 8 + t
+            for i in range(8, len(padded)):
+                pair = padded[i - 1] << 8 | padded[i]
+                for x in range(code.offset[pair], code.offset[pair] + code.length[pair]):
+                    found[k, padded[i - order : i], code.node[x], code.turn[x]] += 1
+    for key, at in zip(keys.tolist(), begin):
+        k, pair = key >> 48, key & 0xFFFF
+        context = (key >> 8 & (1 << 40) - 1).to_bytes(5, "little")[: (2, 4, 5)[k]][::-1]
+        for j, x in enumerate(range(code.offset[pair], code.offset[pair] + code.length[pair])):
+            zero, one = (found[k, context, code.node[x], turn] for turn in (0, 1))
+            assert logits[at + j] / cm._UNIT == pytest.approx(math.log((one + 0.05) / (zero + 0.05)), abs=1 / cm._UNIT)

@@ -2,18 +2,23 @@
 
 A text is its words (A-Z lower-cased) joined by single blanks, and one end
 mark. It is coded byte by byte along a binary code tree, so that a byte is a
-few binary decisions. Several predictors, each with a hashed context (the
-last two, four or five bytes), give the
-probability of each decision from counts gathered over all training texts.
+few binary decisions. Several predictors, each with a context (the last
+two, four or five bytes), give the probability of each decision from counts
+gathered over all training texts.
 Their logits are combined by weights chosen by a gate (the kind of the last
 byte, the depth in the tree); the weights learn online within each text, and
 an adaptive map refines the mixture's probability. The sum over decisions is
 the text's log-probability; it divides into bits per byte.
 
-Distribution: the counts of a predictor are an array of fixed size, indexed
-by a hash of context and tree node. Every task of training texts adds up its
-own arrays, which are summed in pieces (salted, as a stream) and broadcast
-as one byte per counter; their size is a parameter, never the corpus's.
+Distribution: a context with the byte after it is one number, predictor and
+bytes as they are, so no two contexts share counts and what is gathered grows
+with the input. A block of some megabytes of texts asks for each such number
+once, with its count in training texts; the numbers are dealt by their
+context into pieces, whose number grows with the input as well. A piece adds
+up the counts of all blocks and answers each block with the logits of the
+decisions it asked for, which meet the block's texts in a join. Nothing is
+broadcast but the code, and blocks and pieces are written before they are
+dealt, so a task that runs again sends the same rows.
 Scoring starts each text from the same weights, so results depend neither on
 partitions nor on other texts. Texts of a batch are scored side by side: the
 weights are updated after blocks of bytes, 32 at first and then a sixteenth
@@ -38,6 +43,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -46,20 +52,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, saved, text_session, word_hashes
+from .common import LOWER, mix64, saved, text_session, word_hashes
 
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
 class Params:
-    """``bits``: log2 of each predictor's counters."""
+    """``bits``: log2 of each predictor's counters where a ``Scorer`` is given
+    arrays of fixed size; ``score`` gathers by context and has none.
+    ``block_bytes``: of texts that ask for counts together."""
 
     bits: tuple[int, ...] = (18, 22, 22)
     prior: float = 0.05
     rate: float = 0.02
     start: tuple[float, ...] = (0.3, 0.4, 0.45)
     block_tokens: int = 4_000_000
+    block_bytes: int = 4 << 20
+    piece_bytes: int = 4 << 20
 
 
 def normalised(text: str | None) -> bytes:
@@ -148,16 +158,30 @@ class Places:
         symbols = data[at] | (data[at - 1].astype(np.int64) << 8)
         self.each = code.length.take(symbols)
         ends = np.cumsum(self.each)
-        self.place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.offset.take(symbols) - (ends - self.each), self.each)
+        self._code, self._data, self._at, self.bits = code, data, at, bits
+        self._first = ends - self.each
+        self.place = self.along(code.offset.take(symbols))
         self.turn = code.turn.take(self.place)
-        self._node = code.node.take(self.place)
-        self._contexts, self.bits = _contexts(data, at), bits
+
+    def along(self, start: np.ndarray) -> np.ndarray:
+        """Of paths that start there: the place of each decision."""
+        x = np.repeat(start - self._first, self.each)
+        x += np.arange(len(x))
+        return x
 
     def counter(self, k: int) -> np.ndarray:
-        x = np.repeat((self._contexts[k] >> np.uint32(32 - self.bits[k])).astype(np.int64), self.each)
+        x = np.repeat((self._hashes[k] >> np.uint32(32 - self.bits[k])).astype(np.int64), self.each)
         x ^= self._node
         return x
 
+    @cached_property
+    def _hashes(self) -> list[np.ndarray]:
+        return _contexts(self._data, self._at)
+
+    @cached_property
+    def _node(self) -> np.ndarray:
+        return self._code.node.take(self.place)
+
 
 def _kinds() -> np.ndarray:
     """The gate's kinds of bytes."""
@@ -173,8 +197,24 @@ _GATES = 16
 _STEPS = 33  # of the adaptive map, over logits from -8 to 8
 
 
+class Gathered:
+    """A predictor's logits for the texts of one buffer: where the path of
+    each byte starts in ``logits``."""
+
+    def __init__(self, logits: np.ndarray, start: np.ndarray):
+        self.logits, self.start = logits, start
+
+    def of(self, d: Places, at: np.ndarray) -> np.ndarray:
+        x = self.logits.take(d.along(self.start.take(at))).astype(np.float32)
+        x *= np.float32(1 / _UNIT)
+        return x
+
+
 class Scorer:
-    def __init__(self, code: Code, tables: list[np.ndarray], p: Params):
+    """``tables``: per predictor what was gathered for the texts, or an array
+    of logits in sixteenths for hashed contexts."""
+
+    def __init__(self, code: Code, tables: list[np.ndarray | Gathered], p: Params):
         self.code, self.p = code, p
         self.tables = tables
 
@@ -198,10 +238,9 @@ class Scorer:
             mine = np.repeat(doc, d.each)
             gate = np.repeat(doc * _GATES + _KIND[data[at - 1]], d.each) + code.gate.take(d.place)
             bit = d.turn.astype(np.float32)
-            x = [self.tables[k].take(d.counter(k), mode="clip").astype(np.float32) for k in range(len(p.bits))]
+            x = [t.of(d, at) if isinstance(t, Gathered) else t.take(d.counter(k), mode="clip").astype(np.float32) / np.float32(16) for k, t in enumerate(self.tables)]
             logit = np.zeros(len(bit), np.float32)
             for one, w in zip(x, weights):
-                one *= np.float32(1 / 16)
                 logit += one * w.take(gate, mode="clip")
             np.clip(logit, -7.99, 7.99, out=logit)
             mix = 1 / (1 + np.exp(-logit))
@@ -250,7 +289,8 @@ def _logits(ones: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
     return np.clip(np.rint(x), -127, 127).astype(np.int8)
 
 
-_PIECE = 1 << 17  # numbers (two a counter) sent as one row
+_ORDERS = (2, 4, 5)  # bytes of each predictor's context
+_UNIT = 32  # a logit of 1 among gathered logits
 _TEXT_BYTES = 1 << 20  # of texts worked on together
 
 
@@ -371,55 +411,194 @@ def _base(tokens: DataFrame, p: Params) -> tuple[DataFrame, int]:
     return both.mapInArrow(run, f"id {kind}, mark long, n_tokens long, n_known long, base_score double"), total
 
 
-def _summed(pieces: DataFrame, prior: float | None = None) -> DataFrame:
-    """Sums the arrays of each piece, as a stream over rows sorted by piece;
-    with ``prior``, as logits."""
+def _keys(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The bytes ``at``, each with its context, as numbers: the predictor,
+    the context's bytes and the byte."""
+    key = data[at].astype(np.uint64)
+    for i in range(1, _ORDERS[k] + 1):
+        key |= data[at - i].astype(np.uint64) << np.uint64(8 * i)
+    key |= np.uint64(k << 48)
+    return key
+
+
+class Asked:
+    """The distinct ``keys`` of a block of texts, by piece, with ``piece``;
+    ``codes``: per predictor, which of them each byte has."""
+
+    def __init__(self, chunks: list[list[bytes]], pieces: int):
+        self.sizes = [np.array([len(t) for t in c]) for c in chunks]
+        self.buffers, self.at = [], []
+        for chunk, n in zip(chunks, self.sizes):
+            data, start = _buffer(chunk)
+            self.buffers.append(data)
+            self.at.append(np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n))
+        found, codes, known = [], [], 0
+        for k in range(len(_ORDERS)):
+            code, keys = pd.factorize(np.concatenate([_keys(data, at, k) for data, at in zip(self.buffers, self.at)]))
+            codes.append((code + known).astype(np.int32))
+            found.append(keys)
+            known += len(keys)
+        keys = np.concatenate(found)
+        piece = (mix64(keys >> np.uint64(8)) % np.uint64(pieces)).astype(np.int64)
+        order = np.lexsort((keys, piece))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.keys, self.piece = keys[order], piece[order]
+        self.codes = [rank.take(c) for c in codes]
+
+    def learnt(self, train: np.ndarray) -> np.ndarray:
+        """The keys' numbers in the bytes of training texts."""
+        return sum(np.bincount(c[train], minlength=len(self.keys)) for c in self.codes)
+
+    def gathered(self, code: Code, logits: np.ndarray) -> Iterator[list[Gathered]]:
+        """For each chunk what the predictors got, from all answers in the
+        order of the keys."""
+        begin, which, _ = _decisions(code, self.keys)
+        logits = logits.take(which)
+        done = 0
+        for data, at in zip(self.buffers, self.at):
+            out = []
+            for c in self.codes:
+                start = np.zeros(len(data), np.int64)
+                start[at] = begin.take(c[done : done + len(at)])
+                out.append(Gathered(logits, start))
+            done += len(at)
+            yield out
+
+
+def _decisions(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys whose contexts stand together: where each path starts, which
+    decision of its context each step is, and the first step of each
+    decision. Paths of one context share their decisions."""
+    pair = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    length = code.length.take(pair)
+    begin = np.cumsum(length) - length
+    place = np.repeat(code.offset.take(pair) - begin, length)
+    place += np.arange(len(place))
+    context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=keys[:1] >> np.uint64(8)) != 0)
+    which, distinct = pd.factorize(np.repeat(context << 8, length) + code.node.take(place))
+    first = np.empty(len(distinct), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return begin, which, first
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def _unpacked(payload: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(payload), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _asked(rows: DataFrame, pieces: int, p: Params) -> DataFrame:
+    """Two kinds of rows from (id, mark, held, text). Kind 0, a document: its
+    block, place in it, and text. Kind 1, keys of a block that are in one
+    piece, as differences, and their numbers in training texts."""
+    names = ["kind", "block", "part", "id", "mark", "held", "payload", "learnt"]
+    kind = rows.schema["id"].dataType
+    types = [pa.int32(), pa.int64(), pa.int32(), to_arrow_type(kind), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, total = None, None
+    def batch(rows: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(rows, t) for c, t in zip(names, types)], names)
 
-        def row():
-            data = total if prior is None else _logits(total[1::2], total[0::2] + total[1::2], prior)
-            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())], ["piece", "payload"])
+    def flushed(ids: list, marks: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
+        block = int.from_bytes(os.urandom(8), "big") >> 1
+        asked = Asked(list(_chunks(texts)), pieces)
+        learnt = asked.learnt(np.repeat(~np.array(held, bool), [len(t) for t in texts]))
+        edges = [0, *(np.flatnonzero(np.diff(asked.piece)) + 1).tolist(), len(asked.piece)]
+        cut = list(zip(edges, edges[1:]))
+        for i in range(0, len(cut), 200):
+            some = cut[i : i + 200]
+            payload = [_packed(np.diff(asked.keys[x:y], prepend=np.uint64(0))) for x, y in some]
+            numbers = [_packed(learnt[x:y].astype(np.uint32)) for x, y in some]
+            yield batch(len(some), kind=[1] * len(some), block=[block] * len(some), part=[int(asked.piece[x]) for x, _ in some], payload=payload, learnt=numbers)
+        for i in range(0, len(ids), 200):
+            j = range(i, min(i + 200, len(ids)))
+            yield batch(len(j), kind=[0] * len(j), block=[block] * len(j), part=list(j), id=ids[i : j.stop], mark=marks[i : j.stop], held=held[i : j.stop], payload=[zlib.compress(t, 1) for t in texts[i : j.stop]])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
         for b in batches:
-            for key, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if key != piece:
-                    if piece is not None:
-                        yield row()
-                    piece, total = key, np.zeros(_PIECE, np.uint64)
-                total += np.frombuffer(zlib.decompress(payload), np.uint64)
-        if piece is not None:
-            yield row()
-
-    return pieces.mapInArrow(run, "piece int, payload binary")
-
-
-def _tables(rows: DataFrame, code: Code, p: Params) -> list[np.ndarray]:
-    """The predictors' logits from all texts of (text)."""
-    sent = rows.sparkSession.sparkContext.broadcast(code)
-    sizes = [2 << b for b in p.bits]
+            for doc, mark, held, text in zip(*(c.to_pylist() for c in b.columns)):
+                data = normalised(text)
+                for column, value in zip(block, (doc, mark, held, data)):
+                    column.append(value)
+                size += len(data)
+                if size >= p.block_bytes:
+                    yield from flushed(*block)
+                    block, size = ([], [], [], []), 0
+        if size:
+            yield from flushed(*block)
+
+    return rows.mapInArrow(run, f"kind int, block long, part int, id {kind.simpleString()}, mark long, held boolean, payload binary, learnt binary")
+
+
+def _paths_logits(code: Code, keys: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The logits of the decisions of sorted distinct keys that occur ``n``
+    times, one path after the other, and where each path starts."""
+    pair = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    length = code.length.take(pair)
+    begin = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.int16)
+    edge = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=np.uint64((1 << 64) - 1)))  # first key of each context
+    context = np.zeros(len(keys), np.int64)
+    context[edge] = 1
+    context = np.cumsum(context) - 1
+    for i in range(0, len(edge), _CONTEXTS):
+        x, y = edge[i], edge[i + _CONTEXTS] if i + _CONTEXTS < len(edge) else len(keys)
+        each = length[x:y]
+        place = np.repeat(code.offset.take(pair[x:y]) - (begin[x:y] - begin[x]), each)
+        place += np.arange(len(place))
+        slot = np.repeat((context[x:y] - i) << 8, each) + code.node.take(place)
+        times = np.repeat(n[x:y], each)
+        all_ = np.bincount(slot, times)
+        ones = np.bincount(slot, times * code.turn.take(place), len(all_))
+        logit = np.log((ones + prior) / (all_ - ones + prior)) * _UNIT
+        out[begin[x] : begin[x] + len(place)] = np.rint(logit).astype(np.int16).take(slot)
+    return out, begin
+
+
+_CONTEXTS = 1 << 13  # whose counters are in memory together
+
+
+def _answers(asked: DataFrame, code, p: Params) -> DataFrame:
+    """(block, part, payload): for each block and piece the logits of the
+    decisions of its keys, from the numbers in all blocks. ``code`` is
+    broadcast."""
+
+    def answered(piece: int, blocks: list, keys: list, learnt: list) -> Iterator[pa.RecordBatch]:
+        sizes = [len(k) for k in keys]
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(which, np.concatenate(learnt))
+        logits, begin = _paths_logits(code.value, distinct, n, p.prior)
+        at = 0
+        for block, size in zip(blocks, sizes):
+            mine = which[at : at + size]
+            at += size
+            path, _, first = _decisions(code.value, distinct.take(mine))
+            key = np.searchsorted(path, first, "right") - 1
+            place = begin.take(mine.take(key)) + first - path.take(key)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([piece], pa.int32()), pa.array([_packed(logits.take(place))], pa.binary())], ["block", "part", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [np.zeros(n, np.uint32) for n in sizes]
-        some = False
+        piece, held = None, ([], [], [])
         for b in batches:
-            for chunk in _chunks([normalised(t) for t in b.column(0).to_pylist()], 2 * _TEXT_BYTES):
-                counts(sent.value, chunk, p.bits, arrays)
-                some = True
-        salt = int.from_bytes(os.urandom(2), "big") % 16
-        parts = (part for array in arrays for part in np.split(array, len(array) // _PIECE))
-        for i, part in enumerate(parts):
-            if some and part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint64).tobytes(), 1)], pa.binary()), pa.array([salt], pa.int32())], ["piece", "payload", "salt"])
-
-    found = rows.select("text").mapInArrow(run, "piece int, payload binary, salt int")
-    some = _summed(found.repartition("piece", "salt").sortWithinPartitions("piece").select("piece", "payload"))
-    whole = _summed(some.repartition("piece").sortWithinPartitions("piece"), p.prior)
-    out = np.zeros(sum(sizes) // 2, np.int8)
-    for r in whole.collect():  # one byte per counter, a few megabytes in all
-        out[r["piece"] * (_PIECE // 2) :][: _PIECE // 2] = np.frombuffer(zlib.decompress(r["payload"]), np.int8)
-    return np.split(out, np.cumsum([n // 2 for n in sizes])[:-1])
+            for part, block, payload, learnt in zip(*(c.to_pylist() for c in b.columns)):
+                if part != piece:
+                    if held[0]:
+                        yield from answered(piece, *held)
+                    piece, held = part, ([], [], [])
+                held[0].append(block)
+                held[1].append(np.cumsum(_unpacked(payload, np.uint64), dtype=np.uint64))
+                held[2].append(_unpacked(learnt, np.uint32))
+        if held[0]:
+            yield from answered(piece, *held)
+
+    rows = asked.filter("kind = 1").select("part", "block", "payload", "learnt")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, payload binary")
 
 
 def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,18 +615,44 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str =
     for r in tokens.filter("kind = 2").groupBy("hash").agg(F.sum("n").alias("n")).collect():
         seen[r["hash"]] = r["n"]
     code = Code(seen)
-    sent = spark.sparkContext.broadcast((code, _tables(rows.filter(~F.col("held")), code, p)))
+    sent = spark.sparkContext.broadcast(code)
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = 32 + n_bytes // p.piece_bytes
+    asked = saved(_asked(rows, pieces, p), "asked", by="kind")
+    answers = _answers(asked, sent, p)
+    kind = rows.schema["id"].dataType.simpleString()
+    empty = lambda t: F.lit(None).cast(t)
+    both = answers.select("block", F.lit(0).alias("kind"), "part", "payload", empty(kind).alias("id"), empty("long").alias("mark"), empty("boolean").alias("held")).unionAll(
+        asked.filter("kind = 0").select("block", F.lit(1).alias("kind"), "part", "payload", "id", "mark", "held")
+    )
+    # a block's answers come before its documents
+    both = both.repartition("block").sortWithinPartitions("block", "kind", "part")
+    arrow = to_arrow_type(rows.schema["id"].dataType)
+
+    def scores(answers: list, docs: list) -> pa.RecordBatch:
+        code = sent.value
+        texts = [zlib.decompress(d[0]) for d in docs]
+        chunks = list(_chunks(texts))
+        block = Asked(chunks, pieces)
+        gathered = block.gathered(code, np.concatenate([_unpacked(a, np.int16) for a in answers]))
+        logs = np.concatenate([Scorer(code, tables, p)(chunk) for chunk, tables in zip(chunks, gathered)])
+        n = np.array([len(t) for t in texts], np.int64)
+        ids, marks, held = (pa.array([d[i] for d in docs], t) for i, t in ((1, arrow), (2, pa.int64()), (3, pa.bool_())))
+        return pa.RecordBatch.from_arrays([ids, marks, held, pa.array(logs / math.log(10)), pa.array(n), pa.array(-logs / math.log(2) / np.maximum(n, 1))], ["id", "mark", "held", "score", "n_bytes", "bits_per_byte"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*sent.value, p)
+        block, answers, docs = None, [], []
         for b in batches:
-            texts = [normalised(t) for t in b.column(3).to_pylist()]
-            logs = np.concatenate([scorer(chunk) for chunk in _chunks(texts)]) if texts else np.zeros(0)
-            n = np.array([len(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(logs / math.log(10)), pa.array(n), pa.array(-logs / math.log(2) / np.maximum(n, 1))], ["id", "mark", "held", "score", "n_bytes", "bits_per_byte"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"id {kind}, mark long, held boolean, score double, n_bytes long, bits_per_byte double")
+            for one, is_doc, payload, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                if one != block:
+                    if docs:
+                        yield scores(answers, docs)
+                    block, answers, docs = one, [], []
+                docs.append((payload, *rest)) if is_doc else answers.append(payload)
+        if docs:
+            yield scores(answers, docs)
+
+    scored = both.select("block", "kind", "payload", "id", "mark", "held").mapInArrow(run, f"id {kind}, mark long, held boolean, score double, n_bytes long, bits_per_byte double")
     base = base.dropDuplicates(["id", "mark"])
     same = scored["id"].eqNullSafe(base["id"]) & (scored["mark"] == base["mark"])
     return scored.join(base, same).select(
