@@ -98,3 +98,14 @@ def test_logits_equal_brute_force():
         for j, x in enumerate(range(code.offset[pair], code.offset[pair] + code.length[pair])):
             zero, one = (found[k, context, code.node[x], turn] for turn in (0, 1))
             assert logits[at + j] / cm._UNIT == pytest.approx(math.log((one + 0.05) / (zero + 0.05)), abs=1 / cm._UNIT)
+
+
+def test_a_task_that_runs_again_sends_the_same_rows(docs):
+    """What is dealt by block and piece is read from a saved table; the key of
+    the exchange is no new random number."""
+    p = replace(cm.Params(), block_bytes=20_000)
+    rows = docs.filter("doc_id < 60").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("mark"), F.lit(False).alias("held"), "text")
+    asked = cm.saved(cm._asked(rows, 5, p), "asked", by="kind")
+    code = docs.sparkSession.sparkContext.broadcast(cm.Code(np.arange(1 << 16)))
+    one, two = (sorted((r.block, r.part, bytes(r.payload)) for r in cm._answers(asked, code, p).collect()) for _ in range(2))
+    assert one == two and len(one) == asked.filter("kind = 1").count() > 5
