@@ -5,7 +5,14 @@ term frequency times ln((N + 1) / (df + 1)) + 1, where N counts all units
 and df the units with the word; words outside the templates have df 0. A
 unit's licence is the template of the largest cosine, if that reaches
 ``threshold``. A file's own licence is the best of its units (ties: first
-line, then licence name). A file of whose words at least ``file_share``
+line, then licence name).
+
+Licence texts and longer headers (``bodies``) are compared with blocks: the
+whole file, its paragraphs, its leading paragraphs together, and two to four
+lines in a row; the lines' templates are compared with blocks too, as a
+header may be wrapped. A block that matches a body decides before any line
+(a BSD text also has the line "All rights reserved."), a wrapped header only
+where no line does. Words weigh the same as in lines. A file of whose words at least ``file_share``
 stand in licence units is a licence file and speaks for its directory. A
 file without a licence of its own inherits that of the nearest ancestor
 directory with a licence file (of several files in one directory the best
@@ -16,6 +23,8 @@ template words alone (a few hundred rows at most). Units that cannot reach
 the threshold are left out exactly, not by a guess: the template words are
 sorted by weight, and a unit without any of a template's heaviest words,
 the rest of which fall short of the threshold together, cannot match it.
+Likewise a file, and then a block, is left out if for every template the
+weights of the words it has of it fall short together.
 Texts are scanned twice and never shuffled.
 
 Defined results: null and empty texts have no units; a null path has no
@@ -52,6 +61,68 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved."],
 }
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
+        f"but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+# Whole texts of short licences, the longer headers and the openings of long ones.
+BODIES = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of '
+        "the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License "
+        'is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language '
+        "governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    ],
+    "BSD-2-Clause": [_BSD + _AS_IS],
+    "BSD-3-Clause": [
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. " + _AS_IS
+    ],
+    "GPL-2.0": [_gnu("GNU General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."],
+    "GPL-3.0": [_gnu("GNU General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        'notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+        "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "LGPL-3.0": [_gnu("GNU Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"],
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in '
+        "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+        "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        'permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, '
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one "
+        "at https://mozilla.org/MPL/2.0/."
+    ],
+}
 _SPLIT = r"[^\p{L}\p{N}]+"
 MAX_TEMPLATE_WORDS = 5000
 
@@ -59,6 +130,7 @@ MAX_TEMPLATE_WORDS = 5000
 @dataclass(frozen=True)
 class Params:
     templates: Mapping[str, list[str]] = field(default_factory=lambda: TEMPLATES)
+    bodies: Mapping[str, list[str]] = field(default_factory=lambda: BODIES)
     threshold: float = 0.8
     file_share: float = 0.25
 
@@ -77,11 +149,11 @@ def _units(files: DataFrame) -> DataFrame:
     return lines.select("id", "mark", "pos", _unit_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
-def _weights(units: DataFrame, p: Params) -> tuple[dict, dict, float]:
+def _weights(units: DataFrame, templates: Mapping) -> tuple[dict, dict, float]:
     """Template vectors of unit length, inverse document frequencies of their
     words, and that of a word outside. Brings one number per template word
     to the driver."""
-    counts = {(name, i): _count(words(t)) for name, texts in p.templates.items() for i, t in enumerate(texts)}
+    counts = {(name, i): _count(words(t)) for name, texts in templates.items() for i, t in enumerate(texts)}
     known = sorted({w for c in counts.values() for w in c})
     if len(known) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words")
@@ -118,9 +190,13 @@ def matches(files: DataFrame, p: Params = Params()) -> DataFrame:
     """(id, mark, pos, licence, cosine, n_words) of the units that reach the
     threshold, from (id, mark, text)."""
     units = _units(files)
-    vectors, idf, outside = _weights(units, p)
+    vectors, idf, outside = _weights(units, p.templates)
+    return _scored(units, vectors, idf, outside, p)
+
+
+def _scored(units: DataFrame, vectors: dict, idf: dict, outside: float, p: Params) -> DataFrame:
     needed = _needed(vectors, p.threshold)
-    spark = files.sparkSession
+    spark = units.sparkSession
     rows = [(name, i, w, x) for (name, i), v in vectors.items() for w, x in v.items()]
     template = F.broadcast(spark.createDataFrame(rows, "licence string, variant int, word string, weight double"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
@@ -137,6 +213,47 @@ def matches(files: DataFrame, p: Params = Params()) -> DataFrame:
     return best.select("id", "mark", "pos", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("cosine"), "n_words")
 
 
+def _able(seen: Column, vectors: dict, threshold: float) -> Column:
+    """Whether the words that ``seen`` has of some template weigh enough: the
+    cosine is at most the length of that part of the template."""
+    out = F.lit(False)
+    for v in vectors.values():
+        if v:
+            weight = F.create_map(*[x for w, y in sorted(v.items()) for x in (F.lit(w), F.lit(y * y))])
+            have = F.aggregate(F.array_intersect(seen, F.array(*[F.lit(w) for w in sorted(v)])), F.lit(0.0), lambda total, w: total + F.try_element_at(weight, w))
+            out = out | (F.sqrt(have) >= threshold - 1e-9)
+    return out
+
+
+def _runs(parts: str, size: int) -> Column:
+    """Every ``size`` parts in a row, as one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - size + 1))
+    return F.transform(starts, lambda i: F.flatten(F.slice(parts, i, size)))
+
+
+def block_matches(files: DataFrame, p: Params = Params()) -> DataFrame:
+    """(id, mark, licence, body, cosine, n_words) of each file's best block
+    that reaches the threshold, one of a body before one of a header."""
+    templates = {(True, k): v for k, v in p.bodies.items()} | {(False, k): v for k, v in p.templates.items()}
+    vectors, idf, outside = _weights(_units(files), templates)
+    # the lines' templates are told from bodies by their names
+    vectors = {(("B" if body else "H") + name, i): v for ((body, name), i), v in vectors.items()}
+    needed = F.array(*[F.lit(w) for w in _needed(vectors, p.threshold)]).cast("array<string>")
+    whole = files.withColumn("words", _unit_words(F.col("text"))).filter(F.arrays_overlap("words", needed))
+    whole = whole.filter(_able(F.col("words"), vectors, p.threshold))
+    split = lambda by: F.filter(F.transform(F.split("text", by), _unit_words), lambda w: F.size(w) > 0)
+    # written, so that texts are split once and not for every block
+    whole = saved(whole.select("id", "mark", "words", split("\n").alias("lines"), split(r"\n[ \t\r]*\n").alias("paragraphs")), "licence-files")
+    runs = [_runs("lines", n) for n in (2, 3, 4)]
+    leading = F.transform(F.sequence(F.lit(2), F.lit(12)), lambda n: F.flatten(F.slice("paragraphs", F.lit(1), n)))
+    blocks = F.concat(F.array("words"), F.col("paragraphs"), leading, *runs)
+    units = whole.select("id", "mark", F.posexplode(F.array_distinct(blocks)).alias("pos", "words"))
+    found = _scored(units.filter(_able(F.col("words"), vectors, p.threshold)), vectors, idf, outside, p)
+    best = F.min(F.struct((F.substring("licence", 1, 1) != "B").alias("header"), (-F.col("cosine")).alias("minus"), (-F.col("n_words")).alias("short"), "licence"))
+    best = found.groupBy("id", "mark").agg(best.alias("b"))
+    return best.select("id", "mark", F.expr("substring(b.licence, 2)").alias("licence"), (~F.col("b.header")).alias("body"), (-F.col("b.minus")).alias("cosine"), (-F.col("b.short")).alias("n_words"))
+
+
 def directory(path: Column) -> Column:
     """What precedes the last slash; null without one."""
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", ""))
@@ -153,7 +270,15 @@ def scan(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     own = found.dropDuplicates(["id", "mark", "pos"]).groupBy("id", "mark").agg(
         F.min(F.struct((-F.col("cosine")).alias("minus"), "pos", "licence")).alias("b"), F.sum("n_words").alias("in_licence")
     )
-    own = own.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("cosine"), "in_licence")
+    own = own.select("id", "mark", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("cosine"), "in_licence")
+    blocks = saved(block_matches(files, p), "licence-blocks").select("id", "mark", "body", F.struct(F.col("licence").alias("own"), "cosine", F.col("n_words").cast("long").alias("in_licence")).alias("block"))
+    both = own.alias("o").join(blocks.alias("k"), F.col("o.id").eqNullSafe(F.col("k.id")) & (F.col("o.mark") == F.col("k.mark")), "full")
+    line = F.when(F.col("o.mark").isNotNull(), F.struct("o.own", "o.cosine", "o.in_licence"))
+    own = both.select(
+        F.when(F.col("o.mark").isNotNull(), F.col("o.id")).otherwise(F.col("k.id")).alias("__id"),
+        F.coalesce("o.mark", "k.mark").alias("__mark"),
+        F.when(F.col("k.body"), F.col("k.block")).otherwise(F.coalesce(line, F.col("k.block"))).alias("found"),
+    ).select("__id", "__mark", "found.*")
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
     # words are only counted where a unit matched
     few = files.join(own, same).select("id", "path", "own", "cosine", "in_licence", F.size(_unit_words(text)).alias("all"))
