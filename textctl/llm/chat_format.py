@@ -104,10 +104,10 @@ def formatted(turns: DataFrame, loss_roles: Sequence[str] = ("assistant",), conv
     and ``loss``."""
     prepare(turns.sparkSession)
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("__conv"), F.struct("turn", _role_escaped(role).alias("role"), text.alias("text")).alias("__turn"))
-    # sorted by the texts as they are, escaped only then
+    rows = turns.select(F.col(conv_col).alias("__conv"), F.struct("turn", role.alias("role"), text.alias("text")).alias("__turn"))
+    # sorted by roles and texts as they are, escaped only then
     out = rows.groupBy("__conv").agg(F.sort_array(F.collect_list("__turn")).alias("__turns"))
-    clean = F.transform("__turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["text"]).alias("text")))
+    clean = F.transform("__turns", lambda t: F.struct(_role_escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text")))
     out = out.select("__conv", clean.alias("__turns"))
     out = out.select("__conv", _merged(F.col("__turns")).alias("__blocks"))
     block = lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END + "\n"))

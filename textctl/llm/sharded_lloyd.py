@@ -42,7 +42,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -153,8 +153,9 @@ def _first_slices(kept: DataFrame, p: Params, id_col: str, vec_col: str) -> Data
     ids. The top k are taken per task before anything moves."""
     digest = F.sha2(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     top = kept.select(digest.alias("digest"), F.transform(vec_col, lambda x: _integer(x, p)).alias("x")).orderBy("digest", "x").limit(p.k)
-    rows = top.select("digest", "x", F.posexplode("x").alias("dim", "value"))  # k * dims numbers
-    order = F.sort_array(F.collect_list(F.struct("digest", "x", "dim", "value")))
+    top = top.select(F.row_number().over(Window.orderBy("digest", "x")).alias("cluster"), "x")  # k rows; equal ones are told apart
+    rows = top.select("cluster", F.posexplode("x").alias("dim", "value"))
+    order = F.sort_array(F.collect_list(F.struct("cluster", "dim", "value")))
     shard = F.expr(f"dim div {p.width}").cast("int")
     return rows.groupBy(shard.alias("shard")).agg(F.transform(order, lambda r: r["value"]).alias("slice"))
 
