@@ -2,22 +2,32 @@
 
 Documents are counted into cells of source, language and topic, with the
 sum of their tokens. The cells' token weights are raked: in turn scaled to
-each dimension's target shares, ``rounds`` times over. A cell's factor is
-its raked share over its observed share; a document is kept with probability
-min(1, budget * factor), decided by a hash of its id, so that runs and
-cluster sizes agree. There is no upsampling: a cell whose factor exceeds
-1 / budget is kept whole.
-
-Only DataFrame operations are used. The cells number at most the product of
-the categories, whatever the number of rows; every dimension's sums are
-window sums over the cells, and rounds are written to the shared folder.
+each dimension's target shares and bounded by what a cell holds, round after
+round until all three dimensions meet their targets to ``tolerance``. A
+document is kept with its cell's probability, kept share of tokens * raked
+share / observed share, decided by a hash of its id, so that runs and cluster
+sizes agree. There is no upsampling.
+
+The bound is inside the loop, so what one cell cannot give, others of its
+categories do. ``budget`` is the share of all tokens to keep; it is lowered
+to ``margin`` times what the scarcest category allows, and by a tenth
+whenever two rounds leave more than ``stall`` of the gap, but not under
+``least``: one tiny source shall not cost the whole corpus. Where the rounds
+stall there, categories that miss their targets are kept as far as the others
+allow; ``marginals`` reports target and reached share of every category.
+
+Only DataFrame operations are used. The text is read twice: for the cells,
+and for the decisions. The cells, at most the product of the categories, are
+written before anything else and again every other round; every dimension's
+sums are window sums over them, so plans stay small whatever the rounds. The
+driver gets single numbers.
 
 Defined results: a null category is the category ''; a null or empty text
 has no tokens; documents of cells without tokens have probability 0; a
-category without a target keeps its observed share, and shares are scaled to
-sum to 1 over the categories that occur; a null id is hashed as ''; repeated
-rows get equal decisions; an empty table gives an empty result; other
-columns are kept.
+category without a target keeps its observed share, one without tokens has
+target 0, and shares are scaled to sum to 1 over the categories that occur; a
+null id is hashed as ''; repeated rows get equal decisions; an empty table
+gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -44,8 +54,12 @@ class Params:
     equal) or a mapping of categories to shares."""
 
     targets: Mapping[str, float | Mapping[str, float]] = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.8})
-    rounds: int = 12
     budget: float = 0.5
+    least: float = 0.1
+    margin: float = 0.95
+    tolerance: float = 1e-7
+    stall: float = 0.9
+    rounds: int = 200
     seed: str = "mix"
 
 
@@ -63,36 +77,89 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Rounds whose result is written at once, after which the gap is looked at.
+STRIDE = 2
+
+
 def _targets(cells: DataFrame, p: Params) -> DataFrame:
-    """Adds each dimension's target share to the cells."""
+    """Every dimension's categories with observed and target share:
+    (dim, category, seen, target)."""
+    parts = []
     for d in DIMENSIONS:
         rule = p.targets.get(d, 1.0)
-        seen = cells.groupBy(d).agg(F.coalesce(F.try_divide(F.sum("tokens"), F.first("total")), F.lit(0.0)).alias("seen"))
+        seen = cells.groupBy(F.col(d).alias("category")).agg(F.sum("seen").alias("seen"))
         if isinstance(rule, Mapping):
             given = F.create_map(*[x for k, v in sorted(rule.items()) for x in (F.lit(k), F.lit(float(v)))]) if rule else None
-            wanted = seen.withColumn("want", F.coalesce(F.try_element_at(given, F.col(d)), F.col("seen")) if rule else F.col("seen"))
+            want = F.coalesce(F.try_element_at(given, F.col("category")), F.col("seen")) if rule else F.col("seen")
         else:
-            wanted = seen.withColumn("want", F.when(F.col("seen") > 0, F.pow("seen", F.lit(float(rule)))).otherwise(0.0))
-        sums = wanted.agg(F.sum("want").alias("all"))
-        # one row of one number; a scalar sub-select as a join
-        wanted = wanted.join(F.broadcast(sums)).select(d, F.coalesce(F.try_divide("want", "all"), F.lit(0.0)).alias(f"target_{d}"))
-        cells = cells.join(wanted, d)
-    return cells
+            want = F.pow("seen", F.lit(float(rule)))
+        parts.append(seen.select(F.lit(d).alias("dim"), "category", "seen", F.when(F.col("seen") > 0, want).otherwise(0.0).alias("want")))
+    wanted = saved(parts[0].unionByName(parts[1]).unionByName(parts[2]), "wanted")
+    sums = wanted.groupBy("dim").agg(F.sum("want").alias("all"))  # a row per dimension
+    return saved(wanted.join(F.broadcast(sums), "dim").select("dim", "category", "seen", F.coalesce(F.try_divide("want", "all"), F.lit(0.0)).alias("target")), "targets")
+
+
+def _gap(d: str) -> Column:
+    """How far a cell's category is from its target."""
+    return F.abs(F.sum("share").over(Window.partitionBy(d)) - F.col(f"target_{d}"))
 
 
 def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
-    """``cells`` (the dimensions and ``tokens``) with ``factor``."""
-    total = cells.agg(F.sum("tokens").alias("total"))
-    cells = cells.join(F.broadcast(total))
-    cells = saved(_targets(cells, p).withColumn("share", F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0))), "cells")
-    for turn in range(p.rounds):
-        for d in DIMENSIONS:
-            now = F.sum("share").over(Window.partitionBy(d))
-            cells = cells.withColumn("share", F.when(now > 0, F.col("share") * F.col(f"target_{d}") / now).otherwise(0.0))
-        if turn % 4 == 3:
-            cells = saved(cells, "raked")
-    factor = F.when(F.col("tokens") > 0, F.col("share") * F.col("total") / F.col("tokens")).otherwise(0.0)
-    return cells.select(*DIMENSIONS, "tokens", "share", factor.alias("factor"))
+    """``cells`` (the dimensions and ``tokens``) with their raked ``share``
+    of the kept tokens, the targets of their categories, ``factor`` (raked
+    share over observed share) and ``probability``, the part of them that is
+    kept."""
+    cells = saved(cells.select(*DIMENSIONS, F.col("tokens").cast("double").alias("tokens")), "cells")
+    total = cells.agg(F.sum("tokens").alias("total")).first()["total"] or 0.0
+    cells = cells.withColumn("seen", F.col("tokens") / F.lit(total) if total else F.lit(0.0))
+    targets = _targets(cells, p)
+    for d in DIMENSIONS:
+        cells = cells.join(targets.filter(F.col("dim") == d).select(F.col("category").alias(d), F.col("target").alias(f"target_{d}")), d)
+    scarcest = targets.filter("target > 0").agg(F.min(F.col("seen") / F.col("target")).alias("m")).first()["m"]
+    keep = max(min(p.budget, p.margin * scarcest), min(p.least, p.budget)) if total else 0.0
+    cells = saved(cells.withColumn("share", F.col("seen")), "raked")
+    floor = min(p.least, p.budget)
+    turn, gap, stop = 0, float("inf"), not total
+    while not stop and turn < p.rounds:
+        for _ in range(STRIDE):
+            for d in DIMENSIONS:
+                now = F.sum("share").over(Window.partitionBy(d))
+                fitted = F.when(now > 0, F.col("share") * F.col(f"target_{d}") / now).otherwise(0.0)
+                cells = cells.withColumn("share", F.least(fitted, F.col("seen") / F.lit(keep)))
+        turn += STRIDE
+        cells = saved(cells, "raked")
+        before, gap = gap, cells.select(F.greatest(*[_gap(d) for d in DIMENSIONS]).alias("gap")).agg(F.max("gap").alias("gap")).first()["gap"]
+        stalled = gap > p.stall * before
+        stop = gap <= p.tolerance or (stalled and keep <= floor)
+        if stalled and not stop:
+            keep = max(keep * 0.9, floor)
+    probability = F.when(F.col("seen") > 0, F.least(F.lit(1.0), F.lit(keep) * F.col("share") / F.col("seen"))).otherwise(0.0)
+    factor = F.when(F.col("seen") > 0, F.col("share") / F.col("seen")).otherwise(0.0)
+    return cells.withColumns({"factor": factor, "probability": probability})
+
+
+def marginals(raked: DataFrame) -> DataFrame:
+    """(dim, category, target, reached, kept_tokens) of raked cells; what the
+    bounds keep from a target shows as a difference."""
+    kept = raked.withColumn("kept_tokens", F.col("tokens") * F.col("probability"))
+    total = kept.agg(F.sum("kept_tokens").alias("t")).first()["t"] or 0.0
+    parts = [
+        kept.groupBy(F.lit(d).alias("dim"), F.col(d).alias("category")).agg(F.first(f"target_{d}").alias("target"), F.sum("kept_tokens").alias("kept_tokens")) for d in DIMENSIONS
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("dim", "category", "target", (F.col("kept_tokens") / F.lit(total) if total else F.lit(0.0)).alias("reached"), "kept_tokens")
+
+
+def cells_of(docs: DataFrame, text_col: str = "text", topic_col: str | None = None) -> DataFrame:
+    """The cells of documents, with their tokens."""
+    dims = _dimensions(text_col, topic_col)
+    rows = docs.select(*[c.alias(d) for d, c in dims.items()], tokens(F.col(text_col)).alias("tokens"))
+    return rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+
+
+def _dimensions(text_col: str, topic_col: str | None) -> dict[str, Column]:
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic_col) if topic_col else topic(F.col(text_col))}
+    return {d: F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()}
 
 
 def chance(key: Column, seed: str) -> Column:
@@ -106,13 +173,10 @@ def mixed(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_co
     added (columns of these names are replaced)."""
     prepare(docs.sparkSession)
     docs = docs.drop("n_tokens", "probability", "kept")
-    text = F.col(text_col)
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic_col) if topic_col else topic(text)}
-    rows = docs.withColumns({f"__{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()} | {"n_tokens": tokens(text)})
-    cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
-    factors = saved(rake(cells, p), "factors").select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("factor").alias("__factor"))
-    small = factors.count() <= MAX_BROADCAST_CELLS
-    out = rows.join(F.broadcast(factors) if small else factors, [f"__{d}" for d in DIMENSIONS], "left")
-    probability = F.round(F.least(F.lit(1.0), F.lit(p.budget) * F.coalesce("__factor", F.lit(0.0))), 6)
-    out = out.withColumn("probability", probability).withColumn("kept", chance(F.col(id_col), p.seed) < F.col("probability"))
+    rows = docs.withColumns({f"__{d}": c for d, c in _dimensions(text_col, topic_col).items()} | {"n_tokens": tokens(F.col(text_col))})
+    raked = saved(rake(cells_of(docs, text_col, topic_col), p), "factors")
+    raked = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.round("probability", 6).alias("__p"))
+    small = raked.count() <= MAX_BROADCAST_CELLS
+    out = rows.join(F.broadcast(raked) if small else raked, [f"__{d}" for d in DIMENSIONS], "left")
+    out = out.withColumn("probability", F.coalesce("__p", F.lit(0.0))).withColumn("kept", chance(F.col(id_col), p.seed) < F.col("probability"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", "probability", "kept")

@@ -148,30 +148,38 @@ FROM d LEFT JOIN o ON d.doc_id = o.doc_id LEFT JOIN h ON d.dir = h.dir
 
 
 def _rake_sql(p: mixing.Params) -> str:
-    """The raking unrolled: one sub-select per round and dimension."""
-    steps, last = [], "t"
-    for turn in range(p.rounds):
+    """The raking as a recursion over rounds; cells and categories are joined
+    in plain SQL. The kept share follows the rounds as in the operator."""
+    steps = "r"
+    for _ in range(mixing.STRIDE):
         for d in mixing.DIMENSIONS:
-            now = f"r{turn}_{d}"
-            steps.append(f"{now} AS (SELECT * REPLACE (share * target_{d} / sum(share) OVER (PARTITION BY {d}) AS share) FROM {last})")
-            last = now
+            steps = f"(SELECT * REPLACE (least(share * target_{d} / sum(share) OVER (PARTITION BY i, {d}), seen / keep) AS share) FROM {steps})"
+    gaps = ", ".join(f"abs(sum(share) OVER (PARTITION BY {d}) - target_{d}) AS gap_{d}" for d in mixing.DIMENSIONS)
     wanted = [
-        f"w_{d} AS (SELECT {d}, power(sum(tokens) / (SELECT sum(tokens) FROM c), {p.targets[d]}) AS want FROM c GROUP BY {d}), "
-        f"t_{d} AS (SELECT {d}, want / (SELECT sum(want) FROM w_{d}) AS target_{d} FROM w_{d})"
+        f"w_{d} AS (SELECT {d}, sum(seen) AS seen, power(sum(seen), {p.targets[d]}) AS want FROM c GROUP BY {d}), "
+        f"t_{d} AS (SELECT {d}, want / (SELECT sum(want) FROM w_{d}) AS target_{d}, seen / (want / (SELECT sum(want) FROM w_{d})) AS most FROM w_{d})"
         for d in mixing.DIMENSIONS
     ]
-    joins = " ".join(f"JOIN t_{d} USING ({d})" for d in mixing.DIMENSIONS)
+    joins = " ".join(f"JOIN (SELECT {d}, target_{d} FROM t_{d}) USING ({d})" for d in mixing.DIMENSIONS)
+    most = ", ".join(f"(SELECT min(most) FROM t_{d})" for d in mixing.DIMENSIONS)
+    floor = min(p.least, p.budget)
+    columns = "source, lang, topic, seen, target_source, target_lang, target_topic"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN contains(text, 'icens') THEN 'legal' WHEN contains(text, ' | ') THEN 'tabular'
     WHEN contains(text, '@') OR contains(text, 'http') THEN 'contact' ELSE 'prose' END AS topic,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
-c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) / (SELECT sum(n_tokens) FROM d) AS seen FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 {", ".join(wanted)},
-t AS MATERIALIZED (SELECT c.*, tokens / (SELECT sum(tokens) FROM c) AS share, target_source, target_lang, target_topic FROM c {joins}),
-{", ".join(steps)},
-f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN share * (SELECT sum(tokens) FROM c) / tokens ELSE 0 END AS factor FROM {last}),
-p AS (SELECT doc_id, n_tokens, round(least(1.0, {p.budget} * factor), 6) AS probability FROM d JOIN f USING (source, lang, topic))
+r AS (SELECT 0 AS i, CAST('infinity' AS DOUBLE) AS gap, false AS stop, greatest(least({p.budget}, {p.margin} * least({most})), {floor}) AS keep, {columns}, seen AS share FROM c {joins}
+  UNION ALL
+  SELECT i, gap, gap <= {p.tolerance} OR (stalled AND keep <= {floor}), CASE WHEN stalled AND gap > {p.tolerance} THEN greatest(keep * 0.9, {floor}) ELSE keep END, {columns}, share FROM (
+    SELECT *, gap > {p.stall} * before AS stalled FROM (
+      SELECT i + {mixing.STRIDE} AS i, gap AS before, max(greatest(gap_source, gap_lang, gap_topic)) OVER () AS gap, keep, {columns}, share
+      FROM (SELECT *, {gaps} FROM {steps})
+      WHERE NOT stop AND i < {p.rounds}))),
+p AS (SELECT doc_id, n_tokens, coalesce(round(least(1.0, used * share / seen), 6), 0) AS probability FROM d LEFT JOIN (
+  SELECT * FROM (SELECT *, min(keep) OVER () AS used FROM r) WHERE i = (SELECT max(i) FROM r)) USING (source, lang, topic))
 SELECT doc_id, n_tokens, probability,
   CAST('0x' || substr(md5('{p.seed}:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM p
 """
