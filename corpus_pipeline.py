@@ -16,23 +16,23 @@ from pyspark.sql import functions as F
 from textctl.llm import decontaminate, language, line_spread, mixing, near_duplicates
 from textctl.llm.common import remainder, saved, table
 
-#: A text goes if its best language scores under this (see ``language``).
-MIN_LANGUAGE_SCORE = 0.3
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no learned language comes
-    near to, go."""
+    """Documents without a letter (null and empty texts too), and those far
+    from every learnt language (``known`` under the model's ``floor``: other
+    scripts, noise), go. Equal texts are decided alike; repeated
+    rows and rows without an id stay."""
     model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2)
-    scored = language.predict(docs.withColumnRenamed("lang_pred", "__l").withColumnRenamed("score", "__s"), model)
-    kept = scored.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.drop("lang_pred", "score").withColumnRenamed("__l", "lang_pred").withColumnRenamed("__s", "score")
+    names = {"lang_pred": "__l", "score": "__s", "known": "__k"}
+    scored = language.predict(docs.withColumnsRenamed(names), model)
+    kept = scored.filter((F.col("lang_pred") != language.UND) & (F.col("known") >= model.floor))
+    return kept.drop(*names).withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated across sites are removed but for their first
-    occurrence; a document left without a line goes. ``n_chars`` follows the
-    text."""
+    occurrence; a document left without a line goes, one without lines from
+    the start (null, empty) stays. Ties between occurrences go to the smaller
+    id and line. ``n_chars`` follows the text."""
     names = {"n_lines": "__n_lines", "n_removed": "__n_removed"}
     clean = line_spread.without_boilerplate(docs.withColumnsRenamed(names))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
@@ -42,20 +42,24 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest id."""
+    """One document of each group of near duplicates stays: the smallest id.
+    Rows of one id are one document; null and wordless texts, and rows without
+    an id, stay."""
     found = near_duplicates.near_duplicates(docs)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; null texts have none."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("spans") == 0).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample that meets the target weights of source, language and topic."""
+    """A sample that meets the target weights of source, language and topic;
+    rows of one id share their fate, texts without words have probability 0
+    where their whole cell has none."""
     return mixing.mixed(docs).filter("kept").drop("kept")
 
 

@@ -7,40 +7,27 @@ import duckdb
 import pytest
 from .test_decontaminate import brute as hits
 from .test_line_spread import brute as lines
+from .test_mixing import brute as raked
 from .test_near_duplicates import brute as groups
 from .tests_llm_words import words
 
 import corpus_pipeline
 from textctl.llm import queries
+from textctl.llm.mixing import Params
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark")
+TABLES = ("documents", "benchmark", "embeddings", "conversations")
 
 
 def topic(t):
     return "legal" if "icens" in t else "tabular" if " | " in t else "contact" if "@" in t or "http" in t else "prose"
 
 
-def rake(rows, targets, rounds, budget):
+def rake(rows):
     cells = {}
     for key, n in rows:
         cells[key] = cells.get(key, 0) + n
-    total = sum(cells.values())
-    want = []
-    for i, power in enumerate(targets):
-        seen = {}
-        for key, n in cells.items():
-            seen[key[i]] = seen.get(key[i], 0) + n / total
-        root = {k: v**power for k, v in seen.items()}
-        want.append({k: v / sum(root.values()) for k, v in root.items()})
-    share = {k: n / total for k, n in cells.items()}
-    for _ in range(rounds):
-        for i, w in enumerate(want):
-            now = {}
-            for k, v in share.items():
-                now[k[i]] = now.get(k[i], 0) + v
-            share = {k: v * w[k[i]] / now[k[i]] for k, v in share.items()}
-    return {k: round(min(1.0, budget * share[k] * total / n), 6) for k, n in cells.items()}
+    return {k: round(x, 6) for k, x in raked(cells, Params().targets, Params())[0].items()}
 
 
 def test_pipeline_equals_brute_force(spark, texts):
@@ -53,7 +40,7 @@ def test_pipeline_equals_brute_force(spark, texts):
     bench = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     bad = {r[0] for r in hits([(d, t) for d, (t, _, _) in docs.items()], bench) if r[-1]}
     docs = {d: x for d, x in docs.items() if d not in bad}
-    chance = rake([((s, lang, topic(t)), len(words(t))) for t, lang, s in docs.values()], (0.5, 0.7, 0.8), 12, 0.5)
+    chance = rake([((s, lang, topic(t)), len(words(t))) for t, lang, s in docs.values()])
     want = {}
     for d, (t, lang, s) in docs.items():
         u = int(hashlib.md5(f"mix:{d}".encode()).hexdigest()[:13], 16) / 2**52
@@ -85,3 +72,13 @@ def test_queries_equal_sql(spark, name):
     assert sorted(df.columns) == sorted(rel.columns)
     near = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     assert near(df.select(*rel.columns).collect()) == near(rel.fetchall())
+
+
+def test_language_stage_rejects_what_is_far_from_every_language(spark):
+    """With two learnt languages, whose best score is never low."""
+    rows = [(i, f"the quick brown fox jumps over the lazy dog number {'abcdefgh'[i % 8]}", "en") for i in range(40)]
+    rows += [(100 + i, f"der schnelle braune Fuchs springt über den faulen Hund {'abcdefgh'[i % 8]}", "de") for i in range(40)]
+    far = [(200, "Это русский текст о погоде и природе", None), (201, "これは日本語のテキストです", None), (202, "1234 !!", None), (203, None, None)]
+    docs = spark.createDataFrame(rows + far, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows}

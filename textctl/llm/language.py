@@ -5,20 +5,27 @@ present in both (blended spectrum, presence), divided by the geometric mean
 of their own numbers. Texts are lower-cased code points with every run of
 non-letters as one blank. Grams are hashed to ``2**bits`` numbers.
 
-Learning takes a bounded sample: at most ``sample_rows`` labelled rows, in
-equal parts for the ``max_langs`` most frequent labels, chosen by a hash of
-the id among texts of at most ``sample_chars`` code points. ``landmarks`` of
-them span a Nyström approximation of the kernel; one-versus-rest ridge
-regression in that space gives one weight per landmark and language, so a
-text is scored by its kernel values with the landmarks: a matrix product per
-batch. Prediction reads whole texts and nothing else.
+Learning takes a bounded sample: ``sample_rows`` labelled rows in equal
+parts for all labels, but at least one of each, chosen by a hash of the id;
+of a text longer than ``sample_chars`` code points the sample holds a piece
+of that length, at a place given by the hash. ``landmarks`` of them, at least
+one of each label, span a Nyström approximation of the kernel;
+one-versus-rest ridge regression in that space gives one weight per landmark
+and language, so a text is scored by its kernel values with the landmarks: a
+matrix product per batch. Prediction reads whole texts and nothing else.
+Labels are languages: their number, not that of the rows, bounds what the
+driver counts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text if no labelled row can be learnt from. Equal texts get
 equal predictions. Other columns are ignored. The score is the best
 regression value, brought from [-1, 1] to [0, 1]; under 0.5 no
-language's classifier claims the text. Ties go to the label that sorts
-first.
+language's classifier claims the text. With few languages even the best of
+them is never low, so ``known`` says, whatever their number, which part of a
+text's grams any landmark has. ``Model.floor`` is a bound for it that the
+sample itself gives: half the value that 95 % of the sample rows reach
+against the other rows' landmarks, so 0 where there is too little to compare.
+Ties go to the label that sorts first.
 """
 
 from __future__ import annotations
@@ -43,7 +50,6 @@ class Params:
     bits: int = 18
     sample_rows: int = 800
     sample_chars: int = 20_000
-    max_langs: int = 200
     landmarks: int = 96
     ridge: float = 1e-3
 
@@ -103,11 +109,12 @@ class Model:
                 marks.append(np.flatnonzero(m))
                 langs.append(lang)
         self.langs = sorted(set(langs))
+        self.floor = 0.0
         if not self.langs:
             return
         # landmarks in turn from every language
         turns = np.array([langs[:i].count(x) for i, x in enumerate(langs)])
-        marked = np.lexsort((np.arange(len(langs)), turns))[: p.landmarks]
+        marked = np.lexsort((np.arange(len(langs)), turns))[: max(p.landmarks, len(self.langs))]
         self.ids = np.unique(np.concatenate([marks[i] for i in marked]))
         self.table = np.zeros((len(self.ids), len(marked)), np.float32)
         for j, i in enumerate(marked):
@@ -118,6 +125,9 @@ class Model:
             at = np.searchsorted(self.ids, m)
             at = np.minimum(at, len(self.ids) - 1)
             present[i, at[self.ids[at] == m]] = 1
+        others = np.tile(self.table.sum(axis=1), (len(marks), 1))
+        others[marked] -= present[marked]
+        self.floor = float(np.percentile((present * (others > 0)).sum(axis=1) / [len(m) for m in marks], 5)) / 2
         k = self.kernel(present, np.array([len(m) for m in marks]))
         values, vectors = np.linalg.eigh(k[marked])
         keep = values > 1e-6 * values[-1]
@@ -132,11 +142,11 @@ class Model:
     def kernel(self, present: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (present @ self.table).astype(np.float64) / (np.sqrt(size)[:, None] * self.own[None, :])
 
-    def predict(self, texts: list[str | None], block: int = 256) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], block: int = 256) -> tuple[list[str], list[float], list[float]]:
         grams = Grams(self.p)
-        langs, scores = [UND] * len(texts), [0.0] * len(texts)
+        langs, scores, known = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.langs:
-            return langs, scores
+            return langs, scores, known
         for at in range(0, len(texts), block):
             rows, size, present = [], [], []
             for i, text in enumerate(texts[at : at + block], at):
@@ -146,47 +156,51 @@ class Model:
                     size.append(np.count_nonzero(m))
                     present.append(m[self.ids])
             if rows:
-                y = self.kernel(np.array(present, np.float32), np.array(size)) @ self.weights + self.bias
-                best = y.argmax(axis=1)
-                for i, lang, value in zip(rows, best, np.clip((y.max(axis=1) + 1) / 2, 0, 1)):
-                    langs[i], scores[i] = self.langs[lang], float(value)
-        return langs, scores
+                marked, size = np.array(present, np.float32), np.array(size)
+                y = self.kernel(marked, size) @ self.weights + self.bias
+                for i, lang, value, part in zip(rows, y.argmax(axis=1), np.clip((y.max(axis=1) + 1) / 2, 0, 1), marked.sum(axis=1) / size):
+                    langs[i], scores[i], known[i] = self.langs[lang], float(value), float(part)
+        return langs, scores, known
 
 
 def learn(docs: DataFrame, learnable: Column, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits the model on a bounded sample of the rows where ``learnable``."""
     rows = docs.filter(learnable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model([], p)
     each = max(1, p.sample_rows // len(counts))
     # about four times as many rows as are taken, by a hash of the id; the first of these by that hash
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30))
+    place = hashed / float(1 << 30)
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (4 * each + 16) / r["count"])))])
     some = rows.withColumn("place", place).filter(F.col("place") < rate[F.col("lang")])
-    some = some.filter(F.length("text").between(1, p.sample_chars))
+    some = some.filter(F.col("text") != "")
+    more = F.greatest(F.length("text") - p.sample_chars, F.lit(0))
+    some = some.withColumn("text", F.substring("text", (F.pmod(hashed, more + 1) + 1).cast("int"), F.lit(p.sample_chars)))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
     taken = some.withColumn("nr", first).filter(F.col("nr") <= each).select("lang", "text", "nr").collect()
     return Model([(r["text"], r["lang"]) for r in sorted(taken, key=lambda r: (r["lang"], r["nr"]))], p)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``lang_pred`` and ``score`` added; columns
-    of these names are replaced."""
+    """Every row of ``docs`` with ``lang_pred``, ``score`` and ``known``
+    added; columns of these names are replaced."""
     spark = docs.sparkSession
     text_session(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "known")
     at = docs.columns.index(text_col)
     # a few megabytes: grams of at most ``landmarks`` texts
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = sent.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            langs, scores, known = sent.value.predict(b.column(at).to_pylist())
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score", "known"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("known", DoubleType())])
     return docs.mapInArrow(run, schema)
