@@ -55,9 +55,9 @@ class Params:
 
     targets: Mapping[str, float | Mapping[str, float]] = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.8})
     budget: float = 0.5
-    least: float = 0.1
+    least: float = 0.4
     margin: float = 0.95
-    tolerance: float = 1e-7
+    tolerance: float = 1e-5
     stall: float = 0.9
     rounds: int = 200
     seed: str = "mix"
