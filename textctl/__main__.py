@@ -59,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--resume", action="store_true", help="ask models only for what has no stored answer")
     p.add_argument("--strict", action="store_true", help="stop when lines of the prompt master do not parse")
     p.add_argument("--partitions", type=int, help="tasks that call models (default: as the input is split)")
+    p.add_argument("--commit-every", dest="commit_every", type=int, help="requests per task: a task's answers are kept the moment it ends")
     p.add_argument("--lenient", action="store_true", help="leaderboard: leave out models with incomplete reports")
     return p
 
@@ -83,13 +84,13 @@ def main(argv: list[str] | None = None) -> None:
     out = a.output_path
     for stage in stages:
         if stage == "generate":
-            jobs.generate(spark, master, out, load(a.factory), models=models, iters=a.iter_num, use_system=a.use_system_prompt, resume=a.resume, strict=a.strict, partitions=a.partitions)
+            jobs.generate(spark, master, out, load(a.factory), models=models, iters=a.iter_num, use_system=a.use_system_prompt, resume=a.resume, strict=a.strict, partitions=a.partitions, commit_every=a.commit_every)
         elif stage == "clean":
-            jobs.clean(spark, out, factory=load(a.cleaner), tasks=a.task, models=models, resume=a.resume, partitions=a.partitions)
+            jobs.clean(spark, out, factory=load(a.cleaner), tasks=a.task, models=models, resume=a.resume, partitions=a.partitions, commit_every=a.commit_every)
         elif stage == "score-control":
             jobs.score_control(spark, master, out, tasks=a.task, models=models, strict=a.strict)
         elif stage == "score-quality":
-            jobs.score_quality(spark, master, out, load(a.judge), dedupe=a.judge_dedupe, tasks=a.task, models=models, iters=a.iter_num, resume=a.resume, strict=a.strict, partitions=a.partitions)
+            jobs.score_quality(spark, master, out, load(a.judge), dedupe=a.judge_dedupe, tasks=a.task, models=models, iters=a.iter_num, resume=a.resume, strict=a.strict, partitions=a.partitions, commit_every=a.commit_every)
         elif stage == "leaderboard":
             jobs.leaderboard(spark, out, strict=not a.lenient, models=models, tasks=a.task, iters=a.iter_num)
 

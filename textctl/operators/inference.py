@@ -41,6 +41,12 @@ from ..schemas import ASPECTS, DEFAULT_ITERS
 from ..sources.registry import model_struct_sql, sql_str, suffix_py
 
 
+class StopCalls(Exception):
+    """Raised by a model callable when no further call may be made (a spent
+    quota, a shutdown). The task asks nothing more and ends with the answers
+    it has; requests without an answer give no row and stay pending."""
+
+
 class RetryableError(Exception):
     """Raised by a model callable for a failure worth retrying (rate limit)."""
 
@@ -70,7 +76,7 @@ def _ask(model: Callable, prompts: list) -> list:
 
 def _answer(model: Callable, prompts: list, policy: RetryPolicy):
     """Texts, errors and attempts of one sub-batch. A prompt's attempts count
-    the calls it was part of."""
+    the calls it was part of; 0 if the callable stopped before it."""
     texts, errors, attempts = [None] * len(prompts), [None] * len(prompts), [0] * len(prompts)
     open_, alone = list(range(len(prompts))), False
     for attempt in range(1, policy.max_attempts + 1):
@@ -80,6 +86,8 @@ def _answer(model: Callable, prompts: list, policy: RetryPolicy):
         for part in [[i] for i in open_] if alone else [open_]:
             try:
                 out = _ask(model, [prompts[i] for i in part])
+            except StopCalls:
+                return texts, errors, attempts
             except Exception as e:  # noqa: BLE001 - kept as the prompts' error
                 out = [e] * len(part)
                 if len(part) > 1:  # whose fault it was is not known: each may try again
@@ -157,8 +165,9 @@ def run_model(
     staged = staged.sortWithinPartitions(model_col)
 
     def fn(batches):
+        stopped = False
         for pdf in batches:
-            if pdf.empty:
+            if pdf.empty or stopped:
                 continue
             parts = []
             for mp, g in pdf.groupby(model_col, sort=False):
@@ -171,6 +180,12 @@ def run_model(
                 for at in range(0, len(asked), policy.batch):
                     for whole, part in zip((texts, errors, attempts), _answer(model, asked[at : at + policy.batch], policy)):
                         whole.extend(part)
+                    if stopped := not all(attempts):
+                        break
+                if stopped:  # only what was asked becomes rows
+                    asked = [n > 0 for n in attempts]
+                    g = g.iloc[: len(asked)][asked]
+                    texts, errors, attempts, prompts = ([x for x, ok in zip(column, asked) if ok] for column in (texts, errors, attempts, prompts))
                 if strip_echo:
                     texts = [t[len(p):] if (t is not None and p is not None and t.startswith(p)) else t for t, p in zip(texts, prompts)]
                 o = g[out_cols].copy()
@@ -178,6 +193,8 @@ def run_model(
                 o["error"] = pd.Series(errors, index=g.index, dtype=object)
                 o["attempts"] = pd.Series(attempts, index=g.index, dtype="int32")
                 parts.append(o)
+                if stopped:
+                    break
             yield pd.concat(parts)
 
     out = staged.mapInPandas(fn, out_schema)
@@ -251,6 +268,12 @@ def pending_requests(
     crosses that join instead of every rendered request."""
     keys = ["task", "model", "prompt_id", "aspect", "iter"]
     open_keys = pending(request_keys(master.select("task", "prompt_id").distinct(), models, iters, aspects), finished, keys)
+    return with_prompt(open_keys, master, models, aspects)
+
+
+def with_prompt(open_keys: DataFrame, master: DataFrame, models: list[tuple[int, str]], aspects=ASPECTS) -> DataFrame:
+    """The rows of ``generation_requests`` of some request keys: each joined
+    with its prompt row, the aspect's ``prompt_{aspect}`` picked."""
     registry = F.expr("map(" + ", ".join(f"{sql_str(suffix_py(path))}, {model_struct_sql(mi, path)}" for mi, path in models) + ")")
     prompt = None
     for a in aspects:
@@ -306,3 +329,26 @@ class FlakyModel:
 
 def flaky_factory(model_path: str) -> Callable:
     return FlakyModel()
+
+
+class LengthModel:
+    """Answers ``ok:<length>``; with ``most``, that many prompts per worker,
+    then no call may be made any more."""
+
+    def __init__(self, most: int | None = None):
+        self.left = most
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        if self.left is not None:
+            if self.left < len(prompts):
+                raise StopCalls("quota")
+            self.left -= len(prompts)
+        return ["ok:" + str(len(p)) for p in prompts]
+
+
+def length_factory(model_path: str) -> Callable:
+    return LengthModel()
+
+
+def quota_factory(model_path: str) -> Callable:
+    return LengthModel(most=1000)

@@ -4,7 +4,7 @@ parquet views (``documents``, ``labels``, ...)."""
 
 from __future__ import annotations
 
-from .schemas import ASPECTS, SENTINEL
+from .schemas import ASPECTS, SENTINEL, TASKS
 from .sources.fixtures import FOOTER, FORMAT_TEXT, HEADER, KEYWORD_BY_LANG, PROHIBITED_BY_LANG, generated_models
 from .sources.registry import suffix_py
 
@@ -103,6 +103,20 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def gappy_ctes() -> tuple[str, str]:
+    there = "(prompt_id * 7 + iter * 3 + model_idx) % 11 <> 0 AND (prompt_id + model_idx) % 17 <> 0"
+    cols = "task, model, model_idx, aspect, iter"
+    return (
+        f"""gres AS (
+  SELECT {cols}, prompt_id FROM results WHERE {there}
+  UNION ALL SELECT {cols}, prompt_id FROM results WHERE {there} AND prompt_id % 5 = 0
+  UNION ALL SELECT {cols}, prompt_id + 1000000000 FROM results WHERE prompt_id % 13 = 0 AND iter = 0)""",
+        """gprompts AS (
+  SELECT task, prompt_id FROM prompts UNION ALL SELECT task, prompt_id FROM prompts WHERE prompt_id % 19 = 0
+  UNION ALL SELECT task, NULL FROM prompts WHERE prompt_id % 23 = 0)""",
+    )
+
+
 def ctg_scores() -> str:
     return with_(prompts_cte(), results_cte(), valid_cte(), scores_cte()) + "SELECT * FROM scores"
 
@@ -357,10 +371,10 @@ def build() -> dict[str, str]:
         ) + " END"
 
     out["gen_params"] = sql(
-        *GEN, chat_requests_cte(),
+        *TP, requests_cte(list(enumerate(_CH.RENDERER))), f"chatreq AS (SELECT model_path, {family_sql('model_path')} AS family FROM requests)",
         select=f"""SELECT model_path, family, CAST(count(*) AS BIGINT) AS n_requests, {param('do_sample', 'BOOLEAN')} AS do_sample,
           {param('temperature', 'DOUBLE')} AS temperature, {param('top_p', 'DOUBLE')} AS top_p, {param('top_k', 'INTEGER')} AS top_k,
-          {param('repetition_penalty', 'DOUBLE')} AS repetition_penalty, CAST({_CH.MAX_NEW_TOKENS} AS INTEGER) AS max_new_tokens
+          {param('repetition_penalty', 'DOUBLE')} AS repetition_penalty, {param('num_beams', 'INTEGER')} AS num_beams, CAST(CASE WHEN family IN ({', '.join(q(f) for f in _CH.GEN_PARAMS)}) THEN {_CH.MAX_NEW_TOKENS} END AS INTEGER) AS max_new_tokens
           FROM chatreq GROUP BY model_path, family""",
     )
     out["strip_echo"] = sql(*TP, select="SELECT task, prompt_id, aspect, chr(10) || '応答(' || CAST(length(prompt) AS VARCHAR) || ')' AS text FROM tprompts")
@@ -396,6 +410,19 @@ def build() -> dict[str, str]:
     )
     out["wide_results"] = sql(select=f"SELECT task, model, prompt_id, {wcols} FROM results GROUP BY task, model, prompt_id")
     out["pending_requests"] = sql(select=f"SELECT {KEYS} FROM results WHERE clean_text = {q(SENTINEL)}")
+    out["gen_resume"] = sql(*GEN, chat_requests_cte(), select=f"SELECT {KEYS}, CAST(1 AS BIGINT) AS n_answers, 'ok:' || CAST(length(chat) AS VARCHAR) AS text FROM chatreq")
+    combos = lambda models: "[" + ", ".join(f"{{'model': {q(suffix_py(p))}, 'aspect': {q(a)}, 'iter': {i}}}" for _, p in models for a in ASPECTS for i in range(3)) + "]"
+    asked = "asked AS (SELECT task, prompt_id, CAST(c.model AS VARCHAR) AS model, CAST(c.aspect AS VARCHAR) AS aspect, CAST(c.iter AS INTEGER) AS iter FROM (SELECT task, prompt_id, unnest({}) AS c FROM (SELECT DISTINCT task, prompt_id FROM gprompts WHERE prompt_id IS NOT NULL)))"
+    out["pending_bitmaps"] = sql(
+        *gappy_ctes(), asked.format(combos(generated_models())),
+        select=f"SELECT {KEYS} FROM asked a WHERE NOT EXISTS (SELECT 1 FROM gres r WHERE r.task = a.task AND r.model = a.model AND r.prompt_id = a.prompt_id AND r.aspect = a.aspect AND r.iter = a.iter)",
+    )
+    out["key_fill"] = sql(
+        *gappy_ctes(), asked.format(combos(list(enumerate(REGISTRY)))),
+        select="""SELECT a.task, a.model, a.aspect, a.iter, CAST(count(*) AS BIGINT) AS n_prompts, CAST(count(r.task) AS BIGINT) AS n_held
+          FROM asked a LEFT JOIN (SELECT DISTINCT task, model, prompt_id, aspect, iter FROM gres) r
+          ON r.task = a.task AND r.model = a.model AND r.prompt_id = a.prompt_id AND r.aspect = a.aspect AND r.iter = a.iter GROUP BY ALL""",
+    )
     out["clean_run"] = sql(select=f"SELECT {KEYS}, {md5len(clean_sql(), 'clean_text')}, CAST(NULL AS VARCHAR) AS error FROM results")
     out["clean_rules"] = sql(select=f"SELECT {KEYS}, {md5len(clean_sql(), 'clean_text')} FROM results")
     ccols = ", ".join(
@@ -422,19 +449,21 @@ def build() -> dict[str, str]:
     )
     out["ctg_report_lines"] = sql(*S_, ctg_lines_cte(), select="SELECT * FROM ctglines")
     out["coverage"] = sql(
+        *gappy_ctes(),
         select="""SELECT task, model, 'result_without_prompt' AS kind, CAST(count(*) AS BIGINT) AS n
-          FROM (SELECT DISTINCT task, model, prompt_id FROM results) r
-          WHERE NOT EXISTS (SELECT 1 FROM prompts p WHERE p.task = r.task AND p.prompt_id = r.prompt_id) GROUP BY task, model
+          FROM (SELECT DISTINCT task, model, prompt_id FROM gres) r
+          WHERE NOT EXISTS (SELECT 1 FROM gprompts p WHERE p.task = r.task AND p.prompt_id = r.prompt_id) GROUP BY task, model
         UNION ALL
         SELECT m.task, m.model, 'prompt_without_result', CAST(count(*) AS BIGINT)
-          FROM (SELECT DISTINCT task, model FROM results) m JOIN prompts p ON p.task = m.task
-          WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.task = m.task AND r.model = m.model AND r.prompt_id = p.prompt_id)
+          FROM (SELECT DISTINCT task, model FROM gres) m JOIN gprompts p ON p.task = m.task
+          WHERE NOT EXISTS (SELECT 1 FROM gres r WHERE r.task = m.task AND r.model = m.model AND r.prompt_id = p.prompt_id)
           GROUP BY m.task, m.model"""
     )
     out["master_key_issues"] = sql(
+        *gappy_ctes(),
         select="""SELECT task, prompt_id, CAST(count(*) AS BIGINT) AS n,
           CASE WHEN prompt_id IS NULL OR task IS NULL THEN 'null_key' ELSE 'duplicate_key' END AS issue
-          FROM prompts GROUP BY task, prompt_id HAVING prompt_id IS NULL OR task IS NULL OR count(*) > 1"""
+          FROM gprompts GROUP BY task, prompt_id HAVING prompt_id IS NULL OR task IS NULL OR count(*) > 1"""
     )
     out["judged_columns"] = sql(
         select=f"SELECT task, model, prompt_id, aspect || '_wo_hf' AS label, iter, {md5len('clean_text', 'text')} FROM results"
@@ -479,10 +508,14 @@ def build() -> dict[str, str]:
     )
     out["incomplete_scores"] = sql(
         *S_, *QJ, quality_cte(),
-        select="""SELECT c.task, c.model, c.ctg_lines, q.quality_values FROM
-          (SELECT task, model, CAST(count(*) AS BIGINT) AS ctg_lines, count(DISTINCT iter) AS n_iters FROM scores GROUP BY task, model) c
-          FULL JOIN (SELECT task, model, CAST(count(*) AS BIGINT) AS quality_values FROM allacc GROUP BY task, model) q
+        select="""SELECT coalesce(c.task, q.task) AS task, coalesce(c.model, q.model) AS model, c.ctg_lines, q.quality_values FROM
+          (SELECT task, model, CAST(count(*) AS BIGINT) AS ctg_lines, count(DISTINCT iter) AS n_iters FROM scores
+           WHERE NOT (model = '{second}' AND task = '{t0}' AND iter = 1 AND aspect = '{a0}') AND NOT (model <> '{second}' AND task = '{t1}' AND iter = 2) GROUP BY task, model) c
+          FULL JOIN (SELECT task, model, CAST(count(*) AS BIGINT) AS quality_values FROM allacc
+           WHERE NOT (model = '{second}' AND task = '{t2}' AND aspect = '{a1}') AND NOT (model <> '{second}' AND task = '{t2}') GROUP BY task, model) q
           ON c.task = q.task AND c.model = q.model
-          WHERE c.ctg_lines IS NULL OR q.quality_values IS NULL OR c.ctg_lines <> 12 OR c.n_iters <> 3 OR q.quality_values <> 4""",
+          WHERE c.ctg_lines IS NULL OR q.quality_values IS NULL OR c.ctg_lines <> 12 OR c.n_iters <> 3 OR q.quality_values <> 4""".format(
+            second=suffix_py(generated_models()[1][1]), t0=TASKS[0], t1=TASKS[1], t2=TASKS[2], a0=ASPECTS[0], a1=ASPECTS[1]
+        ),
     )
     return out

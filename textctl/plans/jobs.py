@@ -14,9 +14,11 @@ others (dynamic partition overwrite), as the benchmark keeps a file per task
 and model: stages may run task by task or with a slice of the models.
 ``tasks`` and ``models`` narrow stages 2 to 5 to those folders.
 
-Answers of models are appended once, as they come, with the run they belong
-to, and read back; nothing calls a model twice. ``resume=True`` asks only
-for what has no successful answer yet, in every stage that calls a model. A
+Answers of models are appended to a log task by task, as tasks end, with the
+run they belong to (``operators/answer_log.py``); nothing calls a model
+twice, and a stage that is killed keeps what its ended tasks were answered.
+``commit_every`` bounds the requests of a task. ``resume=True`` asks only for
+what has no successful answer yet, in every stage that calls a model. A
 request that failed keeps its error row until a later run succeeds; its text
 is the sentinel or the error, as the benchmark writes it.
 
@@ -26,34 +28,28 @@ Lines of the master that do not parse are written to ``{out}/quarantine``;
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..operators import answer_log as LOG
 from ..operators import chat as CH
 from ..operators import clean as CL
 from ..operators import ids as ID
 from ..operators import inference as INF
 from ..operators import judge as J
+from ..operators import keysets
 from ..operators import leaderboard as LB
 from ..operators import reshape as R
 from ..operators import scores as S
 from ..operators import validity as V
-from ..schemas import DEFAULT_ITERS, SENTINEL
+from ..schemas import ASPECTS, DEFAULT_ITERS, SENTINEL
 from ..sources import files
 from ..sources.registry import missing_results, model_slice, registry_paths, suffix_py
 
 KEYS = ["task", "model", "prompt_id", "aspect", "iter"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """On whatever file system the path names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _master(spark: SparkSession, master_paths, out: str, strict: bool = False) -> DataFrame:
     m = files.read_master(spark, master_paths)
     bad = f"{out}/quarantine"
@@ -71,30 +67,6 @@ def _replace(df: DataFrame, path: str, by=("task", "model")) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def _answered(df: DataFrame, path: str, resume: bool, by=()) -> None:
-    """Stores answers (with ``error``) once: appended on a restart, else in
-    place of the folders they belong to."""
-    df = df.withColumn("run", F.lit(f"{time.time_ns():020d}"))
-    if resume:
-        w = df.write.mode("append")
-    else:
-        w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (w.partitionBy(*by) if by else w).parquet(path)
-
-
-def _latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """One row per key: the successful answer, else the last error."""
-    rows = spark.read.parquet(path)
-    good = rows.where(F.col("error").isNull())
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("run")))
-    bad = rows.where(F.col("error").isNotNull()).withColumn("_n", last).where("_n = 1").drop("_n")
-    return good.unionByName(bad.join(good.select(*keys), keys, "left_anti")).drop("run")
-
-
-def _successes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("error").isNull())
-
-
 def _narrowed(df: DataFrame, tasks, models) -> DataFrame:
     if tasks:
         df = df.where(F.col("task").isin(list(tasks)))
@@ -115,23 +87,28 @@ def generate(
     resume: bool = False,
     strict: bool = False,
     partitions: int | None = None,
+    commit_every: int | None = None,
 ) -> DataFrame:
     """Stage 1: every prompt x aspect x iteration x model through its family's
     chat layout and the model; stored long in ``{out}/generated``."""
     master = _master(spark, master_paths, out, strict)
     models = models if models is not None else model_slice(registry_paths())
     target = f"{out}/generated"
-    if resume and _exists(spark, target):
-        # the anti join runs on keys; only pending requests get their prompt text
-        req = INF.pending_requests(master, models, _successes(spark, target), iters=iters)
+    run = LOG.new_run()
+    if resume and LOG.exists(spark, target):
+        # found by bitmaps of keys; only pending requests get their prompt text
+        open_keys = keysets.pending(master, models, LOG.successes(spark, target), iters, ASPECTS)
+        req = INF.with_prompt(open_keys, master, models)
     else:
-        resume = False
+        scope = master.select("task").distinct().select("task", F.explode(F.array(*[F.lit(suffix_py(path)) for _, path in models])).alias("model"))
+        LOG.start_anew(scope, target, run)
         req = INF.generation_requests(master, models, iters=iters)
     req = CH.render_requests(req, use_system=use_system)
     to_model = [c for c in ("family", "system", "messages", "params") if c in req.columns]
     able = req.where(F.col("supported")).select(*KEYS, "model_path", F.col("chat_prompt").alias("prompt"), *to_model)
+    able = LOG.spread(able, commit_every, KEYS)
     done = INF.run_model(able, factory, policy=policy, keys=KEYS, strip_echo=True, partitions=partitions, request_cols=to_model, checkpoint=False)
-    _answered(done.withColumnRenamed("text", "raw_text"), target, resume, ("task", "model"))
+    LOG.append(done.withColumnRenamed("text", "raw_text"), target, run, ("task", "model"))
     if CH.unsupported_paths(models):
         CH.unsupported(req.where(~F.col("supported"))).write.mode("overwrite").parquet(f"{out}/unsupported_models")
     stored = _generated(spark, out)
@@ -146,12 +123,31 @@ def generate(
 
 def _generated(spark: SparkSession, out: str) -> DataFrame:
     """All generated texts; of a failed request the error as text."""
-    rows = _latest(spark, f"{out}/generated", KEYS)
+    rows = LOG.latest(spark, f"{out}/generated", KEYS)
     return rows.withColumn("raw_text", F.coalesce("raw_text", "error"))
 
 
+def unanswered(spark: SparkSession, master_paths, out: str, models=None, iters: int = DEFAULT_ITERS) -> DataFrame:
+    """Per task, model, aspect and iteration how many prompts have
+    a successful answer, for those that miss some (``n_prompts``,
+    ``n_held``), from bitmaps of keys."""
+    master = files.parsed(files.read_master(spark, master_paths))
+    models = models if models is not None else model_slice(registry_paths())
+    models = [m for m in models if not CH.unsupported_paths([m])]
+    x = keysets.fill(master, models, LOG.successes(spark, f"{out}/generated"), iters, ASPECTS)
+    return x.where(F.col("n_held") < F.col("n_prompts"))
+
+
 def clean(
-    spark: SparkSession, out: str, factory=None, policy=None, tasks=None, models=None, resume: bool = False, partitions: int | None = None
+    spark: SparkSession,
+    out: str,
+    factory=None,
+    policy=None,
+    tasks=None,
+    models=None,
+    resume: bool = False,
+    partitions: int | None = None,
+    commit_every: int | None = None,
 ) -> DataFrame:
     """Stage 2: header/footer removal for every generated text; the rule
     cleaner when ``factory`` is None, else the cleaning model, asked once per
@@ -162,11 +158,17 @@ def clean(
     else:
         keyed = gen.withColumn("_k", CL.text_key())
         answers = f"{out}/clean_answers"
-        again = resume and _exists(spark, answers)
-        req = CL.clean_requests(keyed, known=_successes(spark, answers) if again else None)
+        again = resume and LOG.exists(spark, answers)
+        req = LOG.spread(CL.clean_requests(keyed, known=LOG.successes(spark, answers) if again else None), commit_every, ["_k"])
         done = INF.run_model(req, factory, policy=policy, keys=["_k"], partitions=partitions, request_cols=["system"], checkpoint=False)
-        _answered(done, answers, True)  # of a text asked again the newest answer counts
-        cleaned = CL.with_answers(keyed, _newest(spark, answers))
+        LOG.append(done, answers, LOG.new_run())  # of a text asked again the newest answer counts
+        # stored once, so that the join below is between two shuffles and a hot text can be split
+        known = LOG.newest(spark, answers, "_k").checkpoint()
+        cleaned = CL.with_answers(keyed, known)
+        # a model that stopped leaves texts unanswered: failed until a later run
+        none = F.col("clean_text").isNull() & F.col("raw_text").isNotNull()
+        cleaned = cleaned.withColumn("clean_error", F.when(none, F.coalesce("clean_error", F.lit("no answer"))).otherwise(F.col("clean_error")))
+        cleaned = cleaned.withColumn("clean_text", F.when(none, F.lit(SENTINEL)).otherwise(F.col("clean_text")))
     cols = [*KEYS, "model_path", "raw_text", "clean_text", "generation_error", "clean_error"]
     _replace(cleaned.select(*cols), f"{out}/cleaned")
     stored = _narrowed(spark.read.parquet(f"{out}/cleaned"), tasks, models)
@@ -243,6 +245,7 @@ def score_quality(
     resume: bool = False,
     strict: bool = False,
     partitions: int | None = None,
+    commit_every: int | None = None,
 ) -> DataFrame:
     """Stage 4: the judge for every cleaned text (fallback question for the
     answers that do not parse), judge table and quality reports. The answers
@@ -257,11 +260,12 @@ def score_quality(
     answers = []
     for number in (1, 2):
         path = f"{out}/judge_answers/question={number}"
-        known = _successes(spark, path) if resume and _exists(spark, path) else None
+        known = LOG.successes(spark, path) if resume and LOG.exists(spark, path) else None
         open_ = J.judge_requests(items, is_bool=number == 2, first=answers[0] if answers else None, known=known)
+        open_ = LOG.spread(open_, commit_every, ["_k"])
         done = INF.run_model(open_, factory, policy=policy, keys=["_k"], partitions=partitions, request_cols=["system"], checkpoint=False)
-        _answered(done, path, True)
-        answers.append(_newest(spark, path))
+        LOG.append(done, path, LOG.new_run())
+        answers.append(LOG.newest(spark, path, "_k").checkpoint())
     judged = J.with_answers(items, *answers)
     _replace(judged, f"{out}/judged")
     judged = _narrowed(spark.read.parquet(f"{out}/judged"), tasks, models)
@@ -274,14 +278,6 @@ def score_quality(
     return qs
 
 
-def _newest(spark: SparkSession, path: str) -> DataFrame:
-    """One answer per key: of the last run that succeeded, else the last
-    error."""
-    rows = spark.read.parquet(path)
-    nr = F.row_number().over(Window.partitionBy("_k").orderBy(F.col("error").isNotNull(), F.desc("run")))
-    return rows.withColumn("_n", nr).where("_n = 1").drop("_n", "run")
-
-
 def leaderboard(
     spark: SparkSession, out: str, strict: bool = True, models: list[tuple[int, str]] | None = None, tasks=None, iters: int = DEFAULT_ITERS
 ) -> DataFrame:

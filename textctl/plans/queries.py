@@ -9,21 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uuid import uuid4
+
 from ..functions.text import delete_blank, strip_echo
+from ..operators import answer_log as LOG
 from ..operators import chat as CH
 from ..operators import clean as CL
 from ..operators import ids as ID
 from ..operators import inference as INF
 from ..operators import judge as J
+from ..operators import keysets
 from ..operators import leaderboard as LB
 from ..operators import prompts as P
 from ..operators import reshape as R
 from ..operators import scores as S
 from ..operators import validity as V
 from ..plans.joins import join_small
-from ..schemas import ASPECTS
+from ..schemas import ASPECTS, DEFAULT_ITERS, TASKS
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources.registry import list_models, models_literal, model_slice
+from ..sources.registry import list_models, models_literal, model_slice, suffix_py
 
 KEYS = ["task", "model", "prompt_id", "aspect", "iter"]
 
@@ -207,7 +212,8 @@ def gen_requests(spark, d):
 
 
 def gen_params(spark, d):
-    r = CH.render_requests(registry_requests(spark, d))
+    """The parameters of every model with a renderer: all families."""
+    r = CH.render_requests(registry_requests(spark, d, list(enumerate(CH.RENDERER))))
     return r.groupBy("model_path", "family").agg(
         F.count(F.lit(1)).alias("n_requests"),
         F.first("params.do_sample").alias("do_sample"),
@@ -215,6 +221,7 @@ def gen_params(spark, d):
         F.first("params.top_p").alias("top_p"),
         F.first("params.top_k").alias("top_k"),
         F.first("params.repetition_penalty").alias("repetition_penalty"),
+        F.first("params.num_beams").alias("num_beams"),
         F.first("params.max_new_tokens").alias("max_new_tokens"),
     )
 
@@ -269,6 +276,29 @@ def pending_requests(spark, d):
     return INF.pending(keys_of_results(spark, d).select(*KEYS), finished)
 
 
+def gen_resume(spark, d):
+    """A stage whose model stops half way and a second run of it. The
+    answers of both come from the log; every request has one row there."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid4().hex}"
+    m = master(spark, d, with_prompts=True)
+    models = fx.generated_models()
+    LOG.append(INF.run_model(_chat_requests(spark, d), INF.quota_factory, keys=KEYS, checkpoint=False), path, LOG.new_run(), ("task", "model"))
+    left = keysets.pending(m, models, LOG.successes(spark, path), DEFAULT_ITERS, ASPECTS)
+    again = CH.render_requests(INF.with_prompt(left, m, models)).select(*KEYS, "model_path", F.col("chat_prompt").alias("prompt"))
+    LOG.append(INF.run_model(again, INF.length_factory, keys=KEYS, checkpoint=False), path, LOG.new_run(), ("task", "model"))
+    return LOG.visible(spark, path).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_answers"), F.max("text").alias("text"))
+
+
+def pending_bitmaps(spark, d):
+    """The requests of an interrupted run, by bitmaps of keys."""
+    return keysets.pending(fx.gappy_prompts(spark, d), fx.generated_models(), fx.gappy_keys(spark, d), DEFAULT_ITERS, ASPECTS)
+
+
+def key_fill(spark, d):
+    """Prompts with a result per task, model, aspect and iteration."""
+    return keysets.fill(fx.gappy_prompts(spark, d), model_slice(fx.REGISTRY), fx.gappy_keys(spark, d), DEFAULT_ITERS, ASPECTS)
+
+
 # ---------------------------------------------------------------- D: cleaning
 
 
@@ -334,7 +364,7 @@ def analysis_rows(spark, d):
 
 
 def master_key_issues(spark, d):
-    return V.master_key_issues(narrow_master(spark, d)).select("task", "prompt_id", "n", "issue")
+    return V.master_key_issues(fx.gappy_prompts(spark, d)).select("task", "prompt_id", "n", "issue")
 
 
 def ctg_report_lines(spark, d):
@@ -342,7 +372,7 @@ def ctg_report_lines(spark, d):
 
 
 def coverage(spark, d):
-    return V.coverage(keys_of_results(spark, d), narrow_master(spark, d))
+    return V.coverage(fx.gappy_keys(spark, d), fx.gappy_prompts(spark, d))
 
 
 # ---------------------------------------------------------------- F: quality
@@ -465,7 +495,12 @@ def leaderboard(spark, d):
 
 
 def incomplete_scores(spark, d):
+    """Reports of an interrupted run: one lacks a control line, one an
+    iteration, one a quality value, one all of them."""
     c, q = _board_inputs(spark, d)
+    one = F.col("model") == F.lit(suffix_py(fx.generated_models()[1][1]))
+    c = c.where(~(one & (F.col("task") == TASKS[0]) & (F.col("iter") == 1) & (F.col("aspect") == ASPECTS[0])) & ~(~one & (F.col("task") == TASKS[1]) & (F.col("iter") == 2)))
+    q = q.where(~(one & (F.col("task") == TASKS[2]) & (F.col("aspect") == ASPECTS[1])) & ~(~one & (F.col("task") == TASKS[2])))
     return LB.incomplete_scores(c, q).select("task", "model", "ctg_lines", "quality_values")
 
 
@@ -502,6 +537,9 @@ QUERIES = {
     "gen_errors": gen_errors,
     "wide_results": wide_results,
     "pending_requests": pending_requests,
+    "gen_resume": gen_resume,
+    "pending_bitmaps": pending_bitmaps,
+    "key_fill": key_fill,
     # D cleaning
     "clean_run": clean_run,
     "clean_rules": clean_rules,

@@ -164,6 +164,24 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS, tex
     return x.select(*keys, raw.alias("raw_text"), clean.alias("clean_text"))
 
 
+def gappy_keys(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``result_keys`` as an interrupted run leaves them: single requests and
+    whole prompts without a result, results given twice, and results of
+    prompts that the master does not have."""
+    x = result_keys(spark, data_dir)
+    pid, it, midx = F.col("prompt_id"), F.col("iter"), F.col("model_idx")
+    there = x.where(~(((pid * 7 + it * 3 + midx) % 11 == 0) | ((pid + midx) % 17 == 0)))
+    orphans = x.where((pid % 13 == 0) & (it == 0)).withColumn("prompt_id", pid + 1_000_000_000)
+    return there.unionByName(there.where(pid % 5 == 0)).unionByName(orphans)
+
+
+def gappy_prompts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The narrow master with prompts given twice and without a key."""
+    m = prompts(spark, data_dir, text=False)
+    pid = F.col("prompt_id")
+    return m.unionByName(m.where(pid % 19 == 0)).unionByName(m.where(pid % 23 == 0).withColumn("prompt_id", F.lit(None).cast("long")))
+
+
 def judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS) -> DataFrame:
     return _memo("answers", spark, data_dir, iters, build=lambda: _judge_answers(spark, data_dir, iters))
 
