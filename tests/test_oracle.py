@@ -10,7 +10,7 @@ import __spark_entry__ as E
 
 from conftest import SF0001
 
-TABLES = ["documents", "labels", "benchmark", "conversations"]
+TABLES = ["documents", "labels", "benchmark", "conversations", "embeddings"]
 
 
 def _norm(v):

@@ -410,6 +410,16 @@ def build() -> dict[str, str]:
     )
     out["wide_results"] = sql(select=f"SELECT task, model, prompt_id, {wcols} FROM results GROUP BY task, model, prompt_id")
     out["pending_requests"] = sql(select=f"SELECT {KEYS} FROM results WHERE clean_text = {q(SENTINEL)}")
+    out["layout_master"] = sql(
+        select=f"SELECT task, prompt_id, title, {md5len('base_text', 'base_text')}, format, char_count, keyword, prohibited_word, [min_chars, max_chars] AS char_count_answer, keyword_answer, prohibited_word_answer, CAST(NULL AS VARCHAR) AS _corrupt_record FROM prompts"
+    )
+    short = f"""short AS (SELECT task, model, model_path, prompt_id, aspect, iter, chr(9) || '"{{' || md5(body) || '}}' || chr(92) || chr(10) || '要約' || chr(13) || chr(39) || iter AS raw_text,
+      CASE WHEN iter = 1 THEN {q(SENTINEL)} ELSE md5(body) END AS clean_text FROM gen2)"""
+    first = q(suffix_py(generated_models()[0][1]))
+    out["layout_results"] = sql(short, select=f"SELECT {KEYS}, model_path, raw_text FROM short")
+    out["layout_results_clean"] = sql(short, select=f"SELECT {KEYS}, raw_text, clean_text FROM short WHERE task = {q(TASKS[1])} AND model = {first}")
+    out["layout_models"] = sql(select=f"SELECT DISTINCT task, model FROM results WHERE model = {first} OR task = {q(TASKS[0])}")
+    out["layout_ctg_reports"], out["layout_quality_reports"] = out["read_ctg_report"], out["read_quality_report"]
     out["gen_resume"] = sql(*GEN, chat_requests_cte(), select=f"SELECT {KEYS}, CAST(1 AS BIGINT) AS n_answers, 'ok:' || CAST(length(chat) AS VARCHAR) AS text FROM chatreq")
     combos = lambda models: "[" + ", ".join(f"{{'model': {q(suffix_py(p))}, 'aspect': {q(a)}, 'iter': {i}}}" for _, p in models for a in ASPECTS for i in range(3)) + "]"
     asked = "asked AS (SELECT task, prompt_id, CAST(c.model AS VARCHAR) AS model, CAST(c.aspect AS VARCHAR) AS aspect, CAST(c.iter AS INTEGER) AS iter FROM (SELECT task, prompt_id, unnest({}) AS c FROM (SELECT DISTINCT task, prompt_id FROM gprompts WHERE prompt_id IS NOT NULL)))"

@@ -28,6 +28,7 @@ from ..plans.joins import join_small
 from ..schemas import ASPECTS, DEFAULT_ITERS, TASKS
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import layout
 from ..sources.registry import list_models, models_literal, model_slice, suffix_py
 
 KEYS = ["task", "model", "prompt_id", "aspect", "iter"]
@@ -130,6 +131,68 @@ def parse_bool_list(spark, d):
     return x.select("task", "model", "prompt_id", "aspect", F.col("iter").cast("int").alias("iter"), "ok")
 
 
+def _layout(spark) -> str:
+    """A new folder on the shared storage."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/layout-{uuid4().hex}"
+
+
+def layout_master(spark, d):
+    """A1: the prompt master written in the benchmark's layout and read back
+    through the data source."""
+    root, kind = _layout(spark), layout.KINDS["master"]
+    m = master(spark, d)
+    layout.write(m.select("task", *[F.col(f.name).cast(f.dataType) for f in kind.fields if f.name in m.columns]), root, "master")
+    back = layout.read(spark, root, "master")
+    return back.select("task", F.col("prompt_id").cast("long").alias("prompt_id"), "title", *md5len("base_text", "base_text"), "format", "char_count", "keyword", "prohibited_word", "char_count_answer", "keyword_answer", "prohibited_word_answer", "_corrupt_record")
+
+
+def _layout_results(spark, d, kind, root):
+    short = fx.short_results(spark, d)
+    w = R.to_wide(short if kind == "results_clean" else short.drop("clean_text"))
+    layout.write(w.withColumn("prompt_id", F.col("prompt_id").cast("string")), root, kind)
+
+
+def layout_results(spark, d):
+    """A2: generated results, as files and back, one row per text."""
+    root = _layout(spark)
+    _layout_results(spark, d, "results", root)
+    back = R.to_long(layout.read(spark, root, "results"))
+    return back.select("task", "model", "model_path", F.col("prompt_id").cast("long").alias("prompt_id"), "aspect", "iter", "raw_text")
+
+
+def layout_results_clean(spark, d):
+    """A3: cleaned results of one task and model, the other folders ruled
+    out before they are listed."""
+    root = _layout(spark)
+    _layout_results(spark, d, "results_clean", root)
+    one = layout.read(spark, root, "results_clean").where((F.col("task") == TASKS[1]) & (F.col("model") == suffix_py(fx.generated_models()[0][1])))
+    return R.to_long(one).select("task", "model", F.col("prompt_id").cast("long").alias("prompt_id"), "aspect", "iter", "raw_text", "clean_text")
+
+
+def layout_models(spark, d):
+    """A10: the models with results, from the folders alone; one model has
+    cleaned results only."""
+    root, first = _layout(spark), F.col("model") == suffix_py(fx.generated_models()[0][1])
+    short = fx.short_results(spark, d)
+    layout.write(R.to_wide(short.where(first).drop("clean_text")), root, "results")
+    layout.write(R.to_wide(short.where(~first & (F.col("task") == TASKS[0]))), root, "results_clean")
+    return layout.read(spark, root, "models").select("task", "model")
+
+
+def layout_ctg_reports(spark, d):
+    """Control reports, written in line order and parsed again."""
+    root = _layout(spark)
+    layout.write(S.ctg_report_lines(scores(spark, d)), root, "ctg_report")
+    return LB.parse_ctg_report(layout.read(spark, root, "ctg_report"))
+
+
+def layout_quality_reports(spark, d):
+    """Quality reports, the same way."""
+    root = _layout(spark)
+    layout.write(quality_lines(spark, d), root, "quality_report")
+    return LB.parse_quality_report(layout.read(spark, root, "quality_report"))
+
+
 def list_models_q(spark, d):
     return list_models(keys_of_results(spark, d))
 
@@ -537,6 +600,12 @@ QUERIES = {
     "gen_errors": gen_errors,
     "wide_results": wide_results,
     "pending_requests": pending_requests,
+    "layout_master": layout_master,
+    "layout_results": layout_results,
+    "layout_results_clean": layout_results_clean,
+    "layout_models": layout_models,
+    "layout_ctg_reports": layout_ctg_reports,
+    "layout_quality_reports": layout_quality_reports,
     "gen_resume": gen_resume,
     "pending_bitmaps": pending_bitmaps,
     "key_fill": key_fill,

@@ -164,6 +164,15 @@ def _results(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITERS, tex
     return x.select(*keys, raw.alias("raw_text"), clean.alias("clean_text"))
 
 
+def short_results(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``results`` of models that answer with a line naming the text's hash
+    and everything a file format has to escape."""
+    x = result_keys(spark, data_dir)
+    d = documents(spark, data_dir, ("doc_id", "text")).select(F.col("doc_id").alias("prompt_id"), F.md5("text").alias("_md5"))
+    raw = F.concat(F.lit('\t"{'), F.col("_md5"), F.lit("}\\\n要約\r'"), F.col("iter").cast("string"))
+    return x.join(d, "prompt_id").select(*x.columns, raw.alias("raw_text"), F.when(F.col("iter") == 1, F.lit(SENTINEL)).otherwise(F.col("_md5")).alias("clean_text"))
+
+
 def gappy_keys(spark: SparkSession, data_dir: str) -> DataFrame:
     """``result_keys`` as an interrupted run leaves them: single requests and
     whole prompts without a result, results given twice, and results of
