@@ -433,6 +433,26 @@ def build() -> dict[str, str]:
           FROM asked a LEFT JOIN (SELECT DISTINCT task, model, prompt_id, aspect, iter FROM gres) r
           ON r.task = a.task AND r.model = a.model AND r.prompt_id = a.prompt_id AND r.aspect = a.aspect AND r.iter = a.iter GROUP BY ALL""",
     )
+    cut = r"'[^.。．!！?？\n]*[.。．!！?？\n]+|[^.。．!！?？\n]+'"
+    # six levels are more than any of the fixture's texts share
+    parts = {"header": "array_to_string(u[1:k], '')", "footer": "array_to_string(u[len(u) - k + 1:], '')"}
+    edge_ctes = (
+        f"et AS MATERIALIZED (SELECT DISTINCT task, model, prompt_id, raw_text, regexp_extract_all(raw_text, {cut}) AS u FROM results)",
+        "ek AS (SELECT et.*, k FROM et, range(1, 7) r(k) WHERE k < len(u))",
+        "ee AS (SELECT task, model, greatest(10, ceil(count(DISTINCT prompt_id) * 0.05)) AS enough FROM et GROUP BY task, model)",
+        "en AS MATERIALIZED (SELECT x.*, enough FROM ("
+        + " UNION ALL ".join(f"SELECT task, model, '{side}' AS side, CAST(k AS INTEGER) AS level, {t} AS text, count(DISTINCT prompt_id) AS n_prompts FROM ek GROUP BY ALL" for side, t in parts.items())
+        + ") x JOIN ee USING (task, model) WHERE n_prompts >= enough)",
+        "ed AS (SELECT task, model, prompt_id, raw_text, u, max(k) FILTER (side = 'header') AS h, max(k) FILTER (side = 'footer') AS f FROM ("
+        + " UNION ALL ".join(f"SELECT ek.*, en.side FROM ek JOIN en ON ek.task = en.task AND ek.model = en.model AND ek.k = en.level AND en.side = '{side}' AND en.text = {t}" for side, t in parts.items())
+        + ") GROUP BY ALL)",
+        "ec AS (SELECT et.task, et.model, et.prompt_id, et.raw_text, et.u, coalesce(h, 0) AS h, least(coalesce(f, 0), len(et.u) - coalesce(h, 0) - 1) AS f FROM et LEFT JOIN ed USING (task, model, prompt_id, raw_text))",
+        "ey AS (SELECT *, array_to_string(u[h + 1:len(u) - f], '') AS kept FROM ec)",
+        r"ez AS (SELECT *, CASE WHEN h > 0 THEN regexp_replace(kept, '^[ \t\r\n　]+', '') ELSE kept END AS cut FROM ey)",
+        r"ex AS (SELECT task, model, prompt_id, raw_text, CASE WHEN len(u) = 0 THEN raw_text WHEN f > 0 THEN regexp_replace(cut, '[ \t\r\n　]+$', '') ELSE cut END AS clean FROM ez)",
+    )
+    out["edge_phrases"] = sql(*edge_ctes, select="SELECT task, model, side, level, CAST(n_prompts AS BIGINT) AS n_prompts, text FROM en")
+    out["clean_discovered"] = sql(*edge_ctes, select=f"SELECT {', '.join('r.' + c for c in KEYS.split(', '))}, {md5len('clean', 'clean_text')} FROM results r JOIN ex USING (task, model, prompt_id, raw_text)")
     out["clean_run"] = sql(select=f"SELECT {KEYS}, {md5len(clean_sql(), 'clean_text')}, CAST(NULL AS VARCHAR) AS error FROM results")
     out["clean_rules"] = sql(select=f"SELECT {KEYS}, {md5len(clean_sql(), 'clean_text')} FROM results")
     ccols = ", ".join(

@@ -15,6 +15,7 @@ from ..functions.text import delete_blank, strip_echo
 from ..operators import answer_log as LOG
 from ..operators import chat as CH
 from ..operators import clean as CL
+from ..operators import edges as ED
 from ..operators import ids as ID
 from ..operators import inference as INF
 from ..operators import judge as J
@@ -383,6 +384,22 @@ def clean_wide(spark, d):
     return c.select("task", "model", "prompt_id", *[F.md5(F.array_join(f"{a}_result_wo_hf", sep)).alias(f"{a}_wo_hf_md5") for a in ASPECTS])
 
 
+def _edge_texts(spark, d):
+    return results(spark, d).select(*KEYS, "raw_text")
+
+
+def edge_phrases(spark, d):
+    """The headers and footers found in the generated texts."""
+    texts = _edge_texts(spark, d)
+    return ED.phrases(texts, ED.discover(texts))
+
+
+def clean_discovered(spark, d):
+    """The texts without them."""
+    texts = _edge_texts(spark, d)
+    return ED.strip(texts, ED.discover(texts)).select(*KEYS, *md5len("clean_text", "clean_text"))
+
+
 # ---------------------------------------------------------------- E: control
 
 
@@ -612,6 +629,8 @@ QUERIES = {
     # D cleaning
     "clean_run": clean_run,
     "clean_rules": clean_rules,
+    "edge_phrases": edge_phrases,
+    "clean_discovered": clean_discovered,
     "clean_wide": clean_wide,
     # E control
     "delete_blank": delete_blank_q,
