@@ -25,7 +25,9 @@ sorted by weight, and a unit without any of a template's heaviest words,
 the rest of which fall short of the threshold together, cannot match it.
 Likewise a file, and then a block, is left out if for every template the
 weights of the words it has of it fall short together.
-Texts are scanned twice and never shuffled.
+Texts are never shuffled. They are read for the word counts, the lines, the
+blocks, the directories and the result; terms and candidate files are written
+once and read from there.
 
 Defined results: null and empty texts have no units; a null path has no
 directory and inherits nothing; null ids come first in ties; equal rows get
@@ -149,19 +151,24 @@ def _units(files: DataFrame) -> DataFrame:
     return lines.select("id", "mark", "pos", _unit_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
-def _weights(units: DataFrame, templates: Mapping) -> tuple[dict, dict, float]:
-    """Template vectors of unit length, inverse document frequencies of their
-    words, and that of a word outside. Brings one number per template word
-    to the driver."""
-    counts = {(name, i): _count(words(t)) for name, texts in templates.items() for i, t in enumerate(texts)}
-    known = sorted({w for c in counts.values() for w in c})
+def _frequencies(units: DataFrame, *templates: Mapping) -> tuple[dict, int]:
+    """The number of units with each template word, and of all units. One
+    count for all templates; one number per word comes to the driver."""
+    known = sorted({w for t in templates for texts in t.values() for line in texts for w in words(line)})
     if len(known) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words")
     vocabulary = F.array(*[F.lit(w) for w in known]) if known else F.array().cast("array<string>")
     seen = units.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", vocabulary))).alias("word"))
     df = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
-    n = df.pop("", 0)
-    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in known}
+    return df, df.pop("", 0)
+
+
+def _weights(frequencies: tuple[dict, int], templates: Mapping) -> tuple[dict, dict, float]:
+    """Template vectors of unit length, inverse document frequencies of their
+    words, and that of a word outside."""
+    df, n = frequencies
+    counts = {(name, i): _count(words(t)) for name, texts in templates.items() for i, t in enumerate(texts)}
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in sorted({w for c in counts.values() for w in c})}
     vectors = {}
     for key, c in counts.items():
         v = {w: f * idf[w] for w, f in c.items()}
@@ -186,12 +193,16 @@ def _needed(vectors: dict, threshold: float) -> list[str]:
     return sorted(out)
 
 
-def matches(files: DataFrame, p: Params = Params()) -> DataFrame:
+def frequencies(files: DataFrame, p: Params = Params()) -> tuple[dict, int]:
+    """What ``matches`` and ``block_matches`` weigh words by."""
+    return _frequencies(_units(files), p.templates, p.bodies)
+
+
+def matches(files: DataFrame, p: Params = Params(), known: tuple[dict, int] | None = None) -> DataFrame:
     """(id, mark, pos, licence, cosine, n_words) of the units that reach the
     threshold, from (id, mark, text)."""
-    units = _units(files)
-    vectors, idf, outside = _weights(units, p.templates)
-    return _scored(units, vectors, idf, outside, p)
+    vectors, idf, outside = _weights(known or frequencies(files, p), p.templates)
+    return _scored(_units(files), vectors, idf, outside, p)
 
 
 def _scored(units: DataFrame, vectors: dict, idf: dict, outside: float, p: Params) -> DataFrame:
@@ -203,7 +214,8 @@ def _scored(units: DataFrame, vectors: dict, idf: dict, outside: float, p: Param
     able = units.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in needed]))) if needed else units.limit(0)
     terms = able.select("id", "mark", "pos", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     terms = terms.groupBy("id", "mark", "pos", "n_words", "word").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(outside)))
+    # written, as both sums below read them: texts are split once for them
+    terms = saved(terms.join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(outside))), "licence-terms")
     unit = ["id", "mark", "pos", "n_words"]
     norms = terms.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = terms.join(template, "word").groupBy(*unit, "licence", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
@@ -231,11 +243,11 @@ def _runs(parts: str, size: int) -> Column:
     return F.transform(starts, lambda i: F.flatten(F.slice(parts, i, size)))
 
 
-def block_matches(files: DataFrame, p: Params = Params()) -> DataFrame:
+def block_matches(files: DataFrame, p: Params = Params(), known: tuple[dict, int] | None = None) -> DataFrame:
     """(id, mark, licence, body, cosine, n_words) of each file's best block
     that reaches the threshold, one of a body before one of a header."""
     templates = {(True, k): v for k, v in p.bodies.items()} | {(False, k): v for k, v in p.templates.items()}
-    vectors, idf, outside = _weights(_units(files), templates)
+    vectors, idf, outside = _weights(known or frequencies(files, p), templates)
     # the lines' templates are told from bodies by their names
     vectors = {(("B" if body else "H") + name, i): v for ((body, name), i), v in vectors.items()}
     needed = F.array(*[F.lit(w) for w in _needed(vectors, p.threshold)]).cast("array<string>")
@@ -266,12 +278,13 @@ def scan(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     prepare(docs.sparkSession)
     text = F.col(text_col)
     files = docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), text.alias("text"))
-    found = saved(matches(files, p), "licence-units")
+    known = frequencies(files, p)
+    found = saved(matches(files, p, known), "licence-units")
     own = found.dropDuplicates(["id", "mark", "pos"]).groupBy("id", "mark").agg(
         F.min(F.struct((-F.col("cosine")).alias("minus"), "pos", "licence")).alias("b"), F.sum("n_words").alias("in_licence")
     )
     own = own.select("id", "mark", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("cosine"), "in_licence")
-    blocks = saved(block_matches(files, p), "licence-blocks").select("id", "mark", "body", F.struct(F.col("licence").alias("own"), "cosine", F.col("n_words").cast("long").alias("in_licence")).alias("block"))
+    blocks = saved(block_matches(files, p, known), "licence-blocks").select("id", "mark", "body", F.struct(F.col("licence").alias("own"), "cosine", F.col("n_words").cast("long").alias("in_licence")).alias("block"))
     both = own.alias("o").join(blocks.alias("k"), F.col("o.id").eqNullSafe(F.col("k.id")) & (F.col("o.mark") == F.col("k.mark")), "full")
     line = F.when(F.col("o.mark").isNotNull(), F.struct("o.own", "o.cosine", "o.in_licence"))
     own = both.select(
