@@ -227,14 +227,23 @@ def _scored(units: DataFrame, vectors: dict, idf: dict, outside: float, p: Param
 
 def _able(seen: Column, vectors: dict, threshold: float) -> Column:
     """Whether the words that ``seen`` has of some template weigh enough: the
-    cosine is at most the length of that part of the template."""
-    out = F.lit(False)
-    for v in vectors.values():
-        if v:
-            weight = F.create_map(*[x for w, y in sorted(v.items()) for x in (F.lit(w), F.lit(y * y))])
-            have = F.aggregate(F.array_intersect(seen, F.array(*[F.lit(w) for w in sorted(v)])), F.lit(0.0), lambda total, w: total + F.try_element_at(weight, w))
-            out = out | (F.sqrt(have) >= threshold - 1e-9)
-    return out
+    cosine is at most the length of that part of the template. The words are
+    first cut down to the templates', once for all templates."""
+    every = sorted({w for v in vectors.values() for w in v})
+    if not every:
+        return F.lit(False)
+
+    def enough(known: Column) -> Column:
+        out = F.lit(False)
+        for v in vectors.values():
+            if v:
+                weight = F.create_map(*[x for w, y in sorted(v.items()) for x in (F.lit(w), F.lit(y * y))])
+                have = F.aggregate(F.array_intersect(known, F.array(*[F.lit(w) for w in sorted(v)])), F.lit(0.0), lambda total, w: total + F.try_element_at(weight, w))
+                out = out | (F.sqrt(have) >= threshold - 1e-9)
+        return out
+
+    # bound by a lambda, so that it is evaluated once
+    return F.exists(F.array(F.array_intersect(seen, F.array(*[F.lit(w) for w in every]))), enough)
 
 
 def _runs(parts: str, size: int) -> Column:
