@@ -214,9 +214,9 @@ def _scored(units: DataFrame, vectors: dict, idf: dict, outside: float, p: Param
     able = units.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in needed]))) if needed else units.limit(0)
     terms = able.select("id", "mark", "pos", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     terms = terms.groupBy("id", "mark", "pos", "n_words", "word").agg(F.count(F.lit(1)).alias("tf"))
-    # written, as both sums below read them: texts are split once for them
-    terms = saved(terms.join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(outside))), "licence-terms")
     unit = ["id", "mark", "pos", "n_words"]
+    # written, as both sums below read them: texts are split once for them
+    terms = saved(terms.join(known, "word", "left").select(*unit, "word", (F.col("tf") * F.coalesce("idf", F.lit(outside))).alias("w")), "licence-terms")
     norms = terms.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = terms.join(template, "word").groupBy(*unit, "licence", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     on = F.col("d.id").eqNullSafe(F.col("n.id")) & (F.col("d.mark") == F.col("n.mark")) & (F.col("d.pos") == F.col("n.pos"))
