@@ -523,6 +523,25 @@ def build() -> dict[str, str]:
                   unnest({gm}) AS m FROM prompts) x
           ON jt.task = x.task AND jt.prompt_id = x.prompt_id AND jt.model = x.m.model""",
     )
+    said = f"""CASE WHEN a.answer_bool IN (' True', 'False') THEN a.answer_bool
+      ELSE a.answer_bool || chr(92) || chr(39) || '　"' || d.text END"""
+    out["judge_cells"] = sql(
+        answers_cte(),
+        f"""said AS (SELECT a.task, a.prompt_id, a.iter, {nb('a.answer')} AS first, {nb(said)} AS second
+          FROM answers a JOIN documents d ON a.prompt_id = d.doc_id)""",
+        """cells AS (SELECT task, prompt_id, iter, CASE WHEN first = '適切' THEN true WHEN first = '不適切' THEN false
+            WHEN second = 'True' THEN true WHEN second = 'False' THEN false END AS ok,
+          CASE WHEN first NOT IN ('適切', '不適切') AND second NOT IN ('True', 'False') THEN second END AS raw FROM said)""",
+        select=f"""SELECT task, prompt_id, iter, CASE WHEN ok IS NOT NULL THEN 'BOOLEAN' WHEN raw IS NOT NULL THEN 'STRING' ELSE 'VOID' END AS kind,
+          ok, {md5len('raw', 'raw')} FROM cells""",
+    )
+    out["judge_cells_scored"] = sql(
+        *QJ,
+        select="""SELECT task, model, aspect, iter, CAST(count(ok) AS BIGINT) AS n, CAST(count_if(ok) AS BIGINT) AS n_ok,
+          CAST(count_if(ok IS NULL) AS BIGINT) AS n_unparsed, count_if(ok) / nullif(count(ok), 0) AS acc,
+          CAST(count(*) AS BIGINT) AS n_all, CAST(count_if(coalesce(ok, coalesce(raw, '') <> '')) AS BIGINT) AS n_true
+          FROM judged GROUP BY task, model, aspect, iter""",
+    )
     out["quality_scores"] = sql(*Q, select="SELECT * FROM quality")
     out["quality_all_acc"] = sql(*Q, select="SELECT * FROM allacc")
     out["quality_report_lines"] = sql(*Q, qlines_cte(), select="SELECT * FROM qlines")

@@ -19,6 +19,7 @@ from ..operators import edges as ED
 from ..operators import ids as ID
 from ..operators import inference as INF
 from ..operators import judge as J
+from ..operators import judge_cells as JC
 from ..operators import keysets
 from ..operators import leaderboard as LB
 from ..operators import prompts as P
@@ -522,6 +523,23 @@ def judge_table(spark, d):
     return J.judge_table(judged(spark, d), ids)
 
 
+def judge_cells(spark, d):
+    """The judge table of a talkative judge (one model and aspect)
+    written as literals and read back as VARIANT; kept answers are whole texts."""
+    said = fx.talkative_answers(spark, d).withColumns({"model": F.lit("judged-model"), "aspect": F.lit(ASPECTS[0])})
+    written = JC.to_table(JC.from_judged(J.parse_answers(said)))
+    read = JC.to_judged(JC.from_table(written.select("task", "model", "prompt_id", f"{ASPECTS[0]}_wo_hf")))
+    return read.select("task", "prompt_id", "iter", "kind", "ok", *md5len("raw", "raw"))
+
+
+def judge_cells_scored(spark, d):
+    """F7 from the judge table's literals, beside the benchmark's reading of
+    them by truthiness (Q25)."""
+    x = JC.to_judged(JC.from_table(J.judge_table(judged(spark, d))))
+    true = x.groupBy("task", "model", "aspect", "iter").agg(F.count("truth").alias("n_all"), F.count_if("truth").alias("n_true"))
+    return J.quality_scores(x).drop("n_fallback").join(true, ["task", "model", "aspect", "iter"])
+
+
 def quality_scores(spark, d):
     return quality(spark, d)
 
@@ -653,6 +671,8 @@ QUERIES = {
     "judge_fallback": judge_fallback,
     "judge_unparsed": judge_unparsed,
     "judge_table": judge_table,
+    "judge_cells": judge_cells,
+    "judge_cells_scored": judge_cells_scored,
     "quality_scores": quality_scores,
     "quality_all_acc": quality_all_acc,
     "quality_report_lines": quality_report_lines,

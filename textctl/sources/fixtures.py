@@ -218,3 +218,13 @@ def _judge_answers(spark: SparkSession, data_dir: str, iters: int = DEFAULT_ITER
     return x.select(
         task_of(pid).alias("task"), pid.alias("prompt_id"), it.cast("int").alias("iter"), first.alias("answer"), second.alias("answer_bool")
     )
+
+
+def talkative_answers(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``judge_answers`` of a judge that, where it gives no label, answers
+    with a text as long as a document (the prompt's own)."""
+    x = judge_answers(spark, data_dir)
+    d = documents(spark, data_dir, ("doc_id", "text")).select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("_said"))
+    label = F.col("answer_bool").isin(" True", "False")
+    said = F.when(label, F.col("answer_bool")).otherwise(F.concat(F.col("answer_bool"), F.lit("\\'\u3000\""), F.col("_said")))
+    return x.join(d, "prompt_id").select("task", "prompt_id", "iter", "answer", said.alias("answer_bool"))
