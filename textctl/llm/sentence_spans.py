@@ -1,19 +1,27 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: a sentence ends after a mark of sentence or
-clause punctuation that is followed by a blank, and at every newline. From
-each sentence on, the shortest run of at least ``sentences`` sentences with
-at least ``words`` words is a span (fewer sentences do if they have twice as
-many words: a table row or an unpunctuated text is one long sentence); its
-words are hashed, lower-cased, to 128 bits. Spans are joined globally by hash: the span with the smallest (id,
-position) is the first, and every sentence covered by any other occurrence
-is removed. Clauses are used as sentences because passages that are copied
-into other texts seldom begin and end with a sentence: short units leave few
-uncovered words at both ends.
-
-Hot spans do no harm: counts and first occurrences are pre-aggregated, and
-the joins of spans to repeated hashes are splittable. Texts are read twice by
-scans and shuffled once, spans are narrow rows.
+clause punctuation that is followed by a blank, after a full-width mark, and
+at every newline. Clauses are used as sentences because passages that are
+copied into other texts seldom begin and end with a sentence. A sentence of
+more than ``words`` words is cut further, before the word with the smallest
+hash of every ``window`` words in a row: equal words are cut alike wherever
+a passage begins, so that one without any mark is found as well.
+
+A character of a script that is written without blanks is a word of half
+weight. A span is a run of at least ``sentences`` sentences with at least
+``words`` words (one sentence does if it has twice as many). The words of
+the shortest span from every sentence on and of the shortest one up to every
+sentence are hashed, lower-cased, to 128 bits: what any longer repeated span
+covers, they cover together. Spans are joined globally by hash; the span with
+the smallest (id, position) is the first, and every sentence covered by any
+other occurrence is removed. A repeated passage of ``2 * window + 3 * words``
+words or more is found however it is cut.
+
+Spans are written once, counted by half of their hash, and only those whose
+half repeats are compared. The repeated hashes and their first places are
+written tables, so that a hot span is split among tasks by the adaptive skew
+join. Texts are read twice by scans and shuffled once, spans are narrow rows.
 
 Defined results: a null text stays null, an empty one empty, both without
 sentences; a text shorter than a span has none and stays as it is; of equal
@@ -32,46 +40,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, saved, text_session, word_hashes
+from .common import LOWER, _powers, mix64, saved, text_session, word_spans
 
-_END = re.compile(rb"(?<=[.!?;:,])[\x20\x09\x0B-\x0D]+|\n+|(?<=\xe3\x80\x82)")
+_END = re.compile(rb"(?<=[.!?;:,])[\x20\x09\x0B-\x0D]+|\n+|\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f]")
 
 
 @dataclass(frozen=True)
 class Params:
-    sentences: int = 3
+    sentences: int = 2
     words: int = 16
-
-
-def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    window: int = 8
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start offset, weight (2; 1 for a character of an unspaced script) and
+    64-bit hash of the words of lower-cased UTF-8 bytes."""
+    raw, start, end = word_spans(data)
+    if not len(start):
+        return start, start, start.view(np.uint64)
+    alone = raw[:0]
+    if raw.max() >= 0xE0:
+        after = np.append(raw[1:], 0)
+        # kana and Han, full-width forms, Thai and Lao, Burmese, Khmer, Han beyond the basic plane
+        alone = (raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xEF) & (after >= 0xBC) & (after <= 0xBD) | (raw == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+        alone = alone | (raw == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F)) | (raw == 0xF0) & (after >= 0xA0)
+    weight = np.full(len(start), 2, np.int64)
+    if alone.any():
+        one = np.flatnonzero(alone)
+        behind = one + np.where(raw[one] == 0xF0, 4, 3)
+        behind = behind[~np.isin(behind, end)]
+        begins = np.unique(np.concatenate([start, one, behind[behind < len(raw)]]))
+        word = np.searchsorted(start, begins, "right") - 1
+        start, end = begins, np.minimum(np.append(begins[1:], len(raw)), end[word])
+        weight = np.where(alone[start], 1, 2)
+    up, down = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return start, weight, mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _smallest(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest hash (the last of equal ones) of every
+    ``window`` in a row."""
+    if len(hashes) < window:
+        return np.zeros(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
+    return np.unique(len(hashes) - 1 - (np.arange(len(rows)) + rows.argmin(1)))
+
+
+def _cut(data: bytes, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte offsets of the cuts between sentences (0 and the length
+    included), the words before each cut, the words' weights and hashes."""
+    cuts = np.unique(np.array([0, *(m.end() for m in _END.finditer(data)), len(data)], np.int64))
+    begins, weight, hashes = _words(data.translate(LOWER))
+    before = np.searchsorted(begins, cuts)
+    weights = np.concatenate([[0], np.cumsum(weight)])
+    long = np.diff(weights[before]) > 2 * p.words
+    if long.any():
+        places = _smallest(hashes, p.window)
+        places = places[long[np.searchsorted(before, places, "right") - 1]]
+        cuts = np.unique(np.concatenate([cuts, begins[places]]))
+        before = np.searchsorted(begins, cuts)
+    return cuts, before, weights, hashes
+
+
+def sentences(data: bytes, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte offsets of the sentences of UTF-8 bytes; together
     they cover all bytes (a sentence owns the blanks behind it)."""
-    if not data:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cuts = np.array([m.end() for m in _END.finditer(data)], np.int64)
-    cuts = np.unique(np.concatenate([[0], cuts, [len(data)]]))
+    cuts = _cut(data, p)[0] if data else np.zeros(1, np.int64)
     return cuts[:-1], cuts[1:]
 
 
 def spans(data: bytes, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last sentence of every span, and two 64-bit hashes."""
     none = np.zeros(0, np.int64)
-    start, end = sentences(data)
-    hashes = word_hashes(data.translate(LOWER))
-    if len(hashes) < p.words:
+    if not data:
+        return none, none, none, none
+    _, before, weights, hashes = _cut(data, p)
+    if weights[-1] < 2 * p.words:
         return none, none, none, none
-    # words before each cut: a word belongs to the sentence it starts in
-    raw = np.frombuffer(data, np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    before = np.concatenate([np.searchsorted(begins, start), [len(begins)]])
     filled = np.flatnonzero(before[1:] > before[:-1])  # sentences with words
-    at = np.append(before[filled], len(begins))  # words before each of these
+    at = np.append(before[filled], len(hashes))  # words before each of these
+    w = weights[at]
+    # shortest spans from each sentence on; ends are exclusive
     first = np.arange(len(filled))
-    several = np.minimum(first + p.sentences, np.searchsorted(at, at[:-1] + 2 * p.words))
-    last = np.maximum(several, np.searchsorted(at, at[:-1] + p.words))  # exclusive
+    last = np.searchsorted(w, w[:-1] + 2 * p.words)
+    last = np.minimum(np.maximum(last, first + p.sentences), np.searchsorted(w, w[:-1] + 4 * p.words))
     fits = last < len(at)
-    first, last = first[fits], last[fits]
+    # and up to each sentence
+    stop = np.arange(1, len(at))
+    back = np.searchsorted(w, w[1:] - 2 * p.words, "right") - 1
+    back = np.maximum(np.minimum(back, stop - p.sentences), np.searchsorted(w, w[1:] - 4 * p.words, "right") - 1)
+    runs = np.concatenate([first[fits] * len(at) + last[fits], (back * len(at) + stop)[back >= 0]])
+    first, last = np.divmod(np.unique(runs), len(at))
     if not len(first):
         return none, none, none, none
     out = []
@@ -98,9 +159,9 @@ def _span_rows(rows: DataFrame, p: Params) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, mark long, first int, last int, h1 long, h2 long")
 
 
-def _without(data: bytes, first: list[int], last: list[int]) -> tuple[int, int, list[tuple[int, int]], bytes]:
+def _without(data: bytes, first: list[int], last: list[int], p: Params) -> tuple[int, int, list[tuple[int, int]], bytes]:
     """Sentences, removed sentences, removed byte ranges, what stays."""
-    start, end = sentences(data)
+    start, end = sentences(data, p)
     gone = np.zeros(len(start) + 1, np.int64)
     np.add.at(gone, np.array(first, np.int64), 1)
     np.add.at(gone, np.array(last, np.int64) + 1, -1)
@@ -122,12 +183,12 @@ def without_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     text_session(docs.sparkSession)
     mark = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    found = _span_rows(rows, p)
+    found = saved(_span_rows(rows, p), "spans")
     place = F.struct("id", "first")
-    # hashes are counted alone; places are only compared among repeated spans
-    counts = found.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    repeated = saved(found.join(counts, ["h1", "h2"], "left_semi"), "repeated-spans")
-    firsts = repeated.groupBy("h1", "h2").agg(F.min(place).alias("origin"))
+    # half hashes are counted alone; places are only compared among spans whose half repeats
+    counts = saved(found.groupBy("h1").count().filter("count > 1").select("h1"), "repeated-halves")
+    repeated = saved(found.join(counts, "h1", "left_semi"), "repeated-spans")
+    firsts = saved(repeated.groupBy("h1", "h2").agg(F.min(place).alias("origin")), "first-spans")
     again = repeated.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("origin")))
     covered = again.select("id", "mark", "first", "last").groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("__covered"))
     covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
@@ -139,7 +200,7 @@ def without_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
             out = []
             for text, first, last in zip(*(c.to_pylist() for c in b.columns[1:])):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                n, m, ranges, stays = _without(data, first or [], last or [])
+                n, m, ranges, stays = _without(data, first or [], last or [], p)
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)]) if ranges else None
                 out.append((None if text is None else stays.decode("utf-8", "surrogatepass"), n, m, [{"start": int(chars[x]), "end": int(chars[y])} for x, y in ranges]))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["row", "clean", "n_sentences", "n_removed", "removed"])
