@@ -9,7 +9,7 @@ per-iteration accuracies (a macro mean: their denominators may differ).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import delete_blank, fmt3, judge_bool_label, judge_label
@@ -99,9 +99,10 @@ def judge_with_models(
     return with_answers(items, *answers)
 
 
-def quality_scores(judged: DataFrame) -> DataFrame:
+def quality_scores(judged: DataFrame, **more: Column) -> DataFrame:
     """``n`` parsed answers, ``n_ok`` true ones, ``n_unparsed``,
-    ``n_fallback`` and ``acc = n_ok / n`` (NULL when nothing parsed)."""
+    ``n_fallback`` and ``acc = n_ok / n`` (NULL when nothing parsed), with
+    ``more`` aggregates of the same groups by name."""
     return (
         judged.groupBy("task", "model", "aspect", "iter")
         .agg(
@@ -109,6 +110,7 @@ def quality_scores(judged: DataFrame) -> DataFrame:
             F.count_if(F.col("ok")).alias("n_ok"),
             F.count_if(F.col("ok").isNull()).alias("n_unparsed"),
             F.count_if(F.col("stage") == "fallback").alias("n_fallback"),
+            *[c.alias(name) for name, c in more.items()],
         )
         .withColumn("acc", F.try_divide(F.col("n_ok"), F.col("n")))
     )

@@ -536,8 +536,7 @@ def judge_cells_scored(spark, d):
     """F7 from the judge table's literals, beside the benchmark's reading of
     them by truthiness (Q25)."""
     x = JC.to_judged(JC.from_table(J.judge_table(judged(spark, d))))
-    true = x.groupBy("task", "model", "aspect", "iter").agg(F.count("truth").alias("n_all"), F.count_if("truth").alias("n_true"))
-    return J.quality_scores(x).drop("n_fallback").join(true, ["task", "model", "aspect", "iter"])
+    return J.quality_scores(x, n_all=F.count("truth"), n_true=F.count_if("truth")).drop("n_fallback")
 
 
 def quality_scores(spark, d):
