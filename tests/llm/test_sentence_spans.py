@@ -95,6 +95,26 @@ def test_passages_without_marks(spark):
         assert 64 - 2 * Params().window <= gone <= 64
 
 
+def test_hot_passages_ties_and_text_ids(spark):
+    """Passages in a third of all rows, within batches and across them; ids
+    are text, rows repeat, one id has two texts, one is null."""
+    rnd = random.Random(7)
+    own = lambda n: " ".join("".join(rnd.choice("klmnopq") for _ in range(5)) for _ in range(n))
+    hot = [own(30) + ". " + own(25) + ".", own(70)]
+    rows = [(f"d{i}", f"{own(12)}. {rnd.choice(hot)} {own(9)}" if i % 3 == 0 else own(40)) for i in range(300)]
+    rows += [("copy", rows[0][1]), ("d0", rows[0][1])]
+    want = brute(rows[:-1])
+    got = without_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(7)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.clean, r.n_sentences, r.n_removed) == want[r.row.doc_id]
+    first, second = f"{own(20)}. {own(20)}.", f"{own(30)}. {own(20)}."
+    twice = [(None, first), ("a", second), ("a", first + " tail of it"), ("b", first), ("b", second)]
+    got = {(r.row.doc_id, r.row.text): r.n_removed for r in without_repeats(spark.createDataFrame(twice, "doc_id string, text string").coalesce(1)).collect()}
+    assert got[(None, first)] == got[("a", second)] == 0
+    assert got[("a", twice[2][1])] > 0 and got[("b", first)] > 0 and got[("b", second)] > 0
+
+
 def test_odd_rows(odd, none):
     rows = without_repeats(odd).collect()
     assert len(rows) == odd.count() and rows[0].row.asDict().keys() == set(odd.columns)

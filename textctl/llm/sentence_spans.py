@@ -12,16 +12,19 @@ A character of a script that is written without blanks is a word of half
 weight. A span is a run of at least ``sentences`` sentences with at least
 ``words`` words (one sentence does if it has twice as many). The words of
 the shortest span from every sentence on and of the shortest one up to every
-sentence are hashed, lower-cased, to 128 bits: what any longer repeated span
+sentence are hashed, lower-cased, to 96 bits: what any longer repeated span
 covers, they cover together. Spans are joined globally by hash; the span with
 the smallest (id, position) is the first, and every sentence covered by any
 other occurrence is removed. A repeated passage of ``2 * window + 3 * words``
 words or more is found however it is cut.
 
-Spans are written once, counted by half of their hash, and only those whose
-half repeats are compared. The repeated hashes and their first places are
-written tables, so that a hot span is split among tasks by the adaptive skew
-join. Texts are read twice by scans and shuffled once, spans are narrow rows.
+Of equal spans within a batch of rows only the one with the smallest place
+is sent to the global comparison; the others cannot be first, so what they
+cover, merged to maximal runs, is known to go and is spread by place. A hot
+span is thus a row per batch, whatever the number of its copies. The global
+comparison is one shuffle of narrow rows by hash and a rank by place, which
+spills and needs no table of all spans. Texts are read twice by scans and
+shuffled once.
 
 Defined results: a null text stays null, an empty one empty, both without
 sentences; a text shorter than a span has none and stays as it is; of equal
@@ -37,10 +40,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, _powers, mix64, saved, text_session, word_spans
+from .common import LOWER, _powers, mix64, text_session, word_spans
 
 _END = re.compile(rb"(?<=[.!?;:,])[\x20\x09\x0B-\x0D]+|\n+|\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f]")
 
@@ -145,18 +149,66 @@ def spans(data: bytes, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return filled[first], filled[last - 1], out[0], out[1]
 
 
+def _covered(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sentences of some runs (ordered by ``first``) as maximal runs."""
+    if not len(first):
+        return first, last
+    reach = np.maximum.accumulate(last)
+    new = np.append(True, first[1:] > reach[:-1] + 1)
+    return first[new], reach[np.append(np.flatnonzero(new)[1:], len(first)) - 1]
+
+
+def _batch_spans(texts: list[tuple[int, str | None]], p: Params) -> list[np.ndarray]:
+    """Columns (row, first, last, h1, h2, known) of the spans of a batch of
+    (row, text) in the order of their ids' ranks. ``known`` rows are the
+    merged cover of spans that stand at a smaller place of the batch too; the
+    others are the smallest of their kind here. Ties of place are all sent."""
+    found = [spans((t or "").encode("utf-8", "surrogatepass"), p) for _, t in texts]
+    number = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+    first, last, h1, h2 = (np.concatenate([f[i] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for i in range(4))
+    order = np.argsort(h1, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    again = np.zeros(len(order), bool)
+    again[order] = same
+    parts = [[number[~again], first[~again], last[~again], h1[~again], h2[~again]]]
+    number, first, last = number[again], first[again], last[again]
+    edge = np.flatnonzero(np.diff(number, prepend=-1))
+    for at, to in zip(edge, np.append(edge[1:], len(number))):
+        one, two = _covered(first[at:to], last[at:to])
+        place = mix64(np.uint64(0x9E37) + (np.uint64(number[at]) << np.uint64(32)) + one.astype(np.uint64)).view(np.int64)
+        parts.append([np.full(len(one), number[at]), one, two, place, np.zeros(len(one), np.int64)])
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    rows = np.array([r for r, _ in texts], np.int64)
+    return [rows[columns[0]], *columns[1:], np.arange(len(columns[0])) >= len(parts[0][0])]
+
+
 def _span_rows(rows: DataFrame, p: Params) -> DataFrame:
-    """(id, mark, first, last, h1, h2) of every span of (id, mark, text)."""
+    """(id, mark, first, last, h1, h2, known) of the spans of (id, mark, text).
+    Of rows with equal id and mark a batch gives one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans((t or "").encode("utf-8", "surrogatepass"), p) for t in b.column(2).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            columns = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), columns[0].cast(pa.int32()), columns[1].cast(pa.int32()), *columns[2:]], ["id", "mark", "first", "last", "h1", "h2"])
+            order = pc.sort_indices(b.column(0), sort_keys=[("id", "ascending")], null_placement="at_start").to_pylist()
+            ids, marks, texts = (c.to_pylist() for c in b.columns)
+            alike: dict = {}
+            for r in order:
+                alike.setdefault((ids[r], marks[r]), r)
+            # rows of one id tie: the first text at a place must not outdo another's
+            turns: list[list[tuple[int, str | None]]] = []
+            used: dict = {}
+            for (i, _), r in alike.items():
+                turn = used[i] = used.get(i, -1) + 1
+                if turn == len(turns):
+                    turns.append([])
+                turns[turn].append((r, texts[r]))
+            for turn in turns:
+                row, first, last, h1, h2, known = _batch_spans(turn, p)
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(h1), pa.array(h2.astype(np.int32)), pa.array(known)], ["id", "mark", "first", "last", "h1", "h2", "known"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, mark long, first int, last int, h1 long, h2 long")
+    return rows.mapInArrow(run, f"id {kind}, mark long, first int, last int, h1 long, h2 int, known boolean")
 
 
 def _without(data: bytes, first: list[int], last: list[int], p: Params) -> tuple[int, int, list[tuple[int, int]], bytes]:
@@ -183,14 +235,9 @@ def without_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     text_session(docs.sparkSession)
     mark = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    found = saved(_span_rows(rows, p), "spans")
-    place = F.struct("id", "first")
-    # half hashes are counted alone; places are only compared among spans whose half repeats
-    counts = saved(found.groupBy("h1").count().filter("count > 1").select("h1"), "repeated-halves")
-    repeated = saved(found.join(counts, "h1", "left_semi"), "repeated-spans")
-    firsts = saved(repeated.groupBy("h1", "h2").agg(F.min(place).alias("origin")), "first-spans")
-    again = repeated.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("origin")))
-    covered = again.select("id", "mark", "first", "last").groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("__covered"))
+    same = Window.partitionBy("h1", "h2", "known").orderBy(F.col("id").asc_nulls_first(), "first")
+    again = _span_rows(rows, p).withColumn("place", F.rank().over(same)).filter(F.col("known") | (F.col("place") > 1))
+    covered = again.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("__covered"))
     covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     whole = whole.join(covered, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("row", "text", "__first", "__last")
