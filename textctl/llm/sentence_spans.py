@@ -239,8 +239,8 @@ def without_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     again = _span_rows(rows, p).withColumn("place", F.rank().over(same)).filter(F.col("known") | (F.col("place") > 1))
     covered = again.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("__covered"))
     covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    whole = whole.join(covered, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("row", "text", "__first", "__last")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"))
+    whole = whole.join(covered, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("row", F.col("row").getField(text_col).alias("text"), "__first", "__last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
