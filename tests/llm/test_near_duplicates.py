@@ -55,6 +55,28 @@ def test_group_of_variants_and_a_common_passage(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+def test_pairs_at_the_threshold_are_linked(spark):
+    """1,500 pairs at 75 to 77 %, of small and large sets: none is lost, and
+    as many pairs just under 75 % stay apart."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(3000):
+        n = int(rng.integers(40, 400))
+        shared = n - 4
+        own = shared // 6  # 100 * shared >= 75 * (shared + 2 * own)
+        own += k >= 1500
+
+        def fresh(count, side, k=k):
+            return [f"{k}{side}{i}" for i in range(count)]
+
+        both = fresh(n, "m")
+        rows += [(2 * k, " ".join(both + fresh(own, "x"))), (2 * k + 1, " ".join(both + fresh(own, "y")))]
+    want = brute(rows)
+    assert sum(not kept for _, _, kept in want.values()) == 1500
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want
+
+
 def test_sketch_agrees_as_often_as_sets_do():
     p = Params()
     s = Sketcher(p)
