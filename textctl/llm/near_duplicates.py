@@ -18,7 +18,7 @@ How the work stays bounded without losing links:
   members that end up in one component need no further comparison;
 - what is left are members of one bucket in different components. Each such
   pair is looked at, once, within the join: sizes that exclude a link, or
-  two bits of every coordinate that agree too seldom (by ``sigmas`` standard
+  four bits of every coordinate that agree too seldom (by ``sigmas`` standard
   deviations for a pair at the threshold), settle it there; the other pairs
   go to exact confirmation. So large groups whose members share a passage,
   but are no near duplicates, do not turn into sets sent for every pair.
@@ -49,21 +49,21 @@ from .graph import components
 class Params:
     """A link: 100 * |intersection| >= percent * |union|. All coordinates are
     banded: a pair at 75 % misses all of 128 bands of 8 with probability
-    1.4e-6, a pair at 77 % with 5e-8; 6 sigmas rule out a pair at 75 % with
-    1e-9."""
+    1.4e-6, a pair at 77 % with 5e-8; 4.75 sigmas of four-bit codes rule out
+    a pair at 75 % with 1e-6."""
 
     width: int = 5
     percent: int = 75
     bins: int = 1024
     rows: int = 8
     bands: int = 128
-    sigmas: float = 6.0
+    sigmas: float = 4.75
     seed: int = 77
 
     @property
     def most_unequal(self) -> int:
-        """Coordinates whose two bits may differ."""
-        equal = 1 - 0.75 * (1 - self.percent / 100)
+        """Coordinates whose four bits may differ."""
+        equal = 1 - 15 / 16 * (1 - self.percent / 100)
         return math.floor(self.bins * (1 - equal) + self.sigmas * math.sqrt(self.bins * equal * (1 - equal)))
 
 
@@ -108,9 +108,9 @@ class Sketcher:
 
     @staticmethod
     def code(sketch: np.ndarray) -> np.ndarray:
-        """Two bits of each coordinate, 32 coordinates a number."""
-        two = (mix64(sketch) & np.uint64(3)).reshape(-1, 32)
-        return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
+        """Four bits of each coordinate, 16 coordinates a number."""
+        four = (mix64(sketch) & np.uint64(15)).reshape(-1, 16)
+        return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -248,10 +248,11 @@ def _rest(left: DataFrame, codes: DataFrame, p: Params) -> DataFrame:
     full = left.join(shared.join(codes.dropDuplicates(["id"]), "id"), "id")
     b = full.select("bucket", F.col("id").alias("b"), "component", "n", "code", "buckets")
     a = full.select("bucket", F.col("id").alias("a"), F.col("component").alias("own"), F.col("n").alias("na"), F.col("code").alias("code_a"), F.col("buckets").alias("buckets_a"))
-    odd = F.lit(0x5555555555555555)
+    lowest = F.lit(0x1111111111111111)
 
     def unequal(x, y):
-        return F.bit_count(x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(odd))
+        pairs = x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1))
+        return F.bit_count(pairs.bitwiseOR(F.shiftrightunsigned(pairs, 2)).bitwiseAND(lowest))
 
     differ = F.aggregate(F.zip_with("code_a", "code", unequal), F.lit(0), lambda total, x: total + x)
     fit = (100 * F.col("na") >= p.percent * F.col("n")) & (100 * F.col("n") >= p.percent * F.col("na"))
