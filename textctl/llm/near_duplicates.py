@@ -243,9 +243,9 @@ def _linked(rows: DataFrame, members: DataFrame, codes: DataFrame, p: Params, hu
 def _rest(left: DataFrame, codes: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components, each from
     the first bucket they share, that size and sketch do not rule out."""
-    left = saved(left, "mixed")
-    shared = left.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
-    full = left.join(shared.join(codes.dropDuplicates(["id"]), "id"), "id")
+    # a member meets its code once, not in every bucket
+    shared = left.groupBy("id").agg(F.collect_set("bucket").alias("buckets"), F.min("component").alias("component"))
+    full = saved(shared.join(codes.dropDuplicates(["id"]), "id"), "mixed").withColumn("bucket", F.explode("buckets"))
     b = full.select("bucket", F.col("id").alias("b"), "component", "n", "code", "buckets")
     a = full.select("bucket", F.col("id").alias("a"), F.col("component").alias("own"), F.col("n").alias("na"), F.col("code").alias("code_a"), F.col("buckets").alias("buckets_a"))
     lowest = F.lit(0x1111111111111111)
