@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textctl.operators import ids, reshape
+from textctl.plans import queries as Q
 from textctl.sources import fixtures as fx
 
 from conftest import SF0001
@@ -70,3 +71,14 @@ def test_row_numbers_do_not_depend_on_exchange_reuse(spark):
     finally:
         spark.conf.set("spark.sql.exchange.reuse", before)
     assert tuple(r) == (3_000_000, 0, 2_999_999, 0) and wrong == 0
+
+
+def test_results_are_dealt_by_prompt_before_they_are_repeated(spark, tmp_path):
+    """Documents in many files; the wide form groups results where
+    they are, and only documents are shuffled."""
+    spark.range(40).selectExpr("id AS doc_id", "repeat('text. ', 9) AS text").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("wide_results", "clean_wide", "explode_iterations", "judged_columns"):
+        p = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert p.count("Exchange ") == 1 and p.index("Generate explode([[") < p.index("Exchange "), name
+    a, b = fx.results(spark, str(tmp_path)), fx.results_by_prompt(spark, str(tmp_path))
+    assert a.columns == b.columns and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -48,6 +48,10 @@ def results(spark, d):
     return fx.results(spark, d)
 
 
+def results_by_prompt(spark, d):
+    return fx.results_by_prompt(spark, d)
+
+
 def keys_of_results(spark, d):
     return fx.result_keys(spark, d)
 
@@ -327,7 +331,7 @@ def gen_errors(spark, d):
 
 
 def wide_results(spark, d):
-    w = R.to_wide(results(spark, d))
+    w = R.to_wide(results_by_prompt(spark, d))
     sep = "␞"
     cols = []
     for a in ASPECTS:
@@ -379,7 +383,7 @@ def clean_rules(spark, d):
 
 
 def clean_wide(spark, d):
-    w = R.to_wide(results(spark, d), values={"raw_text": "{a}_result"})
+    w = R.to_wide(results_by_prompt(spark, d), values={"raw_text": "{a}_result"})
     c = R.clean_wide(w, CL.rule_clean)
     sep = "␞"
     return c.select("task", "model", "prompt_id", *[F.md5(F.array_join(f"{a}_result_wo_hf", sep)).alias(f"{a}_wo_hf_md5") for a in ASPECTS])
@@ -419,7 +423,7 @@ def _valid_of(aspect):
 
 
 def explode_iterations(spark, d):
-    long = R.to_long(R.to_wide(results(spark, d)))
+    long = R.to_long(R.to_wide(results_by_prompt(spark, d)))
     return long.select(*KEYS, *md5len("raw_text", "raw_text"), *md5len("clean_text", "clean_text"))
 
 
@@ -460,7 +464,7 @@ def coverage(spark, d):
 
 
 def judged_columns(spark, d):
-    w = R.to_wide(results(spark, d))
+    w = R.to_wide(results_by_prompt(spark, d))
     cols = R.judged_columns(w)
     per = F.array(*[F.struct(F.lit(c.replace("_result", "")).alias("label"), F.col(c).alias("xs")) for c in cols])
     x = w.select("task", "model", "prompt_id", F.explode(per).alias("s")).select(
