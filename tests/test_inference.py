@@ -164,3 +164,24 @@ def test_pending_requests_on_keys_equal_full_fan_out(spark):
     want = want.select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.count() == full.count() - finished.count()
+
+
+def test_prompts_of_loaded_models_are_not_sorted(spark):
+    """With no more models than stay loaded no prompt is kept to be
+    sorted; every model still gets its own requests, built once a worker."""
+    rows = [(i, f"m{i % 3}", f"p{i}") for i in range(500)]
+    req = spark.createDataFrame(rows, "k int, model_path string, prompt string").repartition(4)
+    factory = lambda path: lambda prompts: [f"{path}:{p}" for p in prompts]
+    for models in (None, 3, 9):
+        done = INF.run_model(req, factory, keys=["k"], checkpoint=False, models=models)
+        assert ("Sort [" in done._jdf.queryExecution().executedPlan().toString()) == (models != 3)
+        assert {(r.k, r.text) for r in done.collect()} == {(k, f"{m}:{p}") for k, m, p in rows}
+
+
+def test_prompts_rendered_after_the_join_equal_those_before(spark):
+    """A master without rendered prompts gives the same requests."""
+    models = fx.generated_models()
+    keys = INF.request_keys(fx.prompts(spark, SF0001), models).where("prompt_id % 3 < 2")
+    a = INF.with_prompt(keys, fx.prompts(spark, SF0001, with_prompts=True), models)
+    b = INF.with_prompt(keys, fx.prompts(spark, SF0001), models)
+    assert a.count() == keys.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

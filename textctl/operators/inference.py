@@ -1,10 +1,12 @@
 """Batch inference over rows.
 
 ``run_model`` is the one place where Python runs per row: requests keep
-the partitioning they come with (no shuffle of prompt texts), are sorted by
-model inside each partition and handed to ``mapInPandas`` in Arrow
-batches, so a model holding a third of all requests is spread over all the
-tasks that hold them. An explicit ``partitions=n`` hash partitions the
+the partitioning they come with (no shuffle of prompt texts) and are handed
+to ``mapInPandas`` in Arrow batches, so a model holding a third of all
+requests is spread over all the tasks that hold them. Requests of more models
+than stay loaded (``models`` unknown or above ``_MAX_LOADED``) are sorted by
+model inside each partition; of fewer, every batch is dealt to the loaded
+models as it comes, and no prompt is kept to be sorted. An explicit ``partitions=n`` hash partitions the
 requests on their keys: as many tasks as asked for get work, whatever the
 number of models. The model callable is built by ``factory(model_path)``
 once per Python worker process (workers are reused across tasks).
@@ -39,6 +41,7 @@ from pyspark.sql import types as T
 
 from ..schemas import ASPECTS, DEFAULT_ITERS
 from ..sources.registry import model_struct_sql, sql_str, suffix_py
+from .prompts import task_prompt
 
 
 class StopCalls(Exception):
@@ -140,11 +143,13 @@ def run_model(
     partitions: int | None = None,
     request_cols: list[str] | tuple = (),
     checkpoint: bool = True,
+    models: int | None = None,
 ) -> DataFrame:
     """``keys + model + carry + text, error, attempts`` per request.
 
     ``strip_echo`` removes the prompt from the start of an answer that
     repeats it (B10, for completion models that echo their input).
+    ``models`` is the number of models the requests name, if known.
     """
     policy = policy or RetryPolicy()
     keys = list(keys or [c for c in requests.columns if c not in (prompt_col, model_col)])
@@ -162,7 +167,8 @@ def run_model(
     staged = requests.select(*out_cols, *extra, prompt_col)
     if partitions:
         staged = staged.repartition(partitions, *[F.col(k) for k in keys])
-    staged = staged.sortWithinPartitions(model_col)
+    if models is None or models > _MAX_LOADED:
+        staged = staged.sortWithinPartitions(model_col)
 
     def fn(batches):
         stopped = False
@@ -273,12 +279,17 @@ def pending_requests(
 
 def with_prompt(open_keys: DataFrame, master: DataFrame, models: list[tuple[int, str]], aspects=ASPECTS) -> DataFrame:
     """The rows of ``generation_requests`` of some request keys: each joined
-    with its prompt row, the aspect's ``prompt_{aspect}`` picked."""
+    with its prompt row, the aspect's ``prompt_{aspect}`` picked. A master
+    without these columns gives its base text and constraints, and the prompt
+    is rendered after the join: the text crosses it once, not per aspect."""
+    rendered = all(f"prompt_{a}" in master.columns for a in aspects)
     registry = F.expr("map(" + ", ".join(f"{sql_str(suffix_py(path))}, {model_struct_sql(mi, path)}" for mi, path in models) + ")")
     prompt = None
     for a in aspects:
-        prompt = F.when(F.col("aspect") == a, F.col(f"prompt_{a}")) if prompt is None else prompt.when(F.col("aspect") == a, F.col(f"prompt_{a}"))
-    rows = open_keys.join(master.select("task", "prompt_id", *[f"prompt_{a}" for a in aspects]), ["task", "prompt_id"], "inner")
+        own = F.col(f"prompt_{a}") if rendered else task_prompt("task", F.col(a).cast("string"), "base_text")
+        prompt = F.when(F.col("aspect") == a, own) if prompt is None else prompt.when(F.col("aspect") == a, own)
+    cols = [f"prompt_{a}" for a in aspects] if rendered else ["base_text", *aspects]
+    rows = open_keys.join(master.select("task", "prompt_id", *cols), ["task", "prompt_id"], "inner")
     m = registry[F.col("model")]
     return rows.select(
         "task",

@@ -310,7 +310,7 @@ def _chat_requests(spark, d):
 
 
 def gen_run(spark, d):
-    done = INF.run_model(_chat_requests(spark, d), INF.echo_factory, keys=KEYS, strip_echo=True)
+    done = INF.run_model(_chat_requests(spark, d), INF.echo_factory, keys=KEYS, strip_echo=True, models=len(fx.generated_models()))
     return done.select(*KEYS, "text", "error")
 
 
@@ -319,7 +319,7 @@ def gen_ids(spark, d):
 
 
 def _flaky(spark, d):
-    return INF.run_model(_chat_requests(spark, d), INF.flaky_factory, policy=INF.NO_WAIT, keys=KEYS)
+    return INF.run_model(_chat_requests(spark, d), INF.flaky_factory, policy=INF.NO_WAIT, keys=KEYS, models=len(fx.generated_models()))
 
 
 def dead_letters(spark, d):
@@ -349,12 +349,12 @@ def gen_resume(spark, d):
     """A stage whose model stops half way and a second run of it. The
     answers of both come from the log; every request has one row there."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid4().hex}"
-    m = master(spark, d, with_prompts=True)
+    m = master(spark, d)
     models = fx.generated_models()
-    LOG.append(INF.run_model(_chat_requests(spark, d), INF.quota_factory, keys=KEYS, checkpoint=False), path, LOG.new_run(), ("task", "model"))
+    LOG.append(INF.run_model(_chat_requests(spark, d), INF.quota_factory, keys=KEYS, checkpoint=False, models=len(models)), path, LOG.new_run(), ("task", "model"))
     left = keysets.pending(m, models, LOG.successes(spark, path), DEFAULT_ITERS, ASPECTS)
     again = CH.render_requests(INF.with_prompt(left, m, models)).select(*KEYS, "model_path", F.col("chat_prompt").alias("prompt"))
-    LOG.append(INF.run_model(again, INF.length_factory, keys=KEYS, checkpoint=False), path, LOG.new_run(), ("task", "model"))
+    LOG.append(INF.run_model(again, INF.length_factory, keys=KEYS, checkpoint=False, models=len(models)), path, LOG.new_run(), ("task", "model"))
     return LOG.visible(spark, path).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_answers"), F.max("text").alias("text"))
 
 
