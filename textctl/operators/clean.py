@@ -104,14 +104,11 @@ def clean_requests(keyed: DataFrame, known: DataFrame | None = None) -> DataFram
     on fixed-width values (the smallest hash of the row's own keys), so the
     distinct step aggregates numbers; the text is then fetched by that row."""
     from ..schemas import ASSISTANT_SYSTEM
+    from ..plans.joins import named_rows
     from .prompts import clean_prompt
 
     own = F.xxhash64("model", F.col("prompt_id").cast("string"), "aspect", "iter")
-    rows = keyed.select("_k", "task", "raw_text", own.alias("_row"))
-    if known is not None:
-        rows = rows.join(known.select("_k").distinct(), "_k", "left_anti")
-    one = rows.groupBy("_k").agg(F.min("_row").alias("_row"))
-    picked = rows.join(one, ["_k", "_row"], "left_semi")
+    picked = named_rows(keyed.select("_k", "task", "prompt_id", "raw_text", own.alias("_row")), known)
     return picked.select("_k", F.lit("cleaner").alias("model_path"), clean_prompt("task", "raw_text").alias("prompt"), F.lit(ASSISTANT_SYSTEM).alias("system"))
 
 
@@ -135,7 +132,7 @@ def model_clean(results: DataFrame, factory, policy=None, dedupe: bool = True, c
     keyed = results.withColumn("_k", text_key())
     if not dedupe:
         keyed = keyed.withColumn("_k", F.sha2(F.concat_ws("\u0000", "_k", "model", F.col("prompt_id").cast("string"), "aspect", F.col("iter").cast("string")), 256))
-    done = run_model(clean_requests(keyed), factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint)
+    done = run_model(clean_requests(keyed), factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint, models=1)
     return with_answers(keyed, done).withColumnRenamed("clean_error", "error")
 
 

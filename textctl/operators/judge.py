@@ -49,16 +49,13 @@ def judge_requests(items: DataFrame, is_bool: bool = False, first: DataFrame | N
     for the fallback question only where the ``first`` answer did not parse;
     none where ``known`` has an answer. Of rows that share a key one is chosen
     on fixed-width values before any text moves."""
+    from ..plans.joins import named_rows
     from ..schemas import ASSISTANT_SYSTEM
     from .prompts import judge_prompt
 
     rows = items.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in JKEYS]))
-    if first is not None:
-        rows = rows.join(first.where(judge_label("text").isNull()).select("_k"), "_k", "left_semi")
-    if known is not None:
-        rows = rows.join(known.select("_k").distinct(), "_k", "left_anti")
-    one = rows.groupBy("_k").agg(F.min("_row").alias("_row"))
-    picked = rows.join(one, ["_k", "_row"], "left_semi")
+    asked = None if first is None else first.where(judge_label("text").isNull()).select("_k")
+    picked = named_rows(rows, known, asked)
     prompt = judge_prompt("task", "text", "base_text", is_bool=is_bool)
     return picked.select("_k", F.lit("judge").alias("model_path"), prompt.alias("prompt"), F.lit(ASSISTANT_SYSTEM).alias("system"))
 
@@ -95,7 +92,7 @@ def judge_with_models(
     answers = []
     for is_bool in (False, True):
         req = judge_requests(items, is_bool, first=answers[0] if answers else None)
-        answers.append(run_model(req, factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint))
+        answers.append(run_model(req, factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint, models=1))
     return with_answers(items, *answers)
 
 

@@ -44,6 +44,32 @@ def fits_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> b
     return measured(df)[1] <= max_bytes
 
 
+def named_rows(rows: DataFrame, known: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """One row per ``_k`` of ``rows`` (``_k, _row, task, prompt_id``, texts),
+    the one with the smallest ``_row``; none for the keys in ``known``, and only the
+    keys of ``asked`` if given.
+
+    Which rows these are is found on fixed-width values, first within a
+    prompt, then over all. A prompt's rows are then told by a list that is
+    joined to them by ``task, prompt_id``, built from the narrow side: rows
+    that are already dealt by prompt stay where they are, others are dealt
+    once, and no text is sorted. Rows without a prompt are few or none and are
+    found by their key.
+    """
+    at = ["task", "prompt_id"]
+    each = rows.groupBy(*at, "_k").agg(F.min("_row").alias("_row"))
+    if asked is not None:
+        each = each.join(asked.select("_k"), "_k", "left_semi")
+    if known is not None:
+        each = each.join(known.select("_k").distinct(), "_k", "left_anti")
+    one = each.groupBy("_k").agg(F.min("_row").alias("_row"))
+    one = each.join(one, ["_k", "_row"], "left_semi")
+    lists = one.groupBy(*at).agg(F.collect_list(F.struct("_k", "_row")).alias("_named"))
+    here = rows.join(lists.hint("shuffle_hash"), at, "inner").where(F.expr("array_contains(_named, named_struct('_k', _k, '_row', _row))"))
+    lost = rows.where(F.col("task").isNull() | F.col("prompt_id").isNull()).join(one.select("_k", "_row"), ["_k", "_row"], "left_semi")
+    return here.select(*rows.columns).unionByName(lost.select(*rows.columns))
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Join ``big`` with ``small``, broadcasting ``small`` only if it measured
     at most ``max_bytes``; otherwise a sort-merge join (hinted, so that an

@@ -231,10 +231,10 @@ def clean_prompts(spark, d):
 
 
 def _with_base(spark, d):
-    r = results(spark, d).select(*KEYS, "clean_text")
-    base = master(spark, d).select("task", "prompt_id", "base_text")
-    # base texts are not read once more to be measured
-    return r.join(base, ["task", "prompt_id"], "inner")
+    r = results_by_prompt(spark, d).select(*KEYS, "clean_text")
+    # both lie dealt by prompt: no result is shuffled or sorted; base texts are
+    # not read once more to be measured
+    return r.join(fx.base_texts(spark, d).hint("shuffle_hash"), ["task", "prompt_id"], "inner")
 
 
 def judge_prompts(spark, d):
@@ -372,7 +372,7 @@ def key_fill(spark, d):
 
 
 def clean_run(spark, d):
-    r = results(spark, d).select(*KEYS, "raw_text")
+    r = results_by_prompt(spark, d).select(*KEYS, "raw_text")
     out = CL.model_clean(r, CL.rule_cleaner_factory, policy=INF.NO_WAIT)
     return out.select(*KEYS, *md5len("clean_text", "clean_text"), "error")
 
