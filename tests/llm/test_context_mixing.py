@@ -109,3 +109,22 @@ def test_a_task_that_runs_again_sends_the_same_rows(docs):
     code = docs.sparkSession.sparkContext.broadcast(cm.Code(np.arange(1 << 16)))
     one, two = (sorted((r.block, r.part, bytes(r.payload)) for r in cm._answers(asked, code, p).collect()) for _ in range(2))
     assert one == two and len(one) == asked.filter("kind = 1").count() > 5
+
+
+def test_words_are_asked_for_by_piece(docs, texts):
+    """A block's words are a row for each piece, not for each word, and come
+    back with the counts of all blocks."""
+    rows = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 == 0).alias("held"), "text")
+    asked = cm.saved(cm._asked(rows, 8, replace(cm.Params(), block_bytes=100_000)), "asked", by="kind")
+    sent = asked.filter("kind = 2").collect()
+    blocks = {r.block for r in sent}
+    assert len(blocks) > 1 and len(sent) == len({(r.block, r.part) for r in sent}) <= 2 * len(blocks)
+    known = Counter(x for d, t, _, _ in texts if d % 3 for x in cm._token_hashes(cm.normalised(t)).tolist())
+    keys = {(r.block, r.part): np.cumsum(cm._unpacked(r.payload, np.uint64), dtype=np.uint64).tolist() for r in sent}
+    answers = cm._word_counts(asked).collect()
+    assert {(r.block, r.part) for r in answers} == keys.keys()
+    for r in answers:
+        assert cm._unpacked(r.payload, np.uint64).tolist() == [known[x] for x in keys[r.block, r.part]]
+    assert (sum(r.total for r in answers), sum(r.known for r in answers)) == (sum(known.values()), len(known))
+    moved = sum(len(r.payload) + len(r.learnt) for r in sent) + sum(len(r.payload) for r in answers)
+    assert moved < 12 * sum(map(len, keys.values()))

@@ -25,9 +25,9 @@ weights are updated after blocks of bytes, 32 at first and then a sixteenth
 of what has been read.
 
 The base line is a smoothed unigram model over words, learnt from the same
-texts. Tasks number the distinct words of a few million tokens (a block)
-and send (block, word hash) rows with counts, not the tokens; the corpus
-counts come back to the blocks. Words are identified by 64-bit hashes.
+texts and gathered in the same way: a block asks once for each of its distinct
+words, identified by 64-bit hashes, and is answered with the corpus counts.
+Neither tokens nor a row for each word are moved.
 
 Defined results: a null or empty text is one end mark; a null id counts as
 '' when texts are held out; equal texts get equal scores; without training
@@ -61,7 +61,7 @@ _END_HASH = np.uint64(0x5851F42D4C957F2D)
 class Params:
     """``bits``: log2 of each predictor's counters where a ``Scorer`` is given
     arrays of fixed size; ``score`` gathers by context and has none.
-    ``block_bytes``: of texts that ask for counts together."""
+    ``block_bytes``, ``block_tokens``: of texts that ask for counts together."""
 
     bits: tuple[int, ...] = (18, 22, 22)
     prior: float = 0.05
@@ -306,111 +306,6 @@ def _chunks(texts: list[bytes], most: int = _TEXT_BYTES) -> Iterator[list[bytes]
         yield chunk
 
 
-def _tokens(rows: DataFrame, p: Params) -> DataFrame:
-    """Three kinds of rows from (id, mark, train, text). Kind 0, a document:
-    its block, id, mark, tokens and their places in the block's word list.
-    Kind 1, a word of a block: its hash, place, and number in training texts.
-    Kind 2, a pair of bytes and its number in a task's training texts."""
-    names = ["kind", "block", "id", "mark", "n", "payload", "hash", "place"]
-    kind = rows.schema["id"].dataType
-    types = [pa.int32(), pa.int64(), to_arrow_type(kind), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
-
-    def batch(rows: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(rows, t) for c, t in zip(names, types)], names)
-
-    def flushed(ids: list, marks: list, train: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        block = int.from_bytes(os.urandom(8), "big") >> 1
-        size = np.array([len(h) for h in hashes])
-        place, words = pd.factorize(np.concatenate(hashes))
-        each = np.bincount(place)
-        learnt = np.bincount(place, np.repeat(np.array(train, float), size), len(words)).astype(np.int64)
-        order = np.argsort(-each, kind="stable")  # usual words get small places
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        at = np.cumsum(size) - size
-        for i in range(0, len(ids), 500):
-            part = range(i, min(i + 500, len(ids)))
-            payload = [zlib.compress(rank[place[at[j] : at[j] + size[j]]].tobytes(), 1) for j in part]
-            yield batch(len(part), kind=[0] * len(part), block=[block] * len(part), id=[ids[j] for j in part], mark=[marks[j] for j in part], n=size[part.start : part.stop], payload=payload)
-        for i in range(0, len(words), 100_000):
-            w = words[order][i : i + 100_000]
-            yield batch(len(w), kind=np.full(len(w), 1), block=np.full(len(w), block), hash=w.view(np.int64), place=np.arange(i, i + len(w)), n=learnt[order][i : i + 100_000])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
-        tokens, pairs, seen = 0, [], np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for doc, mark, train, text in zip(*(c.to_pylist() for c in b.columns)):
-                data = normalised(text)
-                if train:
-                    pairs.append(data)
-                hashes = np.append(word_hashes(data), _END_HASH)
-                for column, value in zip(held, (doc, mark, train, hashes)):
-                    column.append(value)
-                tokens += len(hashes)
-                if tokens >= p.block_tokens:
-                    yield from flushed(*held)
-                    held, tokens = ([], [], [], []), 0
-            # pairs of bytes; a text's first byte stands after a zero byte
-            both = np.frombuffer(b"\0" + b"\0".join(pairs), np.uint8).astype(np.int64)
-            seen += np.bincount(both[1:] | (both[:-1] << 8), minlength=1 << 16)
-            pairs = []
-        if tokens:
-            yield from flushed(*held)
-        (some,) = np.nonzero(seen)
-        yield batch(len(some), kind=[2] * len(some), hash=some, n=seen[some])
-
-    return rows.mapInArrow(run, f"kind int, block long, id {kind.simpleString()}, mark long, n long, payload binary, hash long, place int")
-
-
-def _base(tokens: DataFrame, p: Params) -> tuple[DataFrame, int]:
-    """(id, mark, n_tokens, n_known, base_score), and the training tokens."""
-    words = tokens.filter("kind = 1").select("block", "hash", "place", "n")
-    counts = saved(words.groupBy("hash").agg(F.sum("n").alias("count")).filter("count > 0"), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    known = words.select("block", "hash", "place").join(counts, "hash", "left")
-    docs = tokens.filter("kind = 0")
-    kind = docs.schema["id"].dataType.simpleString()
-    empty = lambda t: F.lit(None).cast(t)
-    both = known.select("block", "place", F.coalesce("count", F.lit(0)).alias("count"), empty(kind).alias("id"), empty("long").alias("mark"), empty("binary").alias("payload")).unionAll(
-        docs.select("block", F.lit(None).cast("int").alias("place"), empty("long").alias("count"), "id", "mark", "payload")
-    )
-    # a block's words come before its documents
-    both = both.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
-    log_all = math.log10(total + 0.1 * (distinct + 1))
-    arrow = to_arrow_type(docs.schema["id"].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, count = None, [], np.zeros(0)
-        for b in batches:
-            blocks = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            out = []
-            for x, y in zip(edges, edges[1:]):
-                if x == y:
-                    continue
-                if blocks[x] != block:
-                    block, parts = blocks[x], []
-                part = b.slice(x, y - x)
-                n_words = len(part) - part.column(1).null_count
-                if n_words:
-                    parts.append(part.column(2).slice(0, n_words).to_numpy())
-                if n_words == len(part):
-                    continue
-                if parts:
-                    count, parts = np.concatenate(parts), []
-                logs = np.log10(count + 0.1) - log_all
-                rest = part.slice(n_words)
-                for doc, mark, payload in zip(*(rest.column(i).to_pylist() for i in (3, 4, 5))):
-                    at = np.frombuffer(zlib.decompress(payload), np.uint32)
-                    out.append((doc, mark, len(at), int(np.count_nonzero(count[at])), float(math.fsum(logs[at]))))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (arrow, pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["id", "mark", "n_tokens", "n_known", "base_score"])
-
-    return both.mapInArrow(run, f"id {kind}, mark long, n_tokens long, n_known long, base_score double"), total
-
-
 def _keys(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """The bytes ``at``, each with its context, as numbers: the predictor,
     the context's bytes and the byte."""
@@ -421,6 +316,57 @@ def _keys(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
+def _dealt(keys: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by piece, and the place of each in it."""
+    order = np.lexsort((keys, piece))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, rank
+
+
+def _cuts(piece: np.ndarray) -> list[tuple[int, int]]:
+    """Where each piece starts and ends."""
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+    return list(zip(edges, edges[1:]))
+
+
+class Words:
+    """The distinct words of a block of texts, by piece, with ``piece``;
+    ``code``: which of them each token is, ``sizes``: the tokens of each
+    text."""
+
+    def __init__(self, hashes: list[np.ndarray], pieces: int):
+        self.sizes = np.array([len(h) for h in hashes])
+        code, keys = pd.factorize(np.concatenate(hashes))
+        piece = (mix64(keys) % np.uint64(pieces)).astype(np.int64)
+        order, rank = _dealt(keys, piece)
+        self.keys, self.piece, self.code = keys[order], piece[order], rank.take(code)
+
+    def learnt(self, train: np.ndarray) -> np.ndarray:
+        """The words' numbers in training texts."""
+        return np.bincount(self.code[np.repeat(train, self.sizes)], minlength=len(self.keys))
+
+    def base(self, count: np.ndarray, log_all: float) -> tuple[list[int], list[float]]:
+        """Of each text the tokens with a count and the score, from the
+        answers in the order of the keys."""
+        logs = np.log10(count + 0.1) - log_all
+        known, score = [], []
+        for at in np.split(self.code, np.cumsum(self.sizes)[:-1]):
+            known.append(int(np.count_nonzero(count[at])))
+            score.append(float(math.fsum(logs[at])))
+        return known, score
+
+
+def _token_hashes(data: bytes) -> np.ndarray:
+    """Of a normalised text: its words and the end."""
+    return np.append(word_hashes(data), _END_HASH)
+
+
+def _word_pieces(pieces: int) -> int:
+    """Words are fewer than contexts."""
+    return max(1, pieces // 4)
+
+
 class Asked:
     """The distinct ``keys`` of a block of texts, by piece, with ``piece``;
     ``codes``: per predictor, which of them each byte has."""
@@ -440,9 +386,7 @@ class Asked:
             known += len(keys)
         keys = np.concatenate(found)
         piece = (mix64(keys >> np.uint64(8)) % np.uint64(pieces)).astype(np.int64)
-        order = np.lexsort((keys, piece))
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
+        order, rank = _dealt(keys, piece)
         self.keys, self.piece = keys[order], piece[order]
         self.codes = [rank.take(c) for c in codes]
 
@@ -482,9 +426,11 @@ def _decisions(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return begin, which, first
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+def _packed(x: np.ndarray, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
+    """Numbers as planes of bytes, compressed; ``zlib.Z_RLE`` suits planes
+    without repeated sequences."""
+    packer = zlib.compressobj(1, strategy=strategy)
+    return packer.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) + packer.flush()
 
 
 def _unpacked(payload: bytes, kind: type) -> np.ndarray:
@@ -493,47 +439,105 @@ def _unpacked(payload: bytes, kind: type) -> np.ndarray:
 
 
 def _asked(rows: DataFrame, pieces: int, p: Params) -> DataFrame:
-    """Two kinds of rows from (id, mark, held, text). Kind 0, a document: its
-    block, place in it, and text. Kind 1, keys of a block that are in one
-    piece, as differences, and their numbers in training texts."""
-    names = ["kind", "block", "part", "id", "mark", "held", "payload", "learnt"]
+    """Four kinds of rows from (id, held, text). Kind 0, a document: its
+    block and place in it; the first of some documents has all their texts,
+    which are smaller compressed together. Kind 1, keys of a block that are in one
+    piece, as differences, and their numbers in training texts. Kind 2, the
+    same of a block's words. Kind 3, a pair of bytes (part) and its number in
+    a task's training texts."""
+    names = ["kind", "block", "part", "id", "held", "payload", "learnt", "n"]
     kind = rows.schema["id"].dataType
-    types = [pa.int32(), pa.int64(), pa.int32(), to_arrow_type(kind), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int32(), to_arrow_type(kind), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
 
     def batch(rows: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(rows, t) for c, t in zip(names, types)], names)
 
-    def flushed(ids: list, marks: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
-        block = int.from_bytes(os.urandom(8), "big") >> 1
-        asked = Asked(list(_chunks(texts)), pieces)
-        learnt = asked.learnt(np.repeat(~np.array(held, bool), [len(t) for t in texts]))
-        edges = [0, *(np.flatnonzero(np.diff(asked.piece)) + 1).tolist(), len(asked.piece)]
-        cut = list(zip(edges, edges[1:]))
+    def questions(kind: int, block: int, keys: np.ndarray, piece: np.ndarray, learnt: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = _cuts(piece)
         for i in range(0, len(cut), 200):
             some = cut[i : i + 200]
-            payload = [_packed(np.diff(asked.keys[x:y], prepend=np.uint64(0))) for x, y in some]
-            numbers = [_packed(learnt[x:y].astype(np.uint32)) for x, y in some]
-            yield batch(len(some), kind=[1] * len(some), block=[block] * len(some), part=[int(asked.piece[x]) for x, _ in some], payload=payload, learnt=numbers)
+            payload = [_packed(np.diff(keys[x:y], prepend=np.uint64(0)), zlib.Z_RLE) for x, y in some]
+            numbers = [_packed(learnt[x:y].astype(np.uint32), zlib.Z_RLE) for x, y in some]
+            yield batch(len(some), kind=[kind] * len(some), block=[block] * len(some), part=[int(piece[x]) for x, _ in some], payload=payload, learnt=numbers)
+
+    def flushed(ids: list, held: list, texts: list, hashes: list) -> Iterator[pa.RecordBatch]:
+        block = int.from_bytes(os.urandom(8), "big") >> 1
+        train = ~np.array(held, bool)
+        asked = Asked(list(_chunks(texts)), pieces)
+        yield from questions(1, block, asked.keys, asked.piece, asked.learnt(np.repeat(train, [len(t) for t in texts])))
+        del asked
+        words = Words(hashes, _word_pieces(pieces))
+        yield from questions(2, block, words.keys, words.piece, words.learnt(train))
         for i in range(0, len(ids), 200):
             j = range(i, min(i + 200, len(ids)))
-            yield batch(len(j), kind=[0] * len(j), block=[block] * len(j), part=list(j), id=ids[i : j.stop], mark=marks[i : j.stop], held=held[i : j.stop], payload=[zlib.compress(t, 1) for t in texts[i : j.stop]])
+            yield batch(len(j), kind=[0] * len(j), block=[block] * len(j), part=list(j), id=ids[i : j.stop], held=held[i : j.stop], payload=[zlib.compress(b"".join(texts[i : j.stop]), 5), *[None] * (len(j) - 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: tuple[list, list, list, list] = ([], [], [], [])
-        size = 0
+        size, tokens, seen = 0, 0, np.zeros(1 << 16, np.int64)
         for b in batches:
-            for doc, mark, held, text in zip(*(c.to_pylist() for c in b.columns)):
+            pairs = []
+            for doc, held, text in zip(*(c.to_pylist() for c in b.columns)):
                 data = normalised(text)
-                for column, value in zip(block, (doc, mark, held, data)):
+                if not held:
+                    pairs.append(data)
+                hashes = _token_hashes(data)
+                for column, value in zip(block, (doc, held, data, hashes)):
                     column.append(value)
                 size += len(data)
-                if size >= p.block_bytes:
+                tokens += len(hashes)
+                if size >= p.block_bytes or tokens >= p.block_tokens:
                     yield from flushed(*block)
-                    block, size = ([], [], [], []), 0
+                    block, size, tokens = ([], [], [], []), 0, 0
+            # pairs of bytes; a text's first byte stands after a zero byte
+            both = np.frombuffer(b"\0" + b"\0".join(pairs), np.uint8).astype(np.int64)
+            seen += np.bincount(both[1:] | (both[:-1] << 8), minlength=1 << 16)
         if size:
             yield from flushed(*block)
+        (some,) = np.nonzero(seen)
+        yield batch(len(some), kind=[3] * len(some), part=some, n=seen[some])
+
+    return rows.select("id", "held", "text").mapInArrow(run, f"kind int, block long, part int, id {kind.simpleString()}, held boolean, payload binary, learnt binary, n long")
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list]]:
+    """Of each piece the blocks, their keys and numbers."""
+    piece, held = None, ([], [], [])
+    for b in batches:
+        for part, block, payload, learnt in zip(*(c.to_pylist() for c in b.columns)):
+            if part != piece:
+                if held[0]:
+                    yield piece, *held
+                piece, held = part, ([], [], [])
+            held[0].append(block)
+            held[1].append(np.cumsum(_unpacked(payload, np.uint64), dtype=np.uint64))
+            held[2].append(_unpacked(learnt, np.uint32))
+    if held[0]:
+        yield piece, *held
+
+
+def _questions(asked: DataFrame, kind: int) -> DataFrame:
+    rows = asked.filter(F.col("kind") == kind).select("part", "block", "payload", "learnt")
+    return rows.repartition("part").sortWithinPartitions("part")
+
 
-    return rows.mapInArrow(run, f"kind int, block long, part int, id {kind.simpleString()}, mark long, held boolean, payload binary, learnt binary")
+def _word_counts(asked: DataFrame) -> DataFrame:
+    """(block, part, payload, total, known): for each block and piece the
+    counts of its words in all blocks; once for each piece the sum of its
+    words' counts, and how many have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, blocks, keys, learnt in _by_piece(batches):
+            distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(which, np.concatenate(learnt), len(distinct)).astype(np.uint64)
+            mine = np.split(which, np.cumsum([len(k) for k in keys])[:-1])
+            once = [0] * (len(blocks) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array([piece] * len(blocks), pa.int32()), pa.array([_packed(n.take(w)) for w in mine], pa.binary()), pa.array([int(n.sum()), *once], pa.int64()), pa.array([int(np.count_nonzero(n)), *once], pa.int64())],
+                ["block", "part", "payload", "total", "known"],
+            )
+
+    return _questions(asked, 2).mapInArrow(run, "block long, part int, payload binary, total long, known long")
 
 
 def _paths_logits(code: Code, keys: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -584,21 +588,10 @@ def _answers(asked: DataFrame, code, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([piece], pa.int32()), pa.array([_packed(logits.take(place))], pa.binary())], ["block", "part", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, held = None, ([], [], [])
-        for b in batches:
-            for part, block, payload, learnt in zip(*(c.to_pylist() for c in b.columns)):
-                if part != piece:
-                    if held[0]:
-                        yield from answered(piece, *held)
-                    piece, held = part, ([], [], [])
-                held[0].append(block)
-                held[1].append(np.cumsum(_unpacked(payload, np.uint64), dtype=np.uint64))
-                held[2].append(_unpacked(learnt, np.uint32))
-        if held[0]:
-            yield from answered(piece, *held)
+        for held in _by_piece(batches):
+            yield from answered(*held)
 
-    rows = asked.filter("kind = 1").select("part", "block", "payload", "learnt")
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, payload binary")
+    return _questions(asked, 1).mapInArrow(run, "block long, part int, payload binary")
 
 
 def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -607,56 +600,56 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str =
     ``bits_per_byte``. Learns from the rows that are not held out."""
     spark = docs.sparkSession
     text_session(spark)
-    mark = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    tokens = saved(_tokens(rows.select("id", "mark", (~F.col("held")).alias("train"), "text"), p), "tokens", by="kind")
-    base, total = _base(tokens, p)
-    seen = np.zeros(1 << 16, np.int64)
-    for r in tokens.filter("kind = 2").groupBy("hash").agg(F.sum("n").alias("n")).collect():
-        seen[r["hash"]] = r["n"]
-    code = Code(seen)
-    sent = spark.sparkContext.broadcast(code)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     pieces = 32 + n_bytes // p.piece_bytes
     asked = saved(_asked(rows, pieces, p), "asked", by="kind")
-    answers = _answers(asked, sent, p)
+    seen = np.zeros(1 << 16, np.int64)
+    for r in asked.filter("kind = 3").groupBy("part").agg(F.sum("n").alias("n")).collect():
+        seen[r["part"]] = r["n"]
+    sent = spark.sparkContext.broadcast(Code(seen))
+    counts = saved(_word_counts(asked), "word-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    log_all = math.log10(total + 0.1 * (distinct + 1))
     kind = rows.schema["id"].dataType.simpleString()
-    empty = lambda t: F.lit(None).cast(t)
-    both = answers.select("block", F.lit(0).alias("kind"), "part", "payload", empty(kind).alias("id"), empty("long").alias("mark"), empty("boolean").alias("held")).unionAll(
-        asked.filter("kind = 0").select("block", F.lit(1).alias("kind"), "part", "payload", "id", "mark", "held")
-    )
+    answers = [x.select("block", F.lit(i).alias("kind"), "part", "payload", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("held")) for i, x in enumerate((_answers(asked, sent, p), counts))]
+    both = answers[0].unionAll(answers[1]).unionAll(asked.filter("kind = 0").select("block", F.lit(2).alias("kind"), "part", "payload", "id", "held"))
     # a block's answers come before its documents
     both = both.repartition("block").sortWithinPartitions("block", "kind", "part")
     arrow = to_arrow_type(rows.schema["id"].dataType)
 
-    def scores(answers: list, docs: list) -> pa.RecordBatch:
+    def scores(answers: list, counts: list, docs: list) -> pa.RecordBatch:
         code = sent.value
-        texts = [zlib.decompress(d[0]) for d in docs]
+        # a text's only line feed is its end
+        texts = [t + b"\n" for d in docs if d[0] is not None for t in zlib.decompress(d[0]).split(b"\n")[:-1]]
+        words = Words([_token_hashes(t) for t in texts], _word_pieces(pieces))
+        known, base = words.base(np.concatenate([_unpacked(c, np.uint64) for c in counts]), log_all)
         chunks = list(_chunks(texts))
         block = Asked(chunks, pieces)
         gathered = block.gathered(code, np.concatenate([_unpacked(a, np.int16) for a in answers]))
         logs = np.concatenate([Scorer(code, tables, p)(chunk) for chunk, tables in zip(chunks, gathered)])
         n = np.array([len(t) for t in texts], np.int64)
-        ids, marks, held = (pa.array([d[i] for d in docs], t) for i, t in ((1, arrow), (2, pa.int64()), (3, pa.bool_())))
-        return pa.RecordBatch.from_arrays([ids, marks, held, pa.array(logs / math.log(10)), pa.array(n), pa.array(-logs / math.log(2) / np.maximum(n, 1))], ["id", "mark", "held", "score", "n_bytes", "bits_per_byte"])
+        ids, held = (pa.array([d[i] for d in docs], t) for i, t in ((1, arrow), (2, pa.bool_())))
+        return pa.RecordBatch.from_arrays(
+            [ids, held, pa.array(words.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logs / math.log(10)), pa.array(n), pa.array(-logs / math.log(2) / np.maximum(n, 1))],
+            ["id", "held", "n_tokens", "n_known", "base_score", "score", "n_bytes", "bits_per_byte"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers, docs = None, [], []
+        block, held = None, ([], [], [])
         for b in batches:
-            for one, is_doc, payload, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            for one, what, payload, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 if one != block:
-                    if docs:
-                        yield scores(answers, docs)
-                    block, answers, docs = one, [], []
-                docs.append((payload, *rest)) if is_doc else answers.append(payload)
-        if docs:
-            yield scores(answers, docs)
-
-    scored = both.select("block", "kind", "payload", "id", "mark", "held").mapInArrow(run, f"id {kind}, mark long, held boolean, score double, n_bytes long, bits_per_byte double")
-    base = base.dropDuplicates(["id", "mark"])
-    same = scored["id"].eqNullSafe(base["id"]) & (scored["mark"] == base["mark"])
-    return scored.join(base, same).select(
-        scored["id"].alias(id_col),
+                    if block is not None:
+                        yield scores(*held)
+                    block, held = one, ([], [], [])
+                held[what].append((payload, *rest) if what == 2 else payload)
+        if block is not None:
+            yield scores(*held)
+
+    scored = both.select("block", "kind", "payload", "id", "held").mapInArrow(run, f"id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
+    return scored.select(
+        F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
         "n_tokens",
         "n_known",
