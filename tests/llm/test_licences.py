@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from textctl.llm.licences import Params, _needed, scan
+from textctl.llm.licences import BODIES, Params, _needed, block_matches, frequencies, scan
 
 TREE = [
     (1, "a/LICENSE", "Released under the MIT License."),
@@ -103,3 +103,27 @@ def test_licence_bodies_and_wrapped_headers(spark):
     rows = [(1, "m/LICENSE", MIT), (2, "m/x.py", "code alone"), (3, "b/LICENSE", BSD), (4, "b/c/y.py", "more code"), (5, "w/z.c", wrapped), (6, "w/prose", "no warranty of any kind in this prose, all of it")]
     got = {r.doc_id: (r.licence, r.how) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("BSD-2-Clause", "own"), 4: ("BSD-2-Clause", "inherited"), 5: ("GPL-3.0", "own"), 6: (None, "none")}
+
+
+def test_terms_of_blocks_stay_with_their_file(spark):
+    """One exchange, of files; the sums over a block's terms need none."""
+    text = BODIES["MIT"][0]
+    files = spark.createDataFrame([(1, 11, text + "\n\n" + "prose and so on\n" * 30), (2, 12, "prose\n" * 30), (3, 13, text), (None, 14, text)], "id long, mark long, text string")
+    found = block_matches(files, known=frequencies(files))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.mark, r.licence, r.body) for r in found.collect()) == [(11, "MIT", True), (13, "MIT", True), (14, "MIT", True)]
+
+
+def test_texts_are_not_sent_to_be_counted(spark, tmp_path):
+    """All a scan shuffles is small beside texts without a licence."""
+    import random
+
+    draw = random.Random(7)
+    rows = [(i, f"d{i}/f", "".join(draw.choices("abcdefgh ", k=200_000)) + ("\nAll rights reserved." if i == 3 else "")) for i in range(20)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)
+    files.write.parquet(str(tmp_path / "files"))
+    found = scan(spark.read.parquet(str(tmp_path / "files")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan
+    assert {r.doc_id: r.licence for r in found.collect()} == {i: "Proprietary" if i == 3 else None for i in range(20)}

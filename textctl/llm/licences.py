@@ -25,9 +25,9 @@ sorted by weight, and a unit without any of a template's heaviest words,
 the rest of which fall short of the threshold together, cannot match it.
 Likewise a file, and then a block, is left out if for every template the
 weights of the words it has of it fall short together.
-Texts are never shuffled. They are read for the word counts, the lines, the
-blocks, the directories and the result; terms and candidate files are written
-once and read from there.
+Other texts are not shuffled. They are read for the word counts, the lines, the
+blocks, the directories and the result; only the words of files that may have a
+matching block travel, once, to be cut into blocks.
 
 Defined results: null and empty texts have no units; a null path has no
 directory and inherits nothing; null ids come first in ties; equal rows get
@@ -42,7 +42,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textctl.session import prepare
@@ -215,12 +215,11 @@ def _scored(units: DataFrame, vectors: dict, idf: dict, outside: float, p: Param
     terms = able.select("id", "mark", "pos", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     terms = terms.groupBy("id", "mark", "pos", "n_words", "word").agg(F.count(F.lit(1)).alias("tf"))
     unit = ["id", "mark", "pos", "n_words"]
-    # written, as both sums below read them: texts are split once for them
-    terms = saved(terms.join(known, "word", "left").select(*unit, "word", (F.col("tf") * F.coalesce("idf", F.lit(outside))).alias("w")), "licence-terms")
-    norms = terms.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(template, "word").groupBy(*unit, "licence", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    on = F.col("d.id").eqNullSafe(F.col("n.id")) & (F.col("d.mark") == F.col("n.mark")) & (F.col("d.pos") == F.col("n.pos"))
-    scored = dots.alias("d").join(norms.alias("n"), on).select("d.id", "d.mark", "d.pos", "d.n_words", "d.licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    # blocks come dealt by file, so none of these sums moves their terms
+    terms = terms.join(known, "word", "left").select(*unit, "word", (F.col("tf") * F.coalesce("idf", F.lit(outside))).alias("w"))
+    normed = terms.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*unit))))
+    dots = normed.join(template, "word").groupBy(*unit, "norm", "licence", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.select(*unit, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     best = scored.filter(F.col("cosine") >= p.threshold).groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"))
     return best.select("id", "mark", "pos", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("cosine"), "n_words")
 
@@ -263,8 +262,9 @@ def block_matches(files: DataFrame, p: Params = Params(), known: tuple[dict, int
     whole = files.withColumn("words", _unit_words(F.col("text"))).filter(F.arrays_overlap("words", needed))
     whole = whole.filter(_able(F.col("words"), vectors, p.threshold))
     split = lambda by: F.filter(F.transform(F.split("text", by), _unit_words), lambda w: F.size(w) > 0)
-    # written, so that texts are split once and not for every block
-    whole = saved(whole.select("id", "mark", "words", split("\n").alias("lines"), split(r"\n[ \t\r]*\n").alias("paragraphs")), "licence-files")
+    # dealt before they are cut into blocks: texts are split once, each text
+    # travels once, and the terms of its blocks stay where they are made
+    whole = whole.select("id", "mark", "words", split("\n").alias("lines"), split(r"\n[ \t\r]*\n").alias("paragraphs")).repartition("id", "mark")
     runs = [_runs("lines", n) for n in (2, 3, 4)]
     leading = F.transform(F.sequence(F.lit(2), F.lit(12)), lambda n: F.flatten(F.slice("paragraphs", F.lit(1), n)))
     blocks = F.concat(F.array("words"), F.col("paragraphs"), leading, *runs)
@@ -302,19 +302,19 @@ def scan(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
         F.when(F.col("k.body"), F.col("k.block")).otherwise(F.coalesce(line, F.col("k.block"))).alias("found"),
     ).select("__id", "__mark", "found.*")
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
-    # words are only counted where a unit matched
-    few = files.join(own, same).select("id", "path", "own", "cosine", "in_licence", F.size(_unit_words(text)).alias("all"))
-    speaking = few.filter((F.col("in_licence") >= p.file_share * F.col("all")) & F.col("path").isNotNull())
+    # words are counted before the join, as it would move every text
+    counted = files.select("id", "path", "mark", F.size(_unit_words(F.col("text"))).alias("all"))
+    narrow = saved(counted.join(own, same, "left").select("id", "path", "own", "cosine", "in_licence", "all"), "licence-own")
+    speaking = narrow.filter((F.col("in_licence") >= p.file_share * F.col("all")) & F.col("path").isNotNull())
     by_dir = speaking.groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "id", "own")).alias("b"))
     by_dir = saved(by_dir.filter("ancestor IS NOT NULL").select("ancestor", F.col("b.own").alias("given"), (-F.col("b.minus")).alias("given_cosine")), "licence-dirs")
 
-    narrow = files.select("id", "path", "mark").join(own, same, "left").select("id", "path", "own", "cosine")
-    dirs = files.select(directory(F.col("path")).alias("dir")).filter("dir IS NOT NULL").distinct()
+    dirs = narrow.select(directory(F.col("path")).alias("dir")).filter("dir IS NOT NULL").distinct()
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("ancestor")))).alias("a")).select("dir", "a.*")
     nearest = up.join(by_dir, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given", "given_cosine")).alias("n"))
     nearest = nearest.select(F.col("dir").alias("__dir"), "n.ancestor", "n.given", "n.given_cosine")
-    out = narrow.join(nearest, directory(F.col("path")) == F.col("__dir"), "left")
+    out = narrow.select("id", "path", "own", "cosine").join(nearest, directory(F.col("path")) == F.col("__dir"), "left")
     inherits = F.col("own").isNull() & F.col("given").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
