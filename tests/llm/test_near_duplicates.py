@@ -4,7 +4,7 @@ import numpy as np
 from .tests_llm_words import words
 
 from textctl.llm.graph import components
-from textctl.llm.near_duplicates import Params, Sketcher, near_duplicates, shingles
+from textctl.llm.near_duplicates import Params, Sketcher, _shared, near_duplicates, shingles
 
 
 def brute(rows):
@@ -103,3 +103,13 @@ def test_components_of_chains_and_hubs(spark):
     hub = [(1000, 1000 + i) for i in range(1, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain[::-1] + hub + [(5, 5), (61, 60)], "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(62), 0), **dict.fromkeys([1000, *(b for _, b in hub)], 1000)}
+
+
+def test_bands_are_dealt_once(spark):
+    """The count of a bucket's members and the join with it read one exchange."""
+    first = spark.createDataFrame([(i, [i, i // 2 + 1000, None if i == 5 else 5000]) for i in range(8)], "id long, bands array<long>")
+    shared = _shared(first)
+    got = sorted(tuple(r) for r in shared.collect())
+    assert got == sorted([(i // 2 + 1000, i) for i in range(8)] + [(5000, i) for i in range(8) if i != 5])
+    plan = shared._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("+- Exchange hashpartitioning") == 1

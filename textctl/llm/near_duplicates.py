@@ -192,11 +192,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), hubs: int = 1, id_col
     grouped = sketched.filter("n > 0 AND id IS NOT NULL")
     classes = saved(grouped.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
 
-    # one row per class, its bands exploded; buckets of one member are dropped
+    # one row per class
     first = grouped.join(classes.withColumnRenamed("rep", "id"), ["id", "k1", "k2"], "left_semi")
-    banded = first.select("id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    members = saved(banded.join(shared.select("bucket"), "bucket").select("bucket", "id"), "buckets")
+    members = saved(_shared(first), "buckets")
     found = _linked(rows, members, first.select("id", "n", "code"), p, hubs)
 
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -210,6 +208,14 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), hubs: int = 1, id_col
     )
 
 
+def _shared(first: DataFrame) -> DataFrame:
+    """(bucket, id) of the buckets with several members, from (id, bands)."""
+    # dealt by bucket once, for the count and for the join with it
+    banded = first.select("id", F.explode("bands").alias("bucket")).repartition("bucket")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    return banded.join(shared.select("bucket"), "bucket").select("bucket", "id")
+
+
 def _linked(rows: DataFrame, members: DataFrame, codes: DataFrame, p: Params, hubs: int) -> DataFrame:
     """(node, component) from buckets (bucket, id) with several members."""
     nodes = members.select("id").distinct()
