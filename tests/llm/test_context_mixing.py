@@ -128,3 +128,51 @@ def test_words_are_asked_for_by_piece(docs, texts):
     assert (sum(r.total for r in answers), sum(r.known for r in answers)) == (sum(known.values()), len(known))
     moved = sum(len(r.payload) + len(r.learnt) for r in sent) + sum(len(r.payload) for r in answers)
     assert moved < 12 * sum(map(len, keys.values()))
+
+
+def test_a_block_looks_up_each_byte_once(texts, monkeypatch):
+    """A byte's keys of all predictors follow from its gram: only one look-up
+    has a row for each byte, the others one for each distinct gram."""
+    data = [cm.normalised(t) for _, t, _, _ in texts[:60]]
+    train = np.arange(len(data)) % 3 > 0
+    rows, factorize = [], cm.pd.factorize
+    monkeypatch.setattr(cm.pd, "factorize", lambda x: rows.append(len(x)) or factorize(x))
+    asked = cm.Asked([data[:20], data[20:]], 5)
+    n = sum(map(len, data))
+    assert len(rows) == 4 and rows[0] == n and sum(rows) < 2.5 * n
+    found = Counter()
+    for t, learnt in zip(data, train):
+        padded = b"\0" * 8 + t
+        for i in range(8, len(padded)):
+            for k, order in enumerate((2, 4, 5)):
+                found[k << 48 | int.from_bytes(padded[i - order : i + 1], "big")] += int(learnt)
+    counts = asked.learnt(np.repeat(train, [len(t) for t in data]))
+    assert dict(zip(asked.keys.tolist(), counts.tolist())) == found and len(asked.keys) == len(found)
+
+
+def _answer(code, asked, n):
+    """The logits of a block's decisions, for keys that occur ``n`` times."""
+    keys, order = np.unique(asked.keys, return_index=True)
+    logits, begin = cm._paths_logits(code, keys, n[order], 0.05)
+    path, _, first = cm._decisions(code, asked.keys)
+    key = np.searchsorted(path, first, "right") - 1
+    return logits.take(begin[np.searchsorted(keys, asked.keys)].take(key) + first - path.take(key))
+
+
+def test_gathered_probabilities_sum_to_one():
+    code = cm.Code(np.arange(1 << 16))
+    data = [bytes([b]) for b in range(256)]
+    asked = cm.Asked([data], 3)
+    answer = _answer(code, asked, np.random.default_rng(1).integers(0, 50, len(asked.keys)))
+    logs = cm._scored(data, *asked.spans(code, answer), code, SMALL)
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_gathered_scores_depend_on_the_text_alone(texts, monkeypatch):
+    code = cm.Code(np.arange(1 << 16))
+    data = [cm.normalised(t) for _, t, _, _ in texts[:40]] + [cm.normalised(None), cm.normalised("x " * 5_000)]
+    asked = cm.Asked([data], 3)
+    block = asked.spans(code, _answer(code, asked, asked.learnt(np.ones(sum(map(len, data)), bool))))
+    together = cm._scored(data, *block, code, SMALL)
+    monkeypatch.setattr(cm, "_SCORED_BYTES", 1)
+    assert np.allclose(together, cm._scored(data, *block, code, SMALL), rtol=1e-5)

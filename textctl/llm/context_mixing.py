@@ -22,7 +22,9 @@ dealt, so a task that runs again sends the same rows.
 Scoring starts each text from the same weights, so results depend neither on
 partitions nor on other texts. Texts of a batch are scored side by side: the
 weights are updated after blocks of bytes, 32 at first and then a sixteenth
-of what has been read.
+of what has been read. A byte with the longest context before it is a gram; a
+block looks up its distinct grams instead of its bytes, as all predictors'
+numbers and decisions of a byte follow from its gram.
 
 The base line is a smoothed unigram model over words, learnt from the same
 texts and gathered in the same way: a block asks once for each of its distinct
@@ -130,6 +132,14 @@ def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(sizes + _PAD) - sizes
 
 
+def _along(start: np.ndarray, each: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of paths of ``each`` steps that start there: the place of each step;
+    ``ends``: the sums of ``each``."""
+    x = np.repeat(start - (ends - each), each)
+    x += np.arange(len(x))
+    return x
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint32(16))
     x *= np.uint32(0x7FEB352D)
@@ -157,18 +167,10 @@ class Places:
     def __init__(self, code: Code, data: np.ndarray, at: np.ndarray, bits: tuple[int, ...]):
         symbols = data[at] | (data[at - 1].astype(np.int64) << 8)
         self.each = code.length.take(symbols)
-        ends = np.cumsum(self.each)
         self._code, self._data, self._at, self.bits = code, data, at, bits
-        self._first = ends - self.each
-        self.place = self.along(code.offset.take(symbols))
+        self.place = _along(code.offset.take(symbols), self.each, np.cumsum(self.each))
         self.turn = code.turn.take(self.place)
 
-    def along(self, start: np.ndarray) -> np.ndarray:
-        """Of paths that start there: the place of each decision."""
-        x = np.repeat(start - self._first, self.each)
-        x += np.arange(len(x))
-        return x
-
     def counter(self, k: int) -> np.ndarray:
         x = np.repeat((self._hashes[k] >> np.uint32(32 - self.bits[k])).astype(np.int64), self.each)
         x ^= self._node
@@ -198,33 +200,55 @@ _STEPS = 33  # of the adaptive map, over logits from -8 to 8
 
 
 class Gathered:
-    """A predictor's logits for the texts of one buffer: where the path of
-    each byte starts in ``logits``."""
+    """The decisions of the bytes of some texts, whose first bytes are at
+    ``start`` of ``spans``: of each byte where its decisions start in
+    ``steps``, and how many it has (the lowest byte)."""
 
-    def __init__(self, logits: np.ndarray, start: np.ndarray):
-        self.logits, self.start = logits, start
+    def __init__(self, steps: np.ndarray, spans: np.ndarray, start: np.ndarray):
+        self.steps, self.spans, self.start = steps, spans, start
 
-    def of(self, d: Places, at: np.ndarray) -> np.ndarray:
-        x = self.logits.take(d.along(self.start.take(at))).astype(np.float32)
-        x *= np.float32(1 / _UNIT)
-        return x
+    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of the bytes ``at``: the sums of the numbers of decisions, and each
+        decision's gate, turn and logits."""
+        span = self.spans.take(at)
+        each = span & 0xFF
+        span >>= 8
+        ends = np.cumsum(each)
+        step = self.steps.take(_along(span, each, ends)).view(np.int16).reshape(-1, 4)
+        x = [step[:, k].astype(np.float32) for k in range(3)]
+        for one in x:
+            one *= np.float32(1 / _UNIT)
+        return ends, step[:, 3] >> 1, (step[:, 3] & 1).astype(np.float32), x
+
+
+class Hashed:
+    """The same from arrays of logits in sixteenths for hashed contexts."""
+
+    def __init__(self, code: Code, tables: list[np.ndarray], bits: tuple[int, ...], texts: list[bytes]):
+        self.code, self.tables, self.bits = code, tables, bits
+        self.data, self.start = _buffer(texts)
+
+    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        d = Places(self.code, self.data, at, self.bits)
+        gate = np.repeat(_KIND[self.data[at - 1]], d.each) + self.code.gate.take(d.place)
+        return np.cumsum(d.each), gate, d.turn.astype(np.float32), [t.take(d.counter(k), mode="clip").astype(np.float32) / np.float32(16) for k, t in enumerate(self.tables)]
 
 
 class Scorer:
-    """``tables``: per predictor what was gathered for the texts, or an array
+    """``tables``: what was gathered for the texts, or per predictor an array
     of logits in sixteenths for hashed contexts."""
 
-    def __init__(self, code: Code, tables: list[np.ndarray | Gathered], p: Params):
+    def __init__(self, code: Code, tables: list[np.ndarray] | Gathered, p: Params):
         self.code, self.p = code, p
         self.tables = tables
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Natural logarithms of the texts' probabilities."""
-        p, code = self.p, self.code
-        data, start = _buffer(texts)
+        p = self.p
+        source = self.tables if isinstance(self.tables, Gathered) else Hashed(self.code, self.tables, p.bits, texts)
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")  # the longest first: those still read are a prefix
-        start, size = start[order], size[order]
+        start, size = source.start[order], size[order]
         total = np.zeros(len(texts))
         weights = [np.full(len(texts) * _GATES, x, np.float32) for x in p.start]
         refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, _STEPS)))).astype(np.float32), len(texts))
@@ -232,35 +256,45 @@ class Scorer:
         read = 0
         while (alive := int(np.searchsorted(-size, -read))) > 0:
             n = np.minimum(size[:alive] - read, max(32, min(read // 16, 1 << 16)))
-            doc = np.repeat(np.arange(alive), n)
-            at = np.arange(len(doc)) + np.repeat(start[:alive] + read - (np.cumsum(n) - n), n)
-            d = Places(code, data, at, p.bits)
-            mine = np.repeat(doc, d.each)
-            gate = np.repeat(doc * _GATES + _KIND[data[at - 1]], d.each) + code.gate.take(d.place)
-            bit = d.turn.astype(np.float32)
-            x = [t.of(d, at) if isinstance(t, Gathered) else t.take(d.counter(k), mode="clip").astype(np.float32) / np.float32(16) for k, t in enumerate(self.tables)]
+            upto = np.cumsum(n)
+            ends, gate, bit, x = source.decisions(_along(start[:alive] + read, n, upto))
+            edge = ends.take(upto - 1)  # after each text's decisions
+            mine = np.diff(edge, prepend=0)
+            gate = gate + np.repeat(np.arange(alive) * _GATES, mine)
             logit = np.zeros(len(bit), np.float32)
             for one, w in zip(x, weights):
                 logit += one * w.take(gate, mode="clip")
             np.clip(logit, -7.99, 7.99, out=logit)
-            mix = 1 / (1 + np.exp(-logit))
+            mix = np.exp(-logit)
+            mix += 1
+            np.divide(1, mix, out=mix)
             # the adaptive map, between the two nearest of its values
-            step = (logit + np.float32(8)) * np.float32((_STEPS - 1) / 16)
-            low = step.astype(np.int64)
-            step -= low
-            low += mine * _STEPS
-            final = (mix + refined.take(low) * (1 - step) + refined.take(low + 1) * step) / 2
-            total[:alive] += np.bincount(mine, np.log(np.where(d.turn, final, 1 - final)), alive)
+            step = logit
+            step += np.float32(8)
+            step *= np.float32((_STEPS - 1) / 16)
+            whole = np.floor(step)
+            step -= whole
+            low = whole.astype(np.intp)
+            low += np.repeat(np.arange(alive) * _STEPS, mine)
+            final = refined.take(low) * (1 - step)
+            final += mix
+            final += refined[1:].take(low, mode="clip") * step
+            final /= 2
+            # the probability of the turn taken
+            final -= 1 - bit
+            np.abs(final, out=final)
+            total[:alive] += np.add.reduceat(np.log(final), edge - mine, dtype=np.float64)
             # learning, once per block
             m = alive * _GATES
             error = bit - mix
-            error *= (p.rate / (1 + np.bincount(gate, minlength=m) / 64)).astype(np.float32).take(gate)
+            error *= (p.rate / (1 + np.bincount(gate, minlength=m) / 64)).astype(np.float32).take(gate, mode="clip")
             for one, w in zip(x, weights):
                 one *= error
                 w[:m] += np.bincount(gate, one, m).astype(np.float32)
             m = alive * _STEPS
             low += step > 0.5
-            upto = seen[:m] + np.bincount(low, minlength=m)
+            more = np.bincount(low, minlength=m)
+            upto = seen[:m] + more
             refined[:m] += ((np.bincount(low, bit, m) - (upto - seen[:m]) * refined[:m]) / upto).astype(np.float32)
             seen[:m] = np.minimum(upto, 255)
             read += int(n[0])
@@ -292,6 +326,7 @@ def _logits(ones: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
 _ORDERS = (2, 4, 5)  # bytes of each predictor's context
 _UNIT = 32  # a logit of 1 among gathered logits
 _TEXT_BYTES = 1 << 20  # of texts worked on together
+_SCORED_BYTES = 1 << 19  # of texts scored side by side
 
 
 def _chunks(texts: list[bytes], most: int = _TEXT_BYTES) -> Iterator[list[bytes]]:
@@ -306,14 +341,16 @@ def _chunks(texts: list[bytes], most: int = _TEXT_BYTES) -> Iterator[list[bytes]
         yield chunk
 
 
-def _keys(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """The bytes ``at``, each with its context, as numbers: the predictor,
-    the context's bytes and the byte."""
-    key = data[at].astype(np.uint64)
-    for i in range(1, _ORDERS[k] + 1):
-        key |= data[at - i].astype(np.uint64) << np.uint64(8 * i)
-    key |= np.uint64(k << 48)
-    return key
+def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes ``at``, each with the longest context, as numbers; the byte
+    itself and the nearest bytes come last."""
+    eight = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)  # from each byte on
+    return eight.take(at - 7) & _lowest(1 + max(_ORDERS))
+
+
+def _lowest(n: int) -> np.uint64:
+    """A mask of ``n`` bytes."""
+    return np.uint64((1 << 8 * n) - 1)
 
 
 def _dealt(keys: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,46 +405,53 @@ def _word_pieces(pieces: int) -> int:
 
 
 class Asked:
-    """The distinct ``keys`` of a block of texts, by piece, with ``piece``;
-    ``codes``: per predictor, which of them each byte has."""
+    """The distinct ``keys`` of a block of texts, by piece, with ``piece``: a
+    predictor, its context's bytes and the byte after it. They are found from
+    the distinct grams, as a byte's gram has its key of each predictor;
+    ``code``: which gram each byte is, ``which``: per predictor, which key
+    each gram has."""
 
     def __init__(self, chunks: list[list[bytes]], pieces: int):
-        self.sizes = [np.array([len(t) for t in c]) for c in chunks]
-        self.buffers, self.at = [], []
-        for chunk, n in zip(chunks, self.sizes):
+        grams = []
+        for chunk in chunks:
             data, start = _buffer(chunk)
-            self.buffers.append(data)
-            self.at.append(np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n))
-        found, codes, known = [], [], 0
-        for k in range(len(_ORDERS)):
-            code, keys = pd.factorize(np.concatenate([_keys(data, at, k) for data, at in zip(self.buffers, self.at)]))
-            codes.append((code + known).astype(np.int32))
-            found.append(keys)
+            n = np.array([len(t) for t in chunk])
+            grams.append(_grams(data, _along(start, n, np.cumsum(n))))
+        code, self.grams = pd.factorize(np.concatenate(grams))
+        self.code = code.astype(np.int32)
+        found, which, known = [], [], 0
+        for k, order in enumerate(_ORDERS):
+            code, keys = pd.factorize(self.grams & _lowest(order + 1))
+            which.append(code + known)
+            found.append(keys | np.uint64(k << 48))
             known += len(keys)
         keys = np.concatenate(found)
         piece = (mix64(keys >> np.uint64(8)) % np.uint64(pieces)).astype(np.int64)
         order, rank = _dealt(keys, piece)
         self.keys, self.piece = keys[order], piece[order]
-        self.codes = [rank.take(c) for c in codes]
+        self.which = [rank.take(c) for c in which]
 
     def learnt(self, train: np.ndarray) -> np.ndarray:
         """The keys' numbers in the bytes of training texts."""
-        return sum(np.bincount(c[train], minlength=len(self.keys)) for c in self.codes)
+        n = np.bincount(self.code[train], minlength=len(self.grams))
+        return sum(np.bincount(c, n, len(self.keys)) for c in self.which).astype(np.int64)
 
-    def gathered(self, code: Code, logits: np.ndarray) -> Iterator[list[Gathered]]:
-        """For each chunk what the predictors got, from all answers in the
-        order of the keys."""
+    def spans(self, code: Code, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From all answers in the order of the keys the steps of all grams,
+        four short numbers side by side (the predictors' logits, then gate and
+        turn), and of each byte where its steps start and their number."""
         begin, which, _ = _decisions(code, self.keys)
         logits = logits.take(which)
-        done = 0
-        for data, at in zip(self.buffers, self.at):
-            out = []
-            for c in self.codes:
-                start = np.zeros(len(data), np.int64)
-                start[at] = begin.take(c[done : done + len(at)])
-                out.append(Gathered(logits, start))
-            done += len(at)
-            yield out
+        del which
+        pair = (self.grams & _lowest(2)).astype(np.int64)
+        each = code.length.take(pair)
+        ends = np.cumsum(each)
+        steps = np.empty((int(each.sum()), 4), np.int16)
+        for k, keys in enumerate(self.which):
+            steps[:, k] = logits.take(_along(begin.take(keys), each, ends))
+        place = _along(code.offset.take(pair), each, ends)
+        steps[:, 3] = (np.repeat(_KIND.take(pair >> 8), each) + code.gate.take(place)) << 1 | code.turn.take(place)
+        return steps.view(np.int64).ravel(), ((ends - each) << 8 | each).take(self.code)
 
 
 def _decisions(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -416,9 +460,9 @@ def _decisions(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     decision. Paths of one context share their decisions."""
     pair = (keys & np.uint64(0xFFFF)).astype(np.int64)
     length = code.length.take(pair)
-    begin = np.cumsum(length) - length
-    place = np.repeat(code.offset.take(pair) - begin, length)
-    place += np.arange(len(place))
+    ends = np.cumsum(length)
+    begin = ends - length
+    place = _along(code.offset.take(pair), length, ends)
     context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=keys[:1] >> np.uint64(8)) != 0)
     which, distinct = pd.factorize(np.repeat(context << 8, length) + code.node.take(place))
     first = np.empty(len(distinct), np.int64)
@@ -543,26 +587,21 @@ def _word_counts(asked: DataFrame) -> DataFrame:
 def _paths_logits(code: Code, keys: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """The logits of the decisions of sorted distinct keys that occur ``n``
     times, one path after the other, and where each path starts."""
-    pair = (keys & np.uint64(0xFFFF)).astype(np.int64)
-    length = code.length.take(pair)
-    begin = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.int16)
     edge = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=np.uint64((1 << 64) - 1)))  # first key of each context
-    context = np.zeros(len(keys), np.int64)
-    context[edge] = 1
-    context = np.cumsum(context) - 1
-    for i in range(0, len(edge), _CONTEXTS):
-        x, y = edge[i], edge[i + _CONTEXTS] if i + _CONTEXTS < len(edge) else len(keys)
-        each = length[x:y]
-        place = np.repeat(code.offset.take(pair[x:y]) - (begin[x:y] - begin[x]), each)
-        place += np.arange(len(place))
-        slot = np.repeat((context[x:y] - i) << 8, each) + code.node.take(place)
-        times = np.repeat(n[x:y], each)
-        all_ = np.bincount(slot, times)
-        ones = np.bincount(slot, times * code.turn.take(place), len(all_))
+    out, begins, done = [], [], 0
+    for x, y in zip(edge[::_CONTEXTS], [*edge[_CONTEXTS::_CONTEXTS], len(keys)]):
+        begin, which, _ = _decisions(code, keys[x:y])
+        begins.append(begin + done)
+        pair = (keys[x:y] & np.uint64(0xFFFF)).astype(np.int64)
+        length = code.length.take(pair)
+        turn = code.turn.take(_along(code.offset.take(pair), length, begin + length))
+        times = np.repeat(n[x:y], length)
+        all_ = np.bincount(which, times)
+        ones = np.bincount(which, times * turn, len(all_))
         logit = np.log((ones + prior) / (all_ - ones + prior)) * _UNIT
-        out[begin[x] : begin[x] + len(place)] = np.rint(logit).astype(np.int16).take(slot)
-    return out, begin
+        out.append(np.rint(logit).astype(np.int16).take(which))
+        done += len(which)
+    return np.concatenate(out), np.concatenate(begins)
 
 
 _CONTEXTS = 1 << 13  # whose counters are in memory together
@@ -594,6 +633,20 @@ def _answers(asked: DataFrame, code, p: Params) -> DataFrame:
     return _questions(asked, 1).mapInArrow(run, "block long, part int, payload binary")
 
 
+def _scored(texts: list[bytes], steps: np.ndarray, spans: np.ndarray, code: Code, p: Params) -> np.ndarray:
+    """Natural logarithms of the probabilities of a block's texts; texts of
+    like sizes are scored together."""
+    n = np.array([len(t) for t in texts])
+    start = np.cumsum(n) - n
+    order = np.argsort(n, kind="stable")
+    out, done = np.empty(len(texts)), 0
+    for chunk in _chunks([texts[i] for i in order], _SCORED_BYTES):
+        some = order[done : done + len(chunk)]
+        out[some] = Scorer(code, Gathered(steps, spans, start[some]), p)(chunk)
+        done += len(chunk)
+    return out
+
+
 def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` and ``score`` (log10), ``n_bytes`` and
@@ -624,10 +677,8 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str =
         texts = [t + b"\n" for d in docs if d[0] is not None for t in zlib.decompress(d[0]).split(b"\n")[:-1]]
         words = Words([_token_hashes(t) for t in texts], _word_pieces(pieces))
         known, base = words.base(np.concatenate([_unpacked(c, np.uint64) for c in counts]), log_all)
-        chunks = list(_chunks(texts))
-        block = Asked(chunks, pieces)
-        gathered = block.gathered(code, np.concatenate([_unpacked(a, np.int16) for a in answers]))
-        logs = np.concatenate([Scorer(code, tables, p)(chunk) for chunk, tables in zip(chunks, gathered)])
+        block = Asked(list(_chunks(texts)), pieces)
+        logs = _scored(texts, *block.spans(code, np.concatenate([_unpacked(a, np.int16) for a in answers])), code, p)
         n = np.array([len(t) for t in texts], np.int64)
         ids, held = (pa.array([d[i] for d in docs], t) for i, t in ((1, arrow), (2, pa.bool_())))
         return pa.RecordBatch.from_arrays(
