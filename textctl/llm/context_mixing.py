@@ -327,6 +327,7 @@ _ORDERS = (2, 4, 5)  # bytes of each predictor's context
 _UNIT = 32  # a logit of 1 among gathered logits
 _TEXT_BYTES = 1 << 20  # of texts worked on together
 _SCORED_BYTES = 1 << 19  # of texts scored side by side
+_HASHED_BYTES = 1 << 16  # of texts whose words are hashed together
 
 
 def _chunks(texts: list[bytes], most: int = _TEXT_BYTES) -> Iterator[list[bytes]]:
@@ -354,8 +355,10 @@ def _lowest(n: int) -> np.uint64:
 
 
 def _dealt(keys: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by piece, and the place of each in it."""
-    order = np.lexsort((keys, piece))
+    """The order of distinct keys by piece, and the place of each in it."""
+    order = np.argsort(keys)
+    small = piece.astype(np.min_scalar_type(piece.max()))  # short numbers are sorted faster
+    order = order[np.argsort(small[order], kind="stable")]
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     return order, rank
@@ -372,9 +375,9 @@ class Words:
     ``code``: which of them each token is, ``sizes``: the tokens of each
     text."""
 
-    def __init__(self, hashes: list[np.ndarray], pieces: int):
-        self.sizes = np.array([len(h) for h in hashes])
-        code, keys = pd.factorize(np.concatenate(hashes))
+    def __init__(self, texts: list[bytes], pieces: int):
+        self.sizes = np.array([_n_tokens(t) for t in texts])
+        code, keys = pd.factorize(np.concatenate([_token_hashes(*some) for some in _chunks(texts, _HASHED_BYTES)]))
         piece = (mix64(keys) % np.uint64(pieces)).astype(np.int64)
         order, rank = _dealt(keys, piece)
         self.keys, self.piece, self.code = keys[order], piece[order], rank.take(code)
@@ -394,9 +397,15 @@ class Words:
         return known, score
 
 
-def _token_hashes(data: bytes) -> np.ndarray:
+def _n_tokens(data: bytes) -> int:
     """Of a normalised text: its words and the end."""
-    return np.append(word_hashes(data), _END_HASH)
+    return data.count(b" ") + (len(data) > 1) + 1
+
+
+def _token_hashes(*texts: bytes) -> np.ndarray:
+    """Of normalised texts, one after the other: their words and the ends."""
+    words = [_n_tokens(t) - 1 for t in texts]
+    return np.insert(word_hashes(b"".join(texts)), np.cumsum(words), _END_HASH)
 
 
 def _word_pieces(pieces: int) -> int:
@@ -433,9 +442,17 @@ class Asked:
 
     def learnt(self, train: np.ndarray) -> np.ndarray:
         """The keys' numbers in the bytes of training texts."""
-        n = np.bincount(self.code[train], minlength=len(self.grams))
+        n = self._numbers(train)
         return sum(np.bincount(c, n, len(self.keys)) for c in self.which).astype(np.int64)
 
+    def pairs(self, train: np.ndarray) -> np.ndarray:
+        """The numbers of pairs of bytes there; a text's first byte stands
+        after a zero byte."""
+        return np.bincount((self.grams & _lowest(2)).astype(np.int64), self._numbers(train), 1 << 16).astype(np.int64)
+
+    def _numbers(self, train: np.ndarray) -> np.ndarray:
+        return np.bincount(self.code[train], minlength=len(self.grams))
+
     def spans(self, code: Code, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From all answers in the order of the keys the steps of all grams,
         four short numbers side by side (the predictors' logits, then gate and
@@ -482,6 +499,20 @@ def _unpacked(payload: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _texts_packed(texts: list[bytes]) -> bytes:
+    data = b"".join(texts)
+    return len(data).to_bytes(8, "little") + _TEXTS.compress(data, asbytes=True)
+
+
+def _texts_unpacked(payload: bytes) -> list[bytes]:
+    """A text's only line feed is its end."""
+    data = _TEXTS.decompress(payload[8:], int.from_bytes(payload[:8], "little"), asbytes=True)
+    return [t + b"\n" for t in data.split(b"\n")[:-1]]
+
+
+_TEXTS = pa.Codec("zstd", compression_level=4)
+
+
 def _asked(rows: DataFrame, pieces: int, p: Params) -> DataFrame:
     """Four kinds of rows from (id, held, text). Kind 0, a document: its
     block and place in it; the first of some documents has all their texts,
@@ -504,40 +535,35 @@ def _asked(rows: DataFrame, pieces: int, p: Params) -> DataFrame:
             numbers = [_packed(learnt[x:y].astype(np.uint32), zlib.Z_RLE) for x, y in some]
             yield batch(len(some), kind=[kind] * len(some), block=[block] * len(some), part=[int(piece[x]) for x, _ in some], payload=payload, learnt=numbers)
 
-    def flushed(ids: list, held: list, texts: list, hashes: list) -> Iterator[pa.RecordBatch]:
+    def flushed(seen: np.ndarray, ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
         block = int.from_bytes(os.urandom(8), "big") >> 1
         train = ~np.array(held, bool)
         asked = Asked(list(_chunks(texts)), pieces)
-        yield from questions(1, block, asked.keys, asked.piece, asked.learnt(np.repeat(train, [len(t) for t in texts])))
+        learnt = np.repeat(train, [len(t) for t in texts])
+        seen += asked.pairs(learnt)
+        yield from questions(1, block, asked.keys, asked.piece, asked.learnt(learnt))
         del asked
-        words = Words(hashes, _word_pieces(pieces))
+        words = Words(texts, _word_pieces(pieces))
         yield from questions(2, block, words.keys, words.piece, words.learnt(train))
         for i in range(0, len(ids), 200):
             j = range(i, min(i + 200, len(ids)))
-            yield batch(len(j), kind=[0] * len(j), block=[block] * len(j), part=list(j), id=ids[i : j.stop], held=held[i : j.stop], payload=[zlib.compress(b"".join(texts[i : j.stop]), 5), *[None] * (len(j) - 1)])
+            yield batch(len(j), kind=[0] * len(j), block=[block] * len(j), part=list(j), id=ids[i : j.stop], held=held[i : j.stop], payload=[_texts_packed(texts[i : j.stop]), *[None] * (len(j) - 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: tuple[list, list, list, list] = ([], [], [], [])
+        block: tuple[list, list, list] = ([], [], [])
         size, tokens, seen = 0, 0, np.zeros(1 << 16, np.int64)
         for b in batches:
-            pairs = []
             for doc, held, text in zip(*(c.to_pylist() for c in b.columns)):
                 data = normalised(text)
-                if not held:
-                    pairs.append(data)
-                hashes = _token_hashes(data)
-                for column, value in zip(block, (doc, held, data, hashes)):
+                for column, value in zip(block, (doc, held, data)):
                     column.append(value)
                 size += len(data)
-                tokens += len(hashes)
+                tokens += _n_tokens(data)
                 if size >= p.block_bytes or tokens >= p.block_tokens:
-                    yield from flushed(*block)
-                    block, size, tokens = ([], [], [], []), 0, 0
-            # pairs of bytes; a text's first byte stands after a zero byte
-            both = np.frombuffer(b"\0" + b"\0".join(pairs), np.uint8).astype(np.int64)
-            seen += np.bincount(both[1:] | (both[:-1] << 8), minlength=1 << 16)
+                    yield from flushed(seen, *block)
+                    block, size, tokens = ([], [], []), 0, 0
         if size:
-            yield from flushed(*block)
+            yield from flushed(seen, *block)
         (some,) = np.nonzero(seen)
         yield batch(len(some), kind=[3] * len(some), part=some, n=seen[some])
 
@@ -673,9 +699,8 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params(), id_col: str =
 
     def scores(answers: list, counts: list, docs: list) -> pa.RecordBatch:
         code = sent.value
-        # a text's only line feed is its end
-        texts = [t + b"\n" for d in docs if d[0] is not None for t in zlib.decompress(d[0]).split(b"\n")[:-1]]
-        words = Words([_token_hashes(t) for t in texts], _word_pieces(pieces))
+        texts = [t for d in docs if d[0] is not None for t in _texts_unpacked(d[0])]
+        words = Words(texts, _word_pieces(pieces))
         known, base = words.base(np.concatenate([_unpacked(c, np.uint64) for c in counts]), log_all)
         block = Asked(list(_chunks(texts)), pieces)
         logs = _scored(texts, *block.spans(code, np.concatenate([_unpacked(a, np.int16) for a in answers])), code, p)
