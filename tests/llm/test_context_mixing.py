@@ -150,6 +150,23 @@ def test_a_block_looks_up_each_byte_once(texts, monkeypatch):
     assert dict(zip(asked.keys.tolist(), counts.tolist())) == found and len(asked.keys) == len(found)
 
 
+def test_paths_are_found_without_hashing_each_step(texts, monkeypatch):
+    """Steps are several times the keys, so no hash table has a row for each;
+    contexts are worked on some at a time, here three."""
+    code = cm.Code(np.arange(1 << 16) % 251)
+    keys = cm.Asked([[cm.normalised(t) for _, t, _, _ in texts[:10]]], 5).keys
+    monkeypatch.setattr(cm, "_TOGETHER", 3, raising=False)
+    monkeypatch.delattr(cm.pd, "factorize")
+    begin, which, first = cm._decisions(code, keys)
+    found, steps = {}, []
+    for key, at in zip(keys.tolist(), begin.tolist()):
+        assert at == len(steps)
+        pair = key & 0xFFFF
+        steps += [found.setdefault((key >> 8, code.node[x]), len(found)) for x in range(code.offset[pair], code.offset[pair] + code.length[pair])]
+    assert which.tolist() == steps and len(found) < len(steps)
+    assert first.tolist() == sorted({i: at for at, i in reversed(list(enumerate(steps)))}.values())
+
+
 def _answer(code, asked, n):
     """The logits of a block's decisions, for keys that occur ``n`` times."""
     keys, order = np.unique(asked.keys, return_index=True)

@@ -76,7 +76,9 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(raw):
         none = np.zeros(0, np.int64)
         return raw, none, none
-    edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1))
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1])
     return raw, edge[0::2], edge[1::2]
 
 

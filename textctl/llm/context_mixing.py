@@ -102,6 +102,12 @@ class Code:
         depth = np.arange(len(nodes)) - np.repeat(self.offset, self.length)
         self.gate = np.minimum(depth, 3)
 
+    @cached_property
+    def mark(self) -> np.ndarray:
+        """Of each step its gate and turn, as one number."""
+        kind = np.repeat(np.repeat(_KIND, 256), self.length)  # of the byte before
+        return ((kind + self.gate) << 1 | self.turn).astype(np.int16)
+
 
 def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each byte its path from the root (node 0): nodes and turns."""
@@ -133,11 +139,18 @@ def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _along(start: np.ndarray, each: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of paths of ``each`` steps that start there: the place of each step;
-    ``ends``: the sums of ``each``."""
-    x = np.repeat(start - (ends - each), each)
-    x += np.arange(len(x))
-    return x
+    """Of paths of ``each`` steps (one at least) that start there: the place
+    of each step; ``ends``: the sums of ``each``. Sums of differences, as
+    repeating short paths takes longer."""
+    x = np.ones(ends[-1] if len(ends) else 0, np.int64)
+    x[:1] = start[:1]
+    x[ends[:-1]] += np.diff(start) - each[:-1]
+    return np.cumsum(x)
+
+
+def _taken(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``x`` at places known to be in it: not checking each is faster."""
+    return x.take(at, mode="clip")
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -210,15 +223,18 @@ class Gathered:
     def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of the bytes ``at``: the sums of the numbers of decisions, and each
         decision's gate, turn and logits."""
-        span = self.spans.take(at)
+        span = _taken(self.spans, at)
         each = span & 0xFF
         span >>= 8
         ends = np.cumsum(each)
-        step = self.steps.take(_along(span, each, ends)).view(np.int16).reshape(-1, 4)
+        step = _taken(self.steps, _along(span, each, ends)).view(np.int16).reshape(-1, 4)
         x = [step[:, k].astype(np.float32) for k in range(3)]
         for one in x:
             one *= np.float32(1 / _UNIT)
-        return ends, step[:, 3] >> 1, (step[:, 3] & 1).astype(np.float32), x
+        gate = step[:, 3].astype(np.int64)
+        turn = gate & 1
+        gate >>= 1
+        return ends, gate, turn, x
 
 
 class Hashed:
@@ -231,7 +247,7 @@ class Hashed:
     def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         d = Places(self.code, self.data, at, self.bits)
         gate = np.repeat(_KIND[self.data[at - 1]], d.each) + self.code.gate.take(d.place)
-        return np.cumsum(d.each), gate, d.turn.astype(np.float32), [t.take(d.counter(k), mode="clip").astype(np.float32) / np.float32(16) for k, t in enumerate(self.tables)]
+        return np.cumsum(d.each), gate, d.turn.astype(np.int64), [t.take(d.counter(k), mode="clip").astype(np.float32) / np.float32(16) for k, t in enumerate(self.tables)]
 
 
 class Scorer:
@@ -257,13 +273,16 @@ class Scorer:
         while (alive := int(np.searchsorted(-size, -read))) > 0:
             n = np.minimum(size[:alive] - read, max(32, min(read // 16, 1 << 16)))
             upto = np.cumsum(n)
-            ends, gate, bit, x = source.decisions(_along(start[:alive] + read, n, upto))
+            ends, gate, turn, x = source.decisions(_along(start[:alive] + read, n, upto))
             edge = ends.take(upto - 1)  # after each text's decisions
             mine = np.diff(edge, prepend=0)
-            gate = gate + np.repeat(np.arange(alive) * _GATES, mine)
+            gate += np.repeat(np.arange(alive) * _GATES, mine)
+            bit = turn.astype(np.float32)
             logit = np.zeros(len(bit), np.float32)
             for one, w in zip(x, weights):
-                logit += one * w.take(gate, mode="clip")
+                weight = _taken(w, gate)
+                weight *= one
+                logit += weight
             np.clip(logit, -7.99, 7.99, out=logit)
             mix = np.exp(-logit)
             mix += 1
@@ -276,9 +295,12 @@ class Scorer:
             step -= whole
             low = whole.astype(np.intp)
             low += np.repeat(np.arange(alive) * _STEPS, mine)
-            final = refined.take(low) * (1 - step)
+            final = _taken(refined, low)
+            final *= 1 - step
             final += mix
-            final += refined[1:].take(low, mode="clip") * step
+            above = _taken(refined[1:], low)
+            above *= step
+            final += above
             final /= 2
             # the probability of the turn taken
             final -= 1 - bit
@@ -287,15 +309,17 @@ class Scorer:
             # learning, once per block
             m = alive * _GATES
             error = bit - mix
-            error *= (p.rate / (1 + np.bincount(gate, minlength=m) / 64)).astype(np.float32).take(gate, mode="clip")
+            error *= _taken((p.rate / (1 + np.bincount(gate, minlength=m) / 64)).astype(np.float32), gate)
             for one, w in zip(x, weights):
                 one *= error
                 w[:m] += np.bincount(gate, one, m).astype(np.float32)
             m = alive * _STEPS
-            low += step > 0.5
-            more = np.bincount(low, minlength=m)
-            upto = seen[:m] + more
-            refined[:m] += ((np.bincount(low, bit, m) - (upto - seen[:m]) * refined[:m]) / upto).astype(np.float32)
+            low += (step > 0.5).astype(np.intp)
+            low <<= 1
+            low |= turn
+            met = np.bincount(low, minlength=2 * m).reshape(m, 2)  # zeros and ones
+            upto = seen[:m] + met.sum(1)
+            refined[:m] += ((met[:, 1] - (upto - seen[:m]) * refined[:m]) / upto).astype(np.float32)
             seen[:m] = np.minimum(upto, 255)
             read += int(n[0])
         out = np.empty(len(texts))
@@ -324,6 +348,8 @@ def _logits(ones: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
 
 
 _ORDERS = (2, 4, 5)  # bytes of each predictor's context
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _UNIT = 32  # a logit of 1 among gathered logits
 _TEXT_BYTES = 1 << 20  # of texts worked on together
 _SCORED_BYTES = 1 << 19  # of texts scored side by side
@@ -346,7 +372,7 @@ def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The bytes ``at``, each with the longest context, as numbers; the byte
     itself and the nearest bytes come last."""
     eight = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)  # from each byte on
-    return eight.take(at - 7) & _lowest(1 + max(_ORDERS))
+    return _taken(eight, at - 7) & _lowest(1 + max(_ORDERS))
 
 
 def _lowest(n: int) -> np.uint64:
@@ -380,7 +406,7 @@ class Words:
         code, keys = pd.factorize(np.concatenate([_token_hashes(*some) for some in _chunks(texts, _HASHED_BYTES)]))
         piece = (mix64(keys) % np.uint64(pieces)).astype(np.int64)
         order, rank = _dealt(keys, piece)
-        self.keys, self.piece, self.code = keys[order], piece[order], rank.take(code)
+        self.keys, self.piece, self.code = keys[order], piece[order], _taken(rank, code)
 
     def learnt(self, train: np.ndarray) -> np.ndarray:
         """The words' numbers in training texts."""
@@ -389,12 +415,10 @@ class Words:
     def base(self, count: np.ndarray, log_all: float) -> tuple[list[int], list[float]]:
         """Of each text the tokens with a count and the score, from the
         answers in the order of the keys."""
-        logs = np.log10(count + 0.1) - log_all
-        known, score = [], []
-        for at in np.split(self.code, np.cumsum(self.sizes)[:-1]):
-            known.append(int(np.count_nonzero(count[at])))
-            score.append(float(math.fsum(logs[at])))
-        return known, score
+        logs = _taken(np.log10(count + 0.1) - log_all, self.code)
+        edge = [0, *np.cumsum(self.sizes).tolist()]
+        known = np.add.reduceat(_taken(count > 0, self.code), edge[:-1], dtype=np.int64)
+        return known.tolist(), [math.fsum(logs[x:y].tolist()) for x, y in zip(edge, edge[1:])]
 
 
 def _n_tokens(data: bytes) -> int:
@@ -426,7 +450,9 @@ class Asked:
             data, start = _buffer(chunk)
             n = np.array([len(t) for t in chunk])
             grams.append(_grams(data, _along(start, n, np.cumsum(n))))
-        code, self.grams = pd.factorize(np.concatenate(grams))
+        # multiplied by an odd number, as a hash table scatters letters badly
+        code, found = pd.factorize((np.concatenate(grams) * _ODD).view(np.int64))
+        self.grams = found.view(np.uint64) * _BACK
         self.code = code.astype(np.int32)
         found, which, known = [], [], 0
         for k, order in enumerate(_ORDERS):
@@ -438,7 +464,7 @@ class Asked:
         piece = (mix64(keys >> np.uint64(8)) % np.uint64(pieces)).astype(np.int64)
         order, rank = _dealt(keys, piece)
         self.keys, self.piece = keys[order], piece[order]
-        self.which = [rank.take(c) for c in which]
+        self.which = [_taken(rank, c) for c in which]
 
     def learnt(self, train: np.ndarray) -> np.ndarray:
         """The keys' numbers in the bytes of training texts."""
@@ -458,17 +484,16 @@ class Asked:
         four short numbers side by side (the predictors' logits, then gate and
         turn), and of each byte where its steps start and their number."""
         begin, which, _ = _decisions(code, self.keys)
-        logits = logits.take(which)
+        logits = _taken(logits, which)
         del which
         pair = (self.grams & _lowest(2)).astype(np.int64)
-        each = code.length.take(pair)
+        each = _taken(code.length, pair)
         ends = np.cumsum(each)
         steps = np.empty((int(each.sum()), 4), np.int16)
         for k, keys in enumerate(self.which):
-            steps[:, k] = logits.take(_along(begin.take(keys), each, ends))
-        place = _along(code.offset.take(pair), each, ends)
-        steps[:, 3] = (np.repeat(_KIND.take(pair >> 8), each) + code.gate.take(place)) << 1 | code.turn.take(place)
-        return steps.view(np.int64).ravel(), ((ends - each) << 8 | each).take(self.code)
+            steps[:, k] = _taken(logits, _along(_taken(begin, keys), each, ends))
+        steps[:, 3] = _taken(code.mark, _along(_taken(code.offset, pair), each, ends))
+        return steps.view(np.int64).ravel(), _taken((ends - each) << 8 | each, self.code)
 
 
 def _decisions(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -476,15 +501,26 @@ def _decisions(code: Code, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     decision of its context each step is, and the first step of each
     decision. Paths of one context share their decisions."""
     pair = (keys & np.uint64(0xFFFF)).astype(np.int64)
-    length = code.length.take(pair)
+    length = _taken(code.length, pair)
     ends = np.cumsum(length)
     begin = ends - length
-    place = _along(code.offset.take(pair), length, ends)
-    context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=keys[:1] >> np.uint64(8)) != 0)
-    which, distinct = pd.factorize(np.repeat(context << 8, length) + code.node.take(place))
-    first = np.empty(len(distinct), np.int64)
-    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    return begin, which, first
+    place = _along(_taken(code.offset, pair), length, ends)
+    edge = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=np.uint64((1 << 64) - 1)))  # first key of each context
+    start = _taken(begin, edge)
+    # some contexts at a time: the first step at each of their nodes
+    slot = np.repeat(np.arange(len(edge)) % _TOGETHER << 8, np.diff(start, append=len(place)))
+    slot += _taken(code.node, place)
+    step, met = np.arange(len(place)), np.empty(len(place), np.int64)
+    at = np.empty(min(_TOGETHER, len(edge)) << 8, np.int64)
+    cut = [*start[::_TOGETHER].tolist(), len(place)]
+    for x, y in zip(cut, cut[1:]):
+        at[slot[x:y][::-1]] = step[x:y][::-1]
+        at.take(slot[x:y], out=met[x:y], mode="clip")
+    new = met == step
+    return begin, _taken(np.cumsum(new) - 1, met), np.flatnonzero(new)
+
+
+_TOGETHER = 1 << 9  # contexts whose nodes are in the cache together
 
 
 def _packed(x: np.ndarray, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
@@ -619,13 +655,13 @@ def _paths_logits(code: Code, keys: np.ndarray, n: np.ndarray, prior: float) ->
         begin, which, _ = _decisions(code, keys[x:y])
         begins.append(begin + done)
         pair = (keys[x:y] & np.uint64(0xFFFF)).astype(np.int64)
-        length = code.length.take(pair)
-        turn = code.turn.take(_along(code.offset.take(pair), length, begin + length))
+        length = _taken(code.length, pair)
+        turn = _taken(code.turn, _along(_taken(code.offset, pair), length, begin + length))
         times = np.repeat(n[x:y], length)
         all_ = np.bincount(which, times)
         ones = np.bincount(which, times * turn, len(all_))
         logit = np.log((ones + prior) / (all_ - ones + prior)) * _UNIT
-        out.append(np.rint(logit).astype(np.int16).take(which))
+        out.append(_taken(np.rint(logit).astype(np.int16), which))
         done += len(which)
     return np.concatenate(out), np.concatenate(begins)
 
@@ -649,8 +685,8 @@ def _answers(asked: DataFrame, code, p: Params) -> DataFrame:
             at += size
             path, _, first = _decisions(code.value, distinct.take(mine))
             key = np.searchsorted(path, first, "right") - 1
-            place = begin.take(mine.take(key)) + first - path.take(key)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([piece], pa.int32()), pa.array([_packed(logits.take(place))], pa.binary())], ["block", "part", "payload"])
+            place = _taken(begin, _taken(mine, key)) + first - _taken(path, key)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([piece], pa.int32()), pa.array([_packed(_taken(logits, place))], pa.binary())], ["block", "part", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_piece(batches):
