@@ -75,7 +75,13 @@ class Params:
 
 
 def normalised(text: str | None) -> bytes:
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()) + b"\n"
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).strip(b" ")
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data + b"\n"
+
+
+_PLAIN = bytes(32 if 9 <= b <= 13 else b for b in LOWER)  # blanks alone between words
 
 
 class Code:
@@ -266,7 +272,10 @@ class Scorer:
         order = np.argsort(-size, kind="stable")  # the longest first: those still read are a prefix
         start, size = source.start[order], size[order]
         total = np.zeros(len(texts))
-        weights = [np.full(len(texts) * _GATES, x, np.float32) for x in p.start]
+        # of each gate the predictors' weights and the rate of learning
+        weights = np.empty((len(texts) * _GATES, 4), np.float32)
+        weights[:, :3] = p.start
+        packed = weights.view(np.complex128).ravel()
         refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, _STEPS)))).astype(np.float32), len(texts))
         seen = np.full(len(texts) * _STEPS, 6.0, np.float32)
         read = 0
@@ -277,12 +286,13 @@ class Scorer:
             edge = ends.take(upto - 1)  # after each text's decisions
             mine = np.diff(edge, prepend=0)
             gate += np.repeat(np.arange(alive) * _GATES, mine)
+            m = alive * _GATES
+            weights[:m, 3] = p.rate / (1 + np.bincount(gate, minlength=m) / 64)
+            weight = _taken(packed, gate).view(np.float32).reshape(-1, 4)
             bit = turn.astype(np.float32)
             logit = np.zeros(len(bit), np.float32)
-            for one, w in zip(x, weights):
-                weight = _taken(w, gate)
-                weight *= one
-                logit += weight
+            for k, one in enumerate(x):
+                logit += one * weight[:, k]
             np.clip(logit, -7.99, 7.99, out=logit)
             mix = np.exp(-logit)
             mix += 1
@@ -307,18 +317,17 @@ class Scorer:
             np.abs(final, out=final)
             total[:alive] += np.add.reduceat(np.log(final), edge - mine, dtype=np.float64)
             # learning, once per block
-            m = alive * _GATES
             error = bit - mix
-            error *= _taken((p.rate / (1 + np.bincount(gate, minlength=m) / 64)).astype(np.float32), gate)
-            for one, w in zip(x, weights):
+            error *= weight[:, 3]
+            for k, one in enumerate(x):
                 one *= error
-                w[:m] += np.bincount(gate, one, m).astype(np.float32)
+                weights[:m, k] += np.bincount(gate, one, m).astype(np.float32)
             m = alive * _STEPS
             low += (step > 0.5).astype(np.intp)
             low <<= 1
             low |= turn
             met = np.bincount(low, minlength=2 * m).reshape(m, 2)  # zeros and ones
-            upto = seen[:m] + met.sum(1)
+            upto = seen[:m] + (met[:, 0] + met[:, 1])
             refined[:m] += ((met[:, 1] - (upto - seen[:m]) * refined[:m]) / upto).astype(np.float32)
             seen[:m] = np.minimum(upto, 255)
             read += int(n[0])
