@@ -44,26 +44,51 @@ def answer_key(dedupe: bool):
     return F.sha2(F.to_json(F.struct("task", "base_text", "text") if dedupe else F.struct(*JKEYS)), 256)
 
 
-def judge_requests(items: DataFrame, is_bool: bool = False, first: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def row_key():
+    """The key of a row, as its own keys in plain: unlike a hash they shrink to
+    little where rows are kept or shuffled compressed."""
+    return F.to_json(F.struct(*JKEYS))
+
+
+def judge_requests(
+    items: DataFrame, is_bool: bool = False, first: DataFrame | None = None, known: DataFrame | None = None, by_row: bool = False
+) -> DataFrame:
     """``_k, model_path, prompt, system``: one request per key of ``items``;
     for the fallback question only where the ``first`` answer did not parse;
     none where ``known`` has an answer. Of rows that share a key one is chosen
-    on fixed-width values before any text moves."""
-    from ..plans.joins import named_rows
+    on fixed-width values before any text moves.
+
+    ``by_row``: the key is ``row_key``, so every row is a request and none has to
+    be chosen; ``task`` and ``prompt_id`` go with it, and ``first`` has them."""
+    from ..plans.joins import asked_rows, named_rows
     from ..schemas import ASSISTANT_SYSTEM
     from .prompts import judge_prompt
 
-    rows = items.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in JKEYS]))
-    asked = None if first is None else first.where(judge_label("text").isNull()).select("_k")
-    picked = named_rows(rows, known, asked)
+    asked = None if first is None else first.where(judge_label("text").isNull())
+    if by_row:
+        picked = items if asked is None else asked_rows(items, asked.select("task", "prompt_id", "_k"))
+    else:
+        rows = items.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in JKEYS]))
+        picked = named_rows(rows, known, None if asked is None else asked.select("_k"))
     prompt = judge_prompt("task", "text", "base_text", is_bool=is_bool)
-    return picked.select("_k", F.lit("judge").alias("model_path"), prompt.alias("prompt"), F.lit(ASSISTANT_SYSTEM).alias("system"))
-
-
-def with_answers(items: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """The judged rows, from the answers (``_k, text, error``) to both questions."""
-    x = items.select(*JKEYS, "_k").join(first.select("_k", F.col("text").alias("answer"), F.col("error").alias("error1")), "_k", "left")
-    x = x.join(second.select("_k", F.col("text").alias("answer_bool"), F.col("error").alias("error2")), "_k", "left")
+    cols = ["_k", "task", "prompt_id"] if by_row else ["_k"]
+    return picked.select(*cols, F.lit("judge").alias("model_path"), prompt.alias("prompt"), F.lit(ASSISTANT_SYSTEM).alias("system"))
+
+
+def with_answers(items: DataFrame, first: DataFrame, second: DataFrame, by_row: bool = False) -> DataFrame:
+    """The judged rows, from the answers (``_k, text, error``) to both questions;
+    ``by_row`` as in ``judge_requests``."""
+    from ..plans.joins import with_told
+
+    x = items.select(*JKEYS, "_k")
+    at = ["_k", "task", "prompt_id"] if by_row else ["_k"]
+    named = lambda answers, text, error: answers.select(*at, F.col("text").alias(text), F.col("error").alias(error))
+    both = [named(first, "answer", "error1"), named(second, "answer_bool", "error2")]
+    if by_row:
+        x = with_told(x, *both)
+    else:
+        for answers in both:
+            x = x.join(answers, "_k", "left")
     return parse_answers(x.drop("_k"))
 
 
@@ -88,12 +113,13 @@ def judge_with_models(
 
     if skip_dead_letters:
         items = items.where(F.col("text") != F.lit(SENTINEL))
-    items = items.withColumn("_k", answer_key(dedupe))
+    items = items.withColumn("_k", answer_key(dedupe) if dedupe else row_key())
     answers = []
     for is_bool in (False, True):
-        req = judge_requests(items, is_bool, first=answers[0] if answers else None)
-        answers.append(run_model(req, factory, policy=policy, keys=["_k"], request_cols=["system"], checkpoint=checkpoint, models=1))
-    return with_answers(items, *answers)
+        req = judge_requests(items, is_bool, first=answers[0] if answers else None, by_row=not dedupe)
+        carry = [] if dedupe else ["task", "prompt_id"]
+        answers.append(run_model(req, factory, policy=policy, keys=["_k"], carry=carry, request_cols=["system"], checkpoint=checkpoint, models=1))
+    return with_answers(items, *answers, by_row=not dedupe)
 
 
 def quality_scores(judged: DataFrame, **more: Column) -> DataFrame:

@@ -10,7 +10,7 @@ holds when the side grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side up to this many bytes of column data is broadcast.
@@ -70,6 +70,38 @@ def named_rows(rows: DataFrame, known: DataFrame | None = None, asked: DataFrame
     return here.select(*rows.columns).unionByName(lost.select(*rows.columns))
 
 
+def _no_prompt() -> Column:
+    return F.col("task").isNull() | F.col("prompt_id").isNull()
+
+
+def asked_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (``_k, task, prompt_id``, texts) whose ``_k`` is one of ``asked``
+    (``_k, task, prompt_id``). A prompt's rows are told by the list of its keys,
+    as in ``named_rows``: no text is sorted or dealt by ``_k``."""
+    at = ["task", "prompt_id"]
+    lists = asked.groupBy(*at).agg(F.collect_set("_k").alias("_asked"))
+    here = rows.join(lists.hint("shuffle_hash"), at, "inner").where(F.array_contains("_asked", F.col("_k")))
+    lost = rows.where(_no_prompt()).join(asked.where(_no_prompt()).select("_k"), "_k", "left_semi")
+    return here.select(*rows.columns).unionByName(lost.select(*rows.columns))
+
+
+def with_told(rows: DataFrame, *told: DataFrame) -> DataFrame:
+    """``rows`` (``_k, task, prompt_id``) left joined with each of ``told`` (the
+    same and more) on ``_k``, which a prompt has to itself. What a prompt was
+    told goes to its rows as one list, so rows dealt by prompt stay where they
+    are and the list's entries, much alike, shrink to little."""
+    at = ["task", "prompt_id"]
+    here, lost = rows.where(~_no_prompt()), rows.where(_no_prompt())
+    for answers in told:
+        more = [c for c in answers.columns if c not in ("_k", *at)]
+        lists = answers.groupBy(*at).agg(F.collect_list(F.struct("_k", *more)).alias("_told"))
+        x = here.join(lists.hint("shuffle_hash"), at, "left").withColumn("_told", F.filter("_told", lambda t: t["_k"] == F.col("_k")))
+        x = x.select(*here.columns, F.explode_outer("_told").alias("_told"))
+        here = x.select(*here.columns, *[F.col("_told")[c].alias(c) for c in more])
+        lost = lost.join(answers.where(_no_prompt()).select("_k", *more), "_k", "left").select(*here.columns)
+    return here.unionByName(lost)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Join ``big`` with ``small``, broadcasting ``small`` only if it measured
     at most ``max_bytes``; otherwise a sort-merge join (hinted, so that an
